@@ -8,9 +8,9 @@ global order, one partition more than may differ gives similar sets a common sig
 Partitions made of corpus-wide frequent shingles come last in that order.
 
 Signatures that several sets share give candidates.  First each set is checked against the one
-set it shares most signatures with; sets found connected need no further check, and the rest
-are compared across components until every pair that shares a signature is either connected or
-verified not to link.  Verification compares whole sets.
+set it shares most signatures with; sets found connected need no further check.  The rest are
+compared across components: parity sketches bound the difference of two sets from below, so
+only pairs that may link leave a task.  Verification compares whole sets.
 """
 
 from __future__ import annotations
@@ -224,23 +224,111 @@ def _filter_of(ids: DataFrame) -> bytes:
     return bytes(out)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, features) of the documents asked for; a fixed-size filter spares the others' sets the shuffle."""
+def _wanted(docs: DataFrame, ids: DataFrame, make, schema: str, name: str, kind: pa.DataType) -> DataFrame:
+    """(id, <made from the set>) of the documents asked for; a fixed-size filter spares the others the shuffle."""
     wanted = _filter_of(ids)
-    if not any(wanted):
-        return docs.sparkSession.createDataFrame([], "id long, features binary")
+    columns = ["id", *name.split()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 g = b.slice(at, 200)
-                out = [(i, shingle(t.as_py()).tobytes()) for i, p, t in zip(g.column(0).to_pylist(), g.column(2).to_pylist(), g.column(1), strict=True) if wanted[p >> 3] >> (p & 7) & 1]
+                out = [(i, *make(shingle(t.as_py()))) for i, p, t in zip(g.column(0).to_pylist(), g.column(2).to_pylist(), g.column(1), strict=True) if wanted[p >> 3] >> (p & 7) & 1]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["id", "features"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *kind), strict=True)], columns)
 
     marked = docs.filter("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
-    return marked.mapInArrow(run, "id long, features binary")
+    return marked.mapInArrow(run, schema)
+
+
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, features) of the documents asked for, and of some others."""
+    return _wanted(docs, ids, lambda s: (s.tobytes(),), "id long, features binary", "features", (pa.binary(),))
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's bucket counts, two to four buckets per feature.
+
+    Two sets' parities differ in at most as many bits as the sets differ in features, whatever
+    the number of buckets; halves of a sketch XOR to the sketch of half the size.
+    """
+    bits = 1 << max(7, (len(s) - 1).bit_length() + 1) if len(s) else 128
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def sketches_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n, sketch) of the documents asked for, and of some others."""
+    return _wanted(docs, ids, lambda s: (len(s), parity(s).tobytes()), "id long, n long, sketch binary", "n sketch", (pa.int64(), pa.binary()))
+
+
+#: Rows of a signature compared in one block; larger groups are cut into pairs of blocks.
+BLOCK = 512
+
+
+def _near(ids, comps, sizes, sides, sketches) -> set[tuple[int, int]]:
+    """Pairs of a block pair in different components whose sketches don't rule a link out."""
+    out: set[tuple[int, int]] = set()
+    lengths = np.array([len(x) for x in sketches])
+    for length in np.unique(lengths):
+        for other in (length, 2 * length):
+            mine, theirs = np.flatnonzero(lengths == length), np.flatnonzero(lengths == other)
+            if not len(theirs):
+                continue
+            x = np.stack([sketches[k] for k in mine])
+            y = np.stack([sketches[k] for k in theirs])
+            if other > length:
+                y = y[:, :length] ^ y[:, length:]
+            n, c, side, i = sizes[theirs], comps[theirs], sides[theirs], ids[theirs]
+            for row, k in zip(x, mine, strict=True):
+                apart = np.bitwise_count(row ^ y).sum(1, dtype=np.int64)
+                good = (7 * apart <= n + sizes[k]) & (c != comps[k]) & ((side != sides[k]) | (side == 2)) & (4 * np.minimum(n, sizes[k]) >= 3 * np.maximum(n, sizes[k]))
+                if other == length:
+                    good &= i < ids[k]
+                out.update((max(int(ids[k]), int(j)), min(int(ids[k]), int(j))) for j in i[good])
+    return out
+
+
+def cross_candidates(open_rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a > b) in different components that share a signature and may link.
+
+    Every pair of a group is looked at, in blocks of bounded size, but only as sketches and only
+    across components; pairs that cannot link never leave the task.
+    """
+    sizes = open_rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = open_rows.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(sketches, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    rows = rows.select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "component", "n", side.alias("side"), "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, sent = None, [], set()
+
+        def flush() -> set[tuple[int, int]]:
+            if len(held) < 2 or len({h[1] for h in held}) < 2:
+                return set()
+            i, c, n, s = (np.array([h[k] for h in held], np.int64) for k in range(4))
+            return _near(i, c, n, s, [np.frombuffer(h[4], np.uint64) for h in held])
+
+        for b in batches:
+            pairs: set[tuple[int, int]] = set()
+            cols = [b.column(k).to_pylist() for k in range(8)]
+            for sig, lo, hi, i, c, n, side, sketch in zip(*cols, strict=True):
+                if key != (sig, lo, hi):
+                    pairs |= flush()
+                    key, held = (sig, lo, hi), []
+                held.append((i, c, n, side, sketch))
+            pairs -= sent
+            sent |= pairs
+            if len(sent) > 1_000_000:
+                sent.clear()
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+        if last := flush() - sent:
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in last], pa.int64()), pa.array([p[1] for p in last], pa.int64())], ["a", "b"])
+
+    return rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -292,11 +380,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if step == 1:
                 pairs = open_rows.filter("component <> first").select(F.col("id").alias("a"), F.col("head").alias("b"))
             else:
-                left = open_rows.select("sig", F.col("id").alias("a"), F.col("component").alias("ca"))
-                right = open_rows.select("sig", F.col("id").alias("b"), F.col("component").alias("cb"))
-                pairs = left.join(right, "sig").filter("a > b AND ca <> cb").select("a", "b")
+                pairs = cross_candidates(open_rows, sketches_of(rows, open_rows.select("id").distinct()))
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-            todo = _best(pairs) if step == 1 else pairs.distinct()
+            todo = _best(pairs) if step == 1 else pairs
         todo = settle(todo, "join-pairs")
         checked = todo if checked is None else checked.unionAll(todo)
         ids = todo.select(F.col("a").alias("id")).unionAll(todo.select(F.col("b").alias("id"))).distinct()
@@ -305,6 +391,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return described.select("id", "n"), components(links)
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that are linked with one of a smaller id, directly or over others."""
+    _, found = link_documents(docs, id_col, text_col)
+    others = found.filter("id <> component").select(F.col("id").alias(id_col))
+    return docs.join(others, id_col, "left_anti")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component (smallest doc_id reachable by links) of every document."""
     rows, found = link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
