@@ -16,7 +16,9 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,43 +28,101 @@ from .common import settle, table
 CAPACITY = 4096
 #: Id appended to every document.
 END = 1
-#: Words and bytes that a worker's cache of encoded words may hold.
-CACHE_WORDS, CACHE_BYTES = 600_000, 64 << 20
+#: Letter runs that a worker's cache may hold.
+CACHE_WORDS = 1_000_000
 
 _caches: dict[str, WordCodes] = {}
 
 
+#: Punctuation that may follow a run of letters in a word encoded by parts.
+_TAIL = ".,;:!?#*%&$|)"
+_PLAIN = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+[.,;:!?#*%&$|)]*$"
+_RUN = r"^[^.,;:!?#*%&$|)]+"
+#: Letter runs encoded in one call, with blanks between them; bytes of text handled at once.
+TOGETHER, TEXT_BYTES = 5000, 12 << 20
+
+
 class WordCodes:
     """Encodes texts word by word: this tokenizer never merges across white space.
 
-    Words are cached as little-endian 32-bit ids, so a text's ids are one ``bytes.join``.
+    The distinct words of a few megabytes of text are found by Arrow.  A plain word, Latin-1
+    letters with ASCII punctuation behind, is looked up as lower-case letters and punctuation;
+    new letter runs are encoded together and cut at their end-of-word ids.  Any other word is
+    encoded as it stands.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.codes, self.held = Tokenizer.from_file(path), {}, 0
-
-    def learn(self, new: list[bytes]) -> None:
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            code = b"".join([i.to_bytes(4, "little") for i in e.ids])
-            self.codes[w] = code
-            self.held += len(code) + len(w)
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text as bytes; a null text has none."""
-        if len(self.codes) > CACHE_WORDS or self.held > CACHE_BYTES:
-            self.codes.clear()
-            self.held = 0
-        split = [(t or "").encode().split() for t in texts]
-        seen: set[bytes] = set()
-        for s in split:
-            seen.update(s)
-        if new := [w for w in seen if w not in self.codes]:
-            self.learn(new)
-        for s in split:
-            yield b"".join(map(self.codes.__getitem__, s))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), TOGETHER):
+            group = new[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(group):
+                raw = ids.tobytes()
+                found = [raw[4 * p : 4 * q] for p, q in zip([0, *cuts[:-1]], cuts, strict=True)]
+            else:
+                found = self._whole(group)
+            self.letters.update(zip(group, found, strict=True))
+
+    def _parts(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Codes, and the two of them that each distinct word consists of."""
+        if len(self.letters) > CACHE_WORDS:
+            self.letters.clear()
+        plain = pc.match_substring_regex(words, _PLAIN)
+        low = pc.utf8_lower(words.filter(plain))
+        runs = pc.utf8_rtrim(low, _TAIL).dictionary_encode()
+        tails = pc.replace_substring_regex(low, _RUN, "").dictionary_encode()
+        names, letters = runs.dictionary.to_pylist(), self.letters
+        self._learn([r for r in names if r not in letters])
+        codes = [letters[r] for r in names]
+        first = len(codes)
+        codes += self._whole(tails.dictionary.to_pylist())
+        second = len(codes)
+        codes += self._whole(words.filter(pc.invert(plain)).to_pylist())
+        of = np.full((len(words), 2), len(codes), np.int64)
+        codes.append(b"")
+        mask = plain.to_numpy(zero_copy_only=False)
+        of[mask, 0] = runs.indices.to_numpy(zero_copy_only=False)
+        of[mask, 1] = tails.indices.to_numpy(zero_copy_only=False) + first
+        of[~mask, 0] = np.arange(len(codes) - 1 - second) + second
+        return codes, of
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; a null text has none."""
+        at = 0
+        while at < len(texts):
+            size, n = 0, 0
+            while at + n < len(texts) and (not n or size < TEXT_BYTES):
+                size += len(texts[at + n].as_buffer() or b"") if texts[at + n].is_valid else 0
+                n += 1
+            lists = pc.ascii_split_whitespace(texts.slice(at, n).fill_null(""))
+            found = lists.flatten().dictionary_encode()
+            codes, parts = self._parts(found.dictionary)
+            pool = np.frombuffer(b"".join(codes), "<u4")
+            lengths = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+            starts = np.cumsum(lengths) - lengths
+            used = parts[found.indices.to_numpy(zero_copy_only=False)].ravel()
+            each = lengths[used]
+            ends = np.cumsum(each)
+            ids = pool[np.repeat(starts[used] - ends + each, each) + np.arange(ends[-1])] if len(used) else pool
+            until = np.concatenate(([0], ends))[2 * np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+            begin = 0
+            for stop in until.tolist():
+                yield ids[begin:stop]
+                begin = stop
+            at += n
 
 
 def default_tokenizer() -> str:
@@ -84,19 +144,18 @@ def tokenize_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int =
         path = tokenizer or default_tokenizer()
         if path not in _caches:
             _caches[path] = WordCodes(path)
-        codes, part, end = _caches[path], TaskContext.get().partitionId(), END.to_bytes(4, "little")
+        codes, part, end = _caches[path], TaskContext.get().partitionId(), np.array([END], "<u4")
         places: Counter = Counter()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                group = b.slice(at, 256)
-                out: list[tuple] = []
-                for doc, ids in zip(group.column(0).to_pylist(), codes.encode(group.column(1).to_pylist()), strict=True):
-                    ids += end
-                    for k in range(0, len(ids), 4 * capacity):
-                        cut = ids[k : k + 4 * capacity]
-                        n = len(cut) // 4
-                        out.append((doc, k // (4 * capacity), k // 4, n, zlib.crc32(cut), part, places[n]))
-                        places[n] += 1
+            out: list[tuple] = []
+            for doc, ids in zip(b.column(0).to_pylist(), codes.encode(b.column(1)), strict=True):
+                ids = np.append(ids, end)
+                for k in range(0, len(ids), capacity):
+                    cut = ids[k : k + capacity]
+                    n = len(cut)
+                    out.append((doc, k // capacity, k, n, zlib.crc32(cut), part, places[n]))
+                    places[n] += 1
+            if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)],
                     ["id", "piece", "start", "length", "ids_crc32", "part", "place"],
