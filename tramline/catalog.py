@@ -1,4 +1,417 @@
-"""Registered queries over the driver's tables, and their SQL twins."""
+"""Registered queries over the driver's tables, each with a DuckDB twin where SQL can express it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalars
+from .operators import realtime, relational, reliability, search
+from .plans.timetable import conn_between, view, with_views
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def _query(name: str, sql: str, *views: str):
+    """Register a DataFrame query and its SQL twin over the named views."""
+
+    def add(f):
+        QUERIES[name] = f
+        ORACLE[name] = with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def _sql(name: str, text: str, *views: str, tables: tuple[str, ...] = (), duck: str | None = None) -> None:
+    """Register a query whose Spark form is SQL as well; names in braces are inputs."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        inputs = {v: view(spark, sf_dir, v) for v in views} | {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+        return spark.sql(text, **inputs)
+
+    QUERIES[name] = run
+    plain = (duck or text).replace("{", "").replace("}", "")
+    ORACLE[name] = with_views(plain, *views) if views else plain
+
+
+# --- timetable and aggregates ---------------------------------------------------------------
+
+_sql("trip_segments", "SELECT trip_id, seq, from_station, to_station, dep_min, arr_min, in_allowed, out_allowed FROM {segment}", "segment")
+_sql("schedule_info", "SELECT min(dep) AS first_dep, max(arr) AS last_arr, count(*) AS n_conn, count(DISTINCT trip_id) AS n_trips FROM {conn}", "conn")
+_sql("min_travel_time_graph", "SELECT from_station, to_station, min(arr_min - dep_min) AS minutes FROM {segment} GROUP BY from_station, to_station", "segment")
+_sql("interchange_graph", "SELECT DISTINCT station_id, clasz, in_allowed AND out_allowed AS is_transfer FROM {trip_stop}", "trip_stop")
+_sql("event_counts_by_class", "SELECT from_station AS station_id, clasz, count(*) AS n_dep, CAST(sum(CASE WHEN in_allowed THEN 1 ELSE 0 END) AS BIGINT) AS n_boardable FROM {segment} GROUP BY from_station, clasz", "segment")
+_sql(
+    "station_importance",
+    """WITH c AS (SELECT from_station AS station_id, CAST(sum(CASE WHEN clasz < 3 THEN 1000 WHEN clasz < 6 THEN 100 WHEN clasz < 9 THEN 10 ELSE 1 END) AS BIGINT) AS weight FROM {segment} GROUP BY from_station)
+    SELECT station_id, weight, round(1 + 0.5e0 * weight / max(weight) OVER (), 9) AS importance FROM c""",
+    "segment",
+)
+_sql("stop_sequence_distinct", "SELECT first_station, last_station, n_stops, count(*) AS n_trips FROM (SELECT trip_id, min_by(station_id, seq) AS first_station, max_by(station_id, seq) AS last_station, count(*) AS n_stops FROM {trip_stop} GROUP BY trip_id) t GROUP BY first_station, last_station, n_stops", "trip_stop")
+_sql(
+    "pair_bounding_boxes",
+    """SELECT least(g.from_station, g.to_station) AS a, greatest(g.from_station, g.to_station) AS b, min(least(x.lat, y.lat)) AS min_lat, max(greatest(x.lat, y.lat)) AS max_lat, min(least(x.lng, y.lng)) AS min_lng, max(greatest(x.lng, y.lng)) AS max_lng
+    FROM {segment} g JOIN {station} x ON g.from_station = x.station_id JOIN {station} y ON g.to_station = y.station_id GROUP BY 1, 2""",
+    "station", "segment",
+)
+_sql("large_stations", "SELECT from_station AS station_id, count(*) AS n FROM {segment} GROUP BY from_station ORDER BY n DESC, station_id LIMIT 10", "segment")
+_sql("meta_expand", "SELECT a.station_id, b.station_id AS equivalent FROM {station} a JOIN {station} b ON a.meta_id = b.meta_id", "station")
+_sql("stations_with_events", "SELECT station_id, name FROM {station} WHERE station_id IN (SELECT from_station FROM {conn} WHERE dep BETWEEN 480 AND 540)", "station", "conn")
+_sql("trip_lookup", "SELECT trip_id, min_by(station_id, seq) AS station_id, min(dep_min) AS dep_min, max_by(station_id, seq) AS target_id, max(arr_min) AS target_min FROM {trip_stop} GROUP BY trip_id", "trip_stop")
+_sql("footpath_lookup", "SELECT a.trip_id, a.seq, f.dur FROM {segment} a JOIN (SELECT x.station_id AS a, y.station_id AS b, 10 AS dur FROM {station} x JOIN {station} y ON x.meta_id = y.meta_id AND x.station_id <> y.station_id) f ON a.from_station = f.a AND a.to_station = f.b", "station", "segment")
+
+
+@_query("gaps_islands_ranges", "SELECT trip_id, min(seq) AS first, max(seq) AS last FROM (SELECT trip_id, seq, seq - row_number() OVER (PARTITION BY trip_id ORDER BY seq) AS run FROM segment WHERE in_allowed) x GROUP BY trip_id, run", "segment")
+def gaps_islands_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.islands(view(spark, sf_dir, "segment").filter("in_allowed"), ["trip_id"], "seq")
+
+
+_sql("service_days_weekdays", "SELECT day, count(DISTINCT trip_id) AS n_trips, count(*) AS n_conn FROM {conn} GROUP BY day", "conn")
+
+
+@_query(
+    "service_days_calendar",
+    """WITH base AS (SELECT p_partkey AS service_id, CAST(d AS DATE) AS day FROM part, range(DATE '2024-01-01' + CAST(p_partkey % 30 AS INT), DATE '2024-01-01' + CAST(p_partkey % 30 + 28 AS INT), INTERVAL 1 DAY) t(d)
+      WHERE (p_size >> (isodow(d) - 1)) & 1 = 1),
+    ex AS (SELECT DISTINCT event_id % 2000 AS service_id, CAST(ts AS DATE) AS day, CASE WHEN event_type = 'signup' THEN 1 ELSE 2 END AS kind FROM events WHERE event_type IN ('signup', 'error'))
+    SELECT service_id, day FROM (SELECT * FROM base UNION SELECT service_id, day FROM ex WHERE kind = 1) u WHERE (service_id, day) NOT IN (SELECT (service_id, day) FROM ex WHERE kind = 2)""",
+)
+def service_days_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.gtfs import WEEKDAYS, service_days
+
+    first = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 30).cast("int"))
+    flags = [F.shiftright("p_size", k).bitwiseAND(F.lit(1)).alias(d) for k, d in enumerate(WEEKDAYS)]
+    calendar = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("service_id"), *flags, F.date_format(first, "yyyyMMdd").alias("start_date"), F.date_format(F.date_add(first, 27), "yyyyMMdd").alias("end_date"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_type").isin("signup", "error"))
+    ex = e.select((F.col("event_id") % 2000).alias("service_id"), F.date_format("ts", "yyyyMMdd").alias("date"), F.when(F.col("event_type") == "signup", 1).otherwise(2).alias("exception_type"))
+    return service_days(calendar, ex)
+
+
+# --- boards, lookups, spatial ---------------------------------------------------------------
+
+_sql("station_events", "SELECT from_station AS station_id, 'DEP' AS ev_type, dep AS time, trip_id, seq FROM {conn} WHERE dep BETWEEN 1900 AND 1960 UNION ALL SELECT to_station, 'ARR', arr, trip_id, seq FROM {conn} WHERE arr BETWEEN 1900 AND 1960", "conn")
+_sql(
+    "station_board_topk",
+    "SELECT station_id, time, trip_id, place FROM (SELECT from_station AS station_id, dep AS time, trip_id, row_number() OVER (PARTITION BY from_station ORDER BY abs(dep - 2000), dep, trip_id, seq) AS place FROM {conn} WHERE dep BETWEEN 1440 AND 2880) x WHERE place <= 5",
+    "conn",
+)
+_sql("trip_guesses", "SELECT trip_id, dep_min FROM (SELECT trip_id, min(dep_min) AS dep_min FROM {trip_stop} GROUP BY trip_id) t ORDER BY abs(dep_min - 600), trip_id LIMIT 20", "trip_stop")
+_sql("trains_in_time", "SELECT trip_id, day, min(dep) AS dep, max(arr) AS arr FROM {conn} WHERE arr >= 2000 AND dep <= 2060 GROUP BY trip_id, day", "conn")
+_sql(
+    "bbox_trains",
+    """SELECT c.trip_id, c.day, c.seq FROM {conn} c JOIN {station} x ON c.from_station = x.station_id JOIN {station} y ON c.to_station = y.station_id
+    WHERE c.arr >= 2000 AND c.dep <= 2060 AND least(x.lat, y.lat) <= 51 AND greatest(x.lat, y.lat) >= 49 AND least(x.lng, y.lng) <= 12 AND greatest(x.lng, y.lng) >= 9""",
+    "station", "conn",
+)
+_sql("station_guess", "SELECT c.c_custkey AS query_id, s.station_id, levenshtein(s.name, c.guess) AS distance FROM {station} s JOIN (SELECT c_custkey, 'Supplier#' || lpad(CAST(c_custkey * 7 % 100 AS VARCHAR(10)), 9, '0') AS guess FROM {customer} WHERE c_custkey % 50 = 0) c ON levenshtein(s.name, c.guess) <= 1".replace("VARCHAR(10)", "STRING"), "station", tables=("customer",))
+
+_KM = "2 * 6371e0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))"
+
+
+def _radius(km: float, least: float):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = view(spark, sf_dir, "station")
+        places = s.select(F.col("station_id").alias("place"), F.col("lat").alias("plat"), F.col("lng").alias("plng"))
+        return relational.radius_join(s.select("station_id", "lat", "lng"), places, km, least).select("station_id", "place", F.round("km", 6).alias("km"))
+
+    return run
+
+
+for _name, _most, _least in (("geo_radius_batch", 120.0, 0.0), ("terminal_pairs", 90.0, 0.5)):
+    QUERIES[_name] = _radius(_most, _least)
+    ORACLE[_name] = with_views(f"SELECT a.station_id, b.station_id AS place, round({_KM}, 6) AS km FROM station a, station b WHERE {_KM} <= {_most}e0 AND {_KM} >= {_least}e0", "station")
+
+
+@_query("geo_radius", f"SELECT b.station_id AS place, round({_KM}, 6) AS km FROM (SELECT 50e0 AS lat, 10e0 AS lng) a, station b WHERE {_KM} <= 100e0", "station")
+def geo_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    point = spark.range(1).select(F.lit(50.0).alias("lat"), F.lit(10.0).alias("lng"))
+    places = view(spark, sf_dir, "station").select(F.col("station_id").alias("place"), F.col("lat").alias("plat"), F.col("lng").alias("plng"))
+    return relational.radius_join(point, places, 100.0).select("place", F.round("km", 6).alias("km"))
+
+
+@_query("next_departure_asof", "SELECT trip_id, seq, station_id, arr_min, (SELECT min(d.dep_min) FROM trip_stop d WHERE d.station_id = a.station_id AND d.dep_min >= a.arr_min) AS dep_min_asof FROM trip_stop a WHERE clasz = 3", "trip_stop")
+def next_departure_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stops = view(spark, sf_dir, "trip_stop")
+    return relational.asof(stops.filter("clasz = 3").select("trip_id", "seq", "station_id", "arr_min"), stops.select("station_id", "dep_min"), ["station_id"], "arr_min", "dep_min", bucket=60)
+
+
+@_query("prev_arrival_asof", "SELECT trip_id, seq, station_id, dep_min, (SELECT max(d.arr_min) FROM trip_stop d WHERE d.station_id = a.station_id AND d.arr_min <= a.dep_min) AS arr_min_asof FROM trip_stop a WHERE clasz = 3", "trip_stop")
+def prev_arrival_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stops = view(spark, sf_dir, "trip_stop")
+    return relational.asof(stops.filter("clasz = 3").select("trip_id", "seq", "station_id", "dep_min"), stops.select("station_id", "arr_min"), ["station_id"], "dep_min", "arr_min", backward=True, bucket=60)
+
+
+_sql(
+    "feeders_range_join",
+    """SELECT d.trip_id, d.seq, count(*) AS n_feeders, max(a.arr_min) AS latest FROM {trip_stop} d JOIN {station} s ON d.station_id = s.station_id
+    JOIN {trip_stop} a ON a.station_id = d.station_id AND a.arr_min BETWEEN d.dep_min - 30 AND d.dep_min - s.transfer_min AND a.trip_id <> d.trip_id WHERE d.clasz = 1 GROUP BY d.trip_id, d.seq""",
+    "station", "trip_stop",
+)
+
+# --- search -----------------------------------------------------------------------------------
+
+_FOOT = "footpath AS (SELECT station_id AS a, station_id AS b, transfer_min AS dur FROM station UNION ALL SELECT x.station_id, y.station_id, 10 + (x.station_id + y.station_id) % 6 FROM station x JOIN station y ON x.meta_id = y.meta_id AND x.station_id <> y.station_id)"
+_START = "SELECT CAST(1 AS BIGINT) AS start, CAST(480 AS BIGINT) AS t0"
+
+
+def footpaths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfer times as self loops, and walks between equivalent stations."""
+    s = view(spark, sf_dir, "station")
+    walks = s.alias("x").join(s.alias("y"), (F.col("x.meta_id") == F.col("y.meta_id")) & (F.col("x.station_id") != F.col("y.station_id")))
+    walks = walks.select(F.col("x.station_id").alias("a"), F.col("y.station_id").alias("b"), (F.lit(10) + (F.col("x.station_id") + F.col("y.station_id")) % 6).alias("dur"))
+    return s.select(F.col("station_id").alias("a"), F.col("station_id").alias("b"), F.col("transfer_min").alias("dur")).unionByName(walks)
+
+
+def _starts(spark: SparkSession, *rows: tuple[int, int]) -> DataFrame:
+    return spark.createDataFrame(list(rows), "start long, t0 long")
+
+
+def _earliest(rounds: int, where: str = "true"):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        conn = conn_between(spark, sf_dir, 480, 1920).filter(where)
+        return search.earliest_arrival(conn, footpaths(spark, sf_dir), _starts(spark, (1, 480)), rounds).select("station", "arr")
+
+    return run
+
+
+for _name, _rounds, _where, _extra in (("earliest_arrival_k2", 2, "true", ""), ("earliest_arrival_k7", 7, "true", ""), ("no_intercity", 3, "clasz >= 3", "AND clasz >= 3")):
+    QUERIES[_name] = _earliest(_rounds, _where)
+    ORACLE[_name] = with_views(f"WITH {_FOOT}, {search.search_sql(_rounds, _START, extra=_extra)} SELECT station, arr FROM best", "station", "conn")
+
+
+@_query(
+    "latest_departure_bwd",
+    f"""WITH {_FOOT}, r1 AS (SELECT CAST(1 AS BIGINT) AS station, CAST(1400 AS BIGINT) AS latest),
+    b1 AS (SELECT trip_id, day, max(seq) AS leave FROM conn JOIN r1 ON to_station = station WHERE out_allowed AND arr <= latest AND arr >= 1400 - 1440 GROUP BY ALL),
+    d1 AS (SELECT from_station AS station, max(dep) AS dep FROM conn JOIN b1 USING (trip_id, day) WHERE in_allowed AND seq <= leave AND dep >= 1400 - 1440 GROUP BY ALL),
+    r2 AS (SELECT station, max(latest) AS latest FROM (SELECT * FROM r1 UNION ALL SELECT a, dep - dur FROM d1 JOIN footpath ON station = b) x GROUP BY ALL),
+    b2 AS (SELECT trip_id, day, max(seq) AS leave FROM conn JOIN r2 ON to_station = station WHERE out_allowed AND arr <= latest AND arr >= 1400 - 1440 GROUP BY ALL),
+    d2 AS (SELECT from_station AS station, max(dep) AS dep FROM conn JOIN b2 USING (trip_id, day) WHERE in_allowed AND seq <= leave AND dep >= 1400 - 1440 GROUP BY ALL)
+    SELECT station, max(dep) AS dep FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2) x GROUP BY station""",
+    "station", "conn",
+)
+def latest_departure_bwd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    goals = spark.createDataFrame([(1, 1400)], "goal long, t1 long")
+    return search.latest_departure(conn_between(spark, sf_dir, -1440, 1440), footpaths(spark, sf_dir), goals, 2).select("station", "dep")
+
+
+_PROFILE = "SELECT DISTINCT CAST(1 AS BIGINT) AS start, dep AS t0 FROM conn WHERE from_station = 1 AND in_allowed AND dep BETWEEN 480 AND 540 UNION SELECT 1, 541"
+
+
+@_query(
+    "pareto_profile",
+    f"""WITH {_FOOT}, {search.search_sql(2, _PROFILE, by_legs=True)}
+    SELECT t0, station, legs, arr FROM found f WHERE t0 <= 540 AND NOT EXISTS (SELECT 1 FROM found g WHERE g.station = f.station AND g.t0 >= f.t0 AND g.arr <= f.arr AND g.legs <= f.legs AND (g.t0 <> f.t0 OR g.arr <> f.arr OR g.legs <> f.legs))""",
+    "station", "conn",
+)
+def pareto_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conn = conn_between(spark, sf_dir, 480, 541 + 1440)
+    starts = conn.filter("from_station = 1 AND in_allowed AND dep BETWEEN 480 AND 540").select(F.lit(1).cast("long").alias("start"), F.col("dep").alias("t0")).distinct().unionByName(_starts(spark, (1, 541)))
+    found = search.earliest_arrival(conn, footpaths(spark, sf_dir), starts, 2, by_legs=True)
+    return relational.skyline(found, ["station"], ["arr", "legs"], ["t0"]).filter("t0 <= 540").select("t0", "station", "legs", "arr")
+
+
+@_query("single_criterion_weighted", f"WITH {_FOOT}, {search.search_sql(3, _START, by_legs=True)} SELECT station, min(arr - t0 + 20 * legs) AS cost FROM found WHERE arr - t0 + 20 * legs <= 1580 GROUP BY station", "station", "conn")
+def single_criterion_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.earliest_arrival(conn_between(spark, sf_dir, 480, 1920), footpaths(spark, sf_dir), _starts(spark, (1, 480)), 3, by_legs=True)
+    return found.withColumn("cost", F.col("arr") - F.col("t0") + 20 * F.col("legs")).filter("cost <= 1580").groupBy("station").agg(F.min("cost").cast("long").alias("cost"))
+
+
+@_query(
+    "footpath_closure",
+    f"""WITH RECURSIVE {_FOOT}, e AS (SELECT a, b, min(dur) AS dur FROM footpath WHERE a <> b GROUP BY a, b UNION ALL SELECT a, b, 25 FROM (SELECT station_id AS a, station_id + 1 AS b FROM station WHERE station_id % 10 < 2) x WHERE b IN (SELECT station_id FROM station)),
+    p1 AS (SELECT a, b, min(dur) AS dur FROM e GROUP BY a, b), p2 AS (SELECT a, b, min(dur) AS dur FROM (SELECT * FROM p1 UNION ALL SELECT x.a, y.b, x.dur + y.dur FROM p1 x JOIN p1 y ON x.b = y.a WHERE x.a <> y.b) u GROUP BY a, b)
+    SELECT a, b, min(dur) AS dur FROM (SELECT * FROM p2 UNION ALL SELECT x.a, y.b, x.dur + y.dur FROM p2 x JOIN p2 y ON x.b = y.a WHERE x.a <> y.b) u GROUP BY a, b""".replace("WITH RECURSIVE", "WITH"),
+    "station",
+)
+def footpath_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = view(spark, sf_dir, "station").select("station_id")
+    extra = s.filter("station_id % 10 < 2").select(F.col("station_id").alias("a"), (F.col("station_id") + 1).alias("b"), F.lit(25).cast("long").alias("dur"))
+    extra = extra.join(s, F.col("b") == F.col("station_id"), "left_semi")
+    return relational.closure(footpaths(spark, sf_dir).filter("a <> b").unionByName(extra), 2)
+
+
+# --- scalar families ----------------------------------------------------------------------------
+
+_sql("price_cap", "SELECT o_orderkey AS trip_id, least(o_orderkey % 9000, 4200) + o_orderkey % 700 AS price FROM {orders}", tables=("orders",))
+
+
+@_query("night_minutes", "WITH t AS (SELECT l_orderkey, min(l_partkey * 13 % 1440) AS a, max(l_partkey * 13 % 1440) + 1440 * (l_orderkey % 3) AS b FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey AS trip_id, CAST((b // 1440 * 300 + least(greatest(b % 1440 - 60, 0), 300)) - (a // 1440 * 300 + least(greatest(a % 1440 - 60, 0), 300)) AS BIGINT) AS night FROM t")
+def night_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.min(F.col("l_partkey") * 13 % 1440).alias("a"), F.max(F.col("l_partkey") * 13 % 1440).alias("m"))
+    return t.select(F.col("l_orderkey").alias("trip_id"), scalars.overlap_per_day(F.col("a"), F.col("m") + 1440 * (F.col("l_orderkey") % 3), 60, 360).alias("night"))
+
+
+@_query("late_connection_taxi_price", f"SELECT b.station_id, CAST(floor(({_KM}) * 150) + 350 AS BIGINT) AS taxi_price, CAST(CASE WHEN b.station_id % 180 >= 120 THEN b.station_id * 17 % 5000 // 2 WHEN b.station_id % 180 >= 60 THEN b.station_id * 17 % 5000 // 4 ELSE 0 END AS BIGINT) AS compensation FROM (SELECT 50e0 AS lat, 10e0 AS lng) a, station b", "station")
+def late_connection_taxi_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = view(spark, sf_dir, "station")
+    km = relational.haversine_km(F.lit(50.0), F.lit(10.0), F.col("lat"), F.col("lng"))
+    return s.select("station_id", (F.floor(km * 150) + 350).cast("long").alias("taxi_price"), scalars.compensation(F.col("station_id") * 17 % 5000, F.col("station_id") % 180).alias("compensation"))
+
+
+@_query("service_display_name", "SELECT o_orderkey AS trip_id, trim(concat_ws(' ', CASE WHEN o_orderkey % 8 & 1 > 0 THEN 'RE' END, CASE WHEN o_orderkey % 8 & 2 > 0 THEN CAST(o_custkey AS VARCHAR) END, CASE WHEN o_orderkey % 8 & 4 > 0 THEN CAST(o_orderkey AS VARCHAR) END)) AS name FROM orders")
+def service_display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("trip_id"), scalars.service_name(F.lit("RE"), F.col("o_custkey"), F.col("o_orderkey"), F.col("o_orderkey") % 8).alias("name"))
+
+
+# --- real time ------------------------------------------------------------------------------------
+
+_EVENTS = """ev AS (SELECT trip_id, seq * 2 + 1 AS place, seq, 'DEP' AS ev_type, dep_min AS sched FROM trip_stop UNION ALL SELECT trip_id, seq * 2, seq, 'ARR', arr_min FROM trip_stop WHERE seq > 0),
+mx AS (SELECT trip_id, seq, max(CASE WHEN kind = 'is' THEN delay END) AS d_is, max(CASE WHEN kind = 'forecast' THEN delay END) AS d_fc FROM message GROUP BY trip_id, seq),
+me AS (SELECT ev.trip_id, place, ev.seq, ev_type, sched, sched + d_is AS is_t, sched + d_fc AS forecast_t FROM ev LEFT JOIN mx ON ev.trip_id = mx.trip_id AND ev.seq = mx.seq)"""
+
+
+def measured_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trip events with the measured and forecast times of the messages."""
+    m = view(spark, sf_dir, "message").groupBy("trip_id", "seq").agg(F.max(F.when(F.col("kind") == "is", F.col("delay"))).alias("d_is"), F.max(F.when(F.col("kind") == "forecast", F.col("delay"))).alias("d_fc"))
+    ev = realtime.trip_events(view(spark, sf_dir, "trip_stop")).join(m, ["trip_id", "seq"], "left")
+    return ev.select("trip_id", "place", "seq", "ev_type", "sched", (F.col("sched") + F.col("d_is")).alias("is_t"), (F.col("sched") + F.col("d_fc")).alias("forecast_t"))
+
+
+@_query("delay_resolve", f"WITH {_EVENTS} SELECT trip_id, place, coalesce(is_t, greatest(sched, forecast_t)) AS time, CASE WHEN is_t IS NOT NULL THEN 4 WHEN forecast_t >= sched THEN 3 ELSE 1 END AS rank FROM me", "trip_stop", "message")
+def delay_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = realtime.resolved_time(F.col("is_t"), F.col("forecast_t"), F.lit(None).cast("long"), F.col("sched"))
+    return measured_events(spark, sf_dir).select("trip_id", "place", t.alias("t")).select("trip_id", "place", "t.time", "t.rank")
+
+
+_PROPAGATE = f"""{_EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY place) AS nth, coalesce(sched - lag(sched) OVER (PARTITION BY trip_id ORDER BY place), 0) AS gap FROM me),
+r AS (SELECT trip_id, place, nth, coalesce(is_t, greatest(sched, forecast_t)) AS resolved FROM o WHERE nth = 1
+  UNION ALL SELECT o.trip_id, o.place, o.nth, coalesce(o.is_t, greatest(o.sched, o.forecast_t, r.resolved + CASE WHEN o.ev_type = 'ARR' THEN o.gap ELSE least(o.gap, 2) END)) FROM r JOIN o ON o.trip_id = r.trip_id AND o.nth = r.nth + 1)"""
+
+
+@_query("delay_propagate", f"WITH RECURSIVE {_PROPAGATE} SELECT trip_id, place, resolved FROM r".replace("WITH RECURSIVE", "WITH"), "trip_stop", "message")
+def delay_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return realtime.propagate(measured_events(spark, sf_dir)).select("trip_id", "place", "resolved")
+
+
+ORACLE["delay_propagate"] = ORACLE["delay_propagate"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@_query("trip_repair_minmax", f"WITH {_EVENTS} SELECT trip_id, place, max(is_t) OVER (PARTITION BY trip_id ORDER BY place) AS low, min(is_t) OVER (PARTITION BY trip_id ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS high FROM me", "trip_stop", "message")
+def trip_repair_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return realtime.repair(measured_events(spark, sf_dir).withColumn("resolved", F.col("sched"))).select("trip_id", "place", "low", "high")
+
+
+@_query("cancel_merge", "WITH c AS (SELECT DISTINCT trip_id, seq FROM message WHERE kind = 'cancel') SELECT trip_id, seq, from_station, to_station, EXISTS (SELECT 1 FROM c WHERE c.trip_id = s.trip_id AND c.seq IN (s.seq, s.seq + 1)) AS canceled FROM segment s", "segment", "message")
+def cancel_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = realtime.cancel(view(spark, sf_dir, "segment"), view(spark, sf_dir, "message").filter("kind = 'cancel'"))
+    return out.select("trip_id", "seq", "from_station", "to_station", "canceled")
+
+
+@_query(
+    "reroute_merge",
+    """WITH m AS (SELECT DISTINCT trip_id, seq FROM message WHERE kind = 'reroute'),
+    k AS (SELECT trip_id, seq, station_id, arr_min, dep_min FROM trip_stop t WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.trip_id = t.trip_id AND m.seq = t.seq)
+          UNION ALL SELECT t.trip_id, t.seq, t.station_id % 50 + 1, t.arr_min + 3, t.dep_min + 3 FROM trip_stop t JOIN m ON m.trip_id = t.trip_id AND m.seq = t.seq WHERE t.seq % 2 = 0),
+    n AS (SELECT trip_id, station_id AS from_station, dep_min, lead(station_id) OVER w AS to_station, lead(arr_min) OVER w AS arr_min, row_number() OVER w - 1 AS seq FROM k WINDOW w AS (PARTITION BY trip_id ORDER BY dep_min, seq, station_id))
+    SELECT trip_id, seq, from_station, to_station, dep_min, arr_min FROM n WHERE to_station IS NOT NULL""",
+    "trip_stop", "message",
+)
+def reroute_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stops = view(spark, sf_dir, "trip_stop").select("trip_id", "seq", "station_id", "arr_min", "dep_min")
+    removed = view(spark, sf_dir, "message").filter("kind = 'reroute'").select("trip_id", "seq").distinct()
+    added = stops.join(removed, ["trip_id", "seq"]).filter("seq % 2 = 0").select("trip_id", "seq", (F.col("station_id") % 50 + 1).alias("station_id"), (F.col("arr_min") + 3).alias("arr_min"), (F.col("dep_min") + 3).alias("dep_min"))
+    return realtime.reroute(stops, removed, added)
+
+
+@_query(
+    "additional_trip_validate",
+    f"""WITH {_EVENTS}, a AS (SELECT trip_id, place, ev_type, coalesce(is_t, sched) AS time FROM me WHERE NOT (trip_id % 17 = 0 AND place = 2)),
+    l AS (SELECT trip_id, time < lag(time) OVER w AS falls, ev_type = lag(ev_type) OVER w AS repeats FROM a WINDOW w AS (PARTITION BY trip_id ORDER BY place))
+    SELECT trip_id, CASE WHEN count(*) < 2 THEN 'EVENT_COUNT_MISMATCH' WHEN bool_or(coalesce(repeats, false)) THEN 'EVENT_ORDER_MISMATCH' WHEN bool_or(coalesce(falls, false)) THEN 'DECREASING_TIME' ELSE 'OK' END AS status FROM l GROUP BY trip_id""",
+    "trip_stop", "message",
+)
+def additional_trip_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = measured_events(spark, sf_dir).filter(~((F.col("trip_id") % 17 == 0) & (F.col("place") == 2))).withColumn("time", F.coalesce("is_t", "sched"))
+    return realtime.validate_additions(ev)
+
+
+_sql("forward_replay_windows", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM {events} GROUP BY date_trunc('hour', ts), event_type", tables=("events",))
+_sql("message_counts", "SELECT kind, count(*) AS n, count(DISTINCT trip_id) AS n_trips FROM {message} GROUP BY kind", "message")
+_sql(
+    "msg_day_minmax",
+    "SELECT day, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT ts, CAST(ts AS DATE) AS day FROM {message} UNION ALL SELECT ts, CAST(ts + INTERVAL 6 HOURS AS DATE) FROM {message} WHERE delay > 20) x GROUP BY day",
+    "message",
+)
+
+# --- bikes ----------------------------------------------------------------------------------------
+
+
+@_query(
+    "hourly_availability",
+    """WITH b AS (SELECT terminal, (isodow(ts) % 7) * 24 + hour(ts) AS bucket, bikes FROM snapshot),
+    l AS (SELECT terminal, bucket, list_sort(list(bikes)) AS d, sum(bikes) AS s, count(*) AS n, sum(CASE WHEN bikes >= 5 THEN 1 ELSE 0 END) AS five FROM b GROUP BY terminal, bucket)
+    SELECT terminal, bucket, round(CAST(s AS DOUBLE) / n, 9) AS average, d[1 + CAST(floor((n - 1) * 0.5) AS BIGINT)] AS median, d[1] AS minimum, d[1 + CAST(floor((n - 1) * 0.1) AS BIGINT)] AS q90, round(CAST(five AS DOUBLE) / n, 9) AS percent_reliable FROM l""",
+    "snapshot",
+)
+def hourly_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bike availability in 168 hours of the week; q90 is available in 90 % of the snapshots."""
+    b = view(spark, sf_dir, "snapshot").withColumn("bucket", ((F.dayofweek("ts") - 1) * 24 + F.hour("ts")).cast("long"))
+    g = b.groupBy("terminal", "bucket").agg(F.sort_array(F.collect_list("bikes")).alias("d"), F.avg("bikes").alias("m"), F.avg(F.when(F.col("bikes") >= 5, 1.0).otherwise(0.0)).alias("five"))
+    at = lambda q: F.get("d", F.floor((F.size("d") - 1) * F.lit(q)).cast("int"))
+    return g.select("terminal", "bucket", F.round("m", 9).alias("average"), at(0.5).alias("median"), F.get("d", F.lit(0)).alias("minimum"), at(0.1).alias("q90"), F.round("five", 9).alias("percent_reliable"))
+
+
+@_query(
+    "bike_search",
+    f"""WITH w AS (SELECT a.station_id, b.station_id AS terminal, CAST(floor(({_KM}) * 1000 * 1.5e0 / 1.5e0 / 60) AS BIGINT) AS walk FROM station a, station b WHERE {_KM} <= 60e0),
+    r AS (SELECT a.station_id AS from_terminal, b.station_id AS to_terminal, CAST(floor(({_KM}) * 1000 * 1.5e0 / 3.5e0 / 60) AS BIGINT) AS bike FROM station a, station b WHERE {_KM} <= 150e0 AND {_KM} >= 0.5e0)
+    SELECT x.station_id AS start, y.station_id AS goal, min(x.walk + bike + y.walk) AS minutes FROM w x JOIN r ON x.terminal = from_terminal JOIN w y ON y.terminal = to_terminal GROUP BY ALL""",
+    "station",
+)
+def bike_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk to a terminal, ride to another, walk on: the shortest duration per station pair."""
+    s = view(spark, sf_dir, "station").select("station_id", "lat", "lng")
+    places = s.select(F.col("station_id").alias("place"), F.col("lat").alias("plat"), F.col("lng").alias("plng"))
+    walk = relational.radius_join(s, places, 60.0).select("station_id", F.col("place").alias("terminal"), scalars.walk_minutes(F.col("km")).alias("walk"))
+    ride = relational.radius_join(s, places, 150.0, 0.5).select(F.col("station_id").alias("from_terminal"), F.col("place").alias("to_terminal"), scalars.bike_minutes(F.col("km")).alias("bike"))
+    out = walk.alias("x").join(ride, F.col("x.terminal") == F.col("from_terminal")).join(walk.alias("y"), F.col("y.terminal") == F.col("to_terminal"))
+    return out.groupBy(F.col("x.station_id").alias("start"), F.col("y.station_id").alias("goal")).agg(F.min(F.col("x.walk") + F.col("bike") + F.col("y.walk")).alias("minutes"))
+
+
+# --- reliability and evaluation ---------------------------------------------------------------------
+
+_DIST = "dist AS (SELECT clasz AS key, minute, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY clasz) AS p FROM (SELECT CAST(trip_id % 10 AS INT) AS clasz, delay AS minute, count(*) AS n FROM message WHERE kind = 'is' GROUP BY ALL) x), travel AS (SELECT clasz AS key, minute, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY clasz) AS p FROM (SELECT clasz, arr_min - dep_min AS minute, count(*) AS n FROM segment GROUP BY ALL) x)"
+
+
+def _distribution(rows: DataFrame, key: str, minute: str) -> DataFrame:
+    n = rows.groupBy(F.col(key).alias("key"), F.col(minute).alias("minute")).agg(F.count(F.lit(1)).alias("n"))
+    return n.select("key", "minute", (F.col("n") / F.sum("n").over(Window.partitionBy("key"))).alias("p"))
+
+
+def _delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distribution(view(spark, sf_dir, "message").filter("kind = 'is'").withColumn("clasz", (F.col("trip_id") % 10).cast("int")), "clasz", "delay")
+
+
+@_query("arrival_convolution", f"WITH {_DIST} SELECT d.key, d.minute + t.minute AS minute, round(sum(d.p * t.p), 9) AS p FROM dist d JOIN travel t ON d.key = t.key GROUP BY d.key, d.minute + t.minute", "segment", "message")
+def arrival_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    travel = _distribution(view(spark, sf_dir, "segment").withColumn("run", F.col("arr_min") - F.col("dep_min")), "clasz", "run")
+    return reliability.convolve(_delays(spark, sf_dir), travel).select("key", "minute", F.round("p", 9).alias("p"))
+
+
+@_query(
+    "departure_distribution",
+    f"""WITH {_DIST}, f AS (SELECT x.key, y.key AS feeder, y.minute + 3 AS minute, y.p FROM (SELECT DISTINCT key FROM dist) x JOIN dist y ON y.key IN ((x.key + 1) % 10, (x.key + 2) % 10)),
+    m AS (SELECT key, minute FROM dist UNION SELECT key, minute FROM f), c AS (SELECT m.key, m.minute, sum(CASE WHEN d.minute <= m.minute THEN d.p ELSE 0 END) AS c FROM m JOIN dist d ON d.key = m.key GROUP BY ALL),
+    e AS (SELECT m.key, m.minute, feeder, sum(CASE WHEN f.minute <= m.minute THEN f.p ELSE 0 END) AS c FROM m JOIN f ON f.key = m.key GROUP BY ALL), w AS (SELECT key, minute, product(c) AS w FROM e GROUP BY ALL),
+    b AS (SELECT c.key, c.minute, c.c * coalesce(w.w, 1) AS cum FROM c LEFT JOIN w ON c.key = w.key AND c.minute = w.minute)
+    SELECT key, minute, round(cum - coalesce(lag(cum) OVER (PARTITION BY key ORDER BY minute), 0), 9) + 0e0 AS p FROM b""",
+    "segment", "message",
+)
+def departure_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _delays(spark, sf_dir)
+    keys = own.select("key").distinct()
+    other = own.select(F.col("key").alias("feeder"), (F.col("minute") + 3).alias("minute"), "p")
+    feeders = keys.join(other, (F.col("feeder") == (F.col("key") + 1) % 10) | (F.col("feeder") == (F.col("key") + 2) % 10))
+    return reliability.departure(own, feeders).select("key", "minute", (F.round("p", 9) + 0.0).alias("p"))
+
+
+_sql("connection_rating", "SELECT trip_id, round(pow(0.995e0, count(*)), 9) AS rating FROM {segment} GROUP BY trip_id", "segment")
+_sql("waiting_time_matrix", "SELECT d.trip_id, d.seq, a.trip_id AS feeder, CASE WHEN d.clasz < 3 AND a.clasz < 3 THEN 5 WHEN d.clasz < 6 THEN 3 ELSE 0 END AS wait FROM {trip_stop} d JOIN {trip_stop} a ON a.station_id = d.station_id AND a.arr_min BETWEEN d.dep_min - 10 AND d.dep_min AND a.trip_id <> d.trip_id WHERE d.clasz = 2", "trip_stop")
+_sql("interchange_rating", "SELECT a.trip_id, a.seq, b.trip_id AS next_trip, round(1 - exp(-(b.dep_min - a.arr_min) / 5e0), 9) AS rating FROM {trip_stop} a JOIN {trip_stop} b ON a.station_id = b.station_id AND b.dep_min BETWEEN a.arr_min + 2 AND a.arr_min + 8 AND a.trip_id <> b.trip_id WHERE a.clasz = 4", "trip_stop")
+_sql("result_compare_fulljoin", "SELECT coalesce(x.trip_id, y.trip_id) AS trip_id, CASE WHEN y.trip_id IS NULL THEN 'only_1' WHEN x.trip_id IS NULL THEN 'only_2' WHEN x.n = y.n THEN 'equal' ELSE 'differ' END AS outcome FROM (SELECT trip_id, count(*) AS n FROM {segment} WHERE trip_id % 3 <> 0 GROUP BY trip_id) x FULL OUTER JOIN (SELECT trip_id, count(*) AS n FROM {trip_stop} WHERE trip_id % 5 <> 0 GROUP BY trip_id) y ON x.trip_id = y.trip_id", "trip_stop", "segment")
+_sql("result_quantiles", "SELECT clasz, avg(arr_min - dep_min) AS mean, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY arr_min - dep_min) AS BIGINT) AS q50, CAST(percentile_disc(0.8) WITHIN GROUP (ORDER BY arr_min - dep_min) AS BIGINT) AS q80, CAST(percentile_disc(0.9) WITHIN GROUP (ORDER BY arr_min - dep_min) AS BIGINT) AS q90 FROM {segment} GROUP BY clasz", "segment")
+_sql("intermodal_antijoin", "SELECT station_id FROM {station} s WHERE NOT EXISTS (SELECT 1 FROM {segment} g WHERE g.to_station = s.station_id AND g.clasz = 0 AND g.from_station % 40 = 0)", "station", "segment")
