@@ -13,7 +13,7 @@ def read_messages(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def hourly_batches(messages: DataFrame, kind: str = "event_type", ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
     """Messages per kind and release hour; the watermark is the system clock of the replay."""
-    return messages.withWatermark(ts, delay).groupBy(F.window(ts, "1 hour"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("hour"), kind, "n")
+    return messages.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).groupBy(F.window(ts, "1 hour"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("hour"), kind, "n")
 
 
 def replay(messages: DataFrame, sink, checkpoint: str) -> None:
