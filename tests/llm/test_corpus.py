@@ -1,0 +1,272 @@
+"""Corpus operators against brute force, with null, empty, repeated and clashing inputs."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tramline.llm import fingerprint, graph, licenses, mixing, ngram_join, packing, privacy, quality, toxicity, warc, webtext
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+
+def shingles(t):
+    w = WORD.findall(lower(t or ""))
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        words = [rnd.choice(vocab) for _ in range(rnd.choice((3, 20, 60, 300)))]
+        rows.append((2 * i, " ".join(words)))
+        if i % 3 == 0:
+            for k in range(rnd.randint(1, 4)):
+                words = list(words)
+                for _ in range(max(1, len(words) // 60)):
+                    words[rnd.randrange(len(words))] = rnd.choice(vocab)
+                rows.append((1000 + 10 * i + k, "\t".join(words).title()))
+    rows += [(5001, None), (5002, ""), (5003, " \n\t"), (5004, rows[0][1]), (5005, "Long " * 30000), (None, rows[4][1])]
+    full = [(i, t, rnd.choice(["en", None]), rnd.choice(["a", "b", None]), None, "x") for i, t in rows]
+    return spark.createDataFrame(full, DOC)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "x" * 1200
+    rows = [(1, "http://a", big), (2, None, big), (2, None, big), (3, "u\nv", "small"), (4, "c", None), (5, "d", ""), (None, "e", big), (6, "f", "ü" * 700)]
+    pages = spark.createDataFrame(rows, "record long, uri string, html string").select("record", "uri", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    warc.write_archives(warc.mark_revisits(pages), str(tmp_path / "w"))
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert len(got) == len(rows) and all(r.verified for r in got)
+    assert sorted((r.record_id, r.record_type, r.refers_to or "", r.payload_bytes) for r in got) == sorted(
+        [("<urn:page:1>", "revisit", "<urn:page:2>", 1200), ("<urn:page:2>", "response", "", 1200), ("<urn:page:2>", "response", "", 1200), ("<urn:page:3>", "response", "", 5), ("<urn:page:4>", "response", "", 0), ("<urn:page:5>", "response", "", 0), ("<urn:page:>", "revisit", "<urn:page:2>", 1200), ("<urn:page:6>", "response", "", 1400)]
+    )
+    record = warc.build_record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None, "2024-01-01T00:00:00Z")
+    assert warc.parse_record(record)[-1] and not warc.parse_record(record.replace(b"abc", b"abd"))[-1]
+    warc.write_archives(warc.mark_revisits(pages.limit(0)), str(tmp_path / "none"))
+    assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_fingerprints(spark, docs, empty):
+    marked = docs.select("doc_id", "text", fingerprint.fingerprint(F.col("text")).alias("m"))
+    a, b = marked.alias("a"), marked.alias("b")
+    pairs = a.crossJoin(b).filter("a.doc_id < b.doc_id").select("a.text", F.col("b.text").alias("other"), fingerprint.likeness(F.col("a.m"), F.col("b.m")).alias("like")).collect()
+    errors = []
+    for t, o, like in pairs:
+        x, y = shingles(t), shingles(o)
+        want = 1.0 if not x and not y else len(x & y) / len(x | y)
+        errors.append(like - want)
+        assert x != y or like == 1.0
+    assert np.abs(errors).max() < 0.25 and abs(np.mean(errors)) < 0.02
+    ids = fingerprint.next_rows(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id", "text", {}).collect()
+    order = sorted((r.doc_id, r.text) for r in ids)[::-1]
+    want = dict(zip(order, order[1:] + order[:1], strict=True))
+    assert all(r.next.text == want[(r.doc_id, r.text)][1] for r in ids)
+    assert empty.select(fingerprint.fingerprint(F.col("text"))).count() == 0
+
+
+def test_licenses(spark, docs, empty):
+    s = licenses.Scanner()
+    n, base, found = s.scan("Released under the MIT License. MIT-license, see GNU General Public License, version 3! SPDX-License-Identifier: Apache-2.0")
+    assert n == 20 and base == [(3, "mit"), (5, "mit"), (9, "gpl")]
+    assert {"mit", "gpl-3.0", "apache-2.0"} <= {d[0] for d in found} and "apache" not in {d[0] for d in found}
+    assert s.scan(None) == (0, [], []) and len(licenses.rules()) > 200
+    assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(empty).count() == 0
+
+
+def test_packing(spark, docs, empty):
+    codes = packing.WordCodes(packing.default_tokenizer())
+    rnd = random.Random(3)
+    texts = ["don't stop", "ΟΔΟΣ", "İ é café.", "a²b __ it's", "<|endoftext|> x", "", None, " ", "日本 🙂"] + ["".join(rnd.choice("aBéß.'2 _-²Σ🙂<|>\n日") for _ in range(20)) for _ in range(500)]
+    for t, ids in zip(texts, codes.encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == codes.tokenizer.encode(t or "", add_special_tokens=False).ids
+    rows = packing.pack(docs).collect()
+    ids = dict(zip([(r.doc_id, r.text) for r in docs.collect()], codes.encode(pa.array([r.text for r in docs.collect()])), strict=True))
+    want = collections.Counter((i, k // 4096, zlib.crc32(np.append(x, 1).astype("<u4")[k : k + 4096].tobytes())) for (i, _), x in ids.items() for k in range(0, len(x) + 1, 4096))
+    assert collections.Counter((r.id, r.piece, r.ids_crc32) for r in rows) == want
+    fill = collections.defaultdict(list)
+    for r in rows:
+        fill[r.sequence_id].append((r.offset, r.length))
+    for parts in fill.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(fill) == -(-sum(r.length for r in rows) // 4096)
+    assert packing.pack(empty).count() == 0
+    for _ in range(50):
+        h = {rnd.randint(1, 20): rnd.randint(1, 30) for _ in range(5)}
+        placed = collections.Counter()
+        for length, lo, hi, first, per, base in packing.plan_runs(h, 20):
+            for r in range(lo, hi):
+                placed[length] += 1
+                assert base + (r - lo) % per * length + length <= 20
+        assert placed == h
+
+
+def test_toxicity(spark):
+    rnd = random.Random(1)
+    rows = []
+    for i in range(400):
+        words = [f"plain{rnd.randint(0, 300)}" for _ in range(30)]
+        toxic = i % 5 == 0
+        if toxic:
+            words[3], words[9] = "snarkle", rnd.choice(["zonky", "zonkers", "snarkle"])
+        rows.append((i, " ".join(words), int(toxic)))
+    train = spark.createDataFrame(rows, "id long, text string, toxic int")
+    weights, cutoff = toxicity.learn(train)
+    docs = spark.createDataFrame([(1, "you sn4rkle zonk3rs"), (2, "plain words only"), (3, None), (4, ""), (None, "zonky snarkle!!")], "doc_id long, text string")
+    got = {r.id: r.score for r in toxicity.score_toxicity(docs, weights, cutoff).collect()}
+    assert got[1] >= 0.7 and got[None] >= 0.7 and got[2] == got[3] == got[4] == 0
+    assert toxicity.learn(train.limit(0)) == ({}, 1.0)
+    assert toxicity.fold("1D10T а$s | 4041") == "idiot ass | 4041"
+    assert not toxicity.Lexicon({"trash": 1.0}).hits("a trash can") and toxicity.Lexicon({"trash": 1.0}).hits("trash")
+
+
+def test_privacy(spark, docs, empty):
+    rnd = random.Random(1)
+
+    def brute(t):
+        out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+        for kind, p, lo, hi in ((2, r"[0-9]([\x20-]?[0-9])+", 14, 19), (3, r"\+[0-9][\x20().0-9-]+[0-9]", 10, 15)):
+            for m in re.finditer(p, t):
+                d = re.sub("[^0-9]", "", m[0])
+                if lo <= len(d) <= hi and (kind == 3 or privacy.luhn(d)):
+                    out.append((m.start(), kind, m.end()))
+        return sorted(out)
+
+    for _ in range(20000):
+        t = "".join(rnd.choice("a1.@+ -(2)5ü") for _ in range(rnd.randint(1, 40)))
+        assert privacy.entities(t) == brute(t)
+    rows = [(i, f"meet falconer at secret lodge mail jo@x.org today number{i}") for i in range(8)] + [(20 + i, f"today we meet at the lodge mail {i}") for i in range(200)] + [(300, None), (300, None), (301, "")]
+    found = {r.id: r for r in privacy.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = {rows[0][1][s.start : s.stop] for s in found[0].spans if s.kind == 4}
+    assert "falconer" in terms and "today" not in terms and not found[30].spans and not found[300].spans
+    clean = privacy.sanitize(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count() and privacy.sanitize(empty).count() == 0
+    assert privacy.replace_spans("a b@c.de f", [(2, 0, 8)]) == "a [EMAIL] f"
+
+
+def components_by_hand(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def test_ngram_join(spark, docs, empty):
+    known = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
+    want = components_by_hand(known)
+    sizes, found = ngram_join.link_documents(docs)
+    comps = {r.id: r.component for r in found.collect()}
+    got = {r.id: (r.n, comps.get(r.id, r.id)) for r in sizes.collect() if r.id is not None}
+    assert got == want and len({c for _, c in got.values()}) < len(got)
+    assert ngram_join.link_documents(empty)[1].count() == 0
+
+
+def test_linking_sets_share_enough_signatures():
+    rnd = np.random.default_rng(2)
+    none = np.empty(0, np.uint64)
+    for n in (1, 2, 3, 5, 12, 49, 64, 65, 80, 128, 200, 513, 700, 2000):
+        for _ in range(20):
+            s = np.unique(rnd.integers(0, 2**64, n, np.uint64))
+            drop = rnd.integers(0, len(s) // 7 + 1)
+            t = np.unique(np.concatenate((s[drop:], rnd.integers(0, 2**64, rnd.integers(0, len(s) // 8 + 1), np.uint64))))
+            both = len(np.intersect1d(s, t))
+            if 100 * both >= 75 * (len(s) + len(t) - both):
+                common = len(np.intersect1d(ngram_join.signatures(s, none), ngram_join.signatures(t, none)))
+                assert common >= ngram_join.least_common(s) and common >= ngram_join.least_common(t)
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.id: r.component for r in graph.components(edges).collect()}
+    assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100}
+
+
+def test_mixing(spark, docs, empty):
+    rows = mixing.mix(docs).collect()
+    by = collections.defaultdict(list)
+    source = {(r.doc_id, r.text): r.source for r in docs.collect()}
+    assert len(rows) == docs.count() and all(r.taken <= 2 * r.size for r in rows)
+    assert {r.id for r in rows if r.id is not None and r.size == 0} == {5001, 5002, 5003}
+    for r in rows:
+        by[r.target].append(r)
+        assert all(0 <= p <= 1 for p in r.positions) and len(r.positions) * r.size == r.taken
+    for target, group in by.items():
+        assert abs(sum(r.taken for r in group) - target) <= max(r.size for r in group)
+    assert abs(sum(by) - 1.5 * sum(r.size for r in rows)) < 1e-6 and len(set(source.values())) == len(by)
+    assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mix(empty).count() == 0
+
+
+def test_webtext(spark):
+    page = "<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><div class='ad'>Buy, now.</div><article><h1>Head</h1><p><b>One, two &amp; three.<br><p>Four,\n five.</article><footer>F</footer><script>var t='</p>';</script>"
+    assert webtext.extract(page) == "Head One, two & three. Four, five."
+    assert [webtext.extract(x) for x in (None, "", "plain text", "<p>a<b>b</b>c<p>d", "x < y")] == ["", "", "plain text", "abc d", "x < y"]
+    pages = spark.createDataFrame([(1, page, "x"), (None, None, "y")], "page_id long, html string, text string")
+    assert [r.text for r in webtext.extract_text(pages).orderBy("page_id").collect()] == ["", webtext.extract(page)]
+
+
+def test_quality(spark, docs, empty):
+    def brute(t):
+        w = WORD.findall(t)
+        seen = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        hit = {i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)
+
+    rows = [(i, t) for i, t in enumerate(["a b c a b c d", "x\nx\n\n \n y#", "", None, "a a a a a", "ü ö 🙂 <b>", "one two"])]
+    got = quality.measure(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))).orderBy("id").collect()
+    for r, (_, t) in zip(got, rows, strict=True):
+        assert tuple(r[m] for m in quality.MEASURES) == brute(t or "")
+    measured = quality.measure(docs)
+    none = spark.createDataFrame([], "id long, quality int")
+    assert quality.judge(measured, quality.choose_cutoffs(measured, none)).filter(F.size("rejected_by") > 0).count() == 0
+    assert quality.measure(empty).count() == 0
+    exact = spark.range(1).select(*[quality.within_risk(F.lit(n).cast("long"), F.lit(k).cast("long"), F.lit(1), 0.1, 0.05).alias(f"r{n}_{k}") for n, k in ((28, 0), (29, 0), (45, 1), (46, 1), (100, 20))]).first()
+    assert tuple(exact) == (False, True, False, True, False)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs = p.table(spark, sf, "documents")
+    clean = p.settle(p.toxicity(spark, docs, sf), "t")
+    kept = p.near_duplicates(spark, clean, sf)
+    want = components_by_hand([(r.doc_id, r.text) for r in clean.collect()])
+    assert {r.doc_id for r in kept.collect()} == {c for _, c in want.values()} and kept.columns == docs.columns
+    mixed = p.settle(p.mixture(spark, kept, sf), "m")
+    packed = p.packing(spark, mixed, sf)
+    assert packed.filter("start = 0").count() == mixed.count() and mixed.columns == docs.columns

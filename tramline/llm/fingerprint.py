@@ -67,7 +67,7 @@ def bins(text: Column) -> Column:
         def borrow(i: Column, f: Column) -> Column:
             probes = [F.nullif(F.get(v, _probe(i, t)), none) for t in range(PROBES)]
             nearest = F.array_min(F.transform(f, lambda j: F.struct(F.xxhash64(i, j).alias("h"), j.alias("j"))))
-            return F.coalesce(*probes, F.get(v, nearest["j"]))
+            return F.xxhash64(F.coalesce(*probes, F.get(v, nearest["j"])), i)  # else all borrowers of one bin would agree by chance at once
 
         return let(filled, lambda f: F.transform(v, lambda x, i: F.when(x != none, x).otherwise(borrow(i, f))))
 
