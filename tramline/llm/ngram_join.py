@@ -7,7 +7,9 @@ size, so all but that many partitions hold the same features in both: enumeratin
 global order, one partition more than may differ gives similar sets a common signature.
 Partitions made of corpus-wide frequent shingles come last in that order.
 
-Signatures that several sets share give candidates.  First each set is checked against the one
+Every set enumerates a quarter more than that, so sets that link have many signatures in
+common, and a set that shares fewer, say by a common passage, is done.  The signatures that
+several of the others share give candidates.  First each set is checked against the one
 set it shares most signatures with; sets found connected need no further check.  The rest are
 compared across components: parity sketches bound the difference of two sets from below, so
 only pairs that may link leave a task.  Verification compares whole sets.
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +38,7 @@ SAMPLE, FREQUENT = 2_000, 4
 MOST_FREQUENT = 50_000
 #: Bits of the filter of sets to be verified (a fixed size).
 FILTER_BITS = 1 << 22
-WORD_CACHE = 600_000
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _STEPS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA3B195354A39B70D, 0x1B03738712FAD5C9, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -49,38 +50,47 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sorted distinct 64-bit hashes of a text's shingles; words are hashed once and kept."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().translate(_LOWER).split()
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > WORD_CACHE:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if len(words) < SHINGLE:
-            out = np.array([len(words)], np.uint64)
-            for k in range(len(h)):
-                out = scramble(out * _M3 + h[k : k + 1])
-            return out
-        n = len(words) - SHINGLE + 1
-        rolled = np.zeros(n, np.uint64)
+#: Bytes of text shingled at once.
+TEXT_BYTES = 4 << 20
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text; each distinct word of a slice is hashed once."""
+    at = 0
+    while at < len(texts):
+        size, n = 0, 0
+        while at + n < len(texts) and (not n or size < TEXT_BYTES):
+            size += texts[at + n].as_buffer().size if texts[at + n].is_valid else 0
+            n += 1
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, n).fill_null("")))
+        found = lists.flatten().dictionary_encode()
+        hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
+        codes = found.indices.to_numpy(zero_copy_only=False)
+        blank = np.flatnonzero(np.array([w == "" for w in found.dictionary.to_pylist()], bool))
+        real = codes != blank[0] if len(blank) else np.ones(len(codes), bool)
+        until = np.concatenate(([0], np.cumsum(real)))[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        h = hashed[codes[real]] if len(codes) else np.empty(0, np.uint64)
+        rolled = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
         for k, c in enumerate(_STEPS):
-            rolled += h[k : k + n] * c
-        return np.unique(scramble(rolled))
+            rolled += h[k : k + len(rolled)] * c
+        rolled = scramble(rolled)
+        begin = 0
+        for stop in until.tolist():
+            count = stop - begin
+            if count >= SHINGLE:
+                yield np.unique(rolled[begin : stop - SHINGLE + 1])
+            else:
+                out = np.array([count], np.uint64)
+                for k in range(begin, stop):
+                    out = scramble(out * _M3 + h[k : k + 1])
+                yield out if count else np.empty(0, np.uint64)
+            begin = stop
+        at += n
 
 
 def _partitions(s: np.ndarray, band: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signature of each non-empty partition of a sorted set, and whether it holds frequent features only."""
-    often = np.isin(s, frequent, assume_unique=True) if len(frequent) else np.zeros(len(s), bool)
+    often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
     if band == 0:
         return scramble(s ^ _M3), often
     cell = ((s >> np.uint64(32)) * np.uint64(1 << (band - 1))) >> np.uint64(32)
@@ -89,45 +99,65 @@ def _partitions(s: np.ndarray, band: int, frequent: np.ndarray) -> tuple[np.ndar
     return scramble(total ^ scramble(cell[first] * _M2 + np.uint64(band))), np.logical_and.reduceat(often, first)
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """PartEnum signatures of a sorted set for similarity 3/4: a linking set has at least one in common."""
-    n = len(s)
-    if not n:
-        return np.empty(0, np.uint64)
+def surplus(n: int) -> int:
+    """Signatures that a set of n features enumerates beyond those needed for one in common."""
+    return (n // 4 + 1) // 4
+
+
+def _bands(n: int) -> list[tuple[int, int]]:
+    """(band, signatures needed for one in common) of a set of n features."""
     largest = n * 4 // 3  # of a set that may link
     own = 0 if n <= SMALL else max(7, (n - 1).bit_length())
     top = SMALL if own == 0 else 1 << own
-    bands = [(own, min(largest, top))]
+    out = [(own, n - -(-3 * n // 4) + 1 if own == 0 else (n + min(largest, top)) // 7 + 1)]
     if largest > top:
-        bands.append((own + 1 if own else 7, largest))
+        out.append((own + 1 if own else 7, (n + largest) // 7 + 1))
+    return out
+
+
+def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """PartEnum signatures of a sorted set for similarity 3/4: a linking set has at least ``least_common`` of them."""
+    if not len(s):
+        return np.empty(0, np.uint64)
     out = []
-    for band, other in bands:
+    for band, need in _bands(len(s)):
         sig, often = _partitions(s, band, frequent)
-        need = n - -(-3 * n // 4) + 1 if band == 0 else (n + other) // 7 + 1
         if len(sig) < need:  # too few partitions are filled: a signature that all such sets share
-            sig, often = np.append(sig, scramble(np.array([band], np.uint64) + _M1)), np.append(often, True)
-        elif len(sig) > need:
-            pick = np.lexsort((sig, often))[:need]
-            sig = sig[pick]
+            sig = np.append(sig, scramble(np.array([band], np.uint64) + _M1))
+        elif len(sig) > (take := need + max(0, surplus(len(s)) - 1)):
+            order = (sig >> np.uint64(1)) | (often.astype(np.uint64) << np.uint64(63))
+            sig = sig[np.argpartition(order, take - 1)[:take]]
         out.append(sig)
     return np.concatenate(out)
 
 
+def least_common(s: np.ndarray) -> int:
+    """How many signatures a set has in common with any set that links: its own surplus or that of the smallest partner.
+
+    A set that enumerates all of its partitions keeps every common one that its partner
+    enumerates, so only its own filled partitions can lower the number.
+    """
+    n = len(s)
+    out = surplus(-(-3 * n // 4))
+    for band, need in _bands(n):
+        filled = n if band == 0 else len(np.unique(((s >> np.uint64(32)) * np.uint64(1 << (band - 1))) >> np.uint64(32)))
+        out = min(out, max(1, filled - need + 1))
+    return max(1, out)
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(id, n, key): set size and a 128-bit name of the set."""
+    """(id, n, key, common): set size, a 128-bit name of the set, and its ``least_common``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
         for b in batches:
-            sets = [shingle(t.as_py()) for t in b.column(1)]
-            keys = [hashlib.md5(s.tobytes()).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], ["id", "n", "key"])
+            rows = [(len(s), hashlib.md5(s.tobytes()).digest(), least_common(s) if len(s) else 1) for s in shingle_sets(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64()))]], ["id", "n", "key", "common"])
 
-    return docs.mapInArrow(run, "id long, n long, key binary")
+    return docs.mapInArrow(run, "id long, n long, key binary, common long")
 
 
 def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
@@ -136,10 +166,9 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
     sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                sets = [shingle(t.as_py()) for t in b.column(1).slice(at, 200)]
+                sets = list(shingle_sets(b.column(1).slice(at, 200)))
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
@@ -153,11 +182,10 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     packed = frequent.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, often, seen = Shingler(), np.frombuffer(packed, np.uint64), set()
+        often, seen = np.frombuffer(packed, np.uint64), set()
         for b in batches:
             sigs, ids, held = [], [], 0
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = shingle(t.as_py())
+            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1)), strict=True):
                 name = hashlib.md5(s.tobytes()).digest()
                 if i is None or name in seen:
                     continue
@@ -230,11 +258,11 @@ def _wanted(docs: DataFrame, ids: DataFrame, make, schema: str, name: str, kind:
     columns = ["id", *name.split()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
         for b in batches:
+            b = b.filter(pa.array([bool(wanted[p >> 3] >> (p & 7) & 1) for p in b.column(2).to_pylist()], pa.bool_()))
             for at in range(0, b.num_rows, 200):
                 g = b.slice(at, 200)
-                out = [(i, *make(shingle(t.as_py()))) for i, p, t in zip(g.column(0).to_pylist(), g.column(2).to_pylist(), g.column(1), strict=True) if wanted[p >> 3] >> (p & 7) & 1]
+                out = [(i, *make(s)) for i, s in zip(g.column(0).to_pylist(), shingle_sets(g.column(1)), strict=True)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *kind), strict=True)], columns)
 
@@ -265,6 +293,8 @@ def sketches_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 #: Rows of a signature compared in one block; larger groups are cut into pairs of blocks.
 BLOCK = 512
+#: Largest group whose pairs are named one by one.
+FEW = 32
 
 
 def _near(ids, comps, sizes, sides, sketches) -> set[tuple[int, int]]:
@@ -290,17 +320,12 @@ def _near(ids, comps, sizes, sides, sketches) -> set[tuple[int, int]]:
     return out
 
 
-def cross_candidates(open_rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a > b) in different components that share a signature and may link.
-
-    Every pair of a group is looked at, in blocks of bounded size, but only as sketches and only
-    across components; pairs that cannot link never leave the task.
-    """
-    sizes = open_rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    rows = open_rows.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _large_groups(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Cross-component pairs of large groups: whole groups compared as sketches, in blocks of bounded size."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.join(sketches, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "component", "n", side.alias("side"), "sketch")
+    rows = rows.select("head", "sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "component", "n", side.alias("side"), "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, sent = None, [], set()
@@ -313,7 +338,7 @@ def cross_candidates(open_rows: DataFrame, sketches: DataFrame) -> DataFrame:
 
         for b in batches:
             pairs: set[tuple[int, int]] = set()
-            cols = [b.column(k).to_pylist() for k in range(8)]
+            cols = [b.column(k).to_pylist() for k in range(1, 9)]
             for sig, lo, hi, i, c, n, side, sketch in zip(*cols, strict=True):
                 if key != (sig, lo, hi):
                     pairs |= flush()
@@ -324,11 +349,77 @@ def cross_candidates(open_rows: DataFrame, sketches: DataFrame) -> DataFrame:
             if len(sent) > 1_000_000:
                 sent.clear()
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+                yield _pairs(pairs)
         if last := flush() - sent:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in last], pa.int64()), pa.array([p[1] for p in last], pa.int64())], ["a", "b"])
+            yield _pairs(last)
+
+    return rows.repartition("head", "lo", "hi").sortWithinPartitions("head", "sig", "lo", "hi").mapInArrow(run, "a long, b long")
+
 
-    return rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+def _pairs(pairs) -> pa.RecordBatch:
+    pairs = list(pairs)
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+
+def _small_groups(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Cross-component pairs of groups of at most ``FEW`` sets; a pair is named once per task, then compared as sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, sent = None, [], set()
+        fresh: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            for k, (i, c) in enumerate(held):
+                for j, d in held[:k]:
+                    if c != d and (p := (max(i, j), min(i, j))) not in sent:
+                        sent.add(p)
+                        fresh.append(p)
+
+        for b in batches:
+            for sig, i, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if sig != key:
+                    flush()
+                    key, held = sig, []
+                held.append((i, c))
+            if fresh:
+                yield _pairs(fresh)
+                fresh = []
+            if len(sent) > 1_000_000:
+                sent.clear()
+        flush()
+        if fresh:
+            yield _pairs(fresh)
+
+    named = rows.select("head", "sig", "id", "component").repartition("head").sortWithinPartitions("head", "sig").mapInArrow(run, "a long, b long").distinct()
+    left = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if len(x) > len(y):
+                    x, y = y, x
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                keep.append(7 * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= n + m)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    sized = named.join(left, "a").join(right, "b").filter("4 * na >= 3 * nb AND 4 * nb >= 3 * na")
+    return sized.select("a", "b", "na", "nb", "x", "y").mapInArrow(near, "a long, b long")
+
+
+def cross_candidates(open_rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a > b) in different components that share a signature and may link.
+
+    Every pair of a group is looked at, but only as sketches and only across components.  Rows
+    of groups with the same smallest id, mostly signatures of one family, meet in one task.
+    """
+    rows = open_rows.join(open_rows.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig")
+    few, many = rows.filter(F.col("size") <= FEW), rows.filter(F.col("size") > FEW)
+    return _small_groups(few, sketches).unionAll(_large_groups(many, sketches)).distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -366,21 +457,24 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     filled = described.filter("n > 0 AND id IS NOT NULL")
     copies = filled.join(filled.groupBy("key", "n").agg(F.min("id").alias("b")), ["key", "n"]).select(F.col("id").alias("a"), "b").filter("a <> b")
     frequent = frequent_shingles(rows, described.count())
-    shared = settle(shared_signatures(signature_rows(rows, frequent)), "join-shared")
+    found = settle(shared_signatures(signature_rows(rows, frequent)), "join-all-shared")
+    enough = filled.groupBy("id").agg(F.min("common").alias("common")).join(found.groupBy("id").agg(F.count(F.lit(1)).alias("shared")), "id").filter("shared >= common")
+    shared = settle(found.join(enough.select("id"), "id", "left_semi"), "join-shared")
+    forget(found)
     links = copies
     checked = None
     for step in range(3):
         if step == 0:
             todo = _best(shared.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
         else:
-            found = components(links)
-            named = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            named = shared.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
             mixed = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "id").alias("first")).filter("lo <> hi")
             open_rows = settle(named.join(mixed.select("sig", "first"), "sig").select("sig", "id", "head", "component", "first"), "join-open")
             if step == 1:
                 pairs = open_rows.filter("component <> first").select(F.col("id").alias("a"), F.col("head").alias("b"))
             else:
-                pairs = cross_candidates(open_rows, sketches_of(rows, open_rows.select("id").distinct()))
+                sketches = settle(sketches_of(rows, open_rows.select("id").distinct()), "join-sketches")
+                pairs = cross_candidates(open_rows, sketches)
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
             todo = _best(pairs) if step == 1 else pairs
         todo = settle(todo, "join-pairs")
