@@ -177,13 +177,17 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
 
 
-def signature_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(sig, id) of every document; a task emits equal sets once, their rows are linked by their key."""
-    packed = frequent.tobytes()
+def signature_rows(docs: DataFrame, frequent: np.ndarray, first: DataFrame) -> DataFrame:
+    """(sig, id) of one document per set (``first``); equal sets are linked by their key.
+
+    A fixed-size filter leaves out most other documents; those that pass cost rows, not results.
+    """
+    packed, wanted = frequent.tobytes(), _filter_of(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = np.frombuffer(packed, np.uint64), set()
         for b in batches:
+            b = b.filter(pa.array([bool(wanted[p >> 3] >> (p & 7) & 1) for p in b.column(2).to_pylist()], pa.bool_()))
             sigs, ids, held = [], [], 0
             for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1)), strict=True):
                 name = hashlib.md5(s.tobytes()).digest()
@@ -202,7 +206,7 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], ["sig", "id"])
 
-    return docs.mapInArrow(run, "sig long, id long")
+    return _with_bit(docs).mapInArrow(run, "sig long, id long")
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
@@ -243,6 +247,10 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "sig long, id long, head long")
 
 
+def _with_bit(docs: DataFrame) -> DataFrame:
+    return docs.filter("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
+
+
 def _filter_of(ids: DataFrame) -> bytes:
     bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("b"))
     rows = bits.groupBy(F.shiftright("b", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 32 AS int)))").alias("v")).collect()
@@ -266,8 +274,7 @@ def _wanted(docs: DataFrame, ids: DataFrame, make, schema: str, name: str, kind:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *kind), strict=True)], columns)
 
-    marked = docs.filter("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"))
-    return marked.mapInArrow(run, schema)
+    return _with_bit(docs).mapInArrow(run, schema)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -455,9 +462,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _rows(docs, id_col, text_col)
     described = settle(describe(rows), "join-sets")
     filled = described.filter("n > 0 AND id IS NOT NULL")
-    copies = filled.join(filled.groupBy("key", "n").agg(F.min("id").alias("b")), ["key", "n"]).select(F.col("id").alias("a"), "b").filter("a <> b")
+    first = settle(filled.groupBy("key", "n").agg(F.min("id").alias("b")), "join-first")
+    copies = filled.join(first, ["key", "n"]).select(F.col("id").alias("a"), "b").filter("a <> b")
     frequent = frequent_shingles(rows, described.count())
-    found = settle(shared_signatures(signature_rows(rows, frequent)), "join-all-shared")
+    found = settle(shared_signatures(signature_rows(rows, frequent, first.select(F.col("b").alias("id")))), "join-all-shared")
     enough = filled.groupBy("id").agg(F.min("common").alias("common")).join(found.groupBy("id").agg(F.count(F.lit(1)).alias("shared")), "id").filter("shared >= common")
     shared = settle(found.join(enough.select("id"), "id", "left_semi"), "join-shared")
     forget(found)
