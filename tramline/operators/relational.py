@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,14 @@ EARTH_KM = 6371.0
 KM_PER_DEGREE = 111.0
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder all executors share; a temporary one where none is set (tests)."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tramline-"))
+    return df.checkpoint()
+
+
 def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, backward: bool = False, limit: int | None = None, bucket: int = 1440) -> DataFrame:
     """For each left row the smallest right ``value`` >= ``at`` (or largest <=) within ``by``, at most ``limit`` away.
 

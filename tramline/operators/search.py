@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relational import cut
+
 HORIZON = 1440
 
 
@@ -19,7 +21,8 @@ def earliest_arrival(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, r
 
     ``starts`` has (start, t0).  A trip is boarded where ready <= departure, at its first such
     stop; every later stop that allows alighting is reached.  Ready times include the transfer.
-    Each round reads the earlier ones more than once, so rounds are kept.
+    Each round reads the earlier ones more than once, so rounds are kept, and written to the
+    checkpoint folder where there are more than two: the plan then does not grow.
     """
     keys = ["start", "t0"]
     conn = conn.persist()
@@ -29,7 +32,8 @@ def earliest_arrival(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, r
         board = conn.filter("in_allowed").join(reach, F.col("from_station") == F.col("station")).filter((F.col("dep") >= F.col("ready")) & (F.col("dep") <= F.col("t0") + HORIZON))
         board = board.groupBy(*keys, "trip_id", "day").agg(F.min("seq").alias("enter"))
         ride = board.join(conn.filter("out_allowed"), ["trip_id", "day"]).filter((F.col("seq") >= F.col("enter")) & (F.col("arr") <= F.col("t0") + HORIZON))
-        arrived = ride.groupBy(*keys, F.col("to_station").alias("station")).agg(F.min("arr").alias("arr")).persist()
+        arrived = ride.groupBy(*keys, F.col("to_station").alias("station")).agg(F.min("arr").alias("arr"))
+        arrived = cut(arrived) if rounds > 2 else arrived.persist()
         legs = arrived.withColumn("legs", F.lit(k))
         found = legs if found is None else found.unionByName(legs)
         if k < rounds:
