@@ -14,7 +14,13 @@ SPACES = "\t\n\x0b\x0c\r "
 _own_dirs: dict[int, str] = {}
 
 
+#: Rows sent to a Python worker at once: texts may be long, so fewer than Spark's default.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table; also bounds the Arrow batches of the session's Python operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

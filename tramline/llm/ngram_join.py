@@ -51,7 +51,7 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text shingled at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -193,7 +193,7 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray, first: DataFrame) -> D
                 name = hashlib.md5(s.tobytes()).digest()
                 if i is None or name in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(name)
                 sig = signatures(s, often)
@@ -353,7 +353,7 @@ def _large_groups(rows: DataFrame, sketches: DataFrame) -> DataFrame:
                 held.append((i, c, n, side, sketch))
             pairs -= sent
             sent |= pairs
-            if len(sent) > 1_000_000:
+            if len(sent) > 200_000:
                 sent.clear()
             if pairs:
                 yield _pairs(pairs)
@@ -391,7 +391,7 @@ def _small_groups(rows: DataFrame, sketches: DataFrame) -> DataFrame:
             if fresh:
                 yield _pairs(fresh)
                 fresh = []
-            if len(sent) > 1_000_000:
+            if len(sent) > 200_000:
                 sent.clear()
         flush()
         if fresh:
@@ -453,6 +453,13 @@ def _best(candidates: DataFrame) -> DataFrame:
     return counted.groupBy("a").agg(F.max_by("b", F.struct(F.col("n"), -F.col("b"))).alias("b")).select("a", "b")
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(id, component) after two steps along the links; parts of one component may keep different labels."""
+    one = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a").agg(F.min("b").alias("b"))
+    two = one.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    return one.join(two, F.col("b") == F.col("_a"), "left").select(F.col("a").alias("id"), F.coalesce("_b", "b").alias("component"))
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((id, n) per row, (id, component) of every id that is linked with another).
 
@@ -475,7 +482,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if step == 0:
             todo = _best(shared.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
         else:
-            named = shared.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+            named = shared.join(_labels(links) if step == 1 else components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
             mixed = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "id").alias("first")).filter("lo <> hi")
             open_rows = settle(named.join(mixed.select("sig", "first"), "sig").select("sig", "id", "head", "component", "first"), "join-open")
             if step == 1:
