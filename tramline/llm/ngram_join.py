@@ -22,8 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,40 +49,71 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text shingled at once.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
+
+_BASE = 0x9E3779B97F4A7C15
+_IS_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: A value per byte, that of a-z for A-Z.
+_BYTE = scramble(np.arange(1, 257, dtype=np.uint64) * _M3)
+_BYTE[65:91] = _BYTE[97:123]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, out * np.uint64(pow(base, len(out), 1 << 64))))
+    return out[:n]
+
+
+_UP, _DOWN = _powers(_BASE, TEXT_BYTES), _powers(pow(_BASE, -1, 1 << 64), TEXT_BYTES)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hash of each word of the texts in ``data``, and how many words lie before each offset."""
+    n = len(data)
+    if not n:
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    up, down = (_UP[:n], _DOWN) if n <= TEXT_BYTES else (_powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n))
+    value = _BYTE[data]
+    value *= up
+    total = np.cumsum(value)
+    word = ~_IS_BLANK[data]
+    cut = np.zeros(n + 1, bool)  # a text begins here
+    cut[offsets] = True
+    begin, end = word.copy(), word.copy()
+    begin[1:] &= ~word[:-1] | cut[1:n]
+    end[:-1] &= ~word[1:] | cut[1:n]
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end)
+    return scramble((total[end] - total[begin] + value[begin]) * down[begin]), np.searchsorted(begin, offsets)
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text; each distinct word of a slice is hashed once."""
+    """Sorted distinct 64-bit shingle hashes of each text; a null text is empty."""
+    texts = texts.fill_null("")
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, where, data = texts.buffers()
+    offsets = np.frombuffer(where, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     at = 0
     while at < len(texts):
-        size, n = 0, 0
-        while at + n < len(texts) and (not n or size < TEXT_BYTES):
-            size += texts[at + n].as_buffer().size if texts[at + n].is_valid else 0
-            n += 1
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, n).fill_null("")))
-        found = lists.flatten().dictionary_encode()
-        hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
-        codes = found.indices.to_numpy(zero_copy_only=False)
-        blank = np.flatnonzero(np.array([w == "" for w in found.dictionary.to_pylist()], bool))
-        real = codes != blank[0] if len(blank) else np.ones(len(codes), bool)
-        until = np.concatenate(([0], np.cumsum(real)))[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
-        h = hashed[codes[real]] if len(codes) else np.empty(0, np.uint64)
+        n = max(1, int(np.searchsorted(offsets, offsets[at] + TEXT_BYTES, "right")) - 1 - at)
+        h, until = _word_hashes(data[offsets[at] : offsets[at + n]], offsets[at : at + n + 1] - offsets[at])
         rolled = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
         for k, c in enumerate(_STEPS):
             rolled += h[k : k + len(rolled)] * c
         rolled = scramble(rolled)
-        begin = 0
-        for stop in until.tolist():
+        for begin, stop in zip(until[:-1].tolist(), until[1:].tolist(), strict=True):
             count = stop - begin
             if count >= SHINGLE:
-                yield np.unique(rolled[begin : stop - SHINGLE + 1])
+                s = np.sort(rolled[begin : stop - SHINGLE + 1])
+                new = np.concatenate(([True], s[1:] != s[:-1]))
+                yield s if new.all() else s[new]
             else:
                 out = np.array([count], np.uint64)
                 for k in range(begin, stop):
                     out = scramble(out * _M3 + h[k : k + 1])
                 yield out if count else np.empty(0, np.uint64)
-            begin = stop
         at += n
 
 
@@ -140,7 +169,10 @@ def least_common(s: np.ndarray) -> int:
     n = len(s)
     out = surplus(-(-3 * n // 4))
     for band, need in _bands(n):
-        filled = n if band == 0 else len(np.unique(((s >> np.uint64(32)) * np.uint64(1 << (band - 1))) >> np.uint64(32)))
+        filled = n
+        if band:
+            cell = ((s >> np.uint64(32)) * np.uint64(1 << (band - 1))) >> np.uint64(32)
+            filled = 1 + int(np.count_nonzero(cell[1:] != cell[:-1]))
         out = min(out, max(1, filled - need + 1))
     return max(1, out)
 
