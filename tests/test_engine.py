@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tramline import catalog
+from tramline import catalog, inventory  # noqa: F401
 from tramline.functions import scalars
 from tramline.operators import realtime, relational, search
 from tramline.sources import gtfs
