@@ -40,7 +40,7 @@ def traffic_days(spark: SparkSession, path: str) -> DataFrame:
     rows = lines(spark, path).select(_int(_cut(F.col("line"), 0, 6)).alias("bitfield"), F.split(F.col("line"), "\\s+")[1].alias("hex"))
     bits = rows.withColumn("bits", F.array_join(F.transform(F.split("hex", "(?!^)"), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0")), ""))
     first, last = F.instr("bits", "11"), F.length("bits") - F.instr(F.reverse("bits"), "11")
-    period = bits.withColumn("period", F.when((first > 0) & (last - first > 1), F.expr("substring(bits, instr(bits, '11') + 2, length(bits) - instr(reverse(bits), '11') - instr(bits, '11') - 1)")).otherwise(F.raise_error(F.concat(F.lit("day set without period: "), "hex"))))
+    period = bits.withColumn("period", F.when((first > 0) & (last - first > 2), F.expr("substring(bits, instr(bits, '11') + 2, length(bits) - instr(reverse(bits), '11') - instr(bits, '11') - 2)")).otherwise(F.raise_error(F.concat(F.lit("day set without period: "), "hex"))))
     return period.select("bitfield", F.posexplode(F.split("period", "(?!^)")).alias("day", "bit")).filter("bit = '1'").select("bitfield", F.col("day").cast("long").alias("day"))
 
 
@@ -81,7 +81,7 @@ def services(spark: SparkSession, path: str) -> DataFrame:
         _cut(F.get(F.filter("rec", lambda x: x.startswith("*G") & ~x.startswith("*GR")), F.lit(0)), 3, 3).alias("category"),
         _cut(F.get(of("*L"), F.lit(0)), 3, 5).alias("line"),
         F.transform(of("*A VE"), lambda x: F.struct(_int(_cut(x, 6, 7)).alias("from_eva"), _int(_cut(x, 14, 7)).alias("to_eva"), F.coalesce(_int(_cut(x, 22, 6)), F.lit(ALL_DAYS)).alias("bitfield"))).alias("days"),
-        F.filter("rec", lambda x: x.rlike("^[0-9]")).alias("stop_lines"),
+        F.filter(F.slice("rec", F.lit(2), F.size("rec")), lambda x: x.rlike("^[0-9]")).alias("stop_lines"),
     ).filter(F.col("category").isNotNull() & (F.size("days") > 0) & (F.size("stop_lines") >= 2))
     numbers = F.transform("stop_lines", lambda x: _int(_cut(x, 43, 5)))
     admins = F.transform("stop_lines", lambda x: F.when(_cut(x, 49, 6).rlike("^[^%\\s]+$"), _cut(x, 49, 6)))
@@ -105,3 +105,20 @@ def expand(services: DataFrame) -> DataFrame:
     rows = services.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repetitions"))))
     later = lambda s: s.withField("arr_min", s["arr_min"] + F.col("run") * F.col("every")).withField("dep_min", s["dep_min"] + F.col("run") * F.col("every"))
     return rows.withColumn("stops", F.transform("stops", later)).drop("repetitions", "every")
+
+
+def categories(spark: SparkSession, path: str) -> DataFrame:
+    """(code, output_rule, name); product texts, which are indented or follow their heading, are not categories."""
+    rows = lines(spark, path).filter(F.col("line").rlike("^\\S.{19,}") & ~F.col("line").rlike("^[#<]"))
+    line = F.col("line")
+    return rows.select(_cut(line, 0, 3).alias("code"), _int(_cut(line, 9, 2)).alias("output_rule"), _cut(line, 12, 8).alias("name"))
+
+
+def merge_split_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(eva_begin, eva_end, number_1, admin_1, number_2, admin_2, bitfield): two services share the part between the stations."""
+    line = F.col("line")
+    rows = lines(spark, path).filter(F.length("line") >= 53)
+    return rows.select(
+        _int(_cut(line, 0, 7)).alias("eva_begin"), _int(_cut(line, 9, 7)).alias("eva_end"), _int(_cut(line, 18, 5)).alias("number_1"), _cut(line, 25, 6).alias("admin_1"),
+        _int(_cut(line, 33, 5)).alias("number_2"), _cut(line, 40, 6).alias("admin_2"), _int(_cut(line, 47, 6)).alias("bitfield"),
+    )
