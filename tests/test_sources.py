@@ -22,7 +22,7 @@ SERVICES = """% comment
 1000003 Nord                  02530
 *T 00500 80____
 1000009 Skipped                      00101
-*Z 00200 80____           002 030
+*Z 00200 80____       002 030
 *G RE  1000001 1000002
 *A VE 1000001 1000002
 1000001 A                            01000
