@@ -168,6 +168,16 @@ def test_privacy(spark, docs, empty):
     assert privacy.replace_spans("a b@c.de f", [(2, 0, 8)]) == "a [EMAIL] f"
 
 
+def test_privacy_whole_documents(spark):
+    filler = " ".join("1" * 9 for _ in range(60))
+    rows = [(i, f"Falconer has the key. {filler} write to jo@x.org today. {'so it is ' * 20} falconer {i}, and bo too") for i in range(4)]
+    rows += [(10, "only FALCONER here"), (11, None), (12, "bo@x.org")] + [(20 + i, "so it is today and has the key too write to 1") for i in range(300)]
+    found = {r.id: r for r in privacy.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    marked = {i: [t[s.start : s.stop].lower() for s in found[i].spans if s.kind == 4] for i, t in rows if t}
+    assert all(marked[i] == ["falconer", "falconer", "bo"] for i in range(4))
+    assert marked[10] == ["falconer"] and not marked[12] and not marked[20] and len(found) == len(rows)
+
+
 def components_by_hand(rows):
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}

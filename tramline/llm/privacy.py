@@ -1,10 +1,11 @@
 """Information-theoretic sanitisation of personal data.
 
-Base entities (e-mail, ip, card, phone) are found by pattern.  A term near an entity discloses
-it if seeing the term tells almost as much as the entity itself: over the whole corpus,
-PMI(entity; term) >= ALPHA * IC(entity), where IC is the entity's information content.  With
-document frequencies that is P(entity | term) >= P(entity) ** (1 - ALPHA).  Such terms are
-marked, and generalised with the entities when a text is sanitised.
+Base entities (e-mail, ip, card, phone) are found by pattern.  A term that stands in documents
+of an entity discloses it if seeing the term tells almost as much as the entity itself: over the
+whole corpus, PMI(entity; term) >= ALPHA * IC(entity), where IC is the entity's information
+content.  With document frequencies that is P(entity | term) >= P(entity) ** (1 - ALPHA).  Such
+terms are marked wherever they stand, in every document, and generalised with the entities when
+a text is sanitised.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .common import settle, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REDACTED]"}
-#: Share of an entity's information that a term may disclose; fewest documents that show a pair; words looked at on each side.
-ALPHA, SUPPORT, NEAR = 0.9, 3, 6
+#: Share of an entity's information that a term may disclose; fewest documents that show a pair.
+ALPHA, SUPPORT = 0.9, 3
 #: Bits of the candidate filter: a fixed size, so what is sent to the workers never grows.
 FILTER_BITS = 1 << 22
 
@@ -33,7 +34,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W\d_]+")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 
 
@@ -81,46 +82,41 @@ def _name(text: str, kind: int, start: int, end: int) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else _NOT_DIGITS.sub('', value)}"
 
 
-def context(text: str, found: list[tuple[int, int, int]], near: int = NEAR) -> list[dict]:
-    """Terms within ``near`` words of each entity: (entity, term, their places)."""
-    if not found:
-        return []
-    pairs: dict[tuple[str, str], set[tuple[int, int]]] = {}
-    for start, kind, end in found:
-        entity = _name(text, kind, start, end)
-        left = [m for m in _TERM.finditer(text, max(0, start - 40 * near), start)][-near:]
-        right = []
-        for m in _TERM.finditer(text, end, min(len(text), end + 40 * near)):
-            right.append(m)
-            if len(right) == near:
-                break
-        for m in (*left, *right):
-            if not any(a < m.end() and m.start() < b for a, _, b in found):
-                pairs.setdefault((entity, m[0].lower()), set()).add((m.start(), m.end()))
-    return [{"entity": e, "term": t, "places": [{"start": a, "kind": 4, "stop": b} for a, b in sorted(p)]} for (e, t), p in pairs.items()]
+def terms(text: str, found: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Words of letters that overlap no entity, in order of place."""
+    k = reach = 0
+    for m in _TERM.finditer(text):
+        while k < len(found) and found[k][0] < m.end():
+            reach = max(reach, found[k][2])
+            k += 1
+        if reach <= m.start():
+            yield m
 
 
 _SPAN = "struct<start:int,kind:int,stop:int>"
-FOUND = f"id long, tkey long, base array<{_SPAN}>, near array<struct<entity:string,term:string,places:array<{_SPAN}>>>"
+FOUND = f"id long, tkey long, base array<{_SPAN}>, names array<string>"
+PLACED = f"id long, tkey long, term string, places array<{_SPAN}>"
+_SPAN_T = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())])
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tkey"), F.col(text_col).alias("text"))
 
 
 def find_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: base spans, and the terms near them; one pass, no shuffle."""
-    span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())])
-    near_t = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("places", pa.list_(span))]))
+    """One row per document: base spans, and the entities' distinct names; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base, near = [], []
+            base, names = [], []
             for t in b.column(2):
                 text = t.as_py() or ""
                 found = entities(text)
                 base.append([{"start": s, "kind": k, "stop": e} for s, k, e in found])
-                near.append(context(text, found))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(span)), pa.array(near, near_t)], ["id", "tkey", "base", "near"])
+                names.append(sorted({_name(text, k, s, e) for s, k, e in found}))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(_SPAN_T)), pa.array(names, pa.list_(pa.string()))], ["id", "tkey", "base", "names"])
 
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tkey"), F.col(text_col).alias("text"))
-    return keyed.mapInArrow(run, FOUND)
+    return _keyed(docs, id_col, text_col).mapInArrow(run, FOUND)
 
 
 def _bit(term: Column) -> Column:
@@ -137,18 +133,55 @@ def term_filter(terms: DataFrame) -> bytes:
     return bytes(out)
 
 
+class Passing:
+    """Membership in a ``term_filter``: true for each of its terms, and for few others."""
+
+    def __init__(self, wanted: bytes):
+        self.wanted, self.known = wanted, {}
+
+    def __call__(self, term: str) -> bool:
+        if (p := self.known.get(term)) is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            b = zlib.crc32(term.encode("utf-8", "replace")) % FILTER_BITS
+            p = self.known[term] = bool(self.wanted[b >> 3] >> (b & 7) & 1)
+        return p
+
+
+def cooccurrences(docs: DataFrame, text_col: str, wanted: bytes) -> DataFrame:
+    """(entity, term, n_ct): documents that hold both, for the entities that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        passes = Passing(wanted)
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([e for e, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["entity", "term", "n"])
+            counts.clear()
+            return batch
+
+        for b in batches:
+            for t in b.column(0):
+                text = t.as_py() or ""
+                found = entities(text)
+                names = {n for s, k, e in found if passes(n := _name(text, k, s, e))}
+                words = {w.lower() for w in {m[0] for m in terms(text, found)}} if names else ()
+                for n in names:
+                    counts.update((n, w) for w in words)
+                    if len(counts) > 200_000:
+                        yield out()
+        if counts:
+            yield out()
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_ct"))
+
+
 def document_frequencies(docs: DataFrame, text_col: str, wanted: bytes) -> DataFrame:
     """(term, df) over all documents for the terms that pass the filter (a superset of those asked for)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        known: dict[str, bool] = {}
-
-        def passes(t: str) -> bool:
-            if (p := known.get(t)) is None:
-                b = zlib.crc32(t.encode()) % FILTER_BITS
-                p = known[t] = bool(wanted[b >> 3] >> (b & 7) & 1)
-            return p
+        passes = Passing(wanted)
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
@@ -157,22 +190,44 @@ def document_frequencies(docs: DataFrame, text_col: str, wanted: bytes) -> DataF
 
         for b in batches:
             for t in b.column(0):
-                counts.update(filter(passes, set(_TERM.findall((t.as_py() or "").lower()))))
-            if len(known) > 500_000:
-                known.clear()
-            if len(counts) > 200_000:
-                yield out()
+                counts.update(filter(passes, {w.lower() for w in set(_TERM.findall(t.as_py() or ""))}))
+                if len(counts) > 200_000:
+                    yield out()
         if counts:
             yield out()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
+def places(docs: DataFrame, id_col: str, text_col: str, wanted: bytes) -> DataFrame:
+    """(id, tkey, term, places): each place, in any document, of the terms that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = Passing(wanted)
+        for b in batches:
+            rows: tuple[list, list, list, list] = ([], [], [], [])
+            for i, key, t in zip(*b.columns, strict=True):
+                text = t.as_py() or ""
+                if not any(passes(w.lower()) for w in set(_TERM.findall(text))):
+                    continue
+                at: dict[str, list] = {}
+                for m in terms(text, entities(text)):
+                    if passes(w := m[0].lower()):
+                        at.setdefault(w, []).append({"start": m.start(), "kind": 4, "stop": m.end()})
+                for w, p in at.items():
+                    for column, value in zip(rows, (i.as_py(), key.as_py(), w, p), strict=True):
+                        column.append(value)
+            types = (pa.int64(), pa.int64(), pa.string(), pa.list_(_SPAN_T))
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(rows, types, strict=True)], ["id", "tkey", "term", "places"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(run, PLACED)
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(entity, term): terms that disclose an entity by the PMI rule, from counts over all documents."""
-    near = found.select(F.explode("near").alias("x")).select("x.entity", "x.term")
-    entity = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= support)
+    entity = found.select(F.explode("names").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= support)
+    entity = settle(entity, "pii-entities")
+    pairs = cooccurrences(docs, text_col, term_filter(entity.select(F.col("entity").alias("term")))).filter(F.col("n_ct") >= support)
     pairs = settle(pairs.join(entity, "entity"), "pii-pairs")
     df = document_frequencies(docs, text_col, term_filter(pairs.select("term").distinct()))
     total = float(max(1, found.count()))
@@ -184,13 +239,14 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, tkey, base spans, all spans) of every document.
 
     A null text has no spans; a null id is kept; repeated rows are told apart by ``tkey``, a
-    hash of the text; an empty table gives no rows.  Terms count only near an entity, so
-    documents without personal data have no spans.
+    hash of the text; an empty table gives no rows.  A disclosing term is marked in documents
+    without the entity too.
     """
     found = settle(find_entities(docs, id_col, text_col), "pii-found")
     risky = settle(disclosing_terms(found, docs, text_col), "pii-risky")
-    near = found.filter(F.size("near") > 0).select("id", "tkey", F.explode("near").alias("x")).select("id", "tkey", "x.entity", "x.term", "x.places")
-    added = near.join(risky, ["entity", "term"]).groupBy("id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("added"))
+    risky = risky.select("term").distinct()
+    placed = places(docs, id_col, text_col, term_filter(risky)).join(risky, "term")
+    added = placed.groupBy("id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("added"))
     added = added.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), "added")
     rows = found.join(added, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")), "left")
     none = F.array().cast(f"array<{_SPAN}>")
