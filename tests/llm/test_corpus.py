@@ -168,6 +168,48 @@ def test_privacy(spark, docs, empty):
     assert privacy.replace_spans("a b@c.de f", [(2, 0, 8)]) == "a [EMAIL] f"
 
 
+def matches(parsed):
+    """Every text that a pattern of finite length accepts."""
+    import itertools
+
+    parts = []
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                parts.append([chr(arg)])
+            case "IN":
+                parts.append([chr(c) for o, x in arg for c in ([x] if str(o) == "LITERAL" else range(x[0], x[1] + 1))])
+            case "BRANCH":
+                parts.append([t for p in arg[1] for t in matches(p)])
+            case "SUBPATTERN":
+                parts.append(matches(arg[3]))
+            case "MAX_REPEAT":
+                assert arg[:2] == (0, 1)
+                parts.append(["", *matches(arg[2])])
+            case "ASSERT":
+                pass
+            case _:
+                raise ValueError(op)
+    return ["".join(p) for p in itertools.product(*parts)]
+
+
+def test_license_gates():
+    from re import _parser
+
+    closed = set()
+    for rule, keywords in licenses.rules():
+        for t in set(matches(_parser.parse(rule.pattern.pattern))):
+            assert rule.pattern.search(f"{t} ")
+            if not any(k in f"{t} " for k in keywords):
+                closed.add((rule.label, rule.form, t))
+    assert not closed, (len(closed), sorted(closed, key=lambda c: (c[1] != "name", c))[:20])
+
+
+@pytest.mark.parametrize(("text", "label"), [("Licensed under GPLv3", "gpl-3.0"), ("GPL2", "gpl-2.0"), ("under LGPLv2.1+", "lgpl-2.1"), ("LGPL-3", "lgpl-3.0"), ("AGPLv3", "agpl-3.0"), ("CDDLv1.0", "cddl-1.0"), ("cddl 1.1", "cddl-1.0")])
+def test_license_one_word_forms(text, label):
+    assert [d[0] for d in licenses.Scanner().scan(text)[2]] == [label]
+
+
 def test_privacy_whole_documents(spark):
     filler = " ".join("1" * 9 for _ in range(60))
     rows = [(i, f"Falconer has the key. {filler} write to jo@x.org today. {'so it is ' * 20} falconer {i}, and bo too") for i in range(4)]

@@ -28,13 +28,13 @@ FAMILIES = [
     ("apache-1.1", r"apache (?:software )?licen[sc]e(?: version)? 1 1", r"apache 1 1", (" apache ",)),
     ("apache-2.0", r"apache (?:software )?licen[sc]e(?: version| v)? ?2(?: 0)?", r"apache 2 0", (" apache ",)),
     ("apache", r"apache (?:software )?licen[sc]e", r"apache", (" apache ",)),
-    ("gpl-2.0", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: version| v)? ?v?2(?: 0)?", r"gpl 2 0(?: only| or later)?", (" general public ", " gpl ")),
-    ("gpl-3.0", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: version| v)? ?v?3(?: 0)?", r"gpl 3 0(?: only| or later)?", (" general public ", " gpl ", " gplv")),
+    ("gpl-2.0", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: version| v)? ?v?2(?: 0)?", r"gpl 2 0(?: only| or later)?", (" general public ", " gpl")),
+    ("gpl-3.0", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: version| v)? ?v?3(?: 0)?", r"gpl 3 0(?: only| or later)?", (" general public ", " gpl")),
     ("gpl", r"(?:gnu )?(?:general public licen[sc]e|gpl)", r"gpl", (" general public ", " gpl ")),
-    ("lgpl-2.1", r"(?:gnu )?(?:lesser|library) general public licen[sc]e(?: version| v)? ?2(?: 1)?", r"lgpl 2 1(?: only| or later)?", (" lesser general ", " library general ", " lgpl ")),
-    ("lgpl-3.0", r"(?:gnu )?lesser general public licen[sc]e(?: version| v)? ?3(?: 0)?", r"lgpl 3 0(?: only| or later)?", (" lesser general ", " lgpl ")),
+    ("lgpl-2.1", r"(?:gnu )?(?:(?:lesser|library) general public licen[sc]e|lgpl)(?: version| v)? ?v?2(?: 1)?", r"lgpl 2 1(?: only| or later)?", (" lesser general ", " library general ", " lgpl")),
+    ("lgpl-3.0", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version| v)? ?v?3(?: 0)?", r"lgpl 3 0(?: only| or later)?", (" lesser general ", " lgpl")),
     ("lgpl", r"(?:gnu )?(?:(?:lesser|library) general public licen[sc]e|lgpl)", r"lgpl", (" lesser general ", " library general ", " lgpl ")),
-    ("agpl-3.0", r"(?:gnu )?affero general public licen[sc]e(?:(?: version| v)? ?3(?: 0)?)?", r"agpl 3 0(?: only| or later)?", (" affero ", " agpl ")),
+    ("agpl-3.0", r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?:(?: version| v)? ?v?3(?: 0)?)?", r"agpl 3 0(?: only| or later)?", (" affero ", " agpl")),
     ("gfdl", r"(?:gnu )?free documentation licen[sc]e(?:(?: version)? 1 [123])?", r"gfdl 1 [123]", (" free documentation ", " gfdl ")),
     ("bsd-2-clause", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)(?: licen[sc]e)?", r"bsd 2 clause", (" bsd ", " freebsd ")),
     ("bsd-3-clause", r"(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd|revised bsd)(?: licen[sc]e)?", r"bsd 3 clause", (" bsd ",)),
@@ -48,7 +48,7 @@ FAMILIES = [
     ("epl-1.0", r"eclipse public licen[sc]e(?: version| v)? ?1(?: 0)?", r"epl 1 0", (" eclipse public",)),
     ("epl-2.0", r"eclipse public licen[sc]e(?: version| v)? ?2(?: 0)?", r"epl 2 0", (" eclipse public", " epl ")),
     ("eupl-1.2", r"european union public licen[sc]e(?:(?: version)? 1 2)?", r"eupl 1 [12]", (" european union public", " eupl ")),
-    ("cddl-1.0", r"common development and distribution licen[sc]e", r"cddl 1 [01]", (" common development", " cddl ")),
+    ("cddl-1.0", r"common development and distribution licen[sc]e|cddl(?:(?: version| v)? ?v?1(?: [01])?)?", r"cddl 1 [01]", (" common development", " cddl")),
     ("cpl-1.0", r"common public licen[sc]e", r"cpl 1 0", (" common public ",)),
     ("ipl-1.0", r"ibm public licen[sc]e", r"ipl 1 0", (" ibm public ",)),
     ("artistic-2.0", r"artistic licen[sc]e(?: version)? 2(?: 0)?", r"artistic 2 0", (" artistic licen", " artistic 2")),
