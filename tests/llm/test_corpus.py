@@ -290,6 +290,23 @@ def test_webtext(spark):
     assert [r.text for r in webtext.extract_text(pages).orderBy("page_id").collect()] == ["", webtext.extract(page)]
 
 
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "no-comments", "with-ads", "layout sidebar", "widget"])
+@pytest.mark.parametrize("tag", ["article", "main", "section"])
+def test_webtext_named_wrapper(wrapper, tag):
+    said = "A long sentence, with words. " * 9
+    page = f"<body><div>Skip to it</div><div class='{wrapper}'><{tag}><h1>Head</h1><p>{said}</p><p>{said}</p></{tag}><div class='sidebar'>More, here.</div><div class='comments'><article>I think so, too.</article></div></div></body>"
+    found = webtext.extract(page)
+    assert found.count("A long sentence") == 18 and "Head" in found and "More" not in found and "I think" not in found
+
+
+def test_webtext_named_parts_stay_out():
+    said = "A long sentence, with words. " * 9
+    page = f"<article><h1>Head</h1><p>{said}</p></article><div class='comments'>{f'<article>Mine is, as said: {said}</article>' * 3}</div><div hidden>Not, seen.</div>"
+    assert webtext.extract(page) == f"Head {said}".strip()
+    assert webtext.extract("<div class='widget'><p>Only, this.</p></div>") == "Only, this." and webtext.extract(f"<form><p>{said}</p></form>") == said.strip()
+    assert webtext.extract("<div hidden>Not, seen.</div>") == ""
+
+
 def test_quality(spark, docs, empty):
     def brute(t):
         w = WORD.findall(t)

@@ -4,7 +4,8 @@ A page becomes text blocks, each with the root-to-leaf path of its block-level t
 the text length and punctuation of its blocks are totalled; both ratios are smoothed over
 neighbouring blocks, fused by their product and compared with the spread over the page.  Blocks
 of passing paths are content; headings and list items beside them follow.  Elements that say
-they are something else (navigation, adverts, forms, reader comments) never count.
+they are something else (navigation, adverts, forms, reader comments) count only where nothing
+else is left; a name alone does not condemn what holds the page's article.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ OTHER_NAMES = frozenset(
     "comment comments commentlist respond disqus replies share sharing social related recommended recommendations newsletter subscribe signup "
     "login search widget complementary contentinfo".split()
 )
+#: Words before such a name that make it speak of the layout, not of the element.
+ABOUT = frozenset("has have with without no not".split())
 ARTICLE = frozenset(("article", "main"))
 BESIDE = frozenset("h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption p".split())
 
@@ -54,7 +57,8 @@ BESIDE = frozenset("h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption p
 class Block:
     path: tuple[str, ...]
     inside: int  # number of the enclosing article or main element, 0 outside
-    other: bool
+    context: int  # number of the innermost named, article or main element, 0 outside
+    other: int  # 0 may be content; else why not: 1 by name, 2 by tag, 3 hidden
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -62,17 +66,56 @@ class Block:
         return _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
 
 
+@dataclass
+class Context:
+    tag: str
+    parent: int
+    named: bool  # says that it is something else
+    inside: int
+    size: int = 0  # text in it
+    headed: bool = False  # holds the first h1
+
+
 def _named_other(attrs: str) -> bool:
-    if not attrs:
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    return any(w in OTHER_NAMES for m in _MARKS.finditer(attrs) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
+    for m in _MARKS.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            pieces = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            if any(w in OTHER_NAMES and (k == 0 or pieces[k - 1] not in ABOUT) for k, w in enumerate(pieces)):
+                return True
+    return False
+
+
+def _judge(out: list[Block], contexts: list[Context], h1: int | None) -> None:
+    """Mark the blocks that names exclude: not those of wrappers that hold the page's article."""
+    for b in out:
+        if b.other < 2:
+            contexts[b.context].size += sum(map(len, b.parts))
+    while h1:
+        contexts[h1].headed = True
+        h1 = contexts[h1].parent
+    for c in reversed(contexts[1:]):
+        contexts[c.parent].size += c.size
+    page = contexts[0].size
+    bad, outermost = [False], [0]
+    for k, c in enumerate(contexts[1:], 1):
+        top = outermost[c.parent]
+        if c.tag in ARTICLE:
+            own = not c.named and (c.headed or 2 * c.size > page) and not contexts[top].inside
+            bad.append(bad[c.parent] and not (c.tag == "main" or own))
+        else:
+            top = top or k
+            wrapper = not c.inside and (2 * c.size > page and c.headed or 10 * c.size > 9 * page)
+            bad.append(bad[c.parent] or not wrapper)
+        outermost.append(top)
+    for b in out:
+        b.other = b.other or int(bad[b.context])
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order; an unclosed or misnested tag ends where its parent does."""
-    stack: list[tuple[str, bool, int]] = []  # tag, text is not the article's, enclosing article
+    stack: list[tuple[str, int, int, int]] = []  # tag, why text is not the article's, enclosing article, context
+    contexts = [Context("", 0, False, 0)]
+    h1: int | None = None
     out: list[Block] = []
     now: Block | None = None
     at, articles, links = 0, 0, 0
@@ -84,8 +127,8 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if text.isspace():
                 return
-            other, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            now = Block(tuple(t for t, _, _ in stack if t in BLOCK), inside, other)
+            other, inside, context = stack[-1][1:] if stack else (0, 0, 0)
+            now = Block(tuple(t for t, *_ in stack if t in BLOCK), inside, context, other)
             out.append(now)
         now.parts.append(text)
         if links:
@@ -107,7 +150,7 @@ def blocks(page: str) -> list[Block]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    links -= sum(t == "a" for t, _, _ in stack[k:])
+                    links -= sum(t == "a" for t, *_ in stack[k:])
                     del stack[k:]
                     break
                 if stack[k][0] in BLOCK and name not in BLOCK:
@@ -124,27 +167,37 @@ def blocks(page: str) -> list[Block]:
             for k in range(len(stack) - 1, -1, -1):
                 t = stack[k][0]
                 if t == "p" or t == name and name in ("li", "td", "th", "tr", "dt", "dd"):
-                    links -= sum(x == "a" for x, _, _ in stack[k:])
+                    links -= sum(x == "a" for x, *_ in stack[k:])
                     del stack[k:]
                     break
                 if t in BLOCK:
                     break
-        other, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        if name in ARTICLE and not other:
+        other, inside, context = stack[-1][1:] if stack else (0, 0, 0)
+        outer, article = inside, name in ARTICLE and not other
+        if article:
             articles += 1
             inside = articles
-        elif name in OTHER or name == "header" and not inside or name not in ("html", "body") and _named_other(attrs):
-            other = True
-        stack.append((name, other, inside))
+        elif name in OTHER or name == "header" and not inside:
+            other = max(other, 2)
+        elif name not in ("html", "body") and attrs and _HIDDEN.search(attrs):
+            other = 3
+        named = bool(attrs) and not other and name not in ("html", "body") and _named_other(attrs)
+        if article or named:
+            contexts.append(Context(name, context, named, outer))
+            context = len(contexts) - 1
+        if name == "h1" and h1 is None and not other:
+            h1 = context
+        stack.append((name, other, inside, context))
         links += name == "a"
     say(page[at:] if "<" not in page[at : at + 1] or page[at:] == "<" else "")
+    _judge(out, contexts, h1)
     return out
 
 
 def select_blocks(found: list[Block], spread: float = 0.5) -> list[str]:
     """Texts of the content blocks, in page order."""
     rows = [(b, t) for b in found if (t := b.text())]
-    rows = [(b, t) for b, t in rows if not b.other] or []
+    rows = next((left for why in range(3) if (left := [(b, t) for b, t in rows if b.other <= why])), [])
     if not rows:
         return []
     size: dict[tuple, list[float]] = {}
