@@ -29,6 +29,21 @@ def test_query_equals_sql(spark, name):
     assert norm([tuple(r) for r in df.collect()], df.columns) == norm(want.fetchall(), want.columns)
 
 
+ALL_ROWS = {"next_departure_asof": ("trip_id", "seq"), "prev_arrival_asof": ("trip_id", "seq"), "repetition_expansion": ("trip_id",), "feeders_range_join": ("trip_id",), "waiting_time_matrix": ("trip_id",), "interchange_rating": ("trip_id",), "alpha_dominance": ("from_station", "to_station", "dep", "arr"), "station_guess": ("query_id",)}
+
+
+@pytest.mark.parametrize("name", sorted(ALL_ROWS))
+def test_all_rows(spark, name):
+    key = ALL_ROWS[name]
+    few, full = (catalog.QUERIES[n](spark, SF).select(*key).distinct() for n in (name, f"{name}_all"))
+    assert full.count() > 2 * few.count()
+    stops = catalog.view(spark, SF, "trip_stop")
+    if "asof" in name:
+        assert full.count() == stops.count()
+    if name == "repetition_expansion":
+        assert full.count() == stops.select("trip_id").distinct().count()
+
+
 def test_night_minutes(spark):
     cases = [(0, 59, 0), (0, 61, 1), (60, 360, 300), (59, 361, 300), (361, 1501, 1), (0, 1441, 300), (0, 2881, 600), (0, 2941, 601)]
     df = spark.createDataFrame(cases, "a long, b long, want long")

@@ -82,6 +82,7 @@ _sql(
     "station", "conn",
 )
 _sql("station_guess", "SELECT c.c_custkey AS query_id, s.station_id, levenshtein(s.name, c.guess) AS distance FROM {station} s JOIN (SELECT c_custkey, 'Supplier#' || lpad(CAST(c_custkey * 7 % 100 AS VARCHAR(10)), 9, '0') AS guess FROM {customer} WHERE c_custkey % 50 = 0) c ON levenshtein(s.name, c.guess) <= 1".replace("VARCHAR(10)", "STRING"), "station", tables=("customer",))
+_sql("station_guess_all", "SELECT c.c_custkey AS query_id, s.station_id, levenshtein(s.name, c.guess) AS distance FROM {station} s JOIN (SELECT c_custkey, 'Supplier#' || lpad(CAST(c_custkey * 7 % 100 AS VARCHAR(10)), 9, '0') AS guess FROM {customer}) c ON levenshtein(s.name, c.guess) <= 1".replace("VARCHAR(10)", "STRING"), "station", tables=("customer",))
 
 _KM = "2 * 6371e0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))"
 
@@ -113,18 +114,36 @@ def next_departure_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.asof(stops.filter("clasz = 3").select("trip_id", "seq", "station_id", "arr_min"), stops.select("station_id", "dep_min"), ["station_id"], "arr_min", "dep_min", bucket=60)
 
 
+@_query("next_departure_asof_all", "SELECT trip_id, seq, station_id, arr_min, (SELECT min(d.dep_min) FROM trip_stop d WHERE d.station_id = a.station_id AND d.dep_min >= a.arr_min) AS dep_min_asof FROM trip_stop a", "trip_stop")
+def next_departure_asof_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stops = view(spark, sf_dir, "trip_stop")
+    return relational.asof(stops.select("trip_id", "seq", "station_id", "arr_min"), stops.select("station_id", "dep_min"), ["station_id"], "arr_min", "dep_min", bucket=60)
+
+
 @_query("prev_arrival_asof", "SELECT trip_id, seq, station_id, dep_min, (SELECT max(d.arr_min) FROM trip_stop d WHERE d.station_id = a.station_id AND d.arr_min <= a.dep_min) AS arr_min_asof FROM trip_stop a WHERE clasz = 3", "trip_stop")
 def prev_arrival_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = view(spark, sf_dir, "trip_stop")
     return relational.asof(stops.filter("clasz = 3").select("trip_id", "seq", "station_id", "dep_min"), stops.select("station_id", "arr_min"), ["station_id"], "dep_min", "arr_min", backward=True, bucket=60)
 
 
+@_query("prev_arrival_asof_all", "SELECT trip_id, seq, station_id, dep_min, (SELECT max(d.arr_min) FROM trip_stop d WHERE d.station_id = a.station_id AND d.arr_min <= a.dep_min) AS arr_min_asof FROM trip_stop a", "trip_stop")
+def prev_arrival_asof_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stops = view(spark, sf_dir, "trip_stop")
+    return relational.asof(stops.select("trip_id", "seq", "station_id", "dep_min"), stops.select("station_id", "arr_min"), ["station_id"], "dep_min", "arr_min", backward=True, bucket=60)
+
+
 _sql(
     "feeders_range_join",
     """SELECT d.trip_id, d.seq, count(*) AS n_feeders, max(a.arr_min) AS latest FROM {trip_stop} d JOIN {station} s ON d.station_id = s.station_id
     JOIN {trip_stop} a ON a.station_id = d.station_id AND a.arr_min BETWEEN d.dep_min - 30 AND d.dep_min - s.transfer_min AND a.trip_id <> d.trip_id WHERE d.clasz = 1 GROUP BY d.trip_id, d.seq""",
     "station", "trip_stop",
 )
+_sql(
+    "feeders_range_join_all",
+    """SELECT d.trip_id, d.seq, count(*) AS n_feeders, max(a.arr_min) AS latest FROM {trip_stop} d JOIN {station} s ON d.station_id = s.station_id
+    JOIN {trip_stop} a ON a.station_id = d.station_id AND a.arr_min BETWEEN d.dep_min - 30 AND d.dep_min - s.transfer_min AND a.trip_id <> d.trip_id GROUP BY d.trip_id, d.seq""",
+    "station", "trip_stop",
+)
 
 # --- search -----------------------------------------------------------------------------------
 
@@ -387,7 +406,9 @@ def departure_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _sql("connection_rating", "SELECT trip_id, round(pow(0.995e0, count(*)), 9) AS rating FROM {segment} GROUP BY trip_id", "segment")
 _sql("waiting_time_matrix", "SELECT d.trip_id, d.seq, a.trip_id AS feeder, CASE WHEN d.clasz < 3 AND a.clasz < 3 THEN 5 WHEN d.clasz < 6 THEN 3 ELSE 0 END AS wait FROM {trip_stop} d JOIN {trip_stop} a ON a.station_id = d.station_id AND a.arr_min BETWEEN d.dep_min - 10 AND d.dep_min AND a.trip_id <> d.trip_id WHERE d.clasz = 2", "trip_stop")
+_sql("waiting_time_matrix_all", "SELECT d.trip_id, d.seq, a.trip_id AS feeder, CASE WHEN d.clasz < 3 AND a.clasz < 3 THEN 5 WHEN d.clasz < 6 THEN 3 ELSE 0 END AS wait FROM {trip_stop} d JOIN {trip_stop} a ON a.station_id = d.station_id AND a.arr_min BETWEEN d.dep_min - 10 AND d.dep_min AND a.trip_id <> d.trip_id", "trip_stop")
 _sql("interchange_rating", "SELECT a.trip_id, a.seq, b.trip_id AS next_trip, round(1 - exp(-(b.dep_min - a.arr_min) / 5e0), 9) AS rating FROM {trip_stop} a JOIN {trip_stop} b ON a.station_id = b.station_id AND b.dep_min BETWEEN a.arr_min + 2 AND a.arr_min + 8 AND a.trip_id <> b.trip_id WHERE a.clasz = 4", "trip_stop")
+_sql("interchange_rating_all", "SELECT a.trip_id, a.seq, b.trip_id AS next_trip, round(1 - exp(-(b.dep_min - a.arr_min) / 5e0), 9) AS rating FROM {trip_stop} a JOIN {trip_stop} b ON a.station_id = b.station_id AND b.dep_min BETWEEN a.arr_min + 2 AND a.arr_min + 8 AND a.trip_id <> b.trip_id", "trip_stop")
 _sql("result_compare_fulljoin", "SELECT coalesce(x.trip_id, y.trip_id) AS trip_id, CASE WHEN y.trip_id IS NULL THEN 'only_1' WHEN x.trip_id IS NULL THEN 'only_2' WHEN x.n = y.n THEN 'equal' ELSE 'differ' END AS outcome FROM (SELECT trip_id, count(*) AS n FROM {segment} WHERE trip_id % 3 <> 0 GROUP BY trip_id) x FULL OUTER JOIN (SELECT trip_id, count(*) AS n FROM {trip_stop} WHERE trip_id % 5 <> 0 GROUP BY trip_id) y ON x.trip_id = y.trip_id", "trip_stop", "segment")
 _sql("result_quantiles", "SELECT clasz, avg(arr_min - dep_min) AS mean, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY arr_min - dep_min) AS BIGINT) AS q50, CAST(percentile_disc(0.8) WITHIN GROUP (ORDER BY arr_min - dep_min) AS BIGINT) AS q80, CAST(percentile_disc(0.9) WITHIN GROUP (ORDER BY arr_min - dep_min) AS BIGINT) AS q90 FROM {segment} GROUP BY clasz", "segment")
 _sql("intermodal_antijoin", "SELECT station_id FROM {station} s WHERE NOT EXISTS (SELECT 1 FROM {segment} g WHERE g.to_station = s.station_id AND g.clasz = 0 AND g.from_station % 40 = 0)", "station", "segment")

@@ -45,6 +45,11 @@ def repetition_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.repeat(view(spark, sf_dir, "trip_stop").filter("clasz >= 7").select("trip_id", "seq", "arr_min", "dep_min"), F.col("trip_id") % 3, 10 + F.col("trip_id") % 20)
 
 
+@query("repetition_expansion_all", "SELECT trip_id, seq, run, arr_min + run * (10 + trip_id % 20) AS arr_min, dep_min + run * (10 + trip_id % 20) AS dep_min FROM (SELECT *, unnest(range(trip_id % 3 + 1)) AS run FROM trip_stop) x", "trip_stop")
+def repetition_expansion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return services.repeat(view(spark, sf_dir, "trip_stop").select("trip_id", "seq", "arr_min", "dep_min"), F.col("trip_id") % 3, 10 + F.col("trip_id") % 20)
+
+
 @query("day_set_runs", "SELECT trip_id, days, min(seq) AS first, max(seq) AS last FROM (SELECT *, seq - row_number() OVER (PARTITION BY trip_id, days ORDER BY seq) AS run FROM (SELECT trip_id, seq, (trip_id + from_station) % 3 AS days FROM segment) y) x GROUP BY trip_id, days, run", "segment")
 def day_set_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.day_set_runs(view(spark, sf_dir, "segment").select("trip_id", "seq", ((F.col("trip_id") + F.col("from_station")) % 3).alias("days")))
@@ -128,6 +133,12 @@ sql_query(
     f"SELECT b.from_station, b.to_station, b.dep, b.arr FROM ({_JOURNEYS}) b WHERE NOT EXISTS (SELECT 1 FROM ({_JOURNEYS}) a WHERE a.from_station = b.from_station AND a.to_station = b.to_station AND a.t + 0.5e0 * a.t / b.t * least(abs(a.dep - b.dep), abs(a.arr - b.arr)) < b.t)",
     "segment",
 )
+_ALL_JOURNEYS = _JOURNEYS.replace("clasz IN (1, 2) AND ", "")
+sql_query(
+    "alpha_dominance_all",
+    f"SELECT b.from_station, b.to_station, b.dep, b.arr FROM ({_ALL_JOURNEYS}) b WHERE NOT EXISTS (SELECT 1 FROM ({_ALL_JOURNEYS}) a WHERE a.from_station = b.from_station AND a.to_station = b.to_station AND a.t + 0.5e0 * a.t / b.t * least(abs(a.dep - b.dep), abs(a.arr - b.arr)) < b.t)",
+    "segment",
+)
 
 # --- reliability and bikes ------------------------------------------------------------------
 
