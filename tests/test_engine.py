@@ -44,6 +44,22 @@ def test_all_rows(spark, name):
         assert full.count() == stops.select("trip_id").distinct().count()
 
 
+def test_closure_to_the_fixpoint(spark):
+    chain = spark.createDataFrame([(i, i + 1, 3) for i in range(20)] + [(0, 9, 5), (30, 31, 1), (31, 30, 1)], "a long, b long, dur long")
+    got = {(r.a, r.b): r.dur for r in relational.closure(chain).collect()}
+    assert got[0, 20] == 5 + 11 * 3 and got[1, 20] == 19 * 3 and len(got) == 20 * 21 // 2 + 2
+    sf, best = "/root/testdata/sf0.01", {}
+    for r in catalog._closure_edges(spark, sf).collect():
+        best[r.a, r.b] = min(r.dur, best.get((r.a, r.b), r.dur))
+    at = sorted({x for e in best for x in e})
+    for m in at:
+        for a in at:
+            for b in at:
+                if a != b and (a, m) in best and (m, b) in best:
+                    best[a, b] = min(best[a, m] + best[m, b], best.get((a, b), 10**9))
+    assert {(r.a, r.b): r.dur for r in catalog.QUERIES["footpath_closure_full"](spark, sf).collect()} == best
+
+
 def test_night_minutes(spark):
     cases = [(0, 59, 0), (0, 61, 1), (60, 360, 300), (59, 361, 300), (361, 1501, 1), (0, 1441, 300), (0, 2881, 600), (0, 2941, 601)]
     df = spark.createDataFrame(cases, "a long, b long, want long")

@@ -214,6 +214,14 @@ def single_criterion_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("cost", F.col("arr") - F.col("t0") + 20 * F.col("legs")).filter("cost <= 1580").groupBy("station").agg(F.min("cost").cast("long").alias("cost"))
 
 
+def _closure_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks between stations, and some extra edges."""
+    s = view(spark, sf_dir, "station").select("station_id")
+    extra = s.filter("station_id % 10 < 2").select(F.col("station_id").alias("a"), (F.col("station_id") + 1).alias("b"), F.lit(25).cast("long").alias("dur"))
+    extra = extra.join(s, F.col("b") == F.col("station_id"), "left_semi")
+    return footpaths(spark, sf_dir).filter("a <> b").unionByName(extra)
+
+
 @_query(
     "footpath_closure",
     f"""WITH RECURSIVE {_FOOT}, e AS (SELECT a, b, min(dur) AS dur FROM footpath WHERE a <> b GROUP BY a, b UNION ALL SELECT a, b, 25 FROM (SELECT station_id AS a, station_id + 1 AS b FROM station WHERE station_id % 10 < 2) x WHERE b IN (SELECT station_id FROM station)),
@@ -222,10 +230,22 @@ def single_criterion_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     "station",
 )
 def footpath_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = view(spark, sf_dir, "station").select("station_id")
-    extra = s.filter("station_id % 10 < 2").select(F.col("station_id").alias("a"), (F.col("station_id") + 1).alias("b"), F.lit(25).cast("long").alias("dur"))
-    extra = extra.join(s, F.col("b") == F.col("station_id"), "left_semi")
-    return relational.closure(footpaths(spark, sf_dir).filter("a <> b").unionByName(extra), 2)
+    return relational.closure(_closure_edges(spark, sf_dir), 2)
+
+
+#: Squarings of the SQL form: paths of up to 2 ** 16 edges, more than there are stations.
+_SQUARINGS = 16
+_CLOSED = ", ".join(f"p{k + 1} AS MATERIALIZED (SELECT a, b, min(dur) AS dur FROM (SELECT * FROM p{k} UNION ALL SELECT x.a, y.b, x.dur + y.dur FROM p{k} x JOIN p{k} y ON x.b = y.a WHERE x.a <> y.b) u GROUP BY a, b)" for k in range(_SQUARINGS))
+
+
+@_query(
+    "footpath_closure_full",
+    f"""WITH {_FOOT}, p0 AS (SELECT a, b, min(dur) AS dur FROM (SELECT a, b, dur FROM footpath WHERE a <> b UNION ALL SELECT station_id, station_id + 1, 25 FROM station WHERE station_id % 10 < 2 AND station_id + 1 IN (SELECT station_id FROM station)) e GROUP BY a, b), {_CLOSED}
+    SELECT a, b, dur FROM p{_SQUARINGS}""",
+    "station",
+)
+def footpath_closure_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.closure(_closure_edges(spark, sf_dir))
 
 
 # --- scalar families ----------------------------------------------------------------------------

@@ -84,10 +84,22 @@ def islands(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     return rows.select(*by, order, (F.col(order) - F.row_number().over(w)).alias("_run")).groupBy(*by, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("_run")
 
 
-def closure(edges: DataFrame, rounds: int) -> DataFrame:
-    """Min-plus closure of (a, b, dur) over paths of up to 2**rounds edges, by repeated squaring."""
+def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Min-plus closure of (a, b, dur) by repeated squaring: over paths of up to 2**rounds edges, or to the fixpoint.
+
+    Durations must not be negative.  To the fixpoint each round is written to the checkpoint
+    folder; pairs are only added and durations only fall, so their count and sum tell a change.
+    """
     best = edges.groupBy("a", "b").agg(F.min("dur").alias("dur"))
-    for _ in range(rounds):
+    done, state = 0, None
+    while rounds is None or done < rounds:
+        if rounds is None:
+            best = cut(best)
+            now = tuple(best.agg(F.count(F.lit(1)), F.sum("dur")).first())
+            if now == state:
+                break
+            state = now
         step = best.alias("x").join(best.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"), (F.col("x.dur") + F.col("y.dur")).alias("dur"))
         best = best.unionByName(step.filter("a <> b")).groupBy("a", "b").agg(F.min("dur").alias("dur"))
+        done += 1
     return best
