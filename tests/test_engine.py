@@ -60,6 +60,22 @@ def test_closure_to_the_fixpoint(spark):
     assert {(r.a, r.b): r.dur for r in catalog.QUERIES["footpath_closure_full"](spark, sf).collect()} == best
 
 
+def test_seven_legs(spark, monkeypatch):
+    hops = [(0, k, 0, k, k + 1, 480 + 20 * k, 490 + 20 * k, True, True, 5) for k in range(1, 8)]
+    conn = spark.createDataFrame(hops, "day long, trip_id long, seq long, from_station long, to_station long, dep long, arr long, in_allowed boolean, out_allowed boolean, clasz int")
+    foot = spark.createDataFrame([(i, i, 3) for i in range(1, 9)], "a long, b long, dur long")
+    monkeypatch.setattr(catalog, "conn_between", lambda *_: conn)
+    monkeypatch.setattr(catalog, "footpaths", lambda *_: foot)
+    rows = {n: {r.station: r for r in catalog.QUERIES[n](spark, SF).collect()} for n in ("no_intercity_k7", "pareto_profile_k7", "single_criterion_weighted_k7")}
+    assert rows["no_intercity_k7"][8].arr == 630 and rows["single_criterion_weighted_k7"][8].cost == 150 + 140
+    assert (rows["pareto_profile_k7"][8].legs, rows["pareto_profile_k7"][8].arr) == (7, 630)
+    back = conn.withColumn("from_station", 9 - F.col("from_station")).withColumn("to_station", 9 - F.col("to_station"))
+    turned = back.select("day", "trip_id", "seq", F.col("to_station").alias("from_station"), F.col("from_station").alias("to_station"), (1880 - F.col("arr")).alias("dep"), (1880 - F.col("dep")).alias("arr"), "in_allowed", "out_allowed", "clasz")
+    turned = turned.withColumn("from_station", 9 - F.col("from_station")).withColumn("to_station", 9 - F.col("to_station"))
+    monkeypatch.setattr(catalog, "conn_between", lambda *_: turned)
+    assert {r.station: r.dep for r in catalog.QUERIES["latest_departure_bwd_k7"](spark, SF).collect()}[8] == 1880 - 630
+
+
 def test_night_minutes(spark):
     cases = [(0, 59, 0), (0, 61, 1), (60, 360, 300), (59, 361, 300), (361, 1501, 1), (0, 1441, 300), (0, 2881, 600), (0, 2941, 601)]
     df = spark.createDataFrame(cases, "a long, b long, want long")

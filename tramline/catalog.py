@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -195,6 +197,13 @@ def latest_departure_bwd(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROFILE = "SELECT DISTINCT CAST(1 AS BIGINT) AS start, dep AS t0 FROM conn WHERE from_station = 1 AND in_allowed AND dep BETWEEN 480 AND 540 UNION SELECT 1, 541"
 
 
+def _profile(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+    conn = conn_between(spark, sf_dir, 480, 541 + 1440)
+    starts = conn.filter("from_station = 1 AND in_allowed AND dep BETWEEN 480 AND 540").select(F.lit(1).cast("long").alias("start"), F.col("dep").alias("t0")).distinct().unionByName(_starts(spark, (1, 541)))
+    found = search.earliest_arrival(conn, footpaths(spark, sf_dir), starts, rounds, by_legs=True)
+    return relational.skyline(found, ["station"], ["arr", "legs"], ["t0"]).filter("t0 <= 540").select("t0", "station", "legs", "arr")
+
+
 @_query(
     "pareto_profile",
     f"""WITH {_FOOT}, {search.search_sql(2, _PROFILE, by_legs=True)}
@@ -202,10 +211,7 @@ _PROFILE = "SELECT DISTINCT CAST(1 AS BIGINT) AS start, dep AS t0 FROM conn WHER
     "station", "conn",
 )
 def pareto_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conn = conn_between(spark, sf_dir, 480, 541 + 1440)
-    starts = conn.filter("from_station = 1 AND in_allowed AND dep BETWEEN 480 AND 540").select(F.lit(1).cast("long").alias("start"), F.col("dep").alias("t0")).distinct().unionByName(_starts(spark, (1, 541)))
-    found = search.earliest_arrival(conn, footpaths(spark, sf_dir), starts, 2, by_legs=True)
-    return relational.skyline(found, ["station"], ["arr", "legs"], ["t0"]).filter("t0 <= 540").select("t0", "station", "legs", "arr")
+    return _profile(spark, sf_dir, 2)
 
 
 @_query("single_criterion_weighted", f"WITH {_FOOT}, {search.search_sql(3, _START, by_legs=True)} SELECT station, min(arr - t0 + 20 * legs) AS cost FROM found WHERE arr - t0 + 20 * legs <= 1580 GROUP BY station", "station", "conn")
@@ -214,6 +220,53 @@ def single_criterion_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("cost", F.col("arr") - F.col("t0") + 20 * F.col("legs")).filter("cost <= 1580").groupBy("station").agg(F.min("cost").cast("long").alias("cost"))
 
 
+# The same searches over the reference's seven trips; the SQL forms keep each step's rows.
+
+
+def _kept(name: str) -> None:
+    ORACLE[name] = re.sub(r"\b((?:conn|footpath|starts|found|best|board|arrived|reach|[rbd])\d*) AS \(", r"\1 AS MATERIALIZED (", ORACLE[name])
+
+
+def _latest_sql(rounds: int) -> str:
+    parts = ["r1 AS (SELECT CAST(1 AS BIGINT) AS station, CAST(1400 AS BIGINT) AS latest)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"b{k} AS (SELECT trip_id, day, max(seq) AS leave FROM conn JOIN r{k} ON to_station = station WHERE out_allowed AND arr <= latest AND arr >= 1400 - 1440 GROUP BY ALL)")
+        parts.append(f"d{k} AS (SELECT from_station AS station, max(dep) AS dep FROM conn JOIN b{k} USING (trip_id, day) WHERE in_allowed AND seq <= leave AND dep >= 1400 - 1440 GROUP BY ALL)")
+        parts.append(f"r{k + 1} AS (SELECT station, max(latest) AS latest FROM (SELECT * FROM r{k} UNION ALL SELECT a, dep - dur FROM d{k} JOIN footpath ON station = b) x GROUP BY ALL)")
+    union = " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(1, rounds + 1))
+    return f"{', '.join(parts)} SELECT station, max(dep) AS dep FROM ({union}) x GROUP BY station"
+
+
+QUERIES["no_intercity_k7"] = _earliest(7, "clasz >= 3")
+ORACLE["no_intercity_k7"] = with_views(f"WITH {_FOOT}, {search.search_sql(7, _START, extra='AND clasz >= 3')} SELECT station, arr FROM best", "station", "conn")
+
+
+@_query("latest_departure_bwd_k7", f"WITH {_FOOT}, {_latest_sql(7)}", "station", "conn")
+def latest_departure_bwd_k7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    goals = spark.createDataFrame([(1, 1400)], "goal long, t1 long")
+    return search.latest_departure(conn_between(spark, sf_dir, -1440, 1440), footpaths(spark, sf_dir), goals, 7).select("station", "dep")
+
+
+@_query(
+    "pareto_profile_k7",
+    f"""WITH {_FOOT}, {search.search_sql(7, _PROFILE, by_legs=True)}
+    SELECT t0, station, legs, arr FROM found f WHERE t0 <= 540 AND NOT EXISTS (SELECT 1 FROM found g WHERE g.station = f.station AND g.t0 >= f.t0 AND g.arr <= f.arr AND g.legs <= f.legs AND (g.t0 <> f.t0 OR g.arr <> f.arr OR g.legs <> f.legs))""",
+    "station", "conn",
+)
+def pareto_profile_k7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profile(spark, sf_dir, 7)
+
+
+@_query("single_criterion_weighted_k7", f"WITH {_FOOT}, {search.search_sql(7, _START, by_legs=True)} SELECT station, min(arr - t0 + 20 * legs) AS cost FROM found GROUP BY station", "station", "conn")
+def single_criterion_weighted_k7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.earliest_arrival(conn_between(spark, sf_dir, 480, 1920), footpaths(spark, sf_dir), _starts(spark, (1, 480)), 7, by_legs=True)
+    return found.groupBy("station").agg(F.min(F.col("arr") - F.col("t0") + 20 * F.col("legs")).cast("long").alias("cost"))
+
+
+for _name in ("no_intercity_k7", "latest_departure_bwd_k7", "pareto_profile_k7", "single_criterion_weighted_k7"):
+    _kept(_name)
+
+
 def _closure_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walks between stations, and some extra edges."""
     s = view(spark, sf_dir, "station").select("station_id")
