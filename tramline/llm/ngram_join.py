@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, settle, table
+from .common import forget, settle, table, tidy
 from .graph import components
 
 SHINGLE = 5
@@ -189,7 +189,7 @@ def describe(docs: DataFrame) -> DataFrame:
             rows = [(len(s), hashlib.md5(s.tobytes()).digest(), least_common(s) if len(s) else 1) for s in shingle_sets(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64()))]], ["id", "n", "key", "common"])
 
-    return docs.mapInArrow(run, "id long, n long, key binary, common long")
+    return docs.mapInArrow(tidy(run), "id long, n long, key binary, common long")
 
 
 def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
@@ -204,7 +204,7 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    found = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    found = sample.mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     top = found.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
     return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
 
@@ -238,7 +238,7 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray, first: DataFrame) -> D
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], ["sig", "id"])
 
-    return _with_bit(docs).mapInArrow(run, "sig long, id long")
+    return _with_bit(docs).mapInArrow(tidy(run), "sig long, id long")
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
         if several:
             yield batch([last_sig], [last_id], [head])
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "sig long, id long, head long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(tidy(run), "sig long, id long, head long")
 
 
 def _with_bit(docs: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def _wanted(docs: DataFrame, ids: DataFrame, make, schema: str, name: str, kind:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *kind), strict=True)], columns)
 
-    return _with_bit(docs).mapInArrow(run, schema)
+    return _with_bit(docs).mapInArrow(tidy(run), schema)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -392,7 +392,7 @@ def _large_groups(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         if last := flush() - sent:
             yield _pairs(last)
 
-    return rows.repartition("head", "lo", "hi").sortWithinPartitions("head", "sig", "lo", "hi").mapInArrow(run, "a long, b long")
+    return rows.repartition("head", "lo", "hi").sortWithinPartitions("head", "sig", "lo", "hi").mapInArrow(tidy(run), "a long, b long")
 
 
 def _pairs(pairs) -> pa.RecordBatch:
@@ -429,7 +429,7 @@ def _small_groups(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         if fresh:
             yield _pairs(fresh)
 
-    named = rows.select("head", "sig", "id", "component").repartition("head").sortWithinPartitions("head", "sig").mapInArrow(run, "a long, b long").distinct()
+    named = rows.select("head", "sig", "id", "component").repartition("head").sortWithinPartitions("head", "sig").mapInArrow(tidy(run), "a long, b long").distinct()
     left = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     right = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
 
@@ -447,7 +447,7 @@ def _small_groups(rows: DataFrame, sketches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     sized = named.join(left, "a").join(right, "b").filter("4 * na >= 3 * nb AND 4 * nb >= 3 * na")
-    return sized.select("a", "b", "na", "nb", "x", "y").mapInArrow(near, "a long, b long")
+    return sized.select("a", "b", "na", "nb", "x", "y").mapInArrow(tidy(near), "a long, b long")
 
 
 def cross_candidates(open_rows: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -476,7 +476,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("features").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("features").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _best(candidates: DataFrame) -> DataFrame:

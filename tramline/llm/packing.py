@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, table, tidy
 
 CAPACITY = 4096
 #: Id appended to every document.
 END = 1
 #: Letter runs that a worker's cache may hold.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 60_000
 
 _caches: dict[str, WordCodes] = {}
 
@@ -39,7 +39,7 @@ _TAIL = ".,;:!?#*%&$|)"
 _PLAIN = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+[.,;:!?#*%&$|)]*$"
 _RUN = r"^[^.,;:!?#*%&$|)]+"
 #: Letter runs encoded in one call, with blanks between them; bytes of text handled at once.
-TOGETHER, TEXT_BYTES = 5000, 3 << 20
+TOGETHER, TEXT_BYTES = 5000, 1 << 20
 
 
 class WordCodes:
@@ -161,7 +161,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int =
                     ["id", "piece", "start", "length", "ids_crc32", "part", "place"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), PIECE)
 
 
 def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, settle, table
+from .common import forget, settle, table, tidy
 from .fingerprint import shingle_hashes
 
 #: Cyrillic, Greek and other letters that look like Latin ones.
@@ -172,7 +172,7 @@ def learn(train: DataFrame, text_col: str = "text", label_col: str = "toxic", ma
     if not n1 or not n0:
         forget(rows)
         return {}, 1.0
-    counts = settle(rows.mapInArrow(_count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-counts")
+    counts = settle(rows.mapInArrow(tidy(_count), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-counts")
     bound = 2.0 * math.log(max(2, counts.count()))
     p = n1 / (n1 + n0)
     c = F.col("pos") + F.col("neg")
@@ -196,7 +196,7 @@ def learn(train: DataFrame, text_col: str = "text", label_col: str = "toxic", ma
             raw = [round(lexicon.raw(t.as_py())[0] * 50) / 50 for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), b.column(1)], ["raw", "y"])
 
-    grid = rows.mapInArrow(score, "raw double, y int").groupBy(F.least("raw", F.lit(20.0)).alias("raw")).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).orderBy("raw").collect()
+    grid = rows.mapInArrow(tidy(score), "raw double, y int").groupBy(F.least("raw", F.lit(20.0)).alias("raw")).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).orderBy("raw").collect()
     forget(rows)
     caught, alarms, cut, below, clean, most = n1, n0, 0.02, 0.0, 0.0, -1.0
     for r in grid:  # the cutoff with the best F1, half-way down to the highest clean score below
@@ -222,7 +222,7 @@ def score_toxicity(docs: DataFrame, weights: dict[str, float], cutoff: float, id
             raw = [lexicon.raw(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r / (r + cutoff * 3.0 / 7.0) for r, _ in raw], pa.float64()), pa.array([k for _, k in raw], pa.int64())], ["id", "score", "n_hits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), SCORED)
 
 
 def drop_toxic(docs: DataFrame, weights: dict[str, float], cutoff: float, text_col: str = "text") -> DataFrame:
@@ -235,7 +235,7 @@ def drop_toxic(docs: DataFrame, weights: dict[str, float], cutoff: float, text_c
             keep = pa.array([lexicon.raw(t.as_py())[0] < cutoff for t in b.column(at)], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(doc_id) -> F.Column:
