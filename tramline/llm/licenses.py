@@ -1,22 +1,28 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 A text becomes its lower-case words joined by single spaces.  One Aho-Corasick pass finds the
-keywords; a rule's regex runs only where one of its keywords occurs.  Detections are resolved
-by priority: an interval of words contained in an accepted one is suppressed.
+keywords; a rule's regex runs only where one of its keywords occurs.  The rules are the hand-written
+signatures of ``license_rules`` (bodies, notices, headers, addresses, exclusions) and the names of
+``FAMILIES`` in four forms.  Detections are resolved by priority: an interval of words contained in
+an accepted one is suppressed; an accepted exclusion suppresses likewise and is no detection itself.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
+from .license_rules import FORM, GAP, SIGNATURES
 
 #: Phrases of the base contract and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -101,9 +107,18 @@ class Rule:
     pattern: re.Pattern
 
 
-def rules(families=FAMILIES, forms=FORMS) -> list[tuple[Rule, tuple[str, ...]]]:
+def _as_scanned(text: str) -> str:
+    """Text as the scanner has it: one character per byte of UTF-8."""
+    return text.encode("utf-8").decode("latin-1")
+
+
+def rules(families=FAMILIES, forms=FORMS, signatures=SIGNATURES) -> list[tuple[Rule, tuple[str, ...]]]:
     """All signature rules in order, each with its keywords."""
     out = []
+    for label, form, written, keyword in signatures:
+        priority, confidence = FORM[form]
+        pattern = re.compile(" (" + _as_scanned(written.replace(" _", " " + GAP)) + ")(?= )")
+        out.append((Rule(label, form, priority, confidence, pattern), (_as_scanned(keyword),)))
     for label, name, spdx, keywords in families:
         for form, around, priority, confidence in forms:
             first = form == "identifier"
@@ -143,31 +158,57 @@ class Scanner:
             opened.update(which)
         if not hit:
             return len(words), [], []
+        blanks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)  # word k begins behind blank k
+        word = lambda at: int(np.searchsorted(blanks, at))
         base = []
         for phrase, label in BASE.items():
             at = line.find(f" {phrase} ")
             while at >= 0:
-                base.append((line.count(" ", 0, at), label))
+                base.append((word(at), label))
                 at = line.find(f" {phrase} ", at + 1)
         found = []
         for i in sorted(opened):
             rule = self.rules[i][0]
             for m in rule.pattern.finditer(line):
-                start = line.count(" ", 0, m.start())
+                start = word(m.start())
                 found.append((rule.label, rule.form, start, start + m[1].count(" ") + 1, rule.confidence, rule.priority))
         return len(words), sorted(base), resolve(found)
 
 
 def resolve(found: Iterable[tuple]) -> list[tuple]:
-    """Take detections by priority, then length, then place; drop those inside an accepted interval."""
+    """Take detections by priority, then length, then place; drop those inside an accepted interval.
+
+    The accepted intervals that lie in no other are kept in order, with rising starts and ends, so
+    one look at the last that starts no later tells whether any contains a detection.
+    """
     kept: list[tuple] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for d in sorted(found, key=lambda d: (-d[5], d[2] - d[3], d[2], d[0])):
-        if not any(k[2] <= d[2] and d[3] <= k[3] for k in kept):
-            kept.append(d)
-    return sorted(((d[0], d[1], d[2], d[3], d[4]) for d in kept), key=lambda d: (d[2], d[3], d[0]))
+        k = bisect_right(starts, d[2]) - 1
+        if k >= 0 and ends[k] >= d[3]:
+            continue
+        kept.append(d)
+        lo, hi = bisect_left(starts, d[2]), bisect_right(ends, d[3])
+        starts[lo:hi], ends[lo:hi] = [d[2]], [d[3]]
+    return sorted(((d[0], d[1], d[2], d[3], d[4]) for d in kept if d[1] != "exclusion"), key=lambda d: (d[2], d[3], d[0]))
+
+
+def score(detections: Iterable[tuple], n_base: int = 0) -> float:
+    """How surely a text names a license: 1 less the product of the doubts of all detections.
+
+    A detection's doubt is that of its rule, the less the more words it covers; a base place
+    counts like a detected name of three words.
+    """
+    doubt = 1.0
+    for _, _, start, stop, confidence in detections:
+        doubt *= (1.0 - confidence) * math.exp(-(stop - start) / 20.0)
+    if n_base:
+        doubt = min(doubt, 0.3 * math.exp(-0.15))
+    return 1.0 - doubt
 
 
-SCAN = "id long, n_words long, base array<struct<start:long,label:string>>, detections array<struct<label:string,form:string,start:long,stop:long,confidence:double>>"
+SCAN = "id long, n_words long, base array<struct<start:long,label:string>>, detections array<struct<label:string,form:string,start:long,stop:long,confidence:double>>, score double"
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,11 +230,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([[{"start": s, "label": x} for s, x in r[1]] for r in rows], base_t),
                     pa.array([[dict(zip(("label", "form", "start", "stop", "confidence"), d, strict=True)) for d in r[2]] for r in rows], det_t),
+                    pa.array([score(r[2], len(r[1])) for r in rows], pa.float64()),
                 ],
-                ["id", "n_words", "base", "detections"],
+                ["id", "n_words", "base", "detections", "score"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SCAN)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), SCAN)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +244,6 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts, base = F.transform("base", lambda x: x["start"]), F.transform("base", lambda x: x["label"])
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     labels = F.transform("detections", lambda x: x["label"])
-    confidence = F.array_max(F.concat(F.transform("detections", lambda x: x["confidence"]), F.transform("base", lambda x: F.lit(0.7))))
     return s.select(
         F.col("id").alias("doc_id"),
         "n_words",
@@ -211,5 +252,5 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(starts).alias("last_word"),
         join(base).alias("base_labels"),
         join(F.concat(base, labels)).alias("labels"),
-        F.coalesce(confidence, F.lit(0.0)).alias("score"),
+        "score",
     )
