@@ -1,15 +1,22 @@
 """Information-theoretic sanitisation of personal data.
 
-Base entities (e-mail, ip, card, phone) are found by pattern.  A term that stands in documents
-of an entity discloses it if seeing the term tells almost as much as the entity itself: over the
-whole corpus, PMI(entity; term) >= ALPHA * IC(entity), where IC is the entity's information
-content.  With document frequencies that is P(entity | term) >= P(entity) ** (1 - ALPHA).  Such
-terms are marked wherever they stand, in every document, and generalised with the entities when
-a text is sanitised.
+Protected entities are found by form: e-mail, ip, card and phone, secrets (keys, tokens,
+passwords), account numbers and titled names.  Corpus co-occurrence then tells which terms reveal
+them.  A term t discloses an entity c if seeing t tells almost as much as c itself: over whole
+documents of the corpus, PMI(c; t) >= ALPHA * IC(c), where IC is the entity's information content.
+With document frequencies that is P(c | t) >= P(c) ** (1 - ALPHA).  The rule is applied on two
+levels: to single values, and to kinds, where a word that goes with secrets or numbers of many
+different values tells that one stands nearby.
+
+Such terms are marked wherever they stand, in every document, and removed when a text is
+sanitised.  Entities are generalised to the most specific ancestor (host of an e-mail, block of
+an address, country code of a number) that does not disclose the value by the same rule, else to
+their kind.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -19,12 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
-
-KINDS = ("email", "ip", "card", "phone", "term")
-MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REDACTED]"}
-#: Share of an entity's information that a term may disclose; fewest documents that show a pair.
-ALPHA, SUPPORT = 0.9, 3
+from .common import forget, fresh, settle, table, tidy
+
+KINDS = ("email", "ip", "card", "phone", "secret", "account", "name", "term")
+BASE_KINDS = 4
+TERM = KINDS.index("term")
+MARKS = {"email": "EMAIL", "ip": "IP", "card": "CARD", "phone": "PHONE", "secret": "SECRET", "account": "ACCOUNT", "name": "NAME", "term": "REDACTED"}
+#: Share of an entity's information that a term may disclose.
+ALPHA = 0.9
+#: Witnesses that a pair needs: different texts for a value, documents of different values for a kind.
+SUPPORT, KIND_SUPPORT = 3, 5
+#: Witnesses fall into so many classes by hash; those of different classes count.
+WITNESSES = 64
 #: Bits of the candidate filter: a fixed size, so what is sent to the workers never grows.
 FILTER_BITS = 1 << 22
 
@@ -36,6 +49,16 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_]+")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
+_ACCOUNT = re.compile(r"(?<![0-9A-Za-z.])[0-9]{12,19}(?![0-9A-Za-z])")
+_ASSIGNED = re.compile(
+    r"(?i:\b(?:api|access|private|client|auth)[_ -]?(?:key|token|secret)|\b(?:token|secret|password|passwd|pwd|bearer)\b)"
+    r"[\"']?[\x20\t]{0,3}[:=]?[\x20\t]{0,3}[\"']?([A-Za-z0-9+/_.~=-]{8,}+)"
+)
+_ISSUED = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{30,}+|xox[abps]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9]{20,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)")
+_RANDOM = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+")
+_TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Madame|Monsieur)\.?\x20([A-Z][^\W\d_]+(?:\x20[A-Z][^\W\d_]+)?)")
+#: Bits per character from which a long run of letters and digits is taken for random.
+RANDOM_BITS = 3.0
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -77,9 +100,57 @@ def entities(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _random(run: str) -> bool:
+    digits = sum(c.isdigit() for c in run)
+    if digits < 3 or len(run) - digits < 3:
+        return False
+    return sum(n * math.log2(len(run) / n) for n in Counter(run).values()) >= RANDOM_BITS * len(run)
+
+
+def protected(text: str) -> list[tuple[int, int, int]]:
+    """All protected entities as (start, kind, end): the base ones, and others that overlap none before them."""
+    out = entities(text)
+    more: list[tuple[int, int, int]] = []
+    if _DIGIT.search(text):
+        more += [(m.start(1), 4, m.end(1)) for m in _ASSIGNED.finditer(text) if _DIGIT.search(m[1]) and not m[1].isdigit()]
+        more += [(m.start(), 4, m.end()) for m in _ISSUED.finditer(text)]
+        more += [(m.start(), 4, m.end()) for m in _RANDOM.finditer(text) if _random(m[0])]
+        more += [(m.start(), 5, m.end()) for m in _ACCOUNT.finditer(text)]
+    more += [(m.start(1), 6, m.end(1)) for m in _TITLED.finditer(text)]
+    if not more:
+        return out
+    # base entities of different kinds may overlap, so places are compared with the union of their intervals
+    taken: list[list[int]] = []
+    for s, _, e in out:
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    k = reach = 0
+    for s, kind, e in sorted(more):
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        if s >= reach and not (k < len(taken) and taken[k][0] < e):
+            out.append((s, kind, e))
+            reach = e
+    return sorted(out)
+
+
 def _name(text: str, kind: int, start: int, end: int) -> str:
     value = text[start:end]
-    return f"{KINDS[kind]}:{value.lower() if kind < 2 else _NOT_DIGITS.sub('', value)}"
+    return f"{KINDS[kind]}:{_NOT_DIGITS.sub('', value) if kind in (2, 3) else value.lower() if kind in (0, 1, 6) else value}"
+
+
+def ancestor(name: str) -> str | None:
+    """The group that a value is generalised to where the group does not disclose it."""
+    kind, value = name.split(":", 1)
+    if kind == "email":
+        return "in:email:" + value.rsplit("@", 1)[1]
+    if kind == "ip":
+        return f"in:ip:{value.split('.')[0].lstrip('0') or '0'}/8"
+    if kind == "phone":
+        return "in:phone:+" + value[:1]
+    return None
 
 
 def terms(text: str, found: list[tuple[int, int, int]]) -> Iterator[re.Match]:
@@ -94,7 +165,7 @@ def terms(text: str, found: list[tuple[int, int, int]]) -> Iterator[re.Match]:
 
 
 _SPAN = "struct<start:int,kind:int,stop:int>"
-FOUND = f"id long, tkey long, base array<{_SPAN}>, names array<string>"
+FOUND = f"id long, tkey long, base array<{_SPAN}>, known array<{_SPAN}>, names array<string>"
 PLACED = f"id long, tkey long, term string, places array<{_SPAN}>"
 _SPAN_T = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())])
 
@@ -103,20 +174,27 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tkey"), F.col(text_col).alias("text"))
 
 
+def _spans(found: list[tuple[int, int, int]]) -> list[dict]:
+    return [{"start": s, "kind": k, "stop": e} for s, k, e in found]
+
+
 def find_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: base spans, and the entities' distinct names; one pass, no shuffle."""
+    """One row per document: base spans, all entities' spans, and the names of values, ancestors and kinds; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base, names = [], []
+            base, known, names = [], [], []
             for t in b.column(2):
                 text = t.as_py() or ""
-                found = entities(text)
-                base.append([{"start": s, "kind": k, "stop": e} for s, k, e in found])
-                names.append(sorted({_name(text, k, s, e) for s, k, e in found}))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(_SPAN_T)), pa.array(names, pa.list_(pa.string()))], ["id", "tkey", "base", "names"])
+                found = protected(text)
+                values = {_name(text, k, s, e) for s, k, e in found}
+                base.append(_spans([x for x in found if x[1] < BASE_KINDS]))
+                known.append(_spans(found))
+                names.append(sorted(values | {a for v in values if (a := ancestor(v))} | {f"kind:{KINDS[k]}" for _, k, _ in found}))
+            spans = pa.list_(_SPAN_T)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, spans), pa.array(known, spans), pa.array(names, pa.list_(pa.string()))], ["id", "tkey", "base", "known", "names"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, FOUND)
+    return _keyed(docs, id_col, text_col).mapInArrow(tidy(run), FOUND)
 
 
 def _bit(term: Column) -> Column:
@@ -148,32 +226,55 @@ class Passing:
         return p
 
 
+def _witness(name: str) -> int:
+    return 1 << zlib.crc32(name.encode("utf-8", "replace")) % WITNESSES
+
+
 def cooccurrences(docs: DataFrame, text_col: str, wanted: bytes) -> DataFrame:
-    """(entity, term, n_ct): documents that hold both, for the entities that pass the filter."""
+    """(entity, term, n_ct, seen): documents that hold both, for the values that pass the filter and for kinds.
+
+    ``seen`` is the number of classes of witnesses: texts for a value; for a kind one value per
+    document, so that copies of a document are one witness.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[tuple[str, str], list[int]] = {}
         passes = Passing(wanted)
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([e for e, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["entity", "term", "n"])
+            seen = pa.array([n[1] for n in counts.values()], pa.uint64()).view(pa.int64())
+            batch = pa.RecordBatch.from_arrays([pa.array([e for e, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.string()), pa.array([n[0] for n in counts.values()], pa.int64()), seen], ["entity", "term", "n", "seen"])
             counts.clear()
             return batch
 
         for b in batches:
             for t in b.column(0):
                 text = t.as_py() or ""
-                found = entities(text)
-                names = {n for s, k, e in found if passes(n := _name(text, k, s, e))}
-                words = {w.lower() for w in {m[0] for m in terms(text, found)}} if names else ()
-                for n in names:
-                    counts.update((n, w) for w in words)
+                found = protected(text)
+                if not found:
+                    continue
+                about: dict[str, int] = {}
+                for s, k, e in found:
+                    name = _name(text, k, s, e)
+                    if passes(name):
+                        about[name] = _witness(text)
+                    kind = f"kind:{KINDS[k]}"
+                    about[kind] = min(about.get(kind, 1 << WITNESSES), _witness(name))
+                words = {w.lower() for w in {m[0] for m in terms(text, found)}}
+                for n, witness in about.items():
+                    for w in words:
+                        if (c := counts.get((n, w))) is None:
+                            counts[n, w] = [1, witness]
+                        else:
+                            c[0] += 1
+                            c[1] |= witness
                     if len(counts) > 200_000:
                         yield out()
         if counts:
             yield out()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_ct"))
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "entity string, term string, n long, seen long")
+    return rows.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.bit_count(F.bit_or("seen")).alias("seen"))
 
 
 def document_frequencies(docs: DataFrame, text_col: str, wanted: bytes) -> DataFrame:
@@ -190,13 +291,16 @@ def document_frequencies(docs: DataFrame, text_col: str, wanted: bytes) -> DataF
 
         for b in batches:
             for t in b.column(0):
-                counts.update(filter(passes, {w.lower() for w in set(_TERM.findall(t.as_py() or ""))}))
+                text = t.as_py() or ""
+                words = {w for w in map(str.lower, set(_TERM.findall(text))) if passes(w)}
+                if words:  # parts of entities are no terms
+                    counts.update(words & {w.lower() for w in {m[0] for m in terms(text, protected(text))}})
                 if len(counts) > 200_000:
                     yield out()
         if counts:
             yield out()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def places(docs: DataFrame, id_col: str, text_col: str, wanted: bytes) -> DataFrame:
@@ -211,75 +315,113 @@ def places(docs: DataFrame, id_col: str, text_col: str, wanted: bytes) -> DataFr
                 if not any(passes(w.lower()) for w in set(_TERM.findall(text))):
                     continue
                 at: dict[str, list] = {}
-                for m in terms(text, entities(text)):
+                for m in terms(text, protected(text)):
                     if passes(w := m[0].lower()):
-                        at.setdefault(w, []).append({"start": m.start(), "kind": 4, "stop": m.end()})
+                        at.setdefault(w, []).append({"start": m.start(), "kind": TERM, "stop": m.end()})
                 for w, p in at.items():
                     for column, value in zip(rows, (i.as_py(), key.as_py(), w, p), strict=True):
                         column.append(value)
             types = (pa.int64(), pa.int64(), pa.string(), pa.list_(_SPAN_T))
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(rows, types, strict=True)], ["id", "tkey", "term", "places"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, PLACED)
+    return _keyed(docs, id_col, text_col).mapInArrow(tidy(run), PLACED)
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term): terms that disclose an entity by the PMI rule, from counts over all documents."""
-    entity = found.select(F.explode("names").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= support)
-    entity = settle(entity, "pii-entities")
-    pairs = cooccurrences(docs, text_col, term_filter(entity.select(F.col("entity").alias("term")))).filter(F.col("n_ct") >= support)
+def entity_counts(found: DataFrame) -> DataFrame:
+    """(entity, n_c): documents per value, ancestor and kind."""
+    return found.select(F.explode("names").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, alpha: float = ALPHA, support: int = SUPPORT, kind_support: int = KIND_SUPPORT) -> DataFrame:
+    """(entity, term): terms that disclose a value or a kind by the PMI rule, from counts over all documents."""
+    entity = settle(entity_counts(found).filter((F.col("n_c") >= support) & ~F.col("entity").startswith("in:")), "pii-entities")
+    values = entity.filter(~F.col("entity").startswith("kind:")).select(F.col("entity").alias("term"))
+    least = F.when(F.col("entity").startswith("kind:"), kind_support).otherwise(support)
+    pairs = cooccurrences(docs, text_col, term_filter(values)).filter(F.col("seen") >= least)
     pairs = settle(pairs.join(entity, "entity"), "pii-pairs")
     df = document_frequencies(docs, text_col, term_filter(pairs.select("term").distinct()))
     total = float(max(1, found.count()))
     risky = F.log(F.col("n_ct") / F.col("df")) >= F.lit(1.0 - alpha) * F.log(F.col("n_c") / F.lit(total))
-    return pairs.join(df, "term").filter(risky).select("entity", "term")
-
+    risky = settle(pairs.join(df, "term").filter(risky).select("entity", "term"), "pii-risky")
+    forget(entity)
+    forget(pairs)
+    return risky
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tkey, base spans, all spans) of every document.
 
-    A null text has no spans; a null id is kept; repeated rows are told apart by ``tkey``, a
-    hash of the text; an empty table gives no rows.  A disclosing term is marked in documents
-    without the entity too.
-    """
+def _found_and_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     found = settle(find_entities(docs, id_col, text_col), "pii-found")
-    risky = settle(disclosing_terms(found, docs, text_col), "pii-risky")
-    risky = risky.select("term").distinct()
+    risky = disclosing_terms(found, docs, text_col).select("term").distinct()
     placed = places(docs, id_col, text_col, term_filter(risky)).join(risky, "term")
     added = placed.groupBy("id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("added"))
     added = added.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), "added")
     rows = found.join(added, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")), "left")
     none = F.array().cast(f"array<{_SPAN}>")
-    return rows.select("id", "tkey", "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
+    return found, rows.select("id", "tkey", "base", F.array_sort(F.concat("known", F.coalesce("added", none))).alias("spans"))
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tkey, base spans, all spans) of every document.
+
+    A null text has no spans; a null id is kept; repeated rows are told apart by ``tkey``, a
+    hash of the text; an empty table gives no rows; only the two named columns are read, so
+    others may have any name.  A disclosing term is marked in documents without the entity too.
+    """
+    return _found_and_spans(docs, id_col, text_col)[1]
+
 
+def safe_ancestors(found: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(id, tkey, safe): per document the ancestors of its values that don't disclose a value of one document.
 
-def replace_spans(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """``text`` with each span's mark in its place; overlapping spans become one."""
+    The same rule as for terms: 1 / n >= (1 / total) ** (1 - alpha) discloses.
+    """
+    total = max(1, found.count())
+    counts = entity_counts(found).filter(F.col("entity").startswith("in:") & (F.col("n_c") > F.lit(total ** (1.0 - alpha))))
+    held = found.select("id", "tkey", F.explode(F.array_distinct(F.filter("names", lambda x: x.startswith("in:")))).alias("entity"))
+    return held.join(counts.select("entity"), "entity").groupBy("id", "tkey").agg(F.collect_set("entity").alias("safe"))
+
+
+def replace_spans(text: str, spans: list[tuple[int, int, int]], safe=()) -> str:
+    """``text`` with each span generalised; overlapping spans become one, named by the first."""
     out, at = [], 0
     for start, kind, stop in sorted(spans):
         if start >= at:
-            out += [text[at:start], MARKS[KINDS[kind]]]
+            group = ancestor(_name(text, kind, start, stop))
+            detail = f" {group.split(':', 2)[2]}" if group in safe else ""
+            out += [text[at:start], f"[{MARKS[KINDS[kind]]}{detail}]"]
         at = max(at, stop)
     return "".join(out) + text[at:]
 
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data generalised in the text column; all columns and rows stay."""
-    spans = find_personal_data(docs, id_col, text_col).filter(F.size("spans") > 0).select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_tkey"])
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    rows = keyed.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tkey")), "left").select(*docs.columns, "_spans")
+    """``docs`` with personal data generalised and disclosing terms removed in the text column.
+
+    All columns and rows stay, in whatever names: null texts stay null, rows with a null id and
+    repeated rows are treated by their text, an empty table gives an empty one.
+    """
+    found, spans = _found_and_spans(docs, id_col, text_col)
+    spans = spans.filter(F.size("spans") > 0).dropDuplicates(["id", "tkey"])
+    safe = safe_ancestors(found)
+    key, i, k, s, g = fresh(docs, "key", "id", "tkey", "spans", "safe")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))
+    marked = spans.join(safe.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), "safe"), same, "left").select(F.col("id").alias(i), F.col("tkey").alias(k), F.col("spans").alias(s), F.col("safe").alias(g))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = keyed.join(marked, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.col(key) == F.col(k)), "left").select(*docs.columns, s, g)
     names = list(docs.columns)
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column(b.num_columns - 1)
-            texts = [t.as_py() if not s.is_valid else replace_spans(t.as_py(), [(x["start"], x["kind"], x["stop"]) for x in s.as_py()]) for t, s in zip(b.column(at), spans, strict=True)]
-            columns = list(b.columns[:-1])
+            texts = []
+            for t, spans, safe in zip(b.column(at), b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):
+                text = t.as_py()
+                if text is not None and spans.is_valid:
+                    text = replace_spans(text, [(x["start"], x["kind"], x["stop"]) for x in spans.as_py()], set(safe.as_py() or ()))
+                texts.append(text)
+            columns = list(b.columns[:-2])
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(tidy(run), docs.schema)
 
 
 def _joined(spans: Column) -> Column:
@@ -290,5 +432,6 @@ def _joined(spans: Column) -> Column:
 def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document; see ``find_personal_data`` for the edge cases."""
     rows = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return rows.select(F.col("id").alias("doc_id"), *[count(k) for k in range(4)], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    count = lambda c, k: F.size(F.filter(c, lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    counts = [count("base" if k < BASE_KINDS else "spans", k) for k in range(len(KINDS))]
+    return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
