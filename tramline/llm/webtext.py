@@ -3,9 +3,13 @@
 A page becomes text blocks, each with the root-to-leaf path of its block-level tags.  Per path
 the text length and punctuation of its blocks are totalled; both ratios are smoothed over
 neighbouring blocks, fused by their product and compared with the spread over the page.  Blocks
-of passing paths are content; headings and list items beside them follow.  Elements that say
-they are something else (navigation, adverts, forms, reader comments) count only where nothing
-else is left; a name alone does not condemn what holds the page's article.
+of passing paths are content; headings, list items and other text elements beside them follow.
+The same holds inside article elements: a link list or a short unnamed box in one is no content.
+Elements that say they are something else (navigation, adverts, forms, reader comments) count
+only where nothing else is left; a name alone does not condemn what holds the page's article.
+
+Paths are nodes of a tree, so a page costs time and memory in proportion to its length, however
+deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,13 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|"
-    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_ATTRS = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _MARKS = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPACE = re.compile(r"[\s ]+")
@@ -50,12 +52,19 @@ OTHER_NAMES = frozenset(
 #: Words before such a name that make it speak of the layout, not of the element.
 ABOUT = frozenset("has have with without no not".split())
 ARTICLE = frozenset(("article", "main"))
-BESIDE = frozenset("h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption p".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text: kept beside content even where their own path is too short to pass.
+BESIDE = frozenset("li dd dt blockquote pre td th figcaption p".split())
+#: Elements that end where the next of their kind begins.
+ITEMS = frozenset("li td th tr dt dd".split())
+#: Mean length of a path's blocks against the longest path's, at least, for content that no element of running text holds.
+OWN = 0.15
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: int  # node of the page's tree of block-level tags
+    leaf: str
     inside: int  # number of the enclosing article or main element, 0 outside
     context: int  # number of the innermost named, article or main element, 0 outside
     other: int  # 0 may be content; else why not: 1 by name, 2 by tag, 3 hidden
@@ -111,14 +120,31 @@ def _judge(out: list[Block], contexts: list[Context], h1: int | None) -> None:
         b.other = b.other or int(bad[b.context])
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order; an unclosed or misnested tag ends where its parent does."""
-    stack: list[tuple[str, int, int, int]] = []  # tag, why text is not the article's, enclosing article, context
+class Paths:
+    """Tree of the root-to-leaf paths of a page: children are numbered after their parents."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag = [0], [""]
+        self._child: dict[tuple[int, str], int] = {}
+
+    def down(self, node: int, tag: str) -> int:
+        if (k := self._child.get((node, tag))) is None:
+            k = self._child[node, tag] = len(self.parent)
+            self.parent.append(node)
+            self.tag.append(tag)
+        return k
+
+
+def blocks(page: str) -> tuple[list[Block], Paths]:
+    """Text blocks in page order and their paths; an unclosed or misnested tag ends where its parent does."""
+    stack: list[tuple[str, int, int, int, int]] = []  # tag, why text is not the article's, enclosing article, context, path
+    opened: Counter = Counter()  # of the stack, so that the stack is only searched for what it holds
+    paths = Paths()
     contexts = [Context("", 0, False, 0)]
     h1: int | None = None
     out: list[Block] = []
     now: Block | None = None
-    at, articles, links = 0, 0, 0
+    at, articles = 0, 0
 
     def say(text: str) -> None:
         nonlocal now
@@ -127,52 +153,60 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if text.isspace():
                 return
-            other, inside, context = stack[-1][1:] if stack else (0, 0, 0)
-            now = Block(tuple(t for t, *_ in stack if t in BLOCK), inside, context, other)
+            other, inside, context, path = stack[-1][1:] if stack else (0, 0, 0, 0)
+            now = Block(path, paths.tag[path], inside, context, other)
             out.append(now)
         now.parts.append(text)
-        if links:
+        if opened["a"]:
             now.linked += len(text)
 
+    def close(k: int) -> None:
+        opened.subtract(t for t, *_ in stack[k:])
+        del stack[k:]
+
     while (m := _TOKEN.search(page, at)) is not None:
         say(page[at : m.start()])
         at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        if m[2] is None:
             if m[0].startswith("<![CDATA["):
                 say(html.escape(m[0][9:].removesuffix("]]>")))
             continue
-        name, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+        rest = _ATTRS.match(page, at)
+        end = rest.end() - 1 if rest else page.find(">", at)
+        if end < 0:  # the page ends inside a tag
+            at = len(page)
+            break
+        name, closing, attrs = m[2].lower(), m[1], page[at:end]
+        at = end + 1
         if name == "br":
             say(" ")
         if name in BLOCK:
             now = None
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    links -= sum(t == "a" for t, *_ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK and name not in BLOCK:
-                    break
+            if opened[name]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        close(k)
+                        break
+                    if stack[k][0] in BLOCK and name not in BLOCK:
+                        break
             continue
         if name in RAW:
             if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                at = stop.end() if stop else len(page)
             continue
         if name in VOID:
             continue
-        if name in BLOCK:  # an open paragraph, or an item of the same list or row, ends here
+        if name in BLOCK and (opened["p"] or name in ITEMS and opened[name]):  # an open paragraph, or an item of the same list or row, ends here
             for k in range(len(stack) - 1, -1, -1):
                 t = stack[k][0]
-                if t == "p" or t == name and name in ("li", "td", "th", "tr", "dt", "dd"):
-                    links -= sum(x == "a" for x, *_ in stack[k:])
-                    del stack[k:]
+                if t == "p" or t == name and name in ITEMS:
+                    close(k)
                     break
                 if t in BLOCK:
                     break
-        other, inside, context = stack[-1][1:] if stack else (0, 0, 0)
+        other, inside, context, path = stack[-1][1:] if stack else (0, 0, 0, 0)
         outer, article = inside, name in ARTICLE and not other
         if article:
             articles += 1
@@ -187,20 +221,16 @@ def blocks(page: str) -> list[Block]:
             context = len(contexts) - 1
         if name == "h1" and h1 is None and not other:
             h1 = context
-        stack.append((name, other, inside, context))
-        links += name == "a"
-    say(page[at:] if "<" not in page[at : at + 1] or page[at:] == "<" else "")
+        stack.append((name, other, inside, context, paths.down(path, name) if name in BLOCK else path))
+        opened[name] += 1
+    say(page[at:])
     _judge(out, contexts, h1)
-    return out
+    return out, paths
 
 
-def select_blocks(found: list[Block], spread: float = 0.5) -> list[str]:
-    """Texts of the content blocks, in page order."""
-    rows = [(b, t) for b in found if (t := b.text())]
-    rows = next((left for why in range(3) if (left := [(b, t) for b, t in rows if b.other <= why])), [])
-    if not rows:
-        return []
-    size: dict[tuple, list[float]] = {}
+def path_ratios(rows: list[tuple[Block, str]]) -> list[float]:
+    """Each block's fused ratio: text and punctuation per block of its path, both smoothed over the neighbours, multiplied."""
+    size: dict[int, list[float]] = {}
     for b, t in rows:
         s = size.setdefault(b.path, [0, 0, 0])
         s[0] += len(t)
@@ -213,32 +243,63 @@ def select_blocks(found: list[Block], spread: float = 0.5) -> list[str]:
         near = [(k, ratio[i + d]) for d, k in zip((-1, 0, 1), kernel, strict=True) if 0 <= i + d < len(rows)]
         w = sum(k for k, _ in near)
         fused.append(sum(k * r[0] for k, r in near) / w * sum(k * r[1] for k, r in near) / w)
+    return fused
+
+
+def passing_paths(rows: list[tuple[Block, str]], spread: float = 0.5) -> set[int]:
+    """Paths whose best block stands out against the page's spread and is within sight of its best."""
+    fused = path_ratios(rows)
     mean = sum(fused) / len(fused)
     deviation = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    best: dict[tuple, float] = {}
-    for (b, _), x in zip(rows, fused, strict=True):
+    best: dict[int, float] = {}
+    length: dict[int, list[int]] = {}
+    plain: set[int] = set()
+    for (b, t), x in zip(rows, fused, strict=True):
         best[b.path] = max(best.get(b.path, 0.0), x)
-    passing = {p for p, x in best.items() if x >= spread * deviation and x >= 0.1 * max(best.values())}
-    wordy = lambda b, t: b.linked < 0.6 * max(1, sum(map(len, b.parts)))
-    chosen = [i for i, (b, t) in enumerate(rows) if b.path in passing and wordy(b, t)]
+        if b.leaf in BESIDE:
+            plain.add(b.path)
+        n = length.setdefault(b.path, [0, 0])
+        n[0] += len(t)
+        n[1] += 1
+    longest = max(n / k for n, k in length.values())
+    top = max(best.values())
+    # a short box beside long ones is lifted by smoothing: it must have length of its own
+    return {p for p, x in best.items() if x >= spread * deviation and x >= 0.1 * top and (p in plain or length[p][0] / length[p][1] >= OWN * longest)}
+
+
+def select_blocks(found: list[Block], paths: Paths, spread: float = 0.5) -> list[str]:
+    """Texts of the content blocks, in page order."""
+    rows = [(b, t) for b in found if (t := b.text())]
+    rows = next((left for why in range(3) if (left := [(b, t) for b, t in rows if b.other <= why])), [])
+    if not rows:
+        return []
+    passing = passing_paths(rows, spread)
+    wordy = [b.linked < 0.6 * max(1, sum(map(len, b.parts))) for b, _ in rows]
+    chosen = [i for i, (b, t) in enumerate(rows) if b.path in passing and wordy[i]]
     if not chosen:
-        chosen = list(range(len(rows)))
-    homes = {rows[i][0].inside for i in chosen if rows[i][0].inside}
-    if homes:  # an article element that holds content is content as a whole
-        return [t for b, t in rows if b.inside in homes]
+        chosen = [i for i in range(len(rows)) if wordy[i]] or list(range(len(rows)))
     keep, first, last = set(chosen), chosen[0], chosen[-1]
-    parents = {rows[i][0].path[:-1] for i in chosen}
+    homes = {rows[i][0].inside for i in chosen if rows[i][0].inside}
+    if homes:  # content outside the article elements that hold some is not the article's
+        keep = {i for i in chosen if rows[i][0].inside in homes}
+    parents = {paths.parent[rows[i][0].path] for i in chosen}
+    under = [False]
+    for node in range(1, len(paths.parent)):
+        under.append(node in parents or under[paths.parent[node]])
     for i, (b, t) in enumerate(rows):
-        leaf = b.path[-1] if b.path else ""
-        near = first - 2 <= i <= last + 1 if leaf.startswith("h") and leaf != "html" else first <= i <= last
-        if near and leaf in BESIDE and wordy(b, t) and any(b.path[: len(p)] == p for p in parents if p):
+        heading = b.leaf in HEADINGS
+        if homes:
+            near = b.inside in homes
+        else:
+            near = (first - 2 <= i <= last + 1 if heading else first <= i <= last) and under[b.path]
+        if near and (heading or b.leaf in BESIDE and wordy[i]):
             keep.add(i)
     return [rows[i][1] for i in sorted(keep)]
 
 
 def extract(page: str | None) -> str:
     """Main text of a page; empty for null, empty or text-free pages."""
-    return " ".join(select_blocks(blocks(page))) if page else ""
+    return " ".join(select_blocks(*blocks(page))) if page else ""
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -255,7 +316,7 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
             texts = pa.array([extract(x.as_py()) for x in b.column(b.num_columns - 1)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], [*kept, "text"])
 
-    return pages.select(*kept, F.col(html_col)).mapInArrow(run, schema)
+    return pages.select(*kept, F.col(html_col)).mapInArrow(tidy(run), schema)
 
 
 def op9_webtext(spark: SparkSession, sf_dir: str) -> DataFrame:
