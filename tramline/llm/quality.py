@@ -1,10 +1,15 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions only.
 
-Each rule rejects a document whose measure lies above a cutoff.  On labelled documents of good
-quality, per stratum (language), the number of false rejections at each candidate cutoff is
-binomial; a cutoff is usable only if the exact (Clopper-Pearson) upper bound of its rate stays
-within ``RISK``, at a level divided by the number of tests made (rules x cutoffs x strata).  The
-strictest usable cutoff that also rejects more bad than good labelled documents is taken.
+Each rule rejects a document whose measure lies above a cutoff.  The rules are tightened
+together: levels 1, 2, ... name nested sets of cutoffs, from lenient to strict, and a level rejects
+what any of its rules rejects.  On labelled documents of good quality that pass the base rules,
+per stratum (language), the number of false rejections at a level is binomial; a level is usable
+only if the exact (Clopper-Pearson) upper bound of its rate stays within ``RISK``.  As levels are
+nested, testing them from lenient to strict and stopping at the first failure is one test per
+stratum (fixed-sequence testing), and the bound holds for the union of the rules; the error level
+is divided by the number of strata and one more for all strata together.  Of the usable levels the one is
+taken that separates bad from good best.  A stratum with no usable level of its own takes the level
+of all strata together, whose bound then holds for documents of all strata.
 """
 
 from __future__ import annotations
@@ -17,17 +22,18 @@ from pyspark.sql import functions as F
 from .common import SPACES, let, settle, table, words
 
 SYMBOLS = "#*$%&|<>"
-#: Most false rejections a rule may make in a stratum, and the overall error level.
-RISK, LEVEL = 0.005, 0.05
-#: Candidate cutoffs per rule, in thousandths; a document is rejected above the cutoff.
+#: Largest share of good documents that the rules together may reject in a stratum, and the overall error level.
+RISK, LEVEL = 0.02, 0.05
+#: Cutoffs per rule and level, in thousandths; a document is rejected above the cutoff.
 CUTOFFS = {
-    "symbols": (20, 50, 100, 150, 200, 300),
-    "capitals": (80, 120, 200, 300, 500, 700),
-    "dup_lines": (100, 200, 300, 400, 500, 700),
-    "repeats": (100, 150, 200, 250, 300, 400),
-    "long_words": (8000, 9000, 10000, 12000, 14000, 18000),
-    "digits": (50, 100, 150, 200, 300, 400),
+    "symbols": (300, 200, 150, 100, 50, 20),
+    "capitals": (700, 500, 300, 200, 120, 80),
+    "dup_lines": (700, 500, 400, 300, 200, 100),
+    "repeats": (400, 300, 250, 200, 150, 100),
+    "long_words": (18000, 14000, 12000, 10000, 9000, 8000),
+    "digits": (400, 300, 200, 150, 100, 50),
 }
+LEVELS = 6
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -104,31 +110,47 @@ def within_risk(n: Column, k: Column, tests: Column, risk: float = RISK, level:
     return F.when(k < n * F.lit(risk), below <= F.lit(level) / tests).otherwise(F.lit(False))
 
 
-def choose_cutoffs(measured: DataFrame, labels: DataFrame, cutoffs=None, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """(stratum, rule, cutoff) for every rule with a usable cutoff.
+def failed_base() -> Column:
+    return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+
+
+def first_level(cutoffs=None) -> Column:
+    """The most lenient level that rejects a document; one more than the last where none does."""
+    passed = lambda v, cs: sum((F.when(v <= c, 1).otherwise(0) for c in cs), F.lit(1))
+    return F.least(*[passed(v, (cutoffs or CUTOFFS)[r]) for r, v in rule_values().items()])
+
+
+def choose_levels(measured: DataFrame, labels: DataFrame, cutoffs=None, risk: float = RISK, level: float = LEVEL) -> tuple[DataFrame, DataFrame]:
+    """((stratum, level) of strata with a usable level, one row with the level of all together or null).
 
     ``labels`` has (id, quality); counting is one aggregation over the labelled rows, a row per
-    (stratum, rule, cutoff) comes out.  A null stratum is a stratum of its own.
+    (stratum, level) comes out.  A null stratum is a stratum of its own.  Without labels, or with
+    labels of one kind only, no level is usable.
     """
-    cutoffs = cutoffs or CUTOFFS
-    values = rule_values()
+    levels = len(next(iter((cutoffs or CUTOFFS).values())))
     marked = labels.filter("quality IS NOT NULL").groupBy("id").agg(F.min("quality").alias("quality"))
-    rows = measured.join(marked, "id").select("stratum", "quality", *[v.alias(r) for r, v in values.items()])
-    count = lambda q, r, c: F.sum(F.when((F.col("quality") == q) & (F.col(r) > c), 1).otherwise(0))
-    cells = [(r, c, count(1, r, c).alias(f"good_{r}_{c}"), count(0, r, c).alias(f"bad_{r}_{c}")) for r, cs in cutoffs.items() for c in cs]
-    seen = rows.groupBy("stratum").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("n"), F.count(F.lit(1)).alias("rows"), *[x for c in cells for x in c[2:]])
-    long = seen.select("stratum", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"good_{r}_{c}").alias("k"), F.col(f"bad_{r}_{c}").alias("bad")) for r, c, _, _ in cells])).alias("x"))
-    strata = seen.agg(F.count(F.lit(1)).alias("strata"))
-    tested = long.crossJoin(strata)  # one row: the number of strata
-    usable = tested.filter((F.col("x.bad") > F.col("x.k")) & within_risk(F.col("n"), F.col("x.k"), F.col("strata") * F.lit(len(cells)), risk, level))
-    return usable.groupBy("stratum", F.col("x.rule").alias("rule")).agg(F.min("x.cutoff").alias("cutoff"))
-
-
-def judge(measured: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``measured`` plus ``rejected_by``: the rules whose cutoff in the document's stratum it exceeds."""
-    wide = chosen.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in CUTOFFS]).withColumnRenamed("stratum", "of")
-    rows = measured.join(wide, F.col("stratum").eqNullSafe(F.col("of")), "left")
-    over = [F.when(v > F.col(f"cut_{r}"), F.lit(r)) for r, v in rule_values().items()]
+    rows = measured.filter(~failed_base()).join(marked, "id").select("stratum", "quality", first_level(cutoffs).alias("first"))
+    seen = settle(rows.groupBy("stratum", "quality", "first").agg(F.count(F.lit(1)).alias("docs")), "quality-seen")
+    strata = seen.select("stratum").distinct().agg((F.count(F.lit(1)) + 1).alias("tests"))
+    at = seen.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels)))).crossJoin(strata)  # one row: the number of tests
+    total = lambda q, hit=F.lit(True): F.sum(F.when((F.col("quality") == q) & hit, F.col("docs")).otherwise(0))
+    hit = F.col("first") <= F.col("level")
+
+    def best(*by: str) -> DataFrame:
+        cells = at.groupBy(*by, "level").agg(F.first("tests").alias("tests"), total(1).alias("n"), total(1, hit).alias("k"), total(0).alias("all_bad"), total(0, hit).alias("bad"))
+        cells = cells.withColumn("gain", F.col("bad") * F.col("n") - F.col("k") * F.col("all_bad"))
+        usable = cells.filter((F.col("gain") > 0) & within_risk(F.col("n"), F.col("k"), F.col("tests"), risk, level))
+        return usable.groupBy(*by).agg((-F.max(F.struct("gain", (-F.col("level")).alias("x")))["x"]).alias("level"))
+
+    return best("stratum"), best()
+
+
+def judge(measured: DataFrame, chosen: DataFrame, together: DataFrame) -> DataFrame:
+    """``measured`` plus ``rejected_by``: the rules whose cutoff at the level of the document's stratum it exceeds."""
+    own = chosen.select(F.col("stratum").alias("of"), F.col("level").alias("own"))
+    rows = measured.join(own, F.col("stratum").eqNullSafe(F.col("of")), "left").crossJoin(together.select(F.col("level").alias("all")))  # one row
+    at = F.coalesce("own", "all")
+    over = [F.when(v > F.get(F.array(*map(F.lit, CUTOFFS[r])), at - 1), F.lit(r)) for r, v in rule_values().items()]
     return rows.select(*measured.columns, F.array_compact(F.array(*over)).alias("rejected_by"))
 
 
@@ -136,12 +158,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and final verdict of every document.
 
     Null texts have no words and fail; a null language is its own stratum; null ids and repeated
-    rows are judged like others; without labels no cutoff is usable and the base verdict stands.
+    rows are judged like others; without labels no level is usable and the base verdict stands.
     """
     measured = settle(measure(table(spark, sf_dir, "documents")), "quality")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
-    judged = judge(measured, choose_cutoffs(measured, labels))
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    judged = judge(measured, *choose_levels(measured, labels))
+    failed = failed_base()
     return judged.select(F.col("id").alias("doc_id"), *MEASURES, failed.alias("base_failed"), (~failed & (F.size("rejected_by") == 0)).alias("kept"))
 
 
@@ -165,17 +187,17 @@ m AS (SELECT w.doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(reg
         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines,
         CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals, CAST(length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS BIGINT) AS n_digits
       FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
-v AS ({" UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, coalesce({e}, 0) AS v FROM m" for r, e in _VALUES.items())}),
-c AS ({" UNION ALL ".join(f"SELECT '{r}' AS rule, unnest([{', '.join(map(str, cs))}]) AS cutoff" for r, cs in CUTOFFS.items())}),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    least({", ".join("1 + " + " + ".join(f"CASE WHEN coalesce({e}, 0) <= {c} THEN 1 ELSE 0 END" for c in CUTOFFS[r]) for r, e in _VALUES.items())}) AS first FROM m),
 q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-n AS (SELECT lang, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS n, count(*) OVER () AS strata FROM m JOIN q ON m.doc_id = q.doc_id GROUP BY lang),
-k AS (SELECT v.lang, v.rule, cutoff, sum(CASE WHEN quality = 1 AND v > cutoff THEN 1 ELSE 0 END) AS k, sum(CASE WHEN quality = 0 AND v > cutoff THEN 1 ELSE 0 END) AS bad
-      FROM v JOIN q ON v.doc_id = q.doc_id JOIN c ON v.rule = c.rule GROUP BY v.lang, v.rule, cutoff),
-u AS (SELECT k.lang, rule, min(cutoff) AS cutoff FROM k JOIN n ON k.lang IS NOT DISTINCT FROM n.lang
-      WHERE bad > k AND k < n * {RISK} AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1),
-        lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) <= {LEVEL} / (strata * {sum(map(len, CUTOFFS.values()))})
-      GROUP BY k.lang, rule),
-x AS (SELECT DISTINCT v.doc_id FROM v JOIN u ON v.rule = u.rule AND v.lang IS NOT DISTINCT FROM u.lang WHERE v.v > u.cutoff),
-f AS (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, x.doc_id IS NOT NULL AS rejected FROM m LEFT JOIN x ON m.doc_id = x.doc_id)
+x AS (SELECT lang, quality, first FROM b JOIN q ON b.doc_id = q.doc_id WHERE NOT base_failed),
+t AS (SELECT count(*) + 1 AS tests FROM (SELECT DISTINCT lang FROM x) s),
+c AS (SELECT together, lang, level, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND first <= level) AS k,
+        count(*) FILTER (quality = 0 AND first <= level) * count(*) FILTER (quality = 1) - count(*) FILTER (quality = 1 AND first <= level) * count(*) FILTER (quality = 0) AS gain
+      FROM (SELECT false AS together, lang, quality, first FROM x UNION ALL SELECT true, NULL, quality, first FROM x) y, (SELECT unnest(range(1, {LEVELS + 1})) AS level) l GROUP BY together, lang, level),
+u AS (SELECT together, lang, level, gain FROM c, t WHERE gain > 0 AND k < n * {RISK} AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1),
+        lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) <= {LEVEL} / tests),
+w2 AS (SELECT together, lang, level FROM u QUALIFY row_number() OVER (PARTITION BY together, lang ORDER BY gain DESC, level) = 1),
+f AS (SELECT b.*, first <= coalesce(o.level, (SELECT level FROM w2 WHERE together), 0) AS rejected FROM b LEFT JOIN w2 o ON NOT o.together AND b.lang IS NOT DISTINCT FROM o.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM f
 """
