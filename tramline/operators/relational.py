@@ -23,24 +23,29 @@ def cut(df: DataFrame) -> DataFrame:
 def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, backward: bool = False, limit: int | None = None, bucket: int = 1440) -> DataFrame:
     """For each left row the smallest right ``value`` >= ``at`` (or largest <=) within ``by``, at most ``limit`` away.
 
-    The value axis is cut into buckets; a left row meets the right rows of its own bucket and the
-    extreme of later (earlier) buckets, carried by a window over bucket extremes.  Joins stay
-    equi-joins on (by, bucket), so neither side is compared with all rows of a key.
+    Both sides are one union, ordered inside (by, bucket of the value), so a left row travels once
+    and carries all its columns; a key's day is spread over its buckets.  Where a bucket has none, the
+    extreme of the next (last) bucket that has one follows, found over one row per bucket.
     """
     b = lambda c: F.floor(F.col(c) / F.lit(bucket)).cast("long")
-    rows = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_b", b(at))
+    row, v, k, hit, far = "_row", "_v", "_b", "_hit", "_far"
+    mine = left.select(*by, b(at).alias(k), F.col(at).cast("long").alias(v), F.struct(*left.columns).alias(row))
+    other = right.filter(F.col(value).isNotNull()).select(*by, b(value).alias(k), F.col(value).cast("long").alias(v))
+    both = mine.unionByName(other, allowMissingColumns=True)
+    seen = F.when(F.col(row).isNull(), F.col(v))
+    # of equal values the right ones come first in the direction of the look
+    order = [F.col(v).asc() if backward else F.col(v).desc(), F.col(row).isNull().desc()]
+    w = Window.partitionBy(*by, k).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn(hit, F.last(seen, ignorenulls=True).over(w)).filter(F.col(row).isNotNull())
     pick = F.max if backward else F.min
-    inside = right.select(*by, F.col(value).alias("_v"), b(value).alias("_b"))
-    near = rows.join(inside, [*by, "_b"]).filter(F.col("_v") <= F.col(at) if backward else F.col("_v") >= F.col(at))
-    near = near.groupBy("_row").agg(pick("_v").alias("_near"))
-    ends = inside.groupBy(*by, "_b").agg(pick("_v").alias("_v"))
-    marks = ends.select(*by, "_b", "_v").unionByName(rows.select(*by, "_b").distinct(), allowMissingColumns=True).groupBy(*by, "_b").agg(pick("_v").alias("_v"))
-    w = Window.partitionBy(*by).orderBy(F.col("_b").asc() if backward else F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    far = marks.select(*by, "_b", pick("_v").over(w).alias("_far"))
-    out = rows.join(near, "_row", "left").join(far, [*by, "_b"], "left").withColumn("_v", F.coalesce("_near", "_far"))
+    ends = other.groupBy(*by, k).agg(pick(v).alias(far))
+    marks = ends.unionByName(mine.select(*by, k).distinct(), allowMissingColumns=True).groupBy(*by, k).agg(F.max(far).alias(far))
+    near = Window.partitionBy(*by).orderBy(F.col(k).asc() if backward else F.col(k).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.select(*by, k, F.last(far, ignorenulls=True).over(near).alias(far))
+    out = rows.join(marks, [*by, k], "left").withColumn(v, F.coalesce(hit, far))
     if limit is not None:
-        out = out.withColumn("_v", F.when(F.abs(F.col("_v") - F.col(at)) <= limit, F.col("_v")))
-    return out.withColumnRenamed("_v", f"{value}_asof").drop("_row", "_b", "_near", "_far")
+        out = out.withColumn(v, F.when(F.abs(F.col(v) - F.col(f"{row}.{at}")) <= limit, F.col(v)))
+    return out.select(f"{row}.*", F.col(v).alias(f"{value}_asof"))
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column, radius: float = EARTH_KM) -> Column:
@@ -103,3 +108,22 @@ def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         best = best.unionByName(step.filter("a <> b")).groupBy("a", "b").agg(F.min("dur").alias("dur"))
         done += 1
     return best
+
+
+def connected(edges: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by, node, component): the smallest node reachable over (by, a, b) edges, both ways; labels spread until none falls.
+
+    Every round also follows the labels of labels, so chains are halved.
+    """
+    both = edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = cut(both)
+    now = cut(both.select(*by, F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    while True:
+        near = both.join(now.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("component").alias("_n"))
+        one = now.join(near, [*by, "node"]).withColumn("component", F.least("component", "_n")).drop("_n")
+        jump = one.select(*by, F.col("node").alias("component"), F.col("component").alias("_j"))
+        new = cut(one.join(jump, [*by, "component"], "left").select(*by, "node", F.least("component", F.coalesce("_j", "component")).alias("component")))
+        changed = new.exceptAll(now).limit(1).count()
+        now = new
+        if not changed:
+            return now

@@ -1,64 +1,229 @@
-"""Journey search as unrolled rounds: one round per boarded trip, starts and days are columns."""
+"""Journey search in rounds, one per boarded trip; starts, days and walks are columns.
+
+A round boards trips from the stations whose ready time fell in the round before, rides them and
+walks on.  Only labels that improve go on (semi-naive evaluation), so later rounds shrink and the
+search ends when nothing improves.  A label carries the ride and the walk that made it, so
+journeys are read back by joins, without another search.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import cut
+from .relational import closure, cut
+
+#: A journey's longest duration in minutes and most trips.
+HORIZON, MAX_LEGS = 1440, 7
+#: Rows up to which a side of known size is broadcast.
+SMALL = 200_000
+#: No ready time: later than any.
+NEVER = 1 << 40
+
+KEYS = ["start", "t0"]
+CONN = ["day", "trip_id", "seq", "from_station", "to_station", "dep", "arr", "in_allowed", "out_allowed"]
+_RIDE = "trip_id", "day", "enter", "exit", "enter_station", "dep"
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows, marked for broadcasting if that is few."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
+@dataclass
+class Rounds:
+    """Per round the labels that improved: (start, t0, station, ready, by_ready, arr, by_arr, sooner, earlier).
+
+    ``by_*`` hold the leg that led there: the station where the ride ended (``source``) and the ride.
+    """
+
+    labels: list[DataFrame] = field(default_factory=list)
+
+    def arrivals(self, by_legs: bool = False) -> DataFrame:
+        """(start, t0, station, arr[, legs]): earliest arrivals, or those that improve with another trip."""
+        out = None
+        for k, df in enumerate(self.labels, 1):
+            rows = df.filter("earlier").select(*KEYS, "station", "arr", F.lit(k).alias("legs"))
+            out = rows if out is None else out.unionByName(rows)
+        return out if by_legs else out.groupBy(*KEYS, "station").agg(F.min("arr").alias("arr"))
+
 
-HORIZON = 1440
+def through(links: DataFrame) -> DataFrame:
+    """(trip_id, day, next_trip): all trips on which a passenger of a trip may stay seated, over any number of links."""
+    named = links.select(F.concat_ws("/", "trip_id", "day").alias("a"), F.concat_ws("/", "next_trip", "day").alias("b"), F.lit(0).cast("long").alias("dur"))
+    part = lambda c, k: F.split(c, "/")[k].cast("long")
+    return closure(named).select(part("a", 0).alias("trip_id"), part("a", 1).alias("day"), part("b", 0).alias("next_trip"))
 
 
-def _walk(arrived: DataFrame, footpaths: DataFrame, keys: list[str]) -> DataFrame:
-    """Ready times after a transfer or a walk: footpaths hold a self loop of the transfer time."""
-    walked = arrived.join(footpaths, arrived["station"] == footpaths["a"]).select(*keys, F.col("b").alias("station"), (F.col("arr") + F.col("dur")).alias("ready"))
-    return walked.groupBy(*keys, "station").agg(F.min("ready").alias("ready"))
+def _walked(arrived: DataFrame, footpaths: DataFrame) -> DataFrame:
+    """Best ready time and arrival per reached station, with what led there."""
+    via = lambda source: F.struct(source.alias("source"), *[F.col(f"ride.{c}").alias(c) for c in _RIDE], F.col("ride.arr").alias("ride_arr"))
+    here = arrived.select(*KEYS, "station", F.lit(NEVER).alias("ready"), F.col("ride.arr").alias("arr"), via(F.col("station")).alias("via"))
+    walk = arrived.join(footpaths.select("a", "b", "dur"), F.col("station") == F.col("a"))
+    ready = F.col("ride.arr") + F.col("dur")
+    walk = walk.select(*KEYS, F.col("b").alias("station"), ready.alias("ready"), F.when(F.col("a") == F.col("b"), F.col("ride.arr")).otherwise(ready).alias("arr"), via(F.col("a")).alias("via"))
+    rows = here.unionByName(walk).groupBy(*KEYS, "station").agg(F.min(F.struct("ready", "via")).alias("r"), F.min(F.struct("arr", "via")).alias("c"))
+    return rows.select(*KEYS, "station", "r.ready", F.col("r.via").alias("by_ready"), "c.arr", F.col("c.via").alias("by_arr"))
 
 
-def earliest_arrival(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, rounds: int, by_legs: bool = False) -> DataFrame:
-    """(start, t0, [legs,] station, arr): earliest arrival with at most ``rounds`` trips, within 24 hours.
+def run_rounds(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, rounds: int = MAX_LEGS, boarded: DataFrame | None = None, links: DataFrame | None = None, start_walks: bool = False, horizon: int = HORIZON) -> Rounds:
+    """Search from ``starts`` (start, t0[, station, ready]) with at most ``rounds`` trips within ``horizon`` minutes.
 
-    ``starts`` has (start, t0).  A trip is boarded where ready <= departure, at its first such
-    stop; every later stop that allows alighting is reached.  Ready times include the transfer.
-    Each round reads the earlier ones more than once, so rounds are kept, and written to the
-    checkpoint folder where there are more than two: the plan then does not grow.
+    A trip is boarded where ready <= departure, at its first such stop; every later stop that
+    allows alighting is reached.  ``footpaths`` (a, b, dur) hold a self loop of the transfer time.
+    ``boarded`` (start, t0, trip_id, day, enter) are trips that a traveller sits in already;
+    ``links`` (trip_id, day, next_trip) are trips that go on as others; ``start_walks`` lets
+    journeys begin with a walk.
     """
-    keys = ["start", "t0"]
-    conn = conn.persist()
-    reach = starts.select("start", "t0", F.col("start").alias("station"), F.col("t0").alias("ready"))
-    found = None
+    conn = cut(conn.select(*CONN).repartition("trip_id", "day"))
+    if "station" not in starts.columns:
+        starts = starts.select(*KEYS, F.col("start").alias("station"), F.col("t0").alias("ready"))
+    if start_walks:
+        walk = starts.join(footpaths.filter("a <> b"), F.col("station") == F.col("a")).select(*KEYS, F.col("b").alias("station"), (F.col("ready") + F.col("dur")).alias("ready"))
+        starts = starts.unionByName(walk).groupBy(*KEYS, "station").agg(F.min("ready").alias("ready"))
+    links = None if links is None else cut(through(links))
+    delta, best, found, n = cut(starts), None, Rounds(), 0
+    n = delta.count()
     for k in range(1, rounds + 1):
-        board = conn.filter("in_allowed").join(reach, F.col("from_station") == F.col("station")).filter((F.col("dep") >= F.col("ready")) & (F.col("dep") <= F.col("t0") + HORIZON))
-        board = board.groupBy(*keys, "trip_id", "day").agg(F.min("seq").alias("enter"))
-        ride = board.join(conn.filter("out_allowed"), ["trip_id", "day"]).filter((F.col("seq") >= F.col("enter")) & (F.col("arr") <= F.col("t0") + HORIZON))
-        arrived = ride.groupBy(*keys, F.col("to_station").alias("station")).agg(F.min("arr").alias("arr"))
-        arrived = cut(arrived) if rounds > 2 else arrived.persist()
-        legs = arrived.withColumn("legs", F.lit(k))
-        found = legs if found is None else found.unionByName(legs)
-        if k < rounds:
-            reach = reach.unionByName(_walk(arrived, footpaths, keys)).groupBy(*keys, "station").agg(F.min("ready").alias("ready"))
-    if by_legs:
-        return found
-    return found.groupBy(*keys, "station").agg(F.min("arr").alias("arr"))
+        met = conn.filter("in_allowed").join(small(delta, n), F.col("from_station") == F.col("station")).filter((F.col("dep") >= F.col("ready")) & (F.col("dep") <= F.col("t0") + horizon))
+        board = met.select(*KEYS, "trip_id", "day", F.struct(F.col("seq").alias("enter"), F.col("from_station").alias("enter_station"), "dep").alias("at"))
+        if k == 1 and boarded is not None:
+            none = F.lit(None).cast("long")
+            board = board.unionByName(boarded.select(*KEYS, "trip_id", "day", F.struct(F.col("enter").cast("long").alias("enter"), none.alias("enter_station"), none.alias("dep")).alias("at")))
+        board = board.groupBy(*KEYS, "trip_id", "day").agg(F.min("at").alias("at"))
+        board = board.withColumn("on", F.col("trip_id")).withColumn("from_seq", F.col("at.enter"))
+        if links is not None:  # stay seated: the next trip is ridden from its first stop
+            board = board.unionByName(board.join(links, ["trip_id", "day"]).withColumn("on", F.col("next_trip")).withColumn("from_seq", F.lit(0).cast("long")).drop("next_trip"))
+        ride = board.select(*KEYS, F.col("on"), F.col("day").alias("on_day"), "from_seq", "at", F.col("trip_id").alias("first_trip"))
+        ride = ride.join(conn.filter("out_allowed"), (F.col("on") == F.col("trip_id")) & (F.col("on_day") == F.col("day"))).filter((F.col("seq") >= F.col("from_seq")) & (F.col("arr") <= F.col("t0") + horizon))
+        leg = F.struct("arr", F.col("first_trip").alias("trip_id"), "day", F.col("at.enter").alias("enter"), F.col("seq").alias("exit"), F.col("at.enter_station").alias("enter_station"), F.col("at.dep").alias("dep"))
+        arrived = ride.groupBy(*KEYS, F.col("to_station").alias("station")).agg(F.min(leg).alias("ride"))
+        labels = _walked(arrived, footpaths)
+        if best is None:
+            labels = labels.withColumn("sooner", F.col("ready") < NEVER).withColumn("earlier", F.lit(True))
+        else:
+            labels = labels.join(best, [*KEYS, "station"], "left").withColumn("sooner", F.col("ready") < F.coalesce("_ready", F.lit(NEVER))).withColumn("earlier", F.col("arr") < F.coalesce("_arr", F.lit(NEVER)))
+            labels = labels.filter("sooner OR earlier").drop("_ready", "_arr")
+        labels = cut(labels)
+        found.labels.append(labels)
+        now = labels.select(*KEYS, "station", F.col("ready").alias("_ready"), F.col("arr").alias("_arr"))
+        known = now if best is None else best.unionByName(now)
+        if best is None:  # the start itself need not be reached again
+            known = known.unionByName(starts.select(*KEYS, "station", F.col("ready").alias("_ready"), F.lit(NEVER).alias("_arr")))
+        best = known.groupBy(*KEYS, "station").agg(F.min("_ready").alias("_ready"), F.min("_arr").alias("_arr"))
+        delta = labels.filter("sooner").select(*KEYS, "station", "ready")
+        n = delta.count()
+        if not n:
+            break
+    return found
+
+
+def earliest_arrival(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, rounds: int, by_legs: bool = False, **options) -> DataFrame:
+    """(start, t0, [legs,] station, arr): earliest arrival, by ride or on foot after one, with at most ``rounds`` trips."""
+    return run_rounds(conn, footpaths, starts, rounds, **options).arrivals(by_legs)
 
 
 def latest_departure(conn: DataFrame, footpaths: DataFrame, goals: DataFrame, rounds: int) -> DataFrame:
     """(goal, t1, station, dep): latest departure that still arrives by t1; the mirror of ``earliest_arrival``."""
-    back = conn.select("day", "trip_id", (-F.col("seq")).alias("seq"), F.col("to_station").alias("from_station"), F.col("from_station").alias("to_station"), (-F.col("arr")).alias("dep"), (-F.col("dep")).alias("arr"), F.col("out_allowed").alias("in_allowed"), F.col("in_allowed").alias("out_allowed"))
-    turned = footpaths.select(F.col("b").alias("a"), F.col("a").alias("b"), "dur")
-    out = earliest_arrival(back, turned, goals.select(F.col("goal").alias("start"), (-F.col("t1")).alias("t0")), rounds)
+    out = earliest_arrival(mirrored(conn), turned(footpaths), goals.select(F.col("goal").alias("start"), (-F.col("t1")).alias("t0")), rounds)
     return out.select(F.col("start").alias("goal"), (-F.col("t0")).alias("t1"), "station", (-F.col("arr")).alias("dep"))
 
 
+def mirrored(conn: DataFrame) -> DataFrame:
+    """The timetable run backwards: times negated, ends and permissions swapped."""
+    return conn.select("day", "trip_id", (-F.col("seq")).alias("seq"), F.col("to_station").alias("from_station"), F.col("from_station").alias("to_station"), (-F.col("arr")).alias("dep"), (-F.col("dep")).alias("arr"), F.col("out_allowed").alias("in_allowed"), F.col("in_allowed").alias("out_allowed"))
+
+
+def turned(footpaths: DataFrame) -> DataFrame:
+    return footpaths.select(F.col("b").alias("a"), F.col("a").alias("b"), "dur")
+
+
+# --- journeys ---------------------------------------------------------------------------------
+
+
+def journey_legs(found: Rounds, goals: DataFrame) -> DataFrame:
+    """Legs of the journeys to ``goals`` ([start, t0,] goal) that improve with their number of trips.
+
+    (start, t0, goal, legs, leg, trip_id, day, enter, exit, enter_station, exit_station, dep, arr,
+    walk_to, walk_arr): a walk follows the ride where ``walk_to`` is another station.  Each round is
+    joined once: a leg's label names the station it was boarded at, whose label is the round's before.
+    """
+    by = [c for c in KEYS if c in goals.columns]
+    state = out = None
+    ids = [*KEYS, "goal", "legs"]
+    for k in range(len(found.labels), 0, -1):
+        labels = found.labels[k - 1]
+        ends = labels.filter("earlier").withColumn("goal", F.col("station")).join(goals.select(*by, "goal").distinct(), [*by, "goal"], "left_semi")
+        rows = ends.select(*KEYS, "goal", F.lit(k).alias("legs"), F.col("by_arr").alias("via"), F.col("station").alias("walk_to"), F.col("arr").alias("walk_arr"))
+        if state is not None:
+            boarded = state.join(labels.select(*KEYS, F.col("station").alias("enter_station"), F.col("by_ready").alias("via"), "ready"), [*KEYS, "enter_station"])
+            rows = rows.unionByName(boarded.select(*ids, "via", F.col("enter_station").alias("walk_to"), F.when(F.col("via.source") == F.col("enter_station"), F.col("via.ride_arr")).otherwise(F.col("ready")).alias("walk_arr")))
+        rows = rows.select(*ids, F.lit(k).alias("leg"), "via.trip_id", "via.day", "via.enter", "via.exit", "via.enter_station", F.col("via.source").alias("exit_station"), "via.dep", F.col("via.ride_arr").alias("arr"), "walk_to", "walk_arr")
+        state = rows.select(*ids, "enter_station")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def journeys(legs: DataFrame) -> DataFrame:
+    """One row per journey: departure, arrival, duration, transfers and its legs in order as an array of structs."""
+    leg = F.struct("leg", "trip_id", "day", "enter", "exit", "enter_station", "exit_station", "dep", "arr", "walk_to", "walk_arr")
+    rows = legs.groupBy(*KEYS, "goal", "legs").agg(F.array_sort(F.collect_list(leg)).alias("rides"))  # at most MAX_LEGS
+    first, last = F.col("rides")[0], F.element_at("rides", -1)
+    rows = rows.withColumn("departure", F.coalesce(first["dep"], F.col("t0"))).withColumn("arrival", last["walk_arr"])
+    return rows.select(*KEYS, "goal", "departure", "arrival", (F.col("arrival") - F.col("departure")).alias("duration"), (F.col("legs") - 1).cast("long").alias("transfers"), "rides")
+
+
+def legs_of(journeys: DataFrame) -> DataFrame:
+    """Journeys back to legs: the inverse of ``journeys``."""
+    rows = journeys.select(*KEYS, "goal", F.size("rides").alias("legs"), F.explode("rides").alias("ride"))
+    return rows.select(*KEYS, "goal", "legs", "ride.*")
+
+
+def journey_stops(legs: DataFrame, conn: DataFrame) -> DataFrame:
+    """(..., leg, seq, station, arr, dep): each stop of each leg between entry and exit, ends included."""
+    ids = [*KEYS, "goal", "legs", "leg"]
+    rows = legs.select(*ids, "trip_id", "day", "enter", "exit").join(conn.select("trip_id", "day", "seq", "from_station", "to_station", "dep", "arr"), ["trip_id", "day"]).filter(F.col("seq").between(F.col("enter"), F.col("exit")))
+    none = F.lit(None).cast("long")
+    starts = rows.select(*ids, "seq", F.col("from_station").alias("station"), none.alias("arr"), "dep")
+    ends = rows.select(*ids, (F.col("seq") + 1).alias("seq"), F.col("to_station").alias("station"), "arr", none.alias("dep"))
+    return starts.unionByName(ends).groupBy(*ids, "seq", "station").agg(F.max("arr").alias("arr"), F.max("dep").alias("dep"))
+
+
+def sane(journeys: DataFrame) -> DataFrame:
+    """Journeys with a ride whose times never fall."""
+    ok = F.forall("rides", lambda r: F.coalesce(r["arr"] >= r["dep"], F.lit(True)) & (r["walk_arr"] >= r["arr"]))
+    ordered = F.forall(F.sequence(F.lit(1), F.size("rides")), lambda k: (k == F.size("rides")) | (F.col("rides")[k]["dep"] >= F.col("rides")[k - 1]["walk_arr"]))
+    return journeys.filter((F.size("rides") > 0) & ok & ordered)
+
+
+def check_interchanges(legs: DataFrame, footpaths: DataFrame) -> DataFrame:
+    """(start, t0, goal, legs, valid): every change leaves the transfer time or the walk between its stations."""
+    nxt = legs.select(*KEYS, "goal", "legs", (F.col("leg") - 1).alias("leg"), F.col("enter_station").alias("b"), F.col("dep").alias("leaves"))
+    pairs = legs.join(nxt, [*KEYS, "goal", "legs", "leg"], "left").withColumn("a", F.col("exit_station")).join(footpaths.select("a", "b", "dur"), ["a", "b"], "left")
+    good = F.col("leaves").isNull() | F.coalesce(F.col("leaves") - F.col("arr") >= F.col("dur"), F.lit(False))
+    return pairs.groupBy(*KEYS, "goal", "legs").agg(F.min(good).alias("valid"))
+
+
+def split_at(journeys: DataFrame, leg: Column) -> DataFrame:
+    """``before`` and ``after``: a journey's rides split behind the given leg."""
+    n = F.least(F.greatest(leg, F.lit(0)), F.size("rides"))
+    return journeys.withColumn("before", F.slice("rides", F.lit(1), n)).withColumn("after", F.slice("rides", n + 1, F.greatest(F.size("rides") - n, F.lit(0))))
+
+
+# --- the same search as SQL -----------------------------------------------------------------------
+
+
 def search_sql(rounds: int, starts: str, by_legs: bool = False, extra: str = "") -> str:
-    """The same search as a chain of DuckDB common table expressions over conn, footpath and starts."""
+    """The search as a chain of DuckDB common table expressions over conn, footpath and starts, every label kept."""
     parts = [f"starts AS ({starts})", "reach1 AS (SELECT start, t0, start AS station, t0 AS ready FROM starts)"]
     for k in range(1, rounds + 1):
         parts.append(f"board{k} AS (SELECT start, t0, trip_id, day, min(seq) AS enter FROM conn JOIN reach{k} ON from_station = station WHERE in_allowed AND dep >= ready AND dep <= t0 + {HORIZON} {extra} GROUP BY ALL)")
         parts.append(f"arrived{k} AS (SELECT start, t0, to_station AS station, min(arr) AS arr FROM board{k} JOIN conn USING (trip_id, day) WHERE out_allowed AND seq >= enter AND arr <= t0 + {HORIZON} GROUP BY ALL)")
+        parts.append(f"came{k} AS (SELECT start, t0, station, min(arr) AS arr FROM (SELECT * FROM arrived{k} UNION ALL SELECT start, t0, b, arr + dur FROM arrived{k} JOIN footpath ON station = a AND a <> b) GROUP BY ALL)")
         if k < rounds:
             parts.append(f"reach{k + 1} AS (SELECT start, t0, station, min(ready) AS ready FROM (SELECT * FROM reach{k} UNION ALL SELECT start, t0, b, arr + dur FROM arrived{k} JOIN footpath ON station = a) GROUP BY ALL)")
-    union = " UNION ALL ".join(f"SELECT *, {k} AS legs FROM arrived{k}" for k in range(1, rounds + 1))
+    union = " UNION ALL ".join(f"SELECT *, {k} AS legs FROM came{k}" for k in range(1, rounds + 1))
     parts.append(f"found AS ({union})")
     return ", ".join(parts) if by_legs else ", ".join([*parts, "best AS (SELECT start, t0, station, min(arr) AS arr FROM found GROUP BY ALL)"])
