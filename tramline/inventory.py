@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import services
-from .plans.timetable import view
-from .registry import query, sql_query
+from .plans.timetable import view, with_views
+from .registry import ORACLE, query, sql_query
 
 # --- services and sequences -----------------------------------------------------------------
 
@@ -40,13 +40,8 @@ sql_query(
 sql_query("dedup_representative", "SELECT g.trip_id, g.seq, r.representative FROM {segment} g JOIN (SELECT from_station, to_station, arr_min - dep_min AS run, clasz, min(trip_id * 100 + seq) AS representative FROM {segment} GROUP BY from_station, to_station, arr_min - dep_min, clasz) r ON g.from_station = r.from_station AND g.to_station = r.to_station AND g.arr_min - g.dep_min = r.run AND g.clasz = r.clasz", "segment")
 
 
-@query("repetition_expansion", "SELECT trip_id, seq, run, arr_min + run * (10 + trip_id % 20) AS arr_min, dep_min + run * (10 + trip_id % 20) AS dep_min FROM (SELECT *, unnest(range(trip_id % 3 + 1)) AS run FROM trip_stop WHERE clasz >= 7) x", "trip_stop")
+@query("repetition_expansion", "SELECT trip_id, seq, run, arr_min + run * (10 + trip_id % 20) AS arr_min, dep_min + run * (10 + trip_id % 20) AS dep_min FROM (SELECT *, unnest(range(trip_id % 3 + 1)) AS run FROM trip_stop) x", "trip_stop")
 def repetition_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return services.repeat(view(spark, sf_dir, "trip_stop").filter("clasz >= 7").select("trip_id", "seq", "arr_min", "dep_min"), F.col("trip_id") % 3, 10 + F.col("trip_id") % 20)
-
-
-@query("repetition_expansion_all", "SELECT trip_id, seq, run, arr_min + run * (10 + trip_id % 20) AS arr_min, dep_min + run * (10 + trip_id % 20) AS dep_min FROM (SELECT *, unnest(range(trip_id % 3 + 1)) AS run FROM trip_stop) x", "trip_stop")
-def repetition_expansion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.repeat(view(spark, sf_dir, "trip_stop").select("trip_id", "seq", "arr_min", "dep_min"), F.col("trip_id") % 3, 10 + F.col("trip_id") % 20)
 
 
@@ -78,7 +73,7 @@ def footpath_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- calendars ------------------------------------------------------------------------------
 
-_DAYS = "SELECT DISTINCT trip_id % 50 AS service_id, (trip_id * 3 + seq * 5) % 28 AS day FROM {trip_stop} WHERE seq %s 2"
+_DAYS = "SELECT DISTINCT trip_id AS service_id, (trip_id * 3 + seq * seq * 5) % 7 AS day FROM {trip_stop} WHERE seq %s 2"
 _A, _B = _DAYS.replace("%s", "<"), _DAYS.replace("%s", ">=")
 sql_query("calendar_intersection", f"{_A} INTERSECT {_B}", "trip_stop")
 sql_query("calendar_difference", f"{_A} EXCEPT {_B}", "trip_stop")
@@ -95,7 +90,13 @@ sql_query("timezone_nearest_lower", "SELECT s.station_id, max(z.eva) AS zone_key
 
 # --- lookups and messages -------------------------------------------------------------------
 
-sql_query("fuzzy_trip_lookup", "SELECT m.msg_id, coalesce(a.trip_id, b.trip_id) AS trip_id, a.trip_id IS NOT NULL AS exact FROM {message} m LEFT JOIN {trip_stop} a ON m.trip_id = a.trip_id AND m.seq = a.seq LEFT JOIN (SELECT trip_id FROM {trip_stop} WHERE seq = 0) b ON m.trip_id = b.trip_id", "message", "trip_stop")
+ORACLE["fuzzy_trip_lookup"] = with_views(
+    """WITH e AS (SELECT trip_id, min_by(station_id, seq) AS station_id, min_by(dep_min, seq) AS time, CASE WHEN trip_id % 3 = 0 THEN 0 ELSE trip_id END AS nr FROM trip_stop GROUP BY trip_id),
+    q AS (SELECT m.msg_id, e.station_id, e.time, m.trip_id AS nr FROM message m JOIN e ON m.trip_id = e.trip_id)
+    SELECT q.msg_id, coalesce((SELECT min(trip_id) FROM e WHERE e.station_id = q.station_id AND e.time = q.time AND e.nr = q.nr), (SELECT min(trip_id) FROM e WHERE e.station_id = q.station_id AND e.time = q.time AND e.nr = 0)) AS trip_id,
+      EXISTS (SELECT 1 FROM e WHERE e.station_id = q.station_id AND e.time = q.time AND e.nr = q.nr) AS exact FROM q""",
+    "message", "trip_stop",
+)
 sql_query(
     "event_resolution",
     """SELECT e.msg_id, t.trip_id, t.seq FROM (SELECT m.msg_id, m.trip_id, s.station_id, s.dep_min + m.delay % 2 AS sched FROM {message} m JOIN {trip_stop} s ON m.trip_id = s.trip_id AND m.seq = s.seq) e
@@ -127,18 +128,12 @@ sql_query(
 
 sql_query("no_intercity_graph", "SELECT from_station, to_station, min(arr_min - dep_min) + 20 AS weight FROM {segment} WHERE clasz >= 3 GROUP BY from_station, to_station", "segment")
 sql_query("extra_edge_union", "SELECT from_station, to_station, min(minutes) AS minutes FROM (SELECT from_station, to_station, arr_min - dep_min AS minutes FROM {segment} UNION ALL SELECT a.station_id, b.station_id, 12 FROM {station} a JOIN {station} b ON a.meta_id = b.meta_id AND a.station_id <> b.station_id) e GROUP BY from_station, to_station", "station", "segment")
-_JOURNEYS = "SELECT DISTINCT from_station, to_station, dep_min AS dep, arr_min AS arr, arr_min - dep_min AS t FROM {segment} WHERE clasz IN (1, 2) AND arr_min > dep_min"
+_JOURNEYS = "SELECT DISTINCT from_station, to_station, dep_min AS dep, arr_min AS arr, arr_min - dep_min AS t FROM {segment} WHERE arr_min > dep_min"
 sql_query(
     "alpha_dominance",
     f"SELECT b.from_station, b.to_station, b.dep, b.arr FROM ({_JOURNEYS}) b WHERE NOT EXISTS (SELECT 1 FROM ({_JOURNEYS}) a WHERE a.from_station = b.from_station AND a.to_station = b.to_station AND a.t + 0.5e0 * a.t / b.t * least(abs(a.dep - b.dep), abs(a.arr - b.arr)) < b.t)",
     "segment",
 )
-_ALL_JOURNEYS = _JOURNEYS.replace("clasz IN (1, 2) AND ", "")
-sql_query(
-    "alpha_dominance_all",
-    f"SELECT b.from_station, b.to_station, b.dep, b.arr FROM ({_ALL_JOURNEYS}) b WHERE NOT EXISTS (SELECT 1 FROM ({_ALL_JOURNEYS}) a WHERE a.from_station = b.from_station AND a.to_station = b.to_station AND a.t + 0.5e0 * a.t / b.t * least(abs(a.dep - b.dep), abs(a.arr - b.arr)) < b.t)",
-    "segment",
-)
 
 # --- reliability and bikes ------------------------------------------------------------------
 
@@ -149,9 +144,10 @@ sql_query(
     "segment",
 )
 sql_query("late_compensation", "SELECT msg_id, delay * 5 AS minutes, CASE WHEN delay * 5 >= 120 THEN CAST(floor(price / 2) AS BIGINT) WHEN delay * 5 >= 60 THEN CAST(floor(price / 4) AS BIGINT) ELSE 0 END AS cents FROM (SELECT msg_id, delay, 1000 + trip_id % 900 AS price FROM {message}) m", "message")
-sql_query(
-    "availability_runs",
-    """SELECT terminal, ok, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM (SELECT terminal, ts, ok, nth - row_number() OVER (PARTITION BY terminal, ok ORDER BY ts, bikes) AS run FROM
-    (SELECT terminal, ts, bikes, bikes >= 4 AS ok, row_number() OVER (PARTITION BY terminal ORDER BY ts, bikes) AS nth FROM {snapshot}) x) y GROUP BY terminal, ok, run""",
+ORACLE["availability_runs"] = with_views(
+    """WITH d AS (SELECT DISTINCT terminal, bikes >= 4 AS value, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM snapshot),
+    n AS (SELECT *, CASE WHEN lag(value) OVER w = value AND t - lag(t) OVER w <= 86400 THEN 0 ELSE 1 END AS new FROM d WINDOW w AS (PARTITION BY terminal ORDER BY t, value)),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY terminal ORDER BY t, value ROWS UNBOUNDED PRECEDING) AS run FROM n)
+    SELECT terminal, value, min(t) AS "begin", max(t) AS "end" FROM r GROUP BY terminal, value, run""",
     "snapshot",
 )
