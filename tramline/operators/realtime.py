@@ -42,11 +42,71 @@ def propagate(events: DataFrame) -> DataFrame:
 
 
 def repair(events: DataFrame) -> DataFrame:
-    """Bring measured times of a trip in order: the running maximum forward, capped by later ones."""
+    """Bring the times of a trip in line with its measured ones: ``low``, ``high`` and ``repaired``.
+
+    An event is not after a later measured time (the least of them, its own included) and then not
+    before an earlier one (the greatest), so the bound from before wins where they cross.
+    """
     w = Window.partitionBy("trip_id").orderBy("place")
     low = F.max("is_t").over(w.rowsBetween(Window.unboundedPreceding, 0))
     high = F.min("is_t").over(w.rowsBetween(0, Window.unboundedFollowing))
-    return events.withColumn("low", low).withColumn("high", high).withColumn("repaired", F.greatest("resolved", F.coalesce("low", "resolved")))
+    rows = events.withColumn("low", low).withColumn("high", high)
+    capped = F.least("resolved", "high")  # a null bound is none
+    return rows.withColumn("repaired", F.greatest(capped, "low"))
+
+
+def conflicts(events: DataFrame, route: str | None = None) -> DataFrame:
+    """``events`` with ``fits_trip`` and ``fits_edge``.
+
+    A time fits its trip if it is not before that of the event before nor after that of the next;
+    it fits its edge if, among the trips of its ``route`` at the same place, the order of the schedule
+    is kept strictly (no overtaking).
+    """
+    w = Window.partitionBy("trip_id").orderBy("place")
+    ok = (F.coalesce(F.col("resolved") >= F.lag("resolved").over(w), F.lit(True))) & F.coalesce(F.col("resolved") <= F.lead("resolved").over(w), F.lit(True))
+    rows = events.withColumn("fits_trip", ok)
+    if route is None:
+        return rows.withColumn("fits_edge", F.lit(True))
+    e = Window.partitionBy(route, "place").orderBy("sched", "trip_id")
+    kept = F.coalesce(F.col("resolved") > F.lag("resolved").over(e), F.lit(True)) & F.coalesce(F.col("resolved") < F.lead("resolved").over(e), F.lit(True))
+    return rows.withColumn("fits_edge", kept)
+
+
+UPDATE = ["trip_id", "station_id", "sched", "ev_type", "updated", "reason", "canceled"]
+
+
+def flush(events: DataFrame, stations: DataFrame) -> DataFrame:
+    """Rows of the update message: every event whose time differs from its schedule after propagation and, in trips
+    with a conflict, repair.
+
+    ``events`` has (trip_id, place, seq, ev_type, sched, is_t, forecast_t), ``stations`` (trip_id,
+    seq, station_id).  The reason is that of the time that counts.
+    """
+    rows = conflicts(propagate(events))
+    broken = rows.groupBy("trip_id").agg(F.min("fits_trip").alias("_whole"))
+    rows = repair(rows).join(broken, "trip_id")
+    updated = F.when(F.col("_whole"), F.col("resolved")).otherwise(F.col("repaired"))
+    rows = rows.withColumn("updated", updated)
+    reason = (
+        F.when(~F.col("_whole") & (F.col("updated") != F.col("resolved")), "REPAIR")
+        .when(F.col("is_t") == F.col("updated"), "IS")
+        .when(F.col("forecast_t") == F.col("updated"), "FORECAST")
+        .otherwise("PROPAGATION")
+    )
+    rows = rows.filter("updated <> sched").withColumn("reason", reason).withColumn("canceled", F.lit(False))
+    return rows.join(stations, ["trip_id", "seq"]).select(*UPDATE)
+
+
+def canceled_updates(segments: DataFrame) -> DataFrame:
+    """Update rows of the two events of each cancelled segment (``cancel``)."""
+    gone = segments.filter("canceled")
+    row = lambda station, time, kind: gone.select("trip_id", F.col(station).alias("station_id"), F.col(time).alias("sched"), F.lit(kind).alias("ev_type"), F.col(time).alias("updated"), F.lit("CANCEL").alias("reason"), F.lit(True).alias("canceled"))
+    return row("from_station", "dep_min", "DEP").unionByName(row("to_station", "arr_min", "ARR"))
+
+
+def publish(updates: DataFrame, path: str, batch_id: int = 0) -> None:
+    """Write a batch of update rows under its number; a repeated batch replaces itself."""
+    updates.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").json(f"{path}/batch={batch_id}")
 
 
 def cancel(segments: DataFrame, cancels: DataFrame) -> DataFrame:
@@ -65,8 +125,82 @@ def reroute(stops: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame
 
 
 def validate_additions(events: DataFrame) -> DataFrame:
-    """(trip_id, status) of added trips: events must alternate and times must not fall."""
+    """(trip_id, status) of added trips: events must alternate and times must not fall; with a ``station_id`` a
+    departure must be where the trip arrived."""
     w = Window.partitionBy("trip_id").orderBy("place")
     rows = events.withColumn("falls", F.coalesce(F.col("time") < F.lag("time").over(w), F.lit(False))).withColumn("repeats", F.coalesce(F.col("ev_type") == F.lag("ev_type").over(w), F.lit(False)))
-    out = rows.groupBy("trip_id").agg(F.max("falls").alias("falls"), F.max("repeats").alias("repeats"), F.count(F.lit(1)).alias("n"))
-    return out.select("trip_id", F.when(F.col("n") < 2, "EVENT_COUNT_MISMATCH").when(F.col("repeats"), "EVENT_ORDER_MISMATCH").when(F.col("falls"), "DECREASING_TIME").otherwise("OK").alias("status"))
+    moves = F.lit(False)
+    if "station_id" in events.columns:
+        moves = F.coalesce((F.col("ev_type") == "DEP") & (F.col("station_id") != F.lag("station_id").over(w)), F.lit(False))
+    rows = rows.withColumn("moves", moves)
+    out = rows.groupBy("trip_id").agg(F.max("falls").alias("falls"), F.max("repeats").alias("repeats"), F.max("moves").alias("moves"), F.count(F.lit(1)).alias("n"))
+    status = F.when(F.col("n") < 2, "EVENT_COUNT_MISMATCH").when(F.col("repeats"), "EVENT_ORDER_MISMATCH").when(F.col("moves"), "STATION_MISMATCH").when(F.col("falls"), "DECREASING_TIME").otherwise("OK")
+    return out.select("trip_id", status.alias("status"))
+
+
+def chain_status(events: DataFrame) -> DataFrame:
+    """(trip_id, status) of re-threaded trips: an even number of events, departures and arrivals in turn from a
+    departure on, each departure at the station of the arrival before."""
+    w = Window.partitionBy("trip_id").orderBy("place")
+    rows = events.withColumn("_n", F.row_number().over(w)).withColumn("_at", F.lag("station_id").over(w))
+    wrong = F.col("ev_type") != F.when(F.col("_n") % 2 == 1, "DEP").otherwise("ARR")
+    moved = (F.col("ev_type") == "DEP") & F.col("_at").isNotNull() & (F.col("_at") != F.col("station_id"))
+    # the first event that breaks a rule decides
+    rows = rows.withColumn("_bad", F.when(wrong, "EVENT_ORDER_MISMATCH").when(moved, "STATION_MISMATCH"))
+    out = rows.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("_bad", F.when(F.col("_bad").isNotNull(), F.col("_n"))).alias("bad"))
+    return out.select("trip_id", F.when(F.col("n") % 2 != 0, "EVENT_COUNT_MISMATCH").otherwise(F.coalesce("bad", F.lit("OK"))).alias("status"))
+
+
+def insert_trips(stops: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stops with the valid added trips, (trip_id, status)): ``added`` events (trip_id, place, ev_type, station_id, time).
+
+    A trip that exists already is rejected.
+    """
+    status = validate_additions(added)
+    known = stops.select("trip_id").distinct().withColumn("_known", F.lit(True))
+    status = status.join(known, "trip_id", "left").select("trip_id", F.when(F.col("_known"), "DUPLICATE").otherwise(F.col("status")).alias("status"))
+    good = added.join(status.filter("status = 'OK'").select("trip_id"), "trip_id", "left_semi")
+    w = Window.partitionBy("trip_id").orderBy("place")
+    # an arrival begins a stop, and so does the first departure
+    rows = good.withColumn("seq", F.sum(F.when((F.col("ev_type") == "ARR"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    new = rows.groupBy("trip_id", F.col("seq").cast("long").alias("seq")).agg(F.first("station_id").alias("station_id"), F.max(F.when(F.col("ev_type") == "ARR", F.col("time"))).alias("arr_min"), F.max(F.when(F.col("ev_type") == "DEP", F.col("time"))).alias("dep_min"))
+    new = new.withColumn("arr_min", F.coalesce("arr_min", "dep_min")).withColumn("dep_min", F.coalesce("dep_min", "arr_min")).withColumn("in_allowed", F.lit(True)).withColumn("out_allowed", F.lit(True))
+    return stops.unionByName(new, allowMissingColumns=True), status
+
+
+def reroute_events(events: DataFrame, deleted: DataFrame, added: DataFrame, stored: DataFrame, ruled: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events after the reroutes, (trip_id, status), stored delays).
+
+    ``events`` and ``added`` have (trip_id, station_id, ev_type, sched, delay); ``deleted`` (trip_id,
+    station_id, ev_type, sched).  Delays of deleted events are stored and come back when an event
+    returns.  A trip whose events don't chain, or that is in ``ruled`` (through and merged
+    services), keeps its events.
+    """
+    key = ["trip_id", "station_id", "ev_type", "sched"]
+    asked = deleted.select("trip_id").unionByName(added.select("trip_id")).distinct()
+    kept = events.join(asked, "trip_id", "left_semi").join(deleted.select(*key).distinct(), key, "left_anti")
+    memory = stored.select(*key, F.col("delay").alias("_stored"))
+    new = added.join(memory, key, "left").withColumn("delay", F.coalesce("delay", "_stored")).drop("_stored")
+    rows = kept.select(*key, "delay").unionByName(new.select(*key, "delay"))
+    order = Window.partitionBy("trip_id").orderBy("sched", F.col("ev_type"), "station_id")
+    rows = rows.withColumn("place", F.row_number().over(order))
+    status = asked.join(chain_status(rows), "trip_id", "left").select("trip_id", F.coalesce("status", F.lit("EVENT_COUNT_MISMATCH")).alias("status"))
+    if ruled is not None:
+        status = status.join(ruled.select("trip_id").distinct().withColumn("_r", F.lit(True)), "trip_id", "left").select("trip_id", F.when(F.col("_r"), "RULE_SERVICE_REROUTE_NOT_SUPPORTED").otherwise(F.col("status")).alias("status"))
+    good = status.filter("status = 'OK'").select("trip_id")
+    after = events.join(good, "trip_id", "left_anti").select(*key, "delay").unionByName(rows.join(good, "trip_id", "left_semi").select(*key, "delay"))
+    put_by = events.join(deleted.select(*key).distinct(), key, "left_semi").join(good, "trip_id", "left_semi").filter("delay IS NOT NULL").select(*key, "delay")
+    return after, status, stored.select(*key, "delay").unionByName(put_by).dropDuplicates(key)
+
+
+def counters(messages: DataFrame, resolved: DataFrame, updates: DataFrame) -> DataFrame:
+    """(counter, n): messages by kind, unresolved events, events beyond 24 hours, updates by reason."""
+    kinds = messages.groupBy(F.concat(F.lit("messages_"), "kind").alias("counter")).agg(F.count(F.lit(1)).alias("n"))
+    lost = messages.join(resolved.select("msg_id").distinct(), "msg_id", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("unresolved").alias("counter"), "n")
+    why = updates.groupBy(F.concat(F.lit("updates_"), F.lower("reason")).alias("counter")).agg(F.count(F.lit(1)).alias("n"))
+    return kinds.unionByName(lost).unionByName(why)
+
+
+#: Schemas of messages that are read but change nothing: whether a train waits, and how a connection is assessed.
+CONNECTION_DECISION = "base struct<trip_id:string,station_id:string,time:timestamp>, decisions array<struct<trip_id:string,station_id:string,time:timestamp,hold:boolean>>"
+CONNECTION_ASSESSMENT = "base struct<trip_id:string,station_id:string,time:timestamp>, assessments array<struct<trip_id:string,station_id:string,time:timestamp,rating:int>>"

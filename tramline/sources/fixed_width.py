@@ -122,3 +122,166 @@ def merge_split_rules(spark: SparkSession, path: str) -> DataFrame:
         _int(_cut(line, 0, 7)).alias("eva_begin"), _int(_cut(line, 9, 7)).alias("eva_end"), _int(_cut(line, 18, 5)).alias("number_1"), _cut(line, 25, 6).alias("admin_1"),
         _int(_cut(line, 33, 5)).alias("number_2"), _cut(line, 40, 6).alias("admin_2"), _int(_cut(line, 47, 6)).alias("bitfield"),
     )
+
+
+def through_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(eva, number_1, admin_1, number_2, admin_2, bitfield): service 1 goes on as service 2 at a station."""
+    line = F.col("line")
+    rows = lines(spark, path).filter(F.length("line") >= 40)
+    return rows.select(_int(_cut(line, 13, 7)).alias("eva"), _int(_cut(line, 0, 5)).alias("number_1"), _cut(line, 6, 6).alias("admin_1"), _int(_cut(line, 21, 5)).alias("number_2"), _cut(line, 27, 6).alias("admin_2"), _int(_cut(line, 34, 6)).alias("bitfield"))
+
+
+def attributes(spark: SparkSession, path: str) -> DataFrame:
+    """(code, text): after three blanks the text begins at column 21, else at 12; its last character is a mark."""
+    line = F.col("line")
+    rows = lines(spark, path).filter(~line.startswith("#"))
+    text = F.when(F.trim(F.substring(line, 3, 3)) == "", F.substring(line, 22, 10_000)).otherwise(F.substring(line, 13, 10_000))
+    return rows.withColumn("_t", text).select(_cut(line, 0, 2).alias("code"), F.expr("substring(_t, 1, length(_t) - 1)").alias("text"))
+
+
+def directions(spark: SparkSession, path: str) -> DataFrame:
+    """(code, text) of directions that are no station."""
+    line = F.col("line")
+    return lines(spark, path).select(_cut(line, 0, 7).alias("code"), F.substring(line, 9, 10_000).alias("text"))
+
+
+def providers(spark: SparkSession, path: str) -> DataFrame:
+    """(admin, short_name, long_name, full_name): names of a number (K line) hold for the admins of its ``:`` line."""
+    line = F.col("line")
+    rows = lines(spark, path).select(_int(_cut(line, 0, 5)).alias("provider"), F.substring(line, 7, 1).alias("kind"), "line")
+
+    def name(mark: str) -> Column:  # quoted, or up to a blank
+        quoted = F.regexp_extract(line, f" {mark} ([\"'])(.*?)\\1", 2)
+        return F.when(line.rlike(f" {mark} [\"']"), quoted).otherwise(F.regexp_extract(line, f" {mark} ([^ ]+)", 1))
+
+    names = rows.filter("kind = 'K'").select("provider", name("K").alias("short_name"), name("L").alias("long_name"), name("V").alias("full_name"))
+    admins = rows.filter("kind = ':'").select("provider", F.explode(F.split(F.trim(F.substring(line, 9, 10_000)), " +")).alias("admin"))
+    return admins.join(names, "provider").select("admin", "short_name", "long_name", "full_name")
+
+
+def track_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(eva, train_nr, admin, track, time, bitfield): a null time holds all day, bitfield 0 on all days."""
+    line = F.col("line")
+    return lines(spark, path).filter(F.length("line") >= 29).select(
+        _int(_cut(line, 0, 7)).alias("eva"), _int(_cut(line, 8, 5)).alias("train_nr"), _cut(line, 14, 6).alias("admin"), _cut(line, 21, 8).alias("track"),
+        minutes(_cut(line, 30, 4)).alias("time"), F.coalesce(_int(_cut(line, 35, 6)), F.lit(ALL_DAYS)).alias("bitfield"),
+    )
+
+
+def tracks_of(stops: DataFrame, rules: DataFrame) -> DataFrame:
+    """Stops (eva, train_nr, admin, at, ...) with ``track`` and ``track_days``: of the rules for station, train and admin
+    those without a time, or with the stop's time of day."""
+    r = rules.select("eva", "train_nr", "admin", "track", F.col("time").alias("_time"), F.col("bitfield").alias("track_days"))
+    rows = stops.join(r, ["eva", "train_nr", "admin"], "left")
+    fits = F.col("_time").isNull() | (F.col("_time") == F.pmod("at", F.lit(1440)))
+    return rows.withColumn("track", F.when(fits, F.col("track"))).withColumn("track_days", F.when(fits, F.col("track_days"))).drop("_time").distinct()
+
+
+def infotexts(spark: SparkSession, path: str) -> DataFrame:
+    """(ds100, eva): station codes of a colon-separated file, the fourth and fifth columns, several codes with commas."""
+    parts = F.split("line", ":")
+    rows = lines(spark, path).filter(F.length("line") >= 38).select(_int(F.trim(parts[3])).alias("eva"), F.explode(F.split(parts[4], ",")).alias("ds100"))
+    return rows.select(F.trim("ds100").alias("ds100"), "eva").filter("ds100 <> ''")
+
+
+def basic_data(spark: SparkSession, path: str) -> tuple:
+    """(first date, last date, name) of a schedule: three short lines, read by the driver."""
+    head = [r["line"] for r in spark.read.text(path, wholetext=True).select(F.explode(F.split(F.decode(F.col("value").cast("binary"), ENCODING), "\r?\n")).alias("line")).limit(3).collect()]
+    from datetime import datetime
+
+    day = lambda text: datetime.strptime(text[:10], "%d.%m.%Y").date()
+    return day(head[0]), day(head[1]), head[2].strip() if len(head) > 2 else ""
+
+
+def timezones(spark: SparkSession, path: str, first_day: str) -> DataFrame:
+    """(eva, utc_offset, season_offset, season_first, season_first_min, season_last, season_last_min), days from ``first_day``.
+
+    A line holds an offset, with 47 columns and more also a season; a line of 15 columns names the station
+    whose entry it shares.
+    """
+    line = F.col("line")
+    rows = lines(spark, path).filter(line.rlike("^[0-9]"))
+    day = lambda at: F.datediff(F.to_date(_cut(line, at, 8), "ddMMyyyy"), F.lit(first_day).cast("date")).cast("long")
+    season = F.trim(F.substring(line, 15, 33)) != ""
+    own = rows.filter(F.length("line") >= 47).select(
+        _int(_cut(line, 0, 7)).alias("eva"), minutes(F.regexp_replace(_cut(line, 8, 5), "^[+-]", "")).alias("utc_offset"),
+        F.when(season, minutes(F.regexp_replace(_cut(line, 14, 5), "^[+-]", ""))).alias("season_offset"), F.when(season, day(20)).alias("season_first"), F.when(season, minutes(_cut(line, 29, 4))).alias("season_first_min"),
+        F.when(season, day(34)).alias("season_last"), F.when(season, minutes(_cut(line, 43, 4))).alias("season_last_min"),
+    )
+    alias = rows.filter(F.length("line") == 15).select(_int(_cut(line, 0, 7)).alias("_eva"), _int(_cut(line, 8, 7)).alias("eva"))
+    return own.unionByName(alias.join(own, "eva").drop("eva").withColumnRenamed("_eva", "eva"))
+
+
+def with_timezone(rows: DataFrame, zones: DataFrame, eva: str = "eva") -> DataFrame:
+    """Rows with the zone of the largest station number not above theirs: the zones become intervals of numbers."""
+    from pyspark.sql import Window
+
+    z = zones.withColumn("_to", F.lead("eva").over(Window.partitionBy(F.lit(1)).orderBy("eva"))).withColumnRenamed("eva", "_from")  # a few dozen zones
+    return rows.join(F.broadcast(z), (F.col(eva) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(eva) < F.col("_to"))), "left").drop("_from", "_to")
+
+
+def to_utc(day: Column, local: Column, adjust: bool = True) -> Column:
+    """Minutes from day 0 in UTC of a local time of a day, by the columns of ``with_timezone``; null in the hour that a
+    season skips, unless ``adjust`` takes it an hour later."""
+    t = day * 1440 + local
+    begin, end = F.col("season_first") * 1440 + F.col("season_first_min") - F.col("utc_offset"), F.col("season_last") * 1440 + F.col("season_last_min") - F.col("season_offset")
+    shift = lambda x: F.when(F.coalesce((begin + F.col("utc_offset") <= x) & (x <= end + F.col("season_offset")), F.lit(False)), x - F.col("season_offset")).otherwise(x - F.col("utc_offset"))
+    skipped = F.coalesce((begin + F.col("utc_offset") <= t) & (t < begin + F.col("utc_offset") + 60), F.lit(False))
+    return F.when(skipped, shift(t + 60) if adjust else F.lit(None).cast("long")).otherwise(shift(t))
+
+
+def to_local(utc: Column) -> Column:
+    """The inverse of ``to_utc``."""
+    begin, end = F.col("season_first") * 1440 + F.col("season_first_min") - F.col("utc_offset"), F.col("season_last") * 1440 + F.col("season_last_min") - F.col("season_offset")
+    return utc + F.when(F.coalesce((begin <= utc) & (utc <= end), F.lit(False)), F.col("season_offset")).otherwise(F.col("utc_offset"))
+
+
+#: Names of the two dialects' files, alternatives in order; the first names the dialect.
+FILES = {
+    "5.00.8": {"basic": ("eckdaten.101",), "attributes": ("attributd_int_int.101", "attributd_int.101"), "stations": ("bahnhof.101",), "coordinates": ("dbkoord_geo.101",), "bitfields": ("bitfield.101",), "tracks": ("gleise.101",), "infotext": ("infotext.101",), "categories": ("zugart_int.101",), "directions": ("richtung.101",), "providers": ("unternehmen_ris.101",), "through": ("durchbi.101",), "merge_split": ("vereinig_vt.101",), "timezones": ("zeitvs.101",), "footpaths": ("metabhf.101",)},
+    "5.20.26": {"basic": ("eckdaten.txt",), "attributes": ("attributd.txt",), "stations": ("bahnhof.txt",), "coordinates": ("bfkoord.txt",), "bitfields": ("bitfield.txt",), "tracks": ("gleise.txt",), "infotext": ("infotext.txt",), "categories": ("zugart.txt",), "directions": ("richtung.txt",), "providers": ("betrieb.txt",), "through": ("durchbi.txt",), "merge_split": ("vereinig.txt",), "timezones": ("zeitvs.txt",), "footpaths": ("metabhf.txt",)},
+}
+
+
+def detect(spark: SparkSession, path: str) -> tuple[str | None, dict[str, str], list[str]]:
+    """(dialect, file by role, missing names) of a schedule folder with ``stamm`` and ``fahrten``."""
+    from .files import exists
+
+    root = f"{path}/stamm"
+    for dialect, files in FILES.items():
+        if not exists(spark, f"{root}/{files['basic'][0]}"):
+            continue
+        found = {role: next((f"{root}/{n}" for n in names if exists(spark, f"{root}/{n}")), None) for role, names in files.items()}
+        gone = [n for role, names in files.items() if found[role] is None for n in names]
+        if not exists(spark, f"{path}/fahrten"):
+            gone.append("fahrten")
+        return dialect, {r: f for r, f in found.items() if f}, gone
+    return None, {}, ["eckdaten.*"]
+
+
+def service_days(services: DataFrame, days: DataFrame, last_day: int) -> DataFrame:
+    """(service, section, day): days of each section by the day sets of its station ranges; set 0 is every day up to ``last_day``.
+
+    ``services`` has ``service``, ``stops`` and ``days`` as decoded by ``services``; a range holds from its first station's first stop
+    to its last station's stop after that.
+    """
+    rows = services.select("service", "stops", F.explode("days").alias("r"))
+    first = F.array_position(F.transform("stops", lambda s: s["eva"]), F.col("r.from_eva")).cast("int") - 1
+    rows = rows.withColumn("_first", F.when(F.col("r.from_eva").isNull(), 0).otherwise(first)).withColumn("_n", F.size("stops"))
+    after = F.transform(F.slice("stops", F.col("_first") + 2, F.greatest(F.col("_n") - F.col("_first") - 1, F.lit(0))), lambda s: s["eva"])
+    last = F.array_position(after, F.col("r.to_eva")).cast("int") + F.col("_first")
+    rows = rows.withColumn("_last", F.when(F.col("r.to_eva").isNull(), F.col("_n") - 1).otherwise(last)).filter("_first >= 0 AND _last > _first")
+    rows = rows.select("service", F.explode(F.sequence(F.col("_first"), F.col("_last") - 1)).cast("long").alias("section"), F.col("r.bitfield").alias("bitfield"))
+    every = services.sparkSession.range(last_day + 1).select(F.lit(ALL_DAYS).cast("long").alias("bitfield"), F.col("id").alias("day"))
+    return rows.join(days.filter(F.col("bitfield") != ALL_DAYS).select("bitfield", "day").unionByName(every), "bitfield").select("service", "section", "day").distinct()
+
+
+def utc_services(stops: DataFrame, days: DataFrame, zones: DataFrame) -> DataFrame:
+    """(service, variant, day, seq, eva, arr, dep): stops (service, seq, eva, arr_min, dep_min) on their days in UTC.
+
+    Days whose stops all shift alike form one ``variant`` of the service: its minutes of the day are equal.
+    """
+    rows = with_timezone(stops.join(days.select("service", "day").distinct(), "service"), zones)
+    rows = rows.withColumn("arr", to_utc(F.col("day"), F.col("arr_min"))).withColumn("dep", to_utc(F.col("day"), F.col("dep_min")))
+    shape = rows.groupBy("service", "day").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("seq", (F.col("arr") - F.col("day") * 1440).alias("a"), (F.col("dep") - F.col("day") * 1440).alias("d"))))).alias("variant"))
+    return rows.join(shape, ["service", "day"]).select("service", "variant", "day", "seq", "eva", "arr", "dep")

@@ -6,8 +6,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hms_to_minutes
-
-REQUIRED = ("agency", "stops", "routes", "trips", "stop_times")
+from ..operators.timetable import on_days, segments
+from .files import exists
+
+REQUIRED = ("agency", "stops", "routes", "trips", "stop_times", "transfers")
+#: One of these is enough.
+CALENDARS = ("calendar", "calendar_dates")
+#: Fixed value: days of a timetable, counted from its first.
+MOST_DAYS = 512
+#: Category and class (0 best) by hundreds of the extended route types, and of the basic types.
+ROUTE_KINDS = {
+    1: ("Rail", 4), 2: ("Coach", 8), 3: ("Suburban", 5), 4: ("Urban", 6), 5: ("Metro", 6), 6: ("Underground", 6), 7: ("Bus", 8), 8: ("Trolleybus", 8),
+    9: ("Tram", 7), 10: ("Water", 9), 11: ("Air", 9), 12: ("Ferry", 9), 13: ("Aerial", 9), 14: ("Funicular", 9), 15: ("Taxi", 9), 17: ("Other", 9),
+}
+#: Names of single route types that differ from their hundred's.
+ROUTE_NAMES = {
+    0: "Tram", 1: "Subway", 2: "Rail", 3: "Bus", 4: "Ferry", 5: "Cable Car", 6: "Gondola", 7: "Funicular", 11: "Trolleybus", 12: "Monorail",
+    101: "High Speed Rail", 102: "Long Distance", 103: "Inter Regional", 105: "Sleeper", 106: "Regional", 109: "Suburban", 116: "Rack Railway", 200: "Coach", 204: "Regional Coach",
+    401: "Metro", 402: "Underground", 405: "Monorail", 700: "Bus", 701: "Regional Bus", 702: "Express Bus", 704: "Local Bus", 705: "Night Bus", 714: "Rail Replacement", 715: "Demand Bus",
+    900: "Tram", 1000: "Water", 1100: "Air", 1200: "Ferry", 1300: "Aerial", 1400: "Funicular", 1500: "Taxi", 1501: "Shared Taxi",
+}
+BASIC_CLASS = {0: 7, 1: 6, 2: 4, 3: 8, 4: 9, 5: 7, 6: 9, 7: 9, 11: 8, 12: 6}
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 COLUMNS = {
     "agency": "agency_id string, agency_name string, agency_timezone string",
@@ -29,14 +48,46 @@ def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return raw.select(*[(F.trim(F.col(f"`{have[c]}`")) if c in have else F.lit(None)).cast(t).alias(c) for c, t in fields])
 
 
-def service_days(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """(service_id, day): weekday patterns inside their own dates, plus added and minus removed days."""
+def missing_files(spark: SparkSession, path: str) -> list[str]:
+    """Files that a feed lacks: required ones, and both calendars where neither is there."""
+    there = {n: exists(spark, f"{path}/{n}.txt") for n in (*REQUIRED, *CALENDARS)}
+    out = [f"{n}.txt" for n in REQUIRED if not there[n]]
+    return out if any(there[n] for n in CALENDARS) else out + [f"{n}.txt" for n in CALENDARS]
+
+
+def applicable(spark: SparkSession, path: str) -> bool:
+    return not missing_files(spark, path)
+
+
+def service_days(calendar: DataFrame, exceptions: DataFrame, first_day=None) -> DataFrame:
+    """(service_id, day): weekday patterns inside their own dates, plus added and minus removed days.
+
+    With ``first_day`` (a date) days outside the ``MOST_DAYS`` that begin there are dropped.
+    """
     flags = F.array(*[F.col(d) for d in WEEKDAYS])
     day = lambda c: F.to_date(F.col(c), "yyyyMMdd")
     base = calendar.withColumn("day", F.explode(F.sequence(day("start_date"), day("end_date")))).filter(F.element_at(flags, F.weekday("day") + 1) == 1).select("service_id", "day")
     change = exceptions.select("service_id", day("date").alias("day"), "exception_type")
     added = change.filter("exception_type = 1").select("service_id", "day")
-    return base.union(added).distinct().join(change.filter("exception_type <> 1"), ["service_id", "day"], "left_anti")
+    out = base.union(added).distinct().join(change.filter("exception_type <> 1"), ["service_id", "day"], "left_anti")
+    if first_day is None:
+        return out
+    return out.filter(F.datediff("day", F.lit(first_day).cast("date")).between(0, MOST_DAYS - 1))
+
+
+def route_category(route_type) -> F.Column:
+    """Category name of a basic or extended route type."""
+    named = F.create_map(*[x for k, v in ROUTE_NAMES.items() for x in (F.lit(k), F.lit(v))])
+    kinds = F.create_map(*[x for k, v in ROUTE_KINDS.items() for x in (F.lit(k), F.lit(v[0]))])
+    return F.coalesce(F.try_element_at(named, route_type), F.try_element_at(kinds, F.floor(route_type / 100).cast("int")), F.lit("Other"))
+
+
+def route_class(route_type) -> F.Column:
+    """Class of a route type: 0 for high-speed rail to 9 for other means."""
+    basic = F.create_map(*[x for k, v in BASIC_CLASS.items() for x in (F.lit(k), F.lit(v))])
+    kinds = F.create_map(*[x for k, v in ROUTE_KINDS.items() for x in (F.lit(k), F.lit(v[1]))])
+    rail = F.when(route_type == 101, 0).when(route_type.isin(102, 105), 1).when(route_type == 103, 3).when(route_type == 109, 5)
+    return F.coalesce(rail, F.try_element_at(basic, route_type), F.try_element_at(kinds, F.floor(route_type / 100).cast("int")), F.lit(9)).cast("int")
 
 
 def missing_keys(rows: DataFrame, key: str, of: DataFrame) -> DataFrame:
@@ -44,6 +95,14 @@ def missing_keys(rows: DataFrame, key: str, of: DataFrame) -> DataFrame:
     return rows.select(key).distinct().join(of.select(key).distinct(), key, "left_anti")
 
 
+def check_keys(t: dict[str, DataFrame], days: DataFrame) -> None:
+    """Fail on trips of unknown routes or services and on stop times of unknown trips or stops; an example is named."""
+    for rows, key, of in (("trips", "route_id", t["routes"]), ("trips", "service_id", days), ("stop_times", "trip_id", t["trips"]), ("stop_times", "stop_id", t["stops"])):
+        bad = missing_keys(t[rows].filter(F.col(key).isNotNull()), key, of).limit(1).collect()
+        if bad:
+            raise ValueError(f"{rows}.txt: no such {key}: {bad[0][0]}")
+
+
 def stop_rows(stop_times: DataFrame) -> DataFrame:
     """Stops of trips in order, numbered from 0; pickup and drop-off type 0 (or none) allow boarding and alighting."""
     w = Window.partitionBy("trip_id").orderBy("stop_sequence")
@@ -59,21 +118,65 @@ def stop_rows(stop_times: DataFrame) -> DataFrame:
     )
 
 
-def footpaths(transfers: DataFrame, kinds: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(a, b, dur minutes) of the accepted transfer types; the shortest of repeated rows."""
-    kept = transfers.filter(F.col("transfer_type").isin(*kinds))
-    return kept.groupBy(F.col("from_stop_id").alias("a"), F.col("to_stop_id").alias("b")).agg(F.min(F.floor(F.coalesce("min_transfer_time", F.lit(0)) / 60)).cast("long").alias("dur"))
+def transfers(rows: DataFrame) -> DataFrame:
+    """(from_stop_id, to_stop_id, minutes, transfer_type), one per pair: the first by its line in the file.
+
+    Lines are numbered by their position in the scan of the file, which Spark reads in order.
+    """
+    numbered = rows.withColumn("_line", F.monotonically_increasing_id())
+    best = numbered.groupBy("from_stop_id", "to_stop_id").agg(F.min_by(F.struct(F.floor(F.coalesce("min_transfer_time", F.lit(0)) / 60).cast("long").alias("minutes"), "transfer_type"), "_line").alias("x"))
+    return best.select("from_stop_id", "to_stop_id", "x.*")
 
 
-def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """All staging tables of a feed: station, trip, trip_stop, service_day, footpath."""
-    t = {n: read(spark, path, n) for n in COLUMNS}
+def footpaths(rows: DataFrame, kinds: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(a, b, dur minutes) of the accepted transfer types; the first of repeated rows counts."""
+    kept = transfers(rows).filter(F.col("transfer_type").isin(*kinds))
+    return kept.select(F.col("from_stop_id").alias("a"), F.col("to_stop_id").alias("b"), F.col("minutes").alias("dur"))
+
+
+def load(spark: SparkSession, path: str, strict: bool = False) -> dict[str, DataFrame]:
+    """All staging tables of a feed: station, trip, trip_stop, service_day, footpath.
+
+    Files that are not there are empty tables; ``strict`` refuses an incomplete feed and unknown keys.
+    """
+    if strict and (gone := missing_files(spark, path)):
+        raise FileNotFoundError(f"{path}: missing {', '.join(gone)}")
+    t = {n: read(spark, path, n) if exists(spark, f"{path}/{n}.txt") else spark.createDataFrame([], COLUMNS[n]) for n in COLUMNS}
+    days = service_days(t["calendar"], t["calendar_dates"])
+    if strict:
+        check_keys(t, days)
     agency = t["agency"].select("agency_id", "agency_name", "agency_timezone")
     trip = t["trips"].join(t["routes"], "route_id").join(agency, "agency_id", "left")
+    trip = trip.withColumn("category", route_category(F.col("route_type"))).withColumn("clasz", route_class(F.col("route_type")))
     return {
         "station": t["stops"].select(F.col("stop_id").alias("station_id"), F.col("stop_name").alias("name"), F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lng"), F.lit(5).alias("transfer_min")),
         "trip": trip,
         "trip_stop": stop_rows(t["stop_times"]),
-        "service_day": service_days(t["calendar"], t["calendar_dates"]),
+        "service_day": days,
         "footpath": footpaths(t["transfers"]),
     }
+
+
+def timetable(feed: dict[str, DataFrame], first_day: str, last_day: str) -> dict[str, DataFrame]:
+    """station (numbered), conn and footpath of a feed for the dates first_day .. last_day: what journey search takes.
+
+    Stations and trips get numbers by their ids in code-point order; footpaths get the stations'
+    transfer times as self loops.  Untimed stops take no part.
+    """
+    def numbered(rows: DataFrame, key: str, out: str) -> DataFrame:
+        # a range sort numbers whole partitions at once: no window over all rows in one task
+        ids = rows.select(F.col(key).cast("string").alias(key)).distinct().orderBy(key)
+        pairs = ids.rdd.map(lambda r: r[0]).zipWithIndex()
+        return rows.sparkSession.createDataFrame(pairs, f"{key} string, {out} long")
+
+    station = feed["station"].join(numbered(feed["station"], "station_id", "number"), "station_id")
+    trips = feed["trip"].join(numbered(feed["trip"], "trip_id", "trip_number"), "trip_id")
+    stops = feed["trip_stop"].filter("arr_min IS NOT NULL AND dep_min IS NOT NULL").join(trips.select("trip_id", "trip_number", "clasz"), "trip_id")
+    stops = stops.withColumnRenamed("station_id", "_s").join(station.select(F.col("station_id").alias("_s"), F.col("number").alias("station_id")), "_s")
+    legs = segments(stops.select(F.col("trip_number").alias("trip_id"), "seq", "station_id", "arr_min", "dep_min", "in_allowed", "out_allowed", "clasz"))
+    days = trips.join(feed["service_day"].filter(F.col("day").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))), "service_id")
+    days = days.select(F.col("trip_number").alias("trip_id"), F.datediff("day", F.lit(first_day).cast("date")).cast("long").alias("day")).distinct()
+    at = lambda c: station.select(F.col("station_id").alias(c), F.col("number").alias(f"{c}_n"))
+    walks = feed["footpath"].join(at("a"), "a").join(at("b"), "b").select(F.col("a_n").alias("a"), F.col("b_n").alias("b"), "dur")
+    loops = station.select(F.col("number").alias("a"), F.col("number").alias("b"), F.col("transfer_min").cast("long").alias("dur")).join(walks.filter("a = b"), ["a", "b"], "left_anti")
+    return {"station": station, "trip": trips, "conn": on_days(legs, days), "footpath": walks.unionByName(loops)}
