@@ -22,7 +22,9 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]+")
+#: Code points of terms: ASCII letters, and letters and marks beyond without signs, punctuation and symbols.
+LETTERS = ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xB5, 0xB5), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x1FFF), (0x2C00, 0x2DFF), (0x3005, 0xD7FF), (0xF900, 0xFDFF), (0xFE70, 0xFEFE), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0xFF66, 0x10FFFF))
+_TERM = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LETTERS) + "]+")
+#: What stands between terms, in the syntax of Arrow's patterns.
+_BETWEEN = "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in LETTERS) + "]+"
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 _ACCOUNT = re.compile(r"(?<![0-9A-Za-z.])[0-9]{12,19}(?![0-9A-Za-z])")
 _ASSIGNED = re.compile(
@@ -230,8 +236,25 @@ def _witness(name: str) -> int:
     return 1 << zlib.crc32(name.encode("utf-8", "replace")) % WITNESSES
 
 
+def words_of(text: str) -> set[str]:
+    """Distinct lower-case terms of a whole text; parts of entities count too, here and in all frequencies."""
+    return {w.lower() for w in set(_TERM.findall(text))}
+
+
+def term_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(row, term number) of each term of a batch of texts, and the distinct terms as they are written."""
+    lists = pc.split_pattern_regex(texts.fill_null(""), _BETWEEN)
+    found = lists.flatten().dictionary_encode()
+    rows = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return rows, found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
+
+
+#: Stands for every entity in the counts of ``cooccurrences``.
+ANY = "any"
+
+
 def cooccurrences(docs: DataFrame, text_col: str, wanted: bytes) -> DataFrame:
-    """(entity, term, n_ct, seen): documents that hold both, for the values that pass the filter and for kinds.
+    """(entity, term, n_ct, seen): documents that hold both, for the values that pass the filter, for kinds and for ``ANY``.
 
     ``seen`` is the number of classes of witnesses: texts for a value; for a kind one value per
     document, so that copies of a document are one witness.
@@ -253,14 +276,14 @@ def cooccurrences(docs: DataFrame, text_col: str, wanted: bytes) -> DataFrame:
                 found = protected(text)
                 if not found:
                     continue
-                about: dict[str, int] = {}
+                about: dict[str, int] = {ANY: 0}
                 for s, k, e in found:
                     name = _name(text, k, s, e)
                     if passes(name):
                         about[name] = _witness(text)
                     kind = f"kind:{KINDS[k]}"
                     about[kind] = min(about.get(kind, 1 << WITNESSES), _witness(name))
-                words = {w.lower() for w in {m[0] for m in terms(text, found)}}
+                words = words_of(text)
                 for n, witness in about.items():
                     for w in words:
                         if (c := counts.get((n, w))) is None:
@@ -290,13 +313,15 @@ def document_frequencies(docs: DataFrame, text_col: str, wanted: bytes) -> DataF
             return batch
 
         for b in batches:
-            for t in b.column(0):
-                text = t.as_py() or ""
-                words = {w for w in map(str.lower, set(_TERM.findall(text))) if passes(w)}
-                if words:  # parts of entities are no terms
-                    counts.update(words & {w.lower() for w in {m[0] for m in terms(text, protected(text))}})
-                if len(counts) > 200_000:
-                    yield out()
+            rows, at, names = term_places(b.column(0))
+            low: dict[str, int] = {}  # passing terms in lower case
+            number = np.array([low.setdefault(w, len(low)) if (w := n.lower()) and passes(w) else -1 for n in names], np.int64)
+            of = number[at]
+            pairs = np.unique(rows[of >= 0] * max(1, len(low)) + of[of >= 0])  # a term counts once per document
+            n = np.bincount(pairs % max(1, len(low)), minlength=len(low))
+            counts.update({w: int(n[k]) for w, k in low.items()})
+            if len(counts) > 200_000:
+                yield out()
         if counts:
             yield out()
 
@@ -310,10 +335,11 @@ def places(docs: DataFrame, id_col: str, text_col: str, wanted: bytes) -> DataFr
         passes = Passing(wanted)
         for b in batches:
             rows: tuple[list, list, list, list] = ([], [], [], [])
-            for i, key, t in zip(*b.columns, strict=True):
-                text = t.as_py() or ""
-                if not any(passes(w.lower()) for w in set(_TERM.findall(text))):
-                    continue
+            row, at, names = term_places(b.column(2))
+            hit = np.array([bool(n) and passes(n.lower()) for n in names], bool)
+            for k in np.unique(row[hit[at]]).tolist():
+                i, key, t = (c[k] for c in b.columns)
+                text = t.as_py()
                 at: dict[str, list] = {}
                 for m in terms(text, protected(text)):
                     if passes(w := m[0].lower()):
@@ -337,14 +363,17 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, alpha: fl
     entity = settle(entity_counts(found).filter((F.col("n_c") >= support) & ~F.col("entity").startswith("in:")), "pii-entities")
     values = entity.filter(~F.col("entity").startswith("kind:")).select(F.col("entity").alias("term"))
     least = F.when(F.col("entity").startswith("kind:"), kind_support).otherwise(support)
-    pairs = cooccurrences(docs, text_col, term_filter(values)).filter(F.col("seen") >= least)
-    pairs = settle(pairs.join(entity, "entity"), "pii-pairs")
-    df = document_frequencies(docs, text_col, term_filter(pairs.select("term").distinct()))
     total = float(max(1, found.count()))
-    risky = F.log(F.col("n_ct") / F.col("df")) >= F.lit(1.0 - alpha) * F.log(F.col("n_c") / F.lit(total))
-    risky = settle(pairs.join(df, "term").filter(risky).select("entity", "term"), "pii-risky")
-    forget(entity)
-    forget(pairs)
+    discloses = lambda n: F.log(F.col("n_ct") / F.col(n)) >= F.lit(1.0 - alpha) * F.log(F.col("n_c") / F.lit(total))
+    counts = settle(cooccurrences(docs, text_col, term_filter(values)), "pii-counts")
+    # documents with any entity are some of the term's: what fails among them need not be counted in all
+    some = counts.filter(F.col("entity") == ANY).select("term", F.col("n_ct").alias("n_any"))
+    pairs = counts.filter((F.col("entity") != ANY) & (F.col("seen") >= least)).join(some, "term").join(entity, "entity").filter(discloses("n_any"))
+    pairs = settle(pairs.select("entity", "term", "n_ct", "n_c"), "pii-pairs")
+    df = document_frequencies(docs, text_col, term_filter(pairs.select("term").distinct()))
+    risky = settle(pairs.join(df, "term").filter(discloses("df")).select("entity", "term"), "pii-risky")
+    for done in (entity, counts, pairs):
+        forget(done)
     return risky
 
 
