@@ -29,7 +29,7 @@ CAPACITY = 4096
 #: Id appended to every document.
 END = 1
 #: Letter runs that a worker's cache may hold.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 200_000
 
 _caches: dict[str, WordCodes] = {}
 
@@ -39,7 +39,7 @@ _TAIL = ".,;:!?#*%&$|)"
 _PLAIN = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+[.,;:!?#*%&$|)]*$"
 _RUN = r"^[^.,;:!?#*%&$|)]+"
 #: Letter runs encoded in one call, with blanks between them; bytes of text handled at once.
-TOGETHER, TEXT_BYTES = 5000, 1 << 20
+TOGETHER, TEXT_BYTES = 5000, 2 << 20
 
 
 class WordCodes:
