@@ -330,6 +330,8 @@ def sketches_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _wanted(docs, ids, lambda s: (len(s), parity(s).tobytes()), "id long, n long, sketch binary", "n sketch", (pa.int64(), pa.binary()))
 
 
+#: Rows of one head that one task takes; a head with more is split by signature.
+HEAD_ROWS = 5_000
 #: Rows of a signature compared in one block; larger groups are cut into pairs of blocks.
 BLOCK = 512
 #: Largest group whose pairs are named one by one.
@@ -359,12 +361,19 @@ def _near(ids, comps, sizes, sides, sketches) -> set[tuple[int, int]]:
     return out
 
 
+def _parted(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``part``: signatures of a head that has many rows are dealt to several tasks."""
+    hot = rows.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAD_ROWS).select("head", F.ceil(F.col("n") / HEAD_ROWS).alias("parts"))
+    hot = settle(hot, "join-heads")  # a few rows, whose size the planner then knows
+    return rows.join(hot, "head", "left").withColumn("part", F.pmod(F.xxhash64("sig"), F.coalesce("parts", F.lit(1)))).drop("parts")
+
+
 def _large_groups(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     """Cross-component pairs of large groups: whole groups compared as sketches, in blocks of bounded size."""
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = _parted(rows).withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.join(sketches, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("head", "sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "component", "n", side.alias("side"), "sketch")
+    rows = rows.select("head", "sig", "part", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "component", "n", side.alias("side"), "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, sent = None, [], set()
@@ -377,7 +386,7 @@ def _large_groups(rows: DataFrame, sketches: DataFrame) -> DataFrame:
 
         for b in batches:
             pairs: set[tuple[int, int]] = set()
-            cols = [b.column(k).to_pylist() for k in range(1, 9)]
+            cols = [b.column(k).to_pylist() for k in (1, *range(3, 10))]
             for sig, lo, hi, i, c, n, side, sketch in zip(*cols, strict=True):
                 if key != (sig, lo, hi):
                     pairs |= flush()
@@ -392,7 +401,7 @@ def _large_groups(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         if last := flush() - sent:
             yield _pairs(last)
 
-    return rows.repartition("head", "lo", "hi").sortWithinPartitions("head", "sig", "lo", "hi").mapInArrow(tidy(run), "a long, b long")
+    return rows.repartition("head", "part", "lo", "hi").sortWithinPartitions("head", "sig", "lo", "hi").mapInArrow(tidy(run), "a long, b long")
 
 
 def _pairs(pairs) -> pa.RecordBatch:
@@ -429,7 +438,7 @@ def _small_groups(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         if fresh:
             yield _pairs(fresh)
 
-    named = rows.select("head", "sig", "id", "component").repartition("head").sortWithinPartitions("head", "sig").mapInArrow(tidy(run), "a long, b long").distinct()
+    named = _parted(rows).select("head", "sig", "id", "component", "part").repartition("head", "part").sortWithinPartitions("head", "sig").mapInArrow(tidy(run), "a long, b long").distinct()
     left = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     right = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
 
@@ -454,7 +463,8 @@ def cross_candidates(open_rows: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a > b) in different components that share a signature and may link.
 
     Every pair of a group is looked at, but only as sketches and only across components.  Rows
-    of groups with the same smallest id, mostly signatures of one family, meet in one task.
+    of groups with the same smallest id, mostly signatures of one family, meet in one task, so that a
+    pair is named once; those of a large family are dealt to several by their signature.
     """
     rows = open_rows.join(open_rows.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig")
     few, many = rows.filter(F.col("size") <= FEW), rows.filter(F.col("size") > FEW)
