@@ -178,7 +178,7 @@ def privacy_by_hand(rows, support=privacy.SUPPORT, kind_support=privacy.KIND_SUP
         found = privacy.protected(t)
         values = {privacy._name(t, k, s, e) for s, k, e in found}
         kinds = {f"kind:{privacy.KINDS[k]}" for _, k, _ in found}
-        words = {m[0].lower() for m in privacy.terms(t, found)}
+        words = {w.lower() for w in re.findall(r"[^\W\d_]+", t)}
         df.update(words)
         n_c.update(values | kinds)
         for v in values | kinds:
@@ -368,6 +368,35 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.link_documents(empty)[1].count() == 0
 
 
+def test_large_groups_are_compared_whole(spark, monkeypatch):
+    """Groups above the size whose pairs are named one by one, in several blocks and with heads of several parts."""
+    rnd = random.Random(11)
+    vocab = [f"v{i}" for i in range(5000)]
+    shared = [rnd.choice(vocab) for _ in range(60)]
+    rows = []
+    for i in range(90):  # one passage in all, families of three that link
+        own = [rnd.choice(vocab) for _ in range(25)]
+        for k in range(3):
+            words = shared + own
+            words[60 + k] = rnd.choice(vocab)
+            rows.append((3 * i + k, " ".join(words)))
+    want = components_by_hand(rows)
+    monkeypatch.setattr(ngram_join, "FEW", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "HEAD_ROWS", 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes, found = ngram_join.link_documents(docs)
+    comps = {r.id: r.component for r in found.collect()}
+    assert {r.id: (r.n, comps.get(r.id, r.id)) for r in sizes.collect()} == want
+    signed = ngram_join.settle(ngram_join.shared_signatures(ngram_join.signature_rows(docs.select(F.col("doc_id").alias("id"), "text"), np.empty(0, np.uint64), docs.select(F.col("doc_id").alias("id")))), "t")
+    alone = signed.withColumn("component", F.col("id")).withColumn("first", F.col("head"))
+    assert alone.groupBy("sig").count().filter("count > 40").count() > 0
+    sketches = ngram_join.sketches_of(docs.select(F.col("doc_id").alias("id"), "text"), signed.select("id").distinct())
+    pairs = {(r.a, r.b) for r in ngram_join.cross_candidates(alone.select("sig", "id", "head", "component", "first"), sketches).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    assert {(j, i) for i in sets for j in sets if i < j and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])} <= pairs
+
+
 def test_linking_sets_share_enough_signatures():
     rnd = np.random.default_rng(2)
     none = np.empty(0, np.uint64)
