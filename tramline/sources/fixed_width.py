@@ -162,7 +162,7 @@ def providers(spark: SparkSession, path: str) -> DataFrame:
 def track_rules(spark: SparkSession, path: str) -> DataFrame:
     """(eva, train_nr, admin, track, time, bitfield): a null time holds all day, bitfield 0 on all days."""
     line = F.col("line")
-    return lines(spark, path).filter(F.length("line") >= 29).select(
+    return lines(spark, path).filter(F.length("line") >= 22).select(
         _int(_cut(line, 0, 7)).alias("eva"), _int(_cut(line, 8, 5)).alias("train_nr"), _cut(line, 14, 6).alias("admin"), _cut(line, 21, 8).alias("track"),
         minutes(_cut(line, 30, 4)).alias("time"), F.coalesce(_int(_cut(line, 35, 6)), F.lit(ALL_DAYS)).alias("bitfield"),
     )
@@ -196,19 +196,19 @@ def basic_data(spark: SparkSession, path: str) -> tuple:
 def timezones(spark: SparkSession, path: str, first_day: str) -> DataFrame:
     """(eva, utc_offset, season_offset, season_first, season_first_min, season_last, season_last_min), days from ``first_day``.
 
-    A line holds an offset, with 47 columns and more also a season; a line of 15 columns names the station
-    whose entry it shares.
+    A line holds an offset and, where columns 15 to 47 are not blank, a season; a line of two numbers names the
+    station whose entry it shares.
     """
     line = F.col("line")
     rows = lines(spark, path).filter(line.rlike("^[0-9]"))
     day = lambda at: F.datediff(F.to_date(_cut(line, at, 8), "ddMMyyyy"), F.lit(first_day).cast("date")).cast("long")
     season = F.trim(F.substring(line, 15, 33)) != ""
-    own = rows.filter(F.length("line") >= 47).select(
+    own = rows.filter(line.rlike("^[0-9]{7} [+-]")).select(
         _int(_cut(line, 0, 7)).alias("eva"), minutes(F.regexp_replace(_cut(line, 8, 5), "^[+-]", "")).alias("utc_offset"),
         F.when(season, minutes(F.regexp_replace(_cut(line, 14, 5), "^[+-]", ""))).alias("season_offset"), F.when(season, day(20)).alias("season_first"), F.when(season, minutes(_cut(line, 29, 4))).alias("season_first_min"),
         F.when(season, day(34)).alias("season_last"), F.when(season, minutes(_cut(line, 43, 4))).alias("season_last_min"),
     )
-    alias = rows.filter(F.length("line") == 15).select(_int(_cut(line, 0, 7)).alias("_eva"), _int(_cut(line, 8, 7)).alias("eva"))
+    alias = rows.filter(line.rlike("^[0-9]{7} [0-9]{7}$")).select(_int(_cut(line, 0, 7)).alias("_eva"), _int(_cut(line, 8, 7)).alias("eva"))
     return own.unionByName(alias.join(own, "eva").drop("eva").withColumnRenamed("_eva", "eva"))
 
 
@@ -271,7 +271,7 @@ def service_days(services: DataFrame, days: DataFrame, last_day: int) -> DataFra
     after = F.transform(F.slice("stops", F.col("_first") + 2, F.greatest(F.col("_n") - F.col("_first") - 1, F.lit(0))), lambda s: s["eva"])
     last = F.array_position(after, F.col("r.to_eva")).cast("int") + F.col("_first")
     rows = rows.withColumn("_last", F.when(F.col("r.to_eva").isNull(), F.col("_n") - 1).otherwise(last)).filter("_first >= 0 AND _last > _first")
-    rows = rows.select("service", F.explode(F.sequence(F.col("_first"), F.col("_last") - 1)).cast("long").alias("section"), F.col("r.bitfield").alias("bitfield"))
+    rows = rows.select("service", F.explode(F.sequence(F.col("_first").cast("long"), F.col("_last").cast("long") - 1)).alias("section"), F.col("r.bitfield").alias("bitfield"))
     every = services.sparkSession.range(last_day + 1).select(F.lit(ALL_DAYS).cast("long").alias("bitfield"), F.col("id").alias("day"))
     return rows.join(days.filter(F.col("bitfield") != ALL_DAYS).select("bitfield", "day").unionByName(every), "bitfield").select("service", "section", "day").distinct()
 
