@@ -49,6 +49,8 @@ def test_closure_to_the_fixpoint(spark):
     chain = spark.createDataFrame([(i, i + 1, 3) for i in range(20)] + [(0, 9, 5), (30, 31, 1), (31, 30, 1)], "a long, b long, dur long")
     got = {(r.a, r.b): r.dur for r in relational.closure(chain).collect()}
     assert got[0, 20] == 5 + 11 * 3 and got[1, 20] == 19 * 3 and len(got) == 20 * 21 // 2 + 2
+    by_joins = {(r.a, r.b): r.dur for r in relational.closure(chain, in_one_task=3).collect()}
+    assert by_joins == got
     sf, best = "/root/testdata/sf0.01", {}
     for r in catalog._closure_edges(spark, sf).collect():
         best[r.a, r.b] = min(r.dur, best.get((r.a, r.b), r.dur))
@@ -61,6 +63,23 @@ def test_closure_to_the_fixpoint(spark):
     assert {(r.a, r.b): r.dur for r in catalog.QUERIES["footpath_closure"](spark, sf).collect()} == best
 
 
+def test_profile_skyline(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [(rnd.randrange(3), rnd.randrange(12), rnd.randrange(5), rnd.randrange(8)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k long, arr long, legs int, t0 long")
+    want = sorted(r for r in rows if not any(o[0] == r[0] and o[1] <= r[1] and o[2] <= r[2] and o[3] >= r[3] and o != r for o in rows))
+    assert sorted(map(tuple, relational.profile_skyline(df, ["k"], "arr", "legs", "t0", 4).collect())) == want
+    assert sorted(map(tuple, relational.skyline(df, ["k"], ["arr", "legs"], ["t0"]).collect())) == want
+
+
+def test_connected(spark):
+    edges = spark.createDataFrame([(d, i, i + 1) for d in (1, 2) for i in range(20) if i != 10 * d - 3] + [(3, 5, 5)], "day long, a long, b long")
+    got = {(r.day, r.node): r.component for r in relational.connected(edges, ["day"]).collect()}
+    assert got == {(d, i): 0 if i <= 10 * d - 3 else 10 * d - 2 for d in (1, 2) for i in range(21)} | {(3, 5): 5}
+
+
 def test_seven_legs(spark, monkeypatch):
     hops = [(0, k, 0, k, k + 1, 480 + 20 * k, 490 + 20 * k, True, True, 5) for k in range(1, 8)]
     conn = spark.createDataFrame(hops, "day long, trip_id long, seq long, from_station long, to_station long, dep long, arr long, in_allowed boolean, out_allowed boolean, clasz int")

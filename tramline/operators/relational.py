@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,25 +91,62 @@ def islands(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     return rows.select(*by, order, (F.col(order) - F.row_number().over(w)).alias("_run")).groupBy(*by, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("_run")
 
 
-def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Min-plus closure of (a, b, dur) by repeated squaring: over paths of up to 2**rounds edges, or to the fixpoint.
+#: Nodes of a component whose closure is made in one task; larger ones are closed by joins.
+IN_ONE_TASK = 2_000
 
-    Durations must not be negative.  To the fixpoint each round is written to the checkpoint
-    folder; pairs are only added and durations only fall, so their count and sum tell a change.
+
+def closure(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+    """Min-plus closure of (a, b, dur): least durations over any number of edges, between different nodes.
+
+    Durations must not be negative.  Components are found first.  Those of at most ``in_one_task`` nodes, a matrix of
+    known size, are closed by relaxation over each node in a task of their own; in larger ones paths grow by an
+    edge per round, and only pairs that improved go on, until none does.
+    """
+    best = cut(edges.filter("a <> b").groupBy("a", "b").agg(F.min("dur").alias("dur")))
+    label = cut(connected(best).select(F.col("node").alias("a"), "component"))
+    big = cut(label.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > in_one_task).select("component"))
+    rows = best.join(label, "a")
+    few = rows.join(big, "component", "left_anti")
+    kinds = best.schema
+
+    def relax(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = pd.unique(pd.concat([pdf["a"], pdf["b"]], ignore_index=True))
+        at = {x: k for k, x in enumerate(names)}
+        d = np.full((len(names), len(names)), np.inf)
+        d[pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()] = pdf["dur"].to_numpy()
+        for k in range(len(names)):
+            np.minimum(d, d[:, k, None] + d[k], out=d)
+        np.fill_diagonal(d, np.inf)
+        i, j = np.nonzero(np.isfinite(d))
+        return pd.DataFrame({"a": names[i], "b": names[j], "dur": d[i, j].astype(pdf["dur"].dtype)})
+
+    out = few.groupBy("component").applyInPandas(relax, kinds)
+    if big.isEmpty():
+        return out
+    rows = cut(rows.join(big, "component", "left_semi").select("a", "b", "dur"))
+    known = delta = rows
+    while not delta.isEmpty():
+        step = delta.join(rows.select(F.col("a").alias("b"), F.col("b").alias("_b"), F.col("dur").alias("_d")), "b").select("a", F.col("_b").alias("b"), (F.col("dur") + F.col("_d")).alias("dur"))
+        step = step.filter("a <> b").groupBy("a", "b").agg(F.min("dur").alias("dur"))
+        delta = cut(step.join(known.withColumnRenamed("dur", "_old"), ["a", "b"], "left").filter("_old IS NULL OR dur < _old").drop("_old"))
+        known = cut(known.unionByName(delta).groupBy("a", "b").agg(F.min("dur").alias("dur")))
+    return out.unionByName(known)
+
+
+def profile_skyline(rows: DataFrame, by: list[str], low: str, few: str, high: str, most: int) -> DataFrame:
+    """Rows that no other of their group beats: ``low`` and ``few`` no larger, ``high`` no smaller, one of them better.
+
+    ``few`` has the values 0 to ``most``.  One sort per group by ``high``: running minima of ``low``, one per value of ``few``,
+    say what earlier rows offer, so no rows are compared in pairs.
     """
-    best = edges.groupBy("a", "b").agg(F.min("dur").alias("dur"))
-    done, state = 0, None
-    while rounds is None or done < rounds:
-        if rounds is None:
-            best = cut(best)
-            now = tuple(best.agg(F.count(F.lit(1)), F.sum("dur")).first())
-            if now == state:
-                break
-            state = now
-        step = best.alias("x").join(best.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"), (F.col("x.dur") + F.col("y.dur")).alias("dur"))
-        best = best.unionByName(step.filter("a <> b")).groupBy("a", "b").agg(F.min("dur").alias("dur"))
-        done += 1
-    return best
+    order = Window.partitionBy(*by).orderBy(F.desc(high))
+    upto, above = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(Window.unboundedPreceding, -1)
+    least = lambda w, k: F.min(F.when(F.col(few) <= k, F.col(low))).over(w)
+    pick = lambda cs, at: F.get(F.array(*cs), at)
+    here, before = [least(upto, k) for k in range(most + 1)], [least(above, k) for k in range(most + 1)]
+    n = F.col(few).cast("int")
+    beaten = (pick(here, n) < F.col(low)) | (F.coalesce(pick(here, n - 1), F.col(low) + 1) <= F.col(low)) | (F.coalesce(pick(before, n), F.col(low) + 1) <= F.col(low))
+    return rows.withColumn("_beaten", F.coalesce(beaten, F.lit(False))).filter("NOT _beaten").drop("_beaten")
 
 
 def connected(edges: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -117,13 +156,14 @@ def connected(edges: DataFrame, by: list[str] = ()) -> DataFrame:
     """
     both = edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut(both)
-    now = cut(both.select(*by, F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    now, state = cut(both.select(*by, F.col("a").alias("node"), F.col("a").alias("component")).distinct()), None
     while True:
         near = both.join(now.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("component").alias("_n"))
         one = now.join(near, [*by, "node"]).withColumn("component", F.least("component", "_n")).drop("_n")
         jump = one.select(*by, F.col("node").alias("component"), F.col("component").alias("_j"))
         new = cut(one.join(jump, [*by, "component"], "left").select(*by, "node", F.least("component", F.coalesce("_j", "component")).alias("component")))
-        changed = new.exceptAll(now).limit(1).count()
-        now = new
-        if not changed:
-            return now
+        # labels only fall, so equal totals of their hashes mean that none did
+        total = new.agg(F.sum(F.xxhash64("component").cast("decimal(38,0)"))).first()[0]
+        if total == state:
+            return new
+        now, state = new, total
