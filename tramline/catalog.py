@@ -156,7 +156,7 @@ _PROFILE = "SELECT DISTINCT CAST(1 AS BIGINT) AS start, dep AS t0 FROM conn WHER
 def _profile(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
     conn = conn_between(spark, sf_dir, 480, 541 + 1440)
     starts = conn.filter("from_station = 1 AND in_allowed AND dep BETWEEN 480 AND 540").select(F.lit(1).cast("long").alias("start"), F.col("dep").alias("t0")).distinct().unionByName(_starts(spark, (1, 541)))
-    found = search.earliest_arrival(conn, footpaths(spark, sf_dir), starts, rounds, by_legs=True)
+    found = search.earliest_arrival(conn, footpaths(spark, sf_dir), starts, rounds, by_legs=True, profile=True)
     return relational.profile_skyline(found, ["station"], "arr", "legs", "t0", rounds).filter("t0 <= 540").select("t0", "station", "legs", "arr")
 
 

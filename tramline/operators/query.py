@@ -90,7 +90,7 @@ def _legs(t: Timetable, q: Query, starts: DataFrame) -> DataFrame:
         trip, day, seq = q.train
         boarded = rows.sparkSession.createDataFrame([(START if q.start is None else q.start, q.time, trip, day, seq)], "start long, t0 long, trip_id long, day long, enter long")
         rows = rows.limit(0)
-    found = search.run_rounds(t.conn, t.footpaths, rows, q.rounds, boarded=boarded, links=t.links, start_walks=q.start_walks and q.kind != "ontrip_train")
+    found = search.run_rounds(t.conn, t.footpaths, rows, q.rounds, boarded=boarded, links=t.links, start_walks=q.start_walks and q.kind != "ontrip_train", profile=q.kind == "pretrip")
     goals = _stations(t, q.goal, q.goal_metas).select(F.col("station").alias("goal"))
     return search.journey_legs(found, goals)
 

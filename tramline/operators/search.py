@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import closure, cut
@@ -68,14 +68,15 @@ def _walked(arrived: DataFrame, footpaths: DataFrame) -> DataFrame:
     return rows.select(*KEYS, "station", "r.ready", F.col("r.via").alias("by_ready"), "c.arr", F.col("c.via").alias("by_arr"))
 
 
-def run_rounds(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, rounds: int = MAX_LEGS, boarded: DataFrame | None = None, links: DataFrame | None = None, start_walks: bool = False, horizon: int = HORIZON) -> Rounds:
+def run_rounds(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, rounds: int = MAX_LEGS, boarded: DataFrame | None = None, links: DataFrame | None = None, start_walks: bool = False, horizon: int = HORIZON, profile: bool = False) -> Rounds:
     """Search from ``starts`` (start, t0[, station, ready]) with at most ``rounds`` trips within ``horizon`` minutes.
 
     A trip is boarded where ready <= departure, at its first such stop; every later stop that
     allows alighting is reached.  ``footpaths`` (a, b, dur) hold a self loop of the transfer time.
     ``boarded`` (start, t0, trip_id, day, enter) are trips that a traveller sits in already;
     ``links`` (trip_id, day, next_trip) are trips that go on as others; ``start_walks`` lets
-    journeys begin with a walk.
+    journeys begin with a walk.  With ``profile`` a label goes on only if no later start of the same
+    station is there as soon: what a later start reaches anyway can't be in a profile's result.
     """
     conn = cut(conn.select(*CONN).repartition("trip_id", "day"))
     if "station" not in starts.columns:
@@ -113,6 +114,10 @@ def run_rounds(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, rounds:
         if best is None:  # the start itself need not be reached again
             known = known.unionByName(starts.select(*KEYS, "station", F.col("ready").alias("_ready"), F.lit(NEVER).alias("_arr")))
         best = known.groupBy(*KEYS, "station").agg(F.min("_ready").alias("_ready"), F.min("_arr").alias("_arr"))
+        if profile:
+            best = cut(best)
+            labels = cut(_not_later(labels, best))
+            found.labels[-1] = labels
         delta = labels.filter("sooner").select(*KEYS, "station", "ready")
         n = delta.count()
         if not n:
@@ -120,6 +125,15 @@ def run_rounds(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, rounds:
     return found
 
 
+def _not_later(labels: DataFrame, best: DataFrame) -> DataFrame:
+    """Labels that no later start equals: ``sooner`` and ``earlier`` hold against those of all later t0 as well."""
+    later = Window.partitionBy("start", "station").orderBy(F.desc("t0")).rangeBetween(Window.unboundedPreceding, -1)
+    bound = best.select(*KEYS, "station", F.min("_ready").over(later).alias("_r"), F.min("_arr").over(later).alias("_a"))
+    rows = labels.join(bound, [*KEYS, "station"])
+    rows = rows.withColumn("sooner", F.col("sooner") & (F.col("ready") < F.coalesce("_r", F.lit(NEVER)))).withColumn("earlier", F.col("earlier") & (F.col("arr") < F.coalesce("_a", F.lit(NEVER))))
+    return rows.filter("sooner OR earlier").drop("_r", "_a")
+
+
 def earliest_arrival(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, rounds: int, by_legs: bool = False, **options) -> DataFrame:
     """(start, t0, [legs,] station, arr): earliest arrival, by ride or on foot after one, with at most ``rounds`` trips."""
     return run_rounds(conn, footpaths, starts, rounds, **options).arrivals(by_legs)
