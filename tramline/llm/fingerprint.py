@@ -120,17 +120,25 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def block_successors(blocks: DataFrame) -> DataFrame:
+#: Bits of a block number that one window orders.
+GROUP_BITS = 16
+
+
+def block_successors(blocks: DataFrame, bits: int = 56) -> DataFrame:
     """(block, successor): the next smaller block; after the smallest comes the largest.
 
-    Two levels of windows, inside groups of 4096 blocks and over the groups.
+    Levels of windows: blocks inside groups of 2 ** GROUP_BITS numbers, the groups alike, and so on up
+    to a few hundred, so no window sees more rows than a group has numbers, however sparse ids are.
     """
-    grouped = blocks.select("block", F.shiftright("block", 12).alias("super"))
+    if bits <= GROUP_BITS:  # signed numbers of so many bits
+        w = Window.partitionBy(F.lit(1))
+        return blocks.select("block", F.coalesce(F.lead("block").over(w.orderBy(F.col("block").desc())), F.max("block").over(w)).alias("successor"))
+    grouped = blocks.select("block", F.shiftright("block", GROUP_BITS).alias("super"))
     inside = grouped.withColumn("succ", F.lead("block").over(Window.partitionBy("super").orderBy(F.col("block").desc())))
-    supers = grouped.groupBy("super").agg(F.max("block").alias("head")).withColumn("one", F.lit(1))
-    outer = Window.partitionBy("one").orderBy(F.col("super").desc())
-    supers = supers.select("super", F.coalesce(F.lead("head").over(outer), F.max("head").over(Window.partitionBy("one"))).alias("over"))
-    return inside.join(supers, "super").select("block", F.coalesce("succ", "over").alias("successor"))
+    heads = grouped.groupBy("super").agg(F.max("block").alias("head"))
+    after = block_successors(heads.select(F.col("super").alias("block")), bits - GROUP_BITS).select(F.col("block").alias("super"), F.col("successor").alias("next"))
+    over = after.join(heads.select(F.col("super").alias("next"), F.col("head").alias("over")), "next").select("super", "over")
+    return inside.join(over, "super").select("block", F.coalesce("succ", "over").alias("successor"))
 
 
 def next_rows(docs: DataFrame, key: str, text: str, derived: dict[str, Column]) -> DataFrame:
