@@ -121,36 +121,50 @@ def write_archives(marked: DataFrame, path: str, date: str = "2024-01-01T00:00:0
 
 
 def members(archive) -> Iterator[bytes]:
-    """Inflate a multi-member gzip archive, one member after the other."""
+    """Inflate a multi-member gzip archive, one member after the other.
+
+    A damaged or cut member gives what could be inflated; reading goes on at the next place that
+    looks like a member's head.
+    """
     archive, at = memoryview(archive), 0
+    whole = None
     while at < len(archive):
-        z, out = zlib.decompressobj(31), bytearray()
-        while not z.eof:
-            chunk = archive[at : at + CHUNK]
-            if not chunk:
-                raise ValueError("truncated gzip member")
-            out += z.decompress(chunk)
-            at += len(chunk)
-        at -= len(z.unused_data)
+        begin, z, out = at, zlib.decompressobj(31), bytearray()
+        try:
+            while not z.eof:
+                chunk = archive[at : at + CHUNK]
+                if not chunk:
+                    raise zlib.error("cut member")
+                out += z.decompress(chunk)
+                at += len(chunk)
+            at -= len(z.unused_data)
+        except zlib.error:
+            whole = bytes(archive) if whole is None else whole
+            at = whole.find(b"\x1f\x8b\x08", begin + 1)
+            at = len(archive) if at < 0 else at
         if out:
             yield bytes(out)
 
 
+def _number(value: bytes, default: int) -> int:
+    return int(value) if value.isdigit() else default
+
+
 def parse_record(data: bytes) -> tuple:
-    """One record's fields in the order of ``RECORD``; damaged framing or digests give verified = false."""
+    """One record's fields in the order of ``RECORD``; damaged framing, headers or digests give verified = false."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:] if b": " in line)
-    length = int(fields.get(b"Content-Length", b"0"))
-    block = rest[:length]
+    length = _number(fields.get(b"Content-Length", b""), -1)
+    block = rest[: max(0, length)]
     framed = head.startswith(b"WARC/1.") and len(block) == length and rest[length:] == b"\r\n\r\n"
-    kind = fields.get(b"WARC-Type", b"").decode()
+    text = lambda k: fields[k].decode("utf-8", "replace") if k in fields else None
+    kind = text(b"WARC-Type") or ""
     http, _, payload = block.partition(b"\r\n\r\n")
-    size = next((int(x[16:]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length: ")), len(payload))
-    digest = fields.get(b"WARC-Payload-Digest", b"").decode().removeprefix("sha1:")
-    good = framed and fields.get(b"WARC-Block-Digest", b"").decode() == "sha1:" + hashlib.sha1(block).hexdigest()
+    size = next((_number(x[16:], -1) for x in http.split(b"\r\n") if x.startswith(b"Content-Length: ")), len(payload))
+    digest = (text(b"WARC-Payload-Digest") or "").removeprefix("sha1:")
+    good = framed and text(b"WARC-Block-Digest") == "sha1:" + hashlib.sha1(block).hexdigest()
     if kind == "response":
         good = good and size == len(payload) and digest == hashlib.sha1(payload).hexdigest()
-    text = lambda k: fields[k].decode() if k in fields else None
     return kind, text(b"WARC-Record-ID"), text(b"WARC-Target-URI"), text(b"WARC-Refers-To"), payload if kind == "response" else None, size, digest, good
 
 
