@@ -361,6 +361,11 @@ def _near(ids, comps, sizes, sides, sketches) -> set[tuple[int, int]]:
     return out
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks of a step whose rows are few bytes but much work: a number that Spark does not lower by size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _parted(rows: DataFrame) -> DataFrame:
     """``rows`` with ``part``: signatures of a head that has many rows are dealt to several tasks."""
     hot = rows.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAD_ROWS).select("head", F.ceil(F.col("n") / HEAD_ROWS).alias("parts"))
@@ -401,7 +406,7 @@ def _large_groups(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         if last := flush() - sent:
             yield _pairs(last)
 
-    return rows.repartition("head", "part", "lo", "hi").sortWithinPartitions("head", "sig", "lo", "hi").mapInArrow(tidy(run), "a long, b long")
+    return rows.repartition(_tasks(rows), "head", "part", "lo", "hi").sortWithinPartitions("head", "sig", "lo", "hi").mapInArrow(tidy(run), "a long, b long")
 
 
 def _pairs(pairs) -> pa.RecordBatch:
@@ -438,7 +443,7 @@ def _small_groups(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         if fresh:
             yield _pairs(fresh)
 
-    named = _parted(rows).select("head", "sig", "id", "component", "part").repartition("head", "part").sortWithinPartitions("head", "sig").mapInArrow(tidy(run), "a long, b long").distinct()
+    named = _parted(rows).select("head", "sig", "id", "component", "part").repartition(_tasks(rows), "head", "part").sortWithinPartitions("head", "sig").mapInArrow(tidy(run), "a long, b long").distinct()
     left = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     right = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
 
