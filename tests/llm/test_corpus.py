@@ -68,6 +68,25 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_damaged_archives(spark, tmp_path):
+    records = [warc.gzip_member(warc.build_record(i, "u", b"x" * 50 + str(i).encode(), hashlib.sha1(b"x" * 50 + str(i).encode()).hexdigest(), None, "2024-01-01T00:00:00Z")) for i in range(4)]
+    bad = bytearray(records[1])
+    bad[30] ^= 0xFF
+    odd = warc.gzip_member(b"WARC/1.1\r\nContent-Length: many\r\nWARC-Type: \xff\r\n\r\nx\r\n\r\n")
+    (tmp_path / "a.gz").write_bytes(records[0] + bytes(bad) + records[2] + odd + records[3][:-20])
+    (tmp_path / "b.gz").write_bytes(b"no archive")
+    (tmp_path / "c.gz").write_bytes(b"")
+    got = {r.record_id for r in warc.read_archives(spark, str(tmp_path)).filter("verified").collect()}
+    assert got == {"<urn:page:0>", "<urn:page:2>"}
+
+
+def test_sparse_ids_have_successors(spark):
+    rnd = random.Random(3)
+    blocks = sorted({rnd.randrange(-(1 << 55), 1 << 55) for _ in range(300)} | set(range(70000, 70100)) | {-(1 << 53), 0, -1})
+    got = {r.block: r.successor for r in fingerprint.block_successors(spark.createDataFrame([(b,) for b in blocks], "block long")).collect()}
+    assert got == {b: blocks[k - 1] for k, b in enumerate(blocks)}
+
+
 def test_fingerprints(spark, docs, empty):
     marked = docs.select("doc_id", "text", fingerprint.fingerprint(F.col("text")).alias("m"))
     a, b = marked.alias("a"), marked.alias("b")
