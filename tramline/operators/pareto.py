@@ -128,7 +128,7 @@ def pareto_search(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, crit
     conn = conn.select(*CONN, *[F.sum(s).over(total).alias(s) for s in sums], *[(F.sum(s).over(total) - F.col(s)).alias(f"{s}_before") for s in sums])
     conn = cut(conn.repartition("trip_id", "day"))
     at = starts.select(*KEYS, F.col("start").alias("station"), F.col("t0").cast("long").alias("ready"), F.col("t0").cast("long").alias("arr"), F.lit(0).alias("legs"), *[value(c).cast("long").alias(c.name) for c in criteria])
-    delta, best = cut(at), None
+    delta, best, found = cut(at), None, None
     less = ["ready", "legs", *[c.name for c in criteria if c.compare]]
     same = [c.name for c in criteria if not c.compare]
     for k in range(1, rounds + 1):
@@ -155,14 +155,18 @@ def pareto_search(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, crit
             new = new.unionByName(_extra(come, extra_edges, criteria, label))
         for c in criteria:
             new = new.filter(c.keep(F.col(c.name))) if c.keep else new
-        every = new.distinct() if best is None else new.distinct().unionByName(best)
+        new = cut(new.distinct())
+        # by arrival for the answer, by ready time for what goes on: a walk may be ready sooner than a train that came earlier
+        answer = ["arr", "legs", *[c.name for c in criteria if c.compare]]
+        out = new.select(*KEYS, "station", "arr", "legs", *names)
+        found = cut(skyline(out if found is None else out.unionByName(found), [*KEYS, "station", *same], answer).distinct())
+        every = new if best is None else new.unionByName(best)
         best_now = cut(undominated(every, [*KEYS, "station", *same], dominates(less)))
         delta = best_now.filter(F.col("legs") == k)
         best = best_now
         if delta.isEmpty():
             break
-    found = best.select(*KEYS, "station", "arr", "legs", *names)
-    return skyline(found, [*KEYS, "station", *same], ["arr", "legs", *[c.name for c in criteria if c.compare]]).distinct()
+    return found
 
 
 def _extra(come: DataFrame, edges: DataFrame, criteria, label: list[str]) -> DataFrame:

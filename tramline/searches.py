@@ -185,9 +185,11 @@ def trip_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("trip_id", "station_id", "train_nr", "time", "alias")
 
 
-@register("timetable_violations", "SELECT trip_id, day, seq, CASE WHEN arr < dep THEN 'arrives before it departs' ELSE 'departs before it arrives' END AS problem FROM (SELECT *, lag(arr) OVER (PARTITION BY trip_id, day ORDER BY seq) AS before FROM conn) x WHERE arr < dep OR dep < before", "conn")
+@register("timetable_violations", "SELECT trip_id, day, seq, CASE WHEN arr < dep THEN 'arrives before it departs' ELSE 'departs before it arrives' END AS problem FROM (SELECT *, lag(arr) OVER (PARTITION BY trip_id, day ORDER BY seq) AS before FROM (SELECT * EXCLUDE (arr), arr + CASE WHEN trip_id % 40 = 0 THEN 30 WHEN trip_id % 40 = 1 THEN -60 ELSE 0 END AS arr FROM conn) c) x WHERE arr < dep OR dep < before", "conn")
 def timetable_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timetable.violations(view(spark, sf_dir, "conn"))
+    """Broken rules after some trips' arrivals were moved."""
+    moved = F.when(F.col("trip_id") % 40 == 0, 30).when(F.col("trip_id") % 40 == 1, -60).otherwise(0)
+    return timetable.violations(view(spark, sf_dir, "conn").withColumn("arr", F.col("arr") + moved))
 
 
 @register("attribute_ranges", "SELECT trip_id, attribute, min(seq) AS first, max(seq) AS last FROM (SELECT *, seq - row_number() OVER (PARTITION BY trip_id, attribute ORDER BY seq) AS run FROM (SELECT trip_id, seq, from_station % 4 AS attribute FROM segment) a) x GROUP BY trip_id, attribute, run", "segment")
