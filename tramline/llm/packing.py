@@ -232,5 +232,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's pieces and their places in sequences of 4096 tokens."""
+    """Every document's pieces and their places in sequences of 4096 tokens.
+
+    A null or empty text is the end id alone; null ids and repeated rows are packed like others; of equal lengths any order
+    will do, ranks follow the partitions of the written pieces; an empty table gives no rows.
+    """
     return pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

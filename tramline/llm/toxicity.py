@@ -250,7 +250,11 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity score of every document; learned outside the holdout only."""
+    """Toxicity score of every document; learned outside the holdout only.
+
+    Null and empty texts score 0; rows with a null id are scored and not held out; repeated rows score alike; without
+    labels of both kinds every score is 0; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights, cutoff = learn(training_rows(docs, table(spark, sf_dir, "labels")))
     scored = score_toxicity(docs, weights, cutoff)
