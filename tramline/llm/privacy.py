@@ -40,6 +40,8 @@ ALPHA = 0.9
 SUPPORT, KIND_SUPPORT = 3, 5
 #: Witnesses fall into so many classes by hash; those of different classes count.
 WITNESSES = 64
+#: Counts or known terms that a task holds at once.
+HELD = 100_000
 #: Bits of the candidate filter: a fixed size, so what is sent to the workers never grows.
 FILTER_BITS = 1 << 22
 
@@ -225,7 +227,7 @@ class Passing:
 
     def __call__(self, term: str) -> bool:
         if (p := self.known.get(term)) is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > HELD:
                 self.known.clear()
             b = zlib.crc32(term.encode("utf-8", "replace")) % FILTER_BITS
             p = self.known[term] = bool(self.wanted[b >> 3] >> (b & 7) & 1)
@@ -291,7 +293,7 @@ def cooccurrences(docs: DataFrame, text_col: str, wanted: bytes) -> DataFrame:
                         else:
                             c[0] += 1
                             c[1] |= witness
-                    if len(counts) > 200_000:
+                    if len(counts) > HELD:
                         yield out()
         if counts:
             yield out()
@@ -320,7 +322,7 @@ def document_frequencies(docs: DataFrame, text_col: str, wanted: bytes) -> DataF
             pairs = np.unique(rows[of >= 0] * max(1, len(low)) + of[of >= 0])  # a term counts once per document
             n = np.bincount(pairs % max(1, len(low)), minlength=len(low))
             counts.update({w: int(n[k]) for w, k in low.items()})
-            if len(counts) > 200_000:
+            if len(counts) > HELD:
                 yield out()
         if counts:
             yield out()
