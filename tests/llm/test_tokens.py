@@ -136,10 +136,10 @@ def brute_alignment(rows):
         if not text or b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
             out.append((doc, 0, 0, [], None))
             continue
-        groups, i, j, ends = [([], [])], 0, 0, [0, 0]
-        while i < len(b"") + len(a.ids) or j < len(b):
-            if ends[0] <= ends[1] and i < len(a.ids) and not (ends[0] == ends[1] and len(groups[-1][0]) > len(groups[-1][1]) == 0):
-                groups[-1][0].append(a.ids[i])
+        groups, i, j, ends, ids = [([], [])], 0, 0, [0, 0], a.ids
+        while i < len(ids) or j < len(b):
+            if ends[0] <= ends[1] and i < len(ids) and not (ends[0] == ends[1] and len(groups[-1][0]) > len(groups[-1][1]) == 0):
+                groups[-1][0].append(ids[i])
                 ends[0] += len(bytes_a[i])
                 i += 1
             else:
@@ -151,7 +151,7 @@ def brute_alignment(rows):
         groups.pop()
         links = [(x, y) for g, h in groups for x in g for y in h]
         counts.update(set(links))
-        out.append((doc, len(a.ids), len(b), groups, links))
+        out.append((doc, len(ids), len(b), groups, links))
     most = collections.Counter()
     for (x, _), n in counts.items():
         most[x] = max(most[x], n)

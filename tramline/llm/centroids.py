@@ -41,7 +41,7 @@ def first_centroids(vectors: DataFrame, k: int = CLUSTERS) -> np.ndarray:
     """The k vectors of the smallest hashes of ``1:<vec_id>``; null ids come last, equal ids by their components."""
     h = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.select(h.alias("h"), "v").orderBy(F.col("h").asc_nulls_last(), "v").limit(k).collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64)
 
 
 class Tree:
