@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -31,14 +32,16 @@ REMEMBERED, SHORT, ONE_BY_ONE = 150_000, 48, 4096
 
 
 class Aligned(NamedTuple):
-    """A chunk's tokens on both sides, groups, distinct links (first id * size + second id) and how often each occurs."""
+    """Chunks in order: tokens of both sides, groups, kinds of links; links (first id * size + second id) and how often each occurs (None: once), one chunk's after the other's; the groups' texts, each with its end."""
 
-    a: int
-    b: int
-    groups: int
-    text: str
-    links: bytes
-    times: bytes
+    good: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    groups: np.ndarray
+    kinds: np.ndarray
+    links: np.ndarray
+    times: np.ndarray | None
+    texts: list[bytes]
 
 
 class PieceCodes:
@@ -51,11 +54,14 @@ class PieceCodes:
         self.size = self.model.get_piece_size()
         pieces = [self.model.id_to_piece(i) for i in range(self.size)]
         self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.space = np.array([self.model.piece_to_id("▁")], np.int32)
+        self.space = [self.model.piece_to_id("▁")]
 
-    def encode(self, chunks: list[str]) -> list[np.ndarray]:
-        # for an empty text the model adds nothing
-        return [np.array(ids, np.int32) if c != " " else self.space for c, ids in zip(chunks, self.model.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, little-endian; for an empty text the model adds no space, so a lone one is given here."""
+        found = [ids if c != " " else self.space for c, ids in zip(chunks, self.model.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
+        raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        ends = [0, *accumulate(map(len, found))]
+        return [raw[4 * s : 4 * e] for s, e in pairwise(ends)]
 
 
 def union_find(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -79,69 +85,99 @@ def _links(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndar
     return (x[:, None] * size + y[None, :]).ravel(), (n[:, None] * m[None, :]).ravel()
 
 
+def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers below n as decimal digits and a byte for what follows, and their lengths."""
+    texts = [b"%d," % i for i in range(n)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, n)
+
+
+def _ordered(raw: list[bytes], kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
+    """All values of the lists, and each list's length."""
+    return np.frombuffer(b"".join(raw), kind).astype(np.int64), np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(kind).itemsize
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of each run of values."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
 class Aligner:
     """Aligns chunks of two tokenizers."""
 
     def __init__(self, first: str, second: str):
         self.first, self.second = ByteCodes(first, special=False), PieceCodes(second)
         self.lengths = np.array([len(x) for x in self.second.bytes], np.int64)
+        self.spelled = np.frombuffer(b"".join(self.second.bytes), np.uint8)
         self.size = self.second.size
-        self.known: dict[str, Aligned | None] = {}
-
-    def align(self, chunks: list[str]) -> list[Aligned | None]:
-        """None where the bytes of a side's tokens, joined, are not the chunk's."""
-        ids_a = [np.frombuffer(x, "<u4").astype(np.int64) for x in self.first.encode(chunks)]
-        ids_b = self.second.encode(chunks)
-        spelled = self.second.bytes
-        size_a = self.first.bytes
-        # the first tokenizer's vocabulary spells every byte, so its lengths tell
-        good = [k for k, c in enumerate(chunks) if b"".join([spelled[i] for i in ids_b[k].tolist()]) == (raw := c.encode()) and size_a[ids_a[k]].sum() == len(raw)]
-        out: list[Aligned | None] = [None] * len(chunks)
-        if not good:
-            return out
-        n_a, n_b = (np.array([len(ids[k]) for k in good]) for ids in (ids_a, ids_b))
-        a, b = np.concatenate([ids_a[k] for k in good]), np.concatenate([ids_b[k] for k in good]).astype(np.int64)
-        end_a, end_b = np.cumsum(size_a[a]), np.cumsum(self.lengths[b])
-        ends = np.union1d(end_a, end_b)  # each stretch between two of them lies in one token of either side
-        root = union_find(len(a) + len(b), np.searchsorted(end_a, ends), len(a) + np.searchsorted(end_b, ends))
-        _, group = np.unique(root, return_inverse=True)  # a component's smallest node is its first token of the first side
-        of_a, of_b = group[: len(a)], group[len(a) :]
-        p, q = np.bincount(of_a), np.bincount(of_b)
-        from_a, from_b = np.cumsum(p) - p, np.cumsum(q) - q
-        many = p * q > ONE_BY_ONE
-        few = ~many[of_a]
-        each = np.where(few, q[of_a], 0)
-        ends_of = np.cumsum(each)
-        partner = np.repeat(from_b[of_a] - ends_of + each, each) + np.arange(ends_of[-1])
-        links = np.repeat(a, each) * self.size + b[partner]
-        until_a, until_b = np.cumsum(n_a), np.cumsum(n_b)
-        link_ends = ends_of[until_a - 1]
-        group_ends = of_a[until_a - 1] + 1
-        large = np.flatnonzero(many)
-        names_a, names_b = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
-        ends_p, ends_q, starts_p, starts_q = (x.tolist() for x in (from_a + p, from_b + q, from_a, from_b))
-        parts = [",".join(names_a[s:e]) + "|" + ",".join(names_b[t:f]) for s, e, t, f in zip(starts_p, ends_p, starts_q, ends_q, strict=True)]
-        before_link = before_group = 0
-        for j, (k, link_end, group_end) in enumerate(zip(good, link_ends.tolist(), group_ends.tolist(), strict=True)):
-            found, times = links[before_link:link_end], None
-            for g in large[np.searchsorted(large, before_group) : np.searchsorted(large, group_end)].tolist():
-                x, n = _links(a[starts_p[g] : ends_p[g]], b[starts_q[g] : ends_q[g]], self.size)
-                times = np.append(np.ones(len(found), np.int64) if times is None else times, n)
-                found = np.append(found, x)
-            times = np.ones(len(found), np.int64) if times is None else times
-            out[k] = Aligned(int(n_a[j]), int(n_b[j]), group_end - before_group, ";".join(parts[before_group:group_end]), found.tobytes(), times.tobytes())
-            before_link, before_group = link_end, group_end
-        return out
-
-    def of(self, chunks: list[str]) -> list[Aligned | None]:
+        self.digits = _decimals(max(self.first.size, self.size))
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+
+    def _ids(self, chunks: list[str]) -> tuple[list[bytes], list[bytes]]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         new = [c for c in chunks if c not in known]
-        made = dict(zip(new, self.align(new), strict=True))
-        out = [made[c] if c in made else known[c] for c in chunks]
+        made = dict(zip(new, zip(self.first.encode(new), self.second.encode(new), strict=True), strict=True))
+        both = [known.get(c) or made[c] for c in chunks]
         known.update((c, x) for c, x in made.items() if len(c) <= SHORT)
-        return out
+        return [x[0] for x in both], [x[1] for x in both]
+
+    def align(self, chunks: list[str]) -> Aligned:
+        """``good`` is false where the bytes of a side's tokens, joined, are not the chunk's; such chunks have nothing else."""
+        raw_a, raw_b = self._ids(chunks)
+        sizes = np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks))
+        (a, n_a), (b, n_b) = _ordered(raw_a), _ordered(raw_b)
+        # the first tokenizer spells every byte, so lengths tell; the second one's bytes are compared
+        good = (_sums(self.first.bytes[a], n_a) == sizes) & (_sums(self.lengths[b], n_b) == sizes)
+        b_good = np.repeat(good, n_b)
+        same = gather(self.spelled, self.lengths, b[b_good]) == np.frombuffer("".join([c for c, g in zip(chunks, good.tolist(), strict=True) if g]).encode(), np.uint8)
+        good[good] = _sums(~same, sizes[good]) == 0
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+        n = len(chunks)
+        end_a, end_b = np.cumsum(self.first.bytes[a]), np.cumsum(self.lengths[b])
+        ends = np.union1d(end_a, end_b)  # each stretch between two of them lies in one token of either side
+        root = union_find(len(a) + len(b), np.searchsorted(end_a, ends), len(a) + np.searchsorted(end_b, ends))
+        first_of = np.zeros(len(a) + 1, np.int64)
+        first_of[1:] = np.cumsum(root[: len(a)] == np.arange(len(a)))  # a component's smallest node is its first token of the first side
+        group = first_of[root + 1] - 1 if len(a) else root
+        of_a, of_b = group[: len(a)], group[len(a) :]
+        groups = int(first_of[-1])
+        p, q = np.bincount(of_a, minlength=groups), np.bincount(of_b, minlength=groups)
+        from_a, from_b = np.cumsum(p) - p, np.cumsum(q) - q
+        owner_a = np.repeat(np.arange(n), n_a)
+        owner = owner_a[from_a]  # of each group
+        large = np.flatnonzero(p * q > ONE_BY_ONE)
+        each = q[of_a]
+        each[np.isin(of_a, large)] = 0
+        until = np.cumsum(each)
+        partner = np.repeat(from_b[of_a] - until + each, each) + np.arange(until[-1] if len(a) else 0)
+        links, holder, times = np.repeat(a, each) * self.size + b[partner], np.repeat(owner_a, each), None
+        if len(large):
+            more = [_links(a[from_a[g] : from_a[g] + p[g]], b[from_b[g] : from_b[g] + q[g]], self.size) for g in large.tolist()]
+            holder = np.concatenate([holder, *(np.full(len(x), owner[g]) for g, (x, _) in zip(large, more, strict=True))])
+            order = np.argsort(holder, kind="stable")
+            times = np.concatenate([np.ones(len(links), np.int64), *(t for _, t in more)])[order]
+            links, holder = np.concatenate([links, *(x for x, _ in more)])[order], holder[order]
+        return Aligned(good, n_a, n_b, np.bincount(owner, minlength=n), np.bincount(holder, minlength=n), links, times, self._texts(a, b, of_a, of_b, p, q, owner, n))
+
+    def _texts(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, p: np.ndarray, q: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
+        """The groups of each chunk, as ``a1,a2|b1;``: ids in order of group and side, each with the byte behind it."""
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[np.arange(len(a)) + (np.cumsum(q) - q)[of_a]] = a
+        ids[np.arange(len(b)) + np.cumsum(p)[of_b]] = b
+        digits, lengths = self.digits
+        text = gather(digits, lengths, ids)
+        ends = np.cumsum(lengths[ids])
+        sides = np.cumsum(p + q)
+        text[ends[sides - 1] - 1] = ord(";")
+        text[ends[sides - q - 1] - 1] = ord("|")
+        raw = text.tobytes()
+        last = np.zeros(n, np.int64)
+        last[owner] = ends[sides - 1] if len(ids) else 0  # the last group of a chunk stays
+        return [raw[s:e] for s, e in pairwise([0, *np.maximum.accumulate(last).tolist()])]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -163,6 +199,7 @@ def align_documents(docs: DataFrame, id_col: str, text_col: str, first: str | No
         if paths not in _aligners:
             _aligners[paths] = Aligner(*paths)
         aligner, made = _aligners[paths], 0
+        pairs = aligner.first.size * aligner.size
         for b in batches:
             if not b.num_rows:
                 continue
@@ -171,33 +208,29 @@ def align_documents(docs: DataFrame, id_col: str, text_col: str, first: str | No
             texts = b.column(1)
             spaced = pc.if_else(pc.equal(pc.binary_length(texts.fill_null("")), 0), "", pc.binary_join_element_wise(" ", texts.fill_null(""), ""))
             found, of, counts = split(spaced)
-            each = aligner.of(found.to_pylist())
-            whole = np.array([x is not None for x in each], bool)
+            x = aligner.align(found.to_pylist())
             until = np.cumsum(counts)
-            bad = np.concatenate(([0], np.cumsum(~whole[of])))
+            bad = np.concatenate(([0], np.cumsum(~x.good[of])))
             good = (bad[until] == bad[until - counts]) & (counts > 0)
             of = of[np.repeat(good, counts)]
             counts = np.where(good, counts, 0)
-            totals = np.array([(x.a, x.b, x.groups, len(x.links) // 8) if x else (0, 0, 0, 0) for x in each], np.int64).reshape(-1, 4)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            n_a, n_b, n_groups, kinds = (np.bincount(doc, totals[of, c], len(counts)).astype(np.int64) for c in range(4))
-            lengths = totals[:, 3]
-            links = gather(np.frombuffer(b"".join(x.links if x else b"" for x in each), np.int64), lengths, of)
-            times = gather(np.frombuffer(b"".join(x.times if x else b"" for x in each), np.int64), lengths, of)
-            holder = np.repeat(np.arange(len(counts)), kinds)
-            order = np.lexsort((links, holder))
-            links, times, holder = links[order], times[order], holder[order]
-            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(links)), bool), (links[1:] != links[:-1]) | (holder[1:] != holder[:-1]))))
-            links, holder = links[new], holder[new]
-            times = np.add.reduceat(times, new) if len(new) else times
-            n_links = np.zeros(len(counts), np.int64)
-            np.add.at(n_links, holder, times)
-            strings = [x.text if x else "" for x in each]
+            n_a, n_b, n_groups, kinds = (_sums(v[of], counts) for v in (x.a, x.b, x.groups, x.kinds))
+            # a number for each document and link, sorted: equal ones are one kind of link
+            held = gather(x.links, x.kinds, of) + np.repeat(np.arange(len(counts)), kinds) * pairs
+            if x.times is None:
+                held, times = np.unique(held, return_counts=True)
+            else:
+                order = np.argsort(held)
+                held, once = held[order], gather(x.times, x.kinds, of)[order]
+                new = np.flatnonzero(np.diff(held, prepend=-1))
+                held, times = held[new], np.add.reduceat(once, new) if len(new) else once
+            holder, links = np.divmod(held, pairs)
             hashes, at = [], 0
             for n in counts.tolist():
-                hashes.append(hashlib.sha256(";".join([strings[k] for k in of[at : at + n].tolist()]).encode()).hexdigest() if n else "")
+                hashes.append(hashlib.sha256(b"".join([x.texts[k] for k in of[at : at + n].tolist()])[:-1]).hexdigest() if n else "")
                 at += n
             per_doc = np.bincount(holder, minlength=len(counts))
+            n_links = _sums(times, per_doc)
             blocks = pa.array(np.full(len(counts), block))
             yield pa.RecordBatch.from_arrays([b.column(0), n_a, n_b, n_groups, n_links, pa.array(hashes, pa.string()), blocks, _lists(links, per_doc), _lists(times, per_doc), pa.nulls(len(counts), pa.list_(pa.int64()))], _NAMES)
             own, held = np.unique(links, return_counts=True)
