@@ -204,6 +204,11 @@ def extra_edges(*kinds: DataFrame) -> DataFrame:
     return out
 
 
+def relaxed(found: DataFrame, less: int = PRICE_RELAXATION) -> DataFrame:
+    """Late connections after a search: a journey must be cheaper by ``less`` to remove another of no less night."""
+    return undominated(found, [*KEYS, "station"], dominates(["arr", "legs", "price", "night"], relaxed={"price": less}))
+
+
 def lower_bounds(edges: DataFrame, goals: DataFrame) -> DataFrame:
     """(goal, station, minutes): least possible minutes from every station to each goal over (from_station, to_station,
     minutes), by relaxation until nothing improves."""

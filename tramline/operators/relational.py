@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
@@ -14,12 +15,31 @@ EARTH_KM = 6371.0
 KM_PER_DEGREE = 111.0
 
 
+#: Tables that this session wrote lie in a folder of its own.
+_SESSION = uuid.uuid4().hex
+
+
+def _folder(spark: SparkSession) -> str:
+    """This session's folder below spark.checkpoint.dir, which all executors share; a temporary one where none is set (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="tramline-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/tramline-{_SESSION}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder all executors share; a temporary one where none is set (tests)."""
+    """``df`` written as Parquet and read back: lineage ends, sizes are known, later steps read the columns they need."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tramline-"))
-    return df.checkpoint()
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this session has cut, once no result that reads them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, backward: bool = False, limit: int | None = None, bucket: int = 1440) -> DataFrame:

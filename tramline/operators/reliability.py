@@ -170,9 +170,10 @@ def departure_minutes(own: Column, feeding: Column, wait: Column, change: Column
 
 
 def departures(trains: DataFrame, feeding: DataFrame | None = None) -> DataFrame:
-    """(key, minute, p) of trains (key, own [, change, change_latest, is_delay]) with feeders (key, feeder, latest, dist).
+    """(key, minute, p) of trains (key, own [, change, change_latest, wait, is_delay]) with feeders (key, feeder, latest, dist).
 
-    A train whose departure was measured (``is_delay``) leaves at that minute for sure.
+    A train whose departure was measured (``is_delay``) leaves at that minute for sure; ``wait`` is how long it
+    waits whatever its feeders.
     """
     kind = "array<struct<latest:bigint,dist:array<struct<minute:bigint,p:double>>>>"
     rows = trains
@@ -182,6 +183,8 @@ def departures(trains: DataFrame, feeding: DataFrame | None = None) -> DataFrame
     else:
         rows = rows.withColumn("_f", F.lit(None)).withColumn("_wait", F.lit(0))
     rows = rows.withColumn("_f", F.coalesce(F.col("_f").cast(kind), F.array().cast(kind))).withColumn("_wait", F.coalesce("_wait", F.lit(0)))
+    if "wait" in trains.columns:
+        rows = rows.withColumn("_wait", F.greatest("_wait", "wait"))
     change = (F.col("change"), F.col("change_latest")) if "change" in trains.columns else (None, None)
     out = departure_minutes(F.col("own"), F.col("_f"), F.col("_wait"), *change)
     if "is_delay" in trains.columns:
