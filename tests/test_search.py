@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tramline.operators import pareto, query, search, timetable
+from tramline.functions import scalars
+from tramline.operators import pareto, query, relational, search, timetable
 
 CONN = "day long, trip_id long, seq long, from_station long, to_station long, dep long, arr long, in_allowed boolean, out_allowed boolean, clasz int"
 #: Times of a day in minutes; trip 1: 1-2-3, trip 2: 2-4, trip 3: 5-6 (5 is a walk from 2), trip 4: 3-7 goes on as trip 5: 7-8.
@@ -186,6 +187,106 @@ def test_pareto_search_by_enumeration(spark):
         assert {(r.station, r.arr, r.legs, r.price) for r in got} == brute_pareto(conn, foot, 0, 480, 3, fare)
 
 
+def every_label(conn, foot, start, t0, rounds):
+    """(station, arr, trips, fares, regional, other fares) of all journeys, none left out."""
+    labels, out = {(start, t0, 0, 0)}, set()
+    for k in range(1, rounds + 1):
+        new = set()
+        for s, at, fares, regional in labels:
+            for trip, first in [(c[1], c[2]) for c in conn if c[3] == s and c[7] and at <= c[5] <= t0 + 1440]:
+                other, local = fares, regional
+                for d in sorted(x for x in conn if x[1] == trip and x[2] >= first):
+                    other, local = other + d[10], local + d[11]
+                    if d[8] and d[6] <= t0 + 1440:
+                        for a, b, dur in foot:
+                            if a == d[4]:
+                                out.add((b, d[6] if a == b else d[6] + dur, k, other, local))
+                                new.add((b, d[6] + dur, other, local))
+        labels = new
+    return out
+
+
+def pareto_of(rows):
+    return {x for x in rows if not any(y[0] == x[0] and all(p <= q for p, q in zip(y[1:], x[1:], strict=True)) and y != x for y in rows)}
+
+
+def tied_timetable(rnd, n=6, trips=12):
+    """Few distinct times and fares, so that labels tie in all ways; regional fares that pass their cap."""
+    conn = []
+    for trip in range(trips):
+        at, station = 480 + 20 * rnd.randint(0, 6), rnd.randrange(n)
+        for seq in range(rnd.randint(1, 4)):
+            to = rnd.choice([s for s in range(n) if s != station])
+            conn.append((0, trip, seq, station, to, at, at + 20, True, True, 5, rnd.choice([0, 100, 900]), rnd.choice([0, 0, 1500, 3000])))
+            at, station = at + 20, to
+    return conn, [(i, i, 0) for i in range(n)] + [(0, 1, 20), (1, 0, 20)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_prices_with_ties(spark, seed):
+    conn, foot = tied_timetable(random.Random(seed))
+    rows, walks = spark.createDataFrame(conn, CONN + ", fare long, regional long"), spark.createDataFrame(foot, "a long, b long, dur long")
+    truth = every_label(conn, foot, 0, 480, 3)
+    prices = {
+        "price": lambda t, f, r: f,
+        "wage_price": lambda t, f, r: f + 8 * (t - 480),
+        "regional_price": lambda t, f, r: f + min(r, 4200) + 8 * (t - 480),
+    }
+    for kind, price in prices.items():
+        got = pareto.pareto_search(rows, walks, starts(spark, (0, 480)), pareto.SEARCHES[kind], 3).collect()
+        assert {(r.station, r.arr, r.legs, r[kind]) for r in got} == pareto_of({(s, t, k, price(t, f, r)) for s, t, k, f, r in truth}), kind
+
+
+def test_equal_labels_of_two_stations(spark):
+    """One trip reaches two stops at the same price and ready time; the later stop is the cheaper place to board."""
+    conn = spark.createDataFrame([(0, 1, 0, 1, 2, 480, 490, True, True, 5, 10), (0, 4, 0, 1, 3, 480, 490, True, True, 5, 10), (0, 2, 0, 2, 3, 500, 510, True, True, 5, 100), (0, 2, 1, 3, 4, 510, 520, True, True, 5, 5)], CONN + ", fare long")
+    walks = spark.createDataFrame([(i, i, 5) for i in range(1, 5)], "a long, b long, dur long")
+    got = pareto.pareto_search(conn, walks, starts(spark, (1, 480)), (pareto.PRICE,), 2).collect()
+    assert {(r.arr, r.price) for r in got if r.station == 4} == {(520, 15)}
+
+
+@pytest.mark.parametrize("kind", ["price", "regional_price", "weighted"])
+def test_goals_prune(spark, kind):
+    conn, foot = tied_timetable(random.Random(7), 7, 25)
+    rows, walks = spark.createDataFrame(conn, CONN + ", fare long, regional long"), spark.createDataFrame(foot, "a long, b long, dur long")
+    logs, name = ([], []), {"weighted": "weight"}.get(kind, kind)
+    whole = pareto.pareto_search(rows, walks, starts(spark, (0, 480)), pareto.SEARCHES[kind], 4, log=logs[0]).collect()
+    goal = {r.station for r in whole} - {0, 1}
+    goal = min(goal, key=lambda s: min(r.arr for r in whole if r.station == s))
+    got = pareto.pareto_search(rows, walks, starts(spark, (0, 480)), pareto.SEARCHES[kind], 4, goals=goals(spark, goal), log=logs[1]).collect()
+    assert {(r.arr, r.legs, r[name]) for r in got} == {(r.arr, r.legs, r[name]) for r in whole if r.station == goal} and got
+    assert sum(n for _, n in logs[1]) < sum(n for _, n in logs[0])
+
+
+def test_absurd_walks_break_ties(spark):
+    a = pareto.ABSURDITY
+    rows = spark.createDataFrame([(4, 5, 0), (2, 5, 0), (3, 5, 1), (3, 0, 1)], "walks long, dur long, absurdity long")
+    assert [r.x for r in rows.select(a.walk(F.col("absurdity"), F.col).alias("x")).collect()] == [1, 0, 2, 1]
+    got = pareto.pareto_search(spark.createDataFrame([(0, 1, 0, 1, 2, 480, 490, True, True, 5)], CONN), spark.createDataFrame([(2, 2, 0), (2, 3, 4)], "a long, b long, dur long"), starts(spark, (1, 480)), pareto.SEARCHES["absurdity"], 2).collect()
+    assert {(r.station, r.arr, r.walks, r.absurdity) for r in got} == {(2, 490, 0, 0), (3, 494, 1, 0)}
+
+
+def test_skyline_by_pairs(spark):
+    rnd = random.Random(3)
+    data = [(rnd.choice([None, 1, 2]), *(rnd.choice([None, *range(6)]) if rnd.random() < 0.1 else rnd.randint(0, 40) for _ in range(3))) for _ in range(900)]
+    data += data[:50]
+    df = spark.createDataFrame(data, "k long, x long, y long, z long").repartition(6)
+
+    def beats(a, b):
+        return a[0] == b[0] and None not in (*a[1:], *b[1:]) and a[1] <= b[1] and a[2] <= b[2] and a[3] >= b[3] and a[1:] != b[1:]
+
+    for by, rows in ((["k"], data), ([], [(0, *d[1:]) for d in data])):
+        want = sorted((r[1:] for r in rows if not any(beats(o, r) for o in rows)), key=str)
+        got = relational.skyline(df, by, ["x", "y"], ["z"]).collect()
+        assert sorted((tuple(r)[1:] for r in got), key=str) == want
+
+
+def test_night_over_midnight(spark):
+    cases = [(0, 240, 240), (0, 241, 240), (240, 1380, 0), (240, 1381, 1), (1379, 1381, 1), (1380, 1380, 0), (1380, 1500, 120), (1381, 1500, 119), (1380, 1680, 300), (1379, 1681, 300), (0, 1441, 301), (0, 2881, 601), (0, 3121, 840)]
+    df = spark.createDataFrame(cases, "a long, b long, want long")
+    assert df.filter(scalars.overlap_per_day(F.col("a"), F.col("b"), *pareto.NIGHT) != F.col("want")).count() == 0
+
+
 def test_late_connections(spark, line):
     conn, foot = line
     conn = conn.withColumn("fare", F.lit(100).cast("long"))

@@ -30,7 +30,9 @@ def hms_to_minutes(text: Column) -> Column:
 
 
 def overlap_per_day(a: Column, b: Column, lo: int, hi: int) -> Column:
-    """Minutes of [a, b) that lie in the daily window [lo, hi)."""
+    """Minutes of [a, b) that lie in the daily window [lo, hi); a window over midnight (lo > hi) is [lo, 24:00) and [0:00, hi)."""
+    if lo > hi:
+        return overlap_per_day(a, b, lo, 1440) + overlap_per_day(a, b, 0, hi)
     upto = lambda t: F.floor(t / 1440) * (hi - lo) + F.least(F.greatest(F.pmod(t, F.lit(1440)) - lo, F.lit(0)), F.lit(hi - lo))
     return (upto(b) - upto(a)).cast("long")
 

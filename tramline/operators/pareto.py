@@ -7,7 +7,7 @@ labels: those no other label of the station dominates in arrival, trips and all
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,10 +17,12 @@ from .relational import cut, skyline
 from .search import CONN, HORIZON, KEYS, MAX_LEGS, small
 
 #: Cents per kilometre by class (0 ICE, 1-3 long distance, 4-8 local), minutes a transfer weighs,
-#: largest weight of a journey, cents a minute is worth, most cents of regional fares, relaxation of prices, night.
+#: largest weight of a journey, cents a minute is worth, most cents of regional fares, relaxation of prices, night,
+#: walks in a row that are not absurd.
 CENTS_PER_KM = (22, 18, 18, 18, 15, 15, 15, 15, 15, 0)
 TRANSFER_WEIGHT, MOST_WEIGHT, CENTS_PER_MINUTE, REGIONAL_CAP, PRICE_RELAXATION = 20, 1580, 8, 4200, 1000
-NIGHT = (60, 360)
+NIGHT = (1380, 240)
+SUCCESSIVE_WALKS = 3
 
 
 def cents(clasz: Column, km: Column) -> Column:
@@ -34,10 +36,12 @@ class Criterion:
     """A column of a label that is to be small.
 
     ``start``: its first value.  ``ride(value, row)``: the value after a ride, where ``row(name)`` is a
-    column of the ride (ready, dep, arr, trips, the sums of ``sums``); ``walk(value, row)``: after a walk
-    (row: arr, ready, dur).  ``sums``: columns of connections that are summed over a ride.  ``keep``:
-    a filter of labels.  ``compare`` False makes it equal-only: labels of different values
-    don't dominate each other.
+    column of the ride (ready, dep, arr, legs, the sums of ``sums``) or a criterion before it;
+    ``walk(value, row)``: after a walk (row: arr, ready, dur, criteria before it, end: when one is there).  ``sums``: columns of
+    connections that are summed over a ride.  ``keep``: a filter of labels.  ``kind``: ``less``; ``equal``:
+    labels of different values don't dominate each other; ``carried``: not compared; ``search``: compared in the
+    search, not between answers; ``tie``: likewise, but decides between answers equal in all else.  ``order(row)`` is what labels are compared by
+    instead of the value.  Values must not fall along a journey.
     """
 
     name: str
@@ -46,30 +50,43 @@ class Criterion:
     walk: Callable[[Column, Callable[[str], Column]], Column] = lambda v, row: v
     sums: tuple[str, ...] = ()
     keep: Callable[[Column], Column] | None = None
-    compare: bool = True
+    kind: str = "less"
+    order: Callable[[Callable[[str], Column]], Column] | None = None
 
 
 TRAVEL_TIME = Criterion("travel_time", 0, lambda v, r: r("arr") - r("t0"), lambda v, r: r("ready") - r("t0"), keep=lambda v: v <= HORIZON)
 PRICE = Criterion("price", 0, lambda v, r: v + r("fare"), sums=("fare",))
-#: Price with what the time is worth; a journey that is dearer must be sooner by as much.
-WAGE_PRICE = Criterion("wage_price", 0, lambda v, r: v + r("fare") + CENTS_PER_MINUTE * (r("arr") - r("ready")), lambda v, r: v + CENTS_PER_MINUTE * r("dur"), sums=("fare",))
-#: Regional fares count up to a cap: the capped total.
-REGIONAL_PRICE = Criterion("regional_price", 0, lambda v, r: v + r("regional"), sums=("regional",))
+#: Fares so far, without regional ones where those are capped; and as much compared in a search.
+FARES = Criterion("fares", 0, lambda v, r: v + r("fare"), sums=("fare",), kind="carried")
+FARES_COUNT = replace(FARES, kind="search")
+#: Price with what the time since the start is worth.  Of labels of a station the time until both go on costs the
+#: same, so they are compared by time and fares.
+WAGE_PRICE = Criterion("wage_price", 0, lambda v, r: r("fares") + r("fare") + CENTS_PER_MINUTE * (r("arr") - r("t0")), lambda v, r: r("fares") + CENTS_PER_MINUTE * (r("end") - r("t0")), sums=("fare",), order=lambda r: r("fares"))
+#: Regional fares so far, up to their cap in total.
+REGIONAL_USED = Criterion("regional_used", 0, lambda v, r: F.least(v + r("regional"), F.lit(REGIONAL_CAP)), sums=("regional",), kind="carried")
+#: Price whose regional fares are capped.  A label betters another if it is no dearer now, and no dearer when both have
+#: used up the cap, that is in its other fares: what it has left of the cap may still fall due.
+REGIONAL_PRICE = Criterion(
+    "regional_price", 0, lambda v, r: r("fares") + r("fare") + F.least(r("regional_used") + r("regional"), F.lit(REGIONAL_CAP)) + CENTS_PER_MINUTE * (r("arr") - r("t0")),
+    lambda v, r: r("fares") + r("regional_used") + CENTS_PER_MINUTE * (r("end") - r("t0")), sums=("fare", "regional"), order=lambda r: r("fares") + r("regional_used"),
+)
 NIGHT_PENALTY = Criterion("night", 0, lambda v, r: v + overlap_per_day(r("ready"), r("arr"), *NIGHT), lambda v, r: v + overlap_per_day(r("arr"), r("ready"), *NIGHT))
-#: Successive walks; more than three are absurd.
-ABSURDITY = Criterion("absurdity", 0, lambda v, r: F.lit(0), lambda v, r: v + F.when(r("dur") > 0, 1).otherwise(0), keep=lambda v: v <= 3)
+#: Walks in a row, and those of them that are absurd; they break ties and exclude nothing.
+WALKS = Criterion("walks", 0, lambda v, r: F.lit(0), lambda v, r: v + F.when(r("dur") > 0, 1).otherwise(0), kind="carried")
+ABSURDITY = Criterion("absurdity", 0, lambda v, r: v, lambda v, r: v + F.when((r("dur") > 0) & (r("walks") >= SUCCESSIVE_WALKS), 1).otherwise(0), kind="tie")
 #: 0 no hotel yet, 1 after one; set by extra edges.
-HOTEL = Criterion("hotel", 0, lambda v, r: v, compare=False)
+HOTEL = Criterion("hotel", 0, lambda v, r: v, kind="equal")
 WEIGHTED = Criterion("weight", 0, lambda v, r: r("arr") - r("t0") + TRANSFER_WEIGHT * r("legs"), keep=lambda v: v <= MOST_WEIGHT)
 
 #: Search types: the criteria beside arrival and trips.
 SEARCHES = {
     "default": (TRAVEL_TIME,),
     "price": (PRICE,),
-    "wage_price": (WAGE_PRICE,),
-    "regional_price": (PRICE, REGIONAL_PRICE),
+    "wage_price": (FARES, WAGE_PRICE),
+    "regional_price": (FARES_COUNT, REGIONAL_USED, REGIONAL_PRICE),
     "late_connections": (PRICE, NIGHT_PENALTY, HOTEL),
-    "absurdity": (ABSURDITY,),
+    "absurdity": (WALKS, ABSURDITY),
+    "weighted": (WEIGHTED,),
 }
 
 
@@ -114,28 +131,36 @@ def alpha_dominance(rows: DataFrame, by: list[str], dep: str = "dep", arr: str =
     return undominated(rows, by, rule)
 
 
-def pareto_search(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, criteria: tuple[Criterion, ...], rounds: int = MAX_LEGS, extra_edges: DataFrame | None = None) -> DataFrame:
-    """(start, t0, station, arr, legs, criteria): all Pareto-optimal labels.
+def pareto_search(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, criteria: tuple[Criterion, ...], rounds: int = MAX_LEGS, extra_edges: DataFrame | None = None, goals: DataFrame | None = None, log: list | None = None) -> DataFrame:
+    """(start, t0, station, arr, legs, criteria): all Pareto-optimal labels, of the goals' stations if there are goals.
 
     ``conn`` has the columns that the criteria sum.  ``extra_edges`` (a, b, dur, open_from, open_to, price,
     hotel, taxi): further edges beside footpaths, for instance a taxi by day, a hotel stay, a rented
     bike; a null window is always open, otherwise the traveller waits for it.  A taxi after a hotel is filtered.
+    With ``goals`` (goal) labels from which none is reached in time go, and those that a label at every goal they
+    could still reach beats whatever follows: it is there before the least possible time, with no more trips and
+    no worse criteria.  ``log`` gets (round, labels that go on).
     """
     names, sums = [c.name for c in criteria], sorted({s for c in criteria for s in c.sums})
     label = [*KEYS, "station", "ready", "arr", "legs", *names]
     value = lambda c: c.start if isinstance(c.start, Column) else F.lit(c.start)
     total = Window.partitionBy("trip_id", "day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    links = conn.select("from_station", "to_station", (F.col("arr") - F.col("dep")).alias("minutes")) if goals is not None else None
     conn = conn.select(*CONN, *[F.sum(s).over(total).alias(s) for s in sums], *[(F.sum(s).over(total) - F.col(s)).alias(f"{s}_before") for s in sums])
     conn = cut(conn.repartition("trip_id", "day"))
     at = starts.select(*KEYS, F.col("start").alias("station"), F.col("t0").cast("long").alias("ready"), F.col("t0").cast("long").alias("arr"), F.lit(0).alias("legs"), *[value(c).cast("long").alias(c.name) for c in criteria])
+    bounds = None if goals is None else _bounds(links, footpaths, extra_edges, goals)
     delta, best, found = cut(at), None, None
-    less = ["ready", "legs", *[c.name for c in criteria if c.compare]]
-    same = [c.name for c in criteria if not c.compare]
+    same = [c.name for c in criteria if c.kind == "equal"]
+    compared = [c for c in criteria if c.kind in ("less", "search", "tie")]
+    plain = [c.name for c in criteria if c.kind == "less"]
+
+    orders = [c.order(F.col) if c.order else F.col(c.name) for c in compared]
     for k in range(1, rounds + 1):
         met = conn.filter("in_allowed").select("trip_id", "day", F.col("seq").alias("enter"), "from_station", F.col("dep").alias("_dep"), *[F.col(f"{s}_before").alias(f"_b_{s}") for s in sums])
-        board = met.join(small(delta, delta.count()), F.col("from_station") == F.col("station")).filter((F.col("_dep") >= F.col("ready")) & (F.col("_dep") <= F.col("t0") + HORIZON)).drop("station", "from_station", "arr", "legs")
-        # a label boards a trip at its first possible stop only
-        board = board.groupBy(*KEYS, "trip_id", "day", "ready", *names).agg(F.min_by(F.struct("enter", F.col("_dep").alias("dep"), *[f"_b_{s}" for s in sums]), "enter").alias("on"))
+        board = met.join(small(delta, delta.count()), F.col("from_station") == F.col("station")).filter((F.col("_dep") >= F.col("ready")) & (F.col("_dep") <= F.col("t0") + HORIZON)).drop("from_station", "arr", "legs")
+        # wherever a trip can be boarded: one that comes twice to a station may be cheaper the second time
+        board = board.select(*KEYS, "trip_id", "day", "ready", *names, F.struct("enter", F.col("_dep").alias("dep"), *[f"_b_{s}" for s in sums]).alias("on"))
         rides = board.join(conn.filter("out_allowed").select("trip_id", "day", "seq", "to_station", F.col("arr").alias("_arr"), *[F.col(s).alias(f"_e_{s}") for s in sums]), ["trip_id", "day"])
         rides = rides.filter((F.col("seq") >= F.col("on.enter")) & (F.col("_arr") <= F.col("t0") + HORIZON))
 
@@ -147,26 +172,56 @@ def pareto_search(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, crit
         come = rides.select(*KEYS, F.col("to_station").alias("station"), F.col("_arr").alias("arr"), F.lit(k).alias("legs"), *[c.ride(F.col(c.name), row).cast("long").alias(c.name) for c in criteria])
         for c in criteria:
             come = come.filter(c.keep(F.col(c.name))) if c.keep else come
-        come = cut(undominated(come.distinct(), [*KEYS, "station", *same], dominates(["arr", *[c.name for c in criteria if c.compare]])))
-        step = lambda c: {"ready": F.col("_ready")}.get(c, F.col(c))
+        come = cut(skyline(come.distinct(), [*KEYS, "station", *same], ["arr", *orders]))
+        end = F.when(F.col("a") == F.col("b"), F.col("arr")).otherwise(F.col("_ready"))
+        step = lambda c: {"ready": F.col("_ready"), "end": end}.get(c, F.col(c))  # noqa: E731, B023
         walk = come.join(footpaths.select("a", "b", "dur"), F.col("station") == F.col("a")).withColumn("_ready", F.col("arr") + F.col("dur")).withColumn("dur", F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("dur")))
-        new = walk.select(*KEYS, F.col("b").alias("station"), F.col("_ready").alias("ready"), F.when(F.col("a") == F.col("b"), F.col("arr")).otherwise(F.col("_ready")).alias("arr"), "legs", *[c.walk(F.col(c.name), step).cast("long").alias(c.name) for c in criteria])
+        new = walk.select(*KEYS, F.col("b").alias("station"), F.col("_ready").alias("ready"), end.alias("arr"), "legs", *[c.walk(F.col(c.name), step).cast("long").alias(c.name) for c in criteria])
         if extra_edges is not None:
             new = new.unionByName(_extra(come, extra_edges, criteria, label))
         for c in criteria:
             new = new.filter(c.keep(F.col(c.name))) if c.keep else new
         new = cut(new.distinct())
         # by arrival for the answer, by ready time for what goes on: a walk may be ready sooner than a train that came earlier
-        answer = ["arr", "legs", *[c.name for c in criteria if c.compare]]
         out = new.select(*KEYS, "station", "arr", "legs", *names)
-        found = cut(skyline(out if found is None else out.unionByName(found), [*KEYS, "station", *same], answer).distinct())
+        if goals is not None:
+            out = out.join(goals.select(F.col("goal").alias("station")).distinct(), "station", "left_semi").select(*out.columns)
+        found = cut(skyline((out if found is None else out.unionByName(found)).distinct(), [*KEYS, "station", *same], ["arr", "legs", *plain]))
+        if bounds is not None:
+            new = cut(_promising(new, bounds, found, [c.name for c in compared] if not same else None))
         every = new if best is None else new.unionByName(best)
-        best_now = cut(undominated(every, [*KEYS, "station", *same], dominates(less)))
-        delta = best_now.filter(F.col("legs") == k)
-        best = best_now
+        best = cut(skyline(every.distinct(), [*KEYS, "station", *same], ["ready", "legs", *orders]))
+        delta = best.filter(F.col("legs") == k)
+        if log is not None:
+            log.append((k, delta.count()))
         if delta.isEmpty():
             break
-    return found
+    ties = [c.name for c in criteria if c.kind == "tie"]
+    return skyline(found, [*KEYS, "station", *same, "arr", "legs", *plain], ties) if ties else found
+
+
+def _bounds(links: DataFrame, footpaths: DataFrame, extra_edges: DataFrame | None, goals: DataFrame) -> DataFrame:
+    """(goal, station, minutes): no journey from the station reaches the goal sooner; stations without any are missing."""
+    feet = footpaths.filter("a <> b").select(F.col("a").alias("from_station"), F.col("b").alias("to_station"), F.col("dur").cast("long").alias("minutes"))
+    edges = links.unionByName(feet)
+    if extra_edges is not None:
+        edges = edges.unionByName(extra_edges.filter("a <> b").select(F.col("a").alias("from_station"), F.col("b").alias("to_station"), F.col("dur").cast("long").alias("minutes")))
+    least = edges.groupBy("from_station", "to_station").agg(F.min("minutes").alias("minutes"))
+    return lower_bounds(least, goals.select(F.col("goal").cast("long").alias("goal")).distinct())
+
+
+def _promising(new: DataFrame, bounds: DataFrame, found: DataFrame, plain: list[str] | None) -> DataFrame:
+    """Labels that may still make an answer at some goal; ``plain``: criteria by which answers beat them, None if they can't."""
+    rows = new.join(bounds, "station").withColumn("_least", F.col("ready") + F.when(F.col("minutes") == 0, F.col("arr") - F.col("ready")).otherwise(F.col("minutes")))
+    rows = rows.filter(F.col("_least") <= F.col("t0") + HORIZON)
+    if plain is not None:  # answers at a goal are few: its skyline
+        done = found.select(*[F.col(c).alias(f"_g_{c}") for c in [*KEYS, "station", "arr", "legs", *plain]])
+        beaten = (F.col("_g_arr") <= F.col("_least")) & (F.col("_g_legs") <= F.col("legs"))
+        for c in plain:
+            beaten = beaten & (F.col(f"_g_{c}") <= F.col(c))
+        key = (F.col("_g_start") == F.col("start")) & (F.col("_g_t0") == F.col("t0")) & (F.col("_g_station") == F.col("goal"))
+        rows = rows.join(small(done, done.count()), key & beaten, "left_anti")
+    return rows.select(*new.columns).distinct()
 
 
 def _extra(come: DataFrame, edges: DataFrame, criteria, label: list[str]) -> DataFrame:
@@ -179,9 +234,9 @@ def _extra(come: DataFrame, edges: DataFrame, criteria, label: list[str]) -> Dat
     names = {c.name for c in criteria}
     if "hotel" in names:
         rows = rows.filter(~((F.col("hotel") == 1) & F.coalesce("taxi", F.lit(False))))
-    extra = {"price": F.coalesce("price_of_edge", F.lit(0)), "wage_price": F.coalesce("price_of_edge", F.lit(0))}
+    extra = dict.fromkeys(("price", "fares", "wage_price", "regional_price"), F.coalesce("price_of_edge", F.lit(0)))
     out = []
-    step = lambda c: {"ready": F.col("_ready")}.get(c, F.col(c))
+    step = lambda c: {"ready": F.col("_ready"), "end": F.col("_ready")}.get(c, F.col(c))
     for c in criteria:
         v = c.walk(F.col(c.name), step)
         if c.name in extra:

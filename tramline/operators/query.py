@@ -96,7 +96,7 @@ def _legs(t: Timetable, q: Query, starts: DataFrame) -> DataFrame:
 
 
 def _in_interval(legs: DataFrame) -> DataFrame:
-    """Journeys of the legs, none that another leaves no earlier, arrives no later and changes no more often."""
+    """Journeys of the legs, none that another betters: it leaves no earlier, arrives no later and changes no more often."""
     rows = search.journeys(legs)
     first = F.col("rides")[0]
     # leaving as late as the first ride allows

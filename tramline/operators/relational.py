@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from operator import le
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,19 +93,65 @@ def radius_join(points: DataFrame, places: DataFrame, km: float, min_km: float =
     return near.filter((F.col("km") <= km) & (F.col("km") >= min_km))
 
 
-def skyline(rows: DataFrame, by: list[str], less: list[str], more: list[str] = ()) -> DataFrame:
-    """Rows of each group that no other row dominates (no worse in every criterion, better in one)."""
-    crit = [*less, *more]
-    uniq = rows.select(*by, *crit).distinct()
-    other = uniq.select(*[F.col(c).alias(f"_{c}") for c in uniq.columns])
-    no_worse = [F.col(f"_{c}") <= F.col(c) for c in less] + [F.col(f"_{c}") >= F.col(c) for c in more]
-    better = F.lit(False)
-    for c in crit:
-        better = better | (F.col(f"_{c}") != F.col(c))
-    cond = better
-    for c in [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by] + no_worse:
-        cond = cond & c
-    return rows.join(uniq.join(other, cond, "left_anti"), [*by, *crit], "left_semi")
+class _Kept:
+    """Undominated values of one group so far, in the order they came; many are compared at once."""
+
+    def __init__(self) -> None:
+        self.few: list[tuple] = []
+        self.many: np.ndarray | None = None
+
+    def beats(self, v: tuple) -> bool:
+        if any(all(map(le, a, v)) and a != v for a in self.few):
+            return True
+        if self.many is None:
+            return False
+        no_worse = self.many[(self.many <= np.array(v)).all(1)]
+        return bool(len(no_worse)) and bool((no_worse != np.array(v)).any(1).any())
+
+    def add(self, v: tuple) -> None:
+        if v in self.few[-1:]:
+            return
+        self.few.append(v)
+        if len(self.few) >= 64:
+            block = np.array(self.few)
+            self.many = block if self.many is None else np.concatenate((self.many, block))
+            self.few = []
+
+
+def skyline(rows: DataFrame, by: list[str], less: list[str | Column], more: list[str | Column] = ()) -> DataFrame:
+    """Rows of each group that no other row dominates (no worse in every criterion, better in one); equal rows all stay.
+
+    Criteria are numbers; rows with a null one stay and dominate none.  Rows are sorted by group and criteria, so
+    only earlier ones can dominate; a task holds a group's undominated values and never the group, and rows are
+    filtered where they lie before those left are dealt by group.
+    """
+    crit = [F.col(c) if isinstance(c, str) else c for c in less] + [-(F.col(c) if isinstance(c, str) else c) for c in more]
+    names = [f"_c{k}" for k in range(len(crit))]
+    wide = rows.withColumns(dict(zip(names, crit, strict=True)))
+    keys = [wide.columns.index(c) for c in by]
+    at = len(rows.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept = None, _Kept()
+        for b in batches:
+            values = zip(*(b.column(at + k).to_pylist() for k in range(len(names))), strict=True)
+            groups = zip(*(b.column(k).to_pylist() for k in keys), strict=True) if keys else ((),) * b.num_rows
+            stays = []
+            for g, v in zip(groups, values, strict=True):
+                if g != group:
+                    group, kept = g, _Kept()
+                if None in v:
+                    stays.append(True)
+                elif kept.beats(v):
+                    stays.append(False)
+                else:
+                    stays.append(True)
+                    kept.add(v)
+            yield b.filter(pa.array(stays, pa.bool_()))
+
+    once = wide.sortWithinPartitions(*by, *names).mapInArrow(run, wide.schema)
+    dealt = once.repartition(*by) if by else once.coalesce(1)
+    return dealt.sortWithinPartitions(*by, *names).mapInArrow(run, wide.schema).select(*rows.columns)
 
 
 def islands(rows: DataFrame, by: list[str], order: str) -> DataFrame:
