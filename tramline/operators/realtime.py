@@ -175,15 +175,23 @@ def reroute_events(events: DataFrame, deleted: DataFrame, added: DataFrame, stor
     station_id, ev_type, sched).  Delays of deleted events are stored and come back when an event
     returns.  A trip whose events don't chain, or that is in ``ruled`` (through and merged
     services), keeps its events.
+
+    Events at the same minute are put as a trip can have them: a departure whose stop began earlier,
+    stops that begin and end then, an arrival whose stop ends later; several such stops by ``place``
+    where events and added ones have one.
     """
     key = ["trip_id", "station_id", "ev_type", "sched"]
     asked = deleted.select("trip_id").unionByName(added.select("trip_id")).distinct()
-    kept = events.join(asked, "trip_id", "left_semi").join(deleted.select(*key).distinct(), key, "left_anti")
+    placed = lambda df: df.withColumn("_place", F.col("place").cast("double") if "place" in df.columns else F.lit(None).cast("double"))
+    kept = placed(events).join(asked, "trip_id", "left_semi").join(deleted.select(*key).distinct(), key, "left_anti")
     memory = stored.select(*key, F.col("delay").alias("_stored"))
-    new = added.join(memory, key, "left").withColumn("delay", F.coalesce("delay", "_stored")).drop("_stored")
-    rows = kept.select(*key, "delay").unionByName(new.select(*key, "delay"))
-    order = Window.partitionBy("trip_id").orderBy("sched", F.col("ev_type"), "station_id")
-    rows = rows.withColumn("place", F.row_number().over(order))
+    new = placed(added).join(memory, key, "left").withColumn("delay", F.coalesce("delay", "_stored")).drop("_stored")
+    rows = kept.select(*key, "delay", "_place").unionByName(new.select(*key, "delay", "_place"))
+    here = Window.partitionBy("trip_id", "sched", "station_id")
+    both = F.min("ev_type").over(here) != F.max("ev_type").over(here)
+    rows = rows.withColumn("_phase", F.when(both, 1).when(F.col("ev_type") == "DEP", 0).otherwise(2))
+    order = Window.partitionBy("trip_id").orderBy("sched", "_phase", F.floor("_place"), "station_id", "ev_type")
+    rows = rows.withColumn("place", F.row_number().over(order)).drop("_phase", "_place")
     status = asked.join(chain_status(rows), "trip_id", "left").select("trip_id", F.coalesce("status", F.lit("EVENT_COUNT_MISMATCH")).alias("status"))
     if ruled is not None:
         status = status.join(ruled.select("trip_id").distinct().withColumn("_r", F.lit(True)), "trip_id", "left").select("trip_id", F.when(F.col("_r"), "RULE_SERVICE_REROUTE_NOT_SUPPORTED").otherwise(F.col("status")).alias("status"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .catalog import _FOOT, _START, footpaths, measured_events
 from .functions import scalars
-from .operators import bikes, pareto, paths, query, realtime, relational, search, services, timetable
+from .operators import bikes, connection_graph, pareto, paths, query, realtime, relational, search, services, timetable
 from .plans.timetable import conn_between, view
+from .registry import QUERIES
 from .registry import query as register
 
 _MORNING = 480
@@ -75,6 +76,73 @@ def pareto_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto.pareto_search(conn, footpaths(spark, sf_dir), starts, (pareto.PRICE,), 1).select("station", "arr", "price")
 
 
+def _fares_sql(answer: str) -> str:
+    """Cheapest fare of every connection by number of trips: what boarding at each stop costs at least, carried along the trip."""
+    parts = [
+        f"c AS (SELECT *, trip_id % 97 + seq * 10 AS fare FROM conn WHERE dep BETWEEN {_MORNING} AND {_MORNING + search.HORIZON})",
+        "k AS (SELECT *, sum(fare) OVER w AS upto, sum(fare) OVER w - fare AS before FROM c WINDOW w AS (PARTITION BY trip_id, day ORDER BY seq ROWS UNBOUNDED PRECEDING))",
+        f"l0 AS (SELECT CAST(1 AS BIGINT) AS station, {_MORNING} AS ready, 0 AS price)",
+    ]
+    for n in range(1, search.MAX_LEGS + 1):
+        parts += [
+            f"b{n} AS (SELECT trip_id, day, seq, min(l.price - k.before) AS base FROM k JOIN l{n - 1} l ON from_station = station AND dep >= ready WHERE in_allowed GROUP BY ALL)",
+            f"r{n} AS (SELECT to_station, arr, min(base) OVER (PARTITION BY trip_id, day ORDER BY seq ROWS UNBOUNDED PRECEDING) + upto AS price, out_allowed FROM k LEFT JOIN b{n} USING (trip_id, day, seq))",
+            f"w{n} AS (SELECT b AS station, CASE WHEN a = b THEN arr ELSE arr + dur END AS arr, arr + dur AS ready, min(price) AS price FROM r{n} JOIN footpath ON to_station = a WHERE price IS NOT NULL AND out_allowed AND arr <= {_MORNING + search.HORIZON} GROUP BY ALL)",
+            f"l{n} AS (SELECT station, ready, price FROM (SELECT *, min(price) OVER (PARTITION BY station ORDER BY ready, price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM w{n}) x WHERE m IS NULL OR price < m)",
+        ]
+    found = " UNION ALL ".join(f"SELECT station, arr, {n} AS legs, price FROM w{n}" for n in range(1, search.MAX_LEGS + 1))
+    parts.append(f"f AS (SELECT station, arr, min(legs) AS legs, cost FROM (SELECT station, arr, legs, CAST({answer} AS BIGINT) AS cost FROM ({found}) u) v GROUP BY station, arr, cost)")
+    # what fewer or as many trips reach as soon and as cheaply goes: running minima by number of trips
+    parts.append("h AS (SELECT *, " + ", ".join(f"min(cost) FILTER (legs <= {n}) OVER s AS m{n}" for n in range(1, search.MAX_LEGS + 1)) + " FROM f WINDOW s AS (PARTITION BY station ORDER BY arr RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+    beaten = " OR ".join(f"(legs = {n} AND m{n} <= cost)" for n in range(1, search.MAX_LEGS + 1))
+    parts.append(f"g AS (SELECT * FROM h WHERE NOT coalesce({beaten}, false))")
+    return f"WITH {_FOOT}, " + ", ".join(parts) + " SELECT station, arr, CAST(legs AS BIGINT) AS legs, cost AS price FROM g WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.station = g.station AND o.arr = g.arr AND o.legs <= g.legs AND o.cost <= g.cost AND (o.legs < g.legs OR o.cost < g.cost))"
+
+
+def _fares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conn(spark, sf_dir).withColumn("fare", F.col("trip_id") % 97 + F.col("seq") * 10)
+
+
+@register("pareto_price_full", _fares_sql("price"), "station", "conn")
+def pareto_price_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journeys of up to seven trips from station 1 at 8:00 to every station that no sooner, cheaper and simpler one beats."""
+    starts = spark.createDataFrame([(1, _MORNING)], "start long, t0 long")
+    found = pareto.pareto_search(_fares(spark, sf_dir), footpaths(spark, sf_dir), starts, pareto.SEARCHES["price"])
+    return found.select("station", "arr", F.col("legs").cast("long").alias("legs"), "price")
+
+
+@register("pareto_wage_price_goal", f"SELECT arr, legs, price FROM ({_fares_sql(f'price + {pareto.CENTS_PER_MINUTE} * (arr - {_MORNING})')}) q WHERE station = 5", "station", "conn")
+def pareto_wage_price_goal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journeys from station 1 at 8:00 to station 5 by arrival, trips and price with what the time is worth; labels that can't help the goal go."""
+    starts, goal = spark.createDataFrame([(1, _MORNING)], "start long, t0 long"), spark.createDataFrame([(5,)], "goal long")
+    found = pareto.pareto_search(_fares(spark, sf_dir), footpaths(spark, sf_dir), starts, pareto.SEARCHES["wage_price"], goals=goal)
+    return found.select("arr", F.col("legs").cast("long").alias("legs"), F.col("wage_price").alias("price"))
+
+
+def _delays(spark: SparkSession) -> connection_graph.Delays:
+    """Trains that start two minutes late in a fifth of cases; gained minutes by class, fewer by those that are late already."""
+    def gained(rides: DataFrame) -> DataFrame:
+        late = 1 + F.col("trip_id") % 10 % 3
+        of = lambda delay, *pairs: F.struct(F.lit(delay).cast("long").alias("delay"), F.array(*(F.struct(F.coalesce(m).cast("long").alias("minute"), F.lit(p).alias("p")) for m, p in pairs)).alias("d"))
+        rows = rides.withColumn("_g", F.explode(F.array(of(0, (F.lit(0), 0.6), (late, 0.3), (F.lit(12), 0.1)), of(2, (F.lit(-1), 0.5), (F.lit(0), 0.5)))))
+        return rows.select("key", "_g.delay", F.explode("_g.d").alias("_x")).select("key", "delay", "_x.minute", "_x.p")
+
+    start = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("minute"), F.lit(0.8).alias("p")), F.struct(F.lit(2).cast("long").alias("minute"), F.lit(0.2).alias("p")))).alias("_x")
+    return connection_graph.Delays(lambda rides: rides.select("key", start).select("key", "_x.minute", "_x.p"), gained)
+
+
+def reliable_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connection graphs from station 1 at 8:00 to every station, grown until every arrival at a change is covered: the clock minutes of arrival."""
+    t = query.Timetable(_conn(spark, sf_dir), footpaths(spark, sf_dir))
+    found = search.run_rounds(t.conn, t.footpaths, spark.createDataFrame([(1, _MORNING)], "start long, t0 long"))
+    goals = view(spark, sf_dir, "station").select(F.col("station_id").alias("goal"))
+    base = relational.cut(connection_graph.graphs_of(search.journeys(search.journey_legs(found, goals))))
+    return connection_graph.connection_graphs(t, base, _delays(spark)).arrivals().select("graph", "minute", F.round("p", 9).alias("p"))
+
+
+QUERIES["reliable_search"] = reliable_search  # grows by search after search: no SQL twin, tests follow it by hand
+
+
 @register(
     "lower_bounds",
     """WITH RECURSIVE e AS (SELECT from_station, to_station, min(arr_min - dep_min) AS m FROM segment GROUP BY ALL),
