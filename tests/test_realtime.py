@@ -95,8 +95,8 @@ def test_reroutes_over_sections_without_minutes(spark):
     deleted = spark.createDataFrame([(1, 3, "ARR", 120)], "trip_id long, station_id long, ev_type string, sched long")
     added = spark.createDataFrame([(1, 4, "ARR", 112, None), (1, 4, "DEP", 115, None), (1, 5, "ARR", 115, None), (1, 5, "DEP", 115, None), (1, 6, "ARR", 130, None)], kind)
     none = spark.createDataFrame([], kind)
-    after, status, _ = realtime.reroute_events(events, deleted, added, none)
+    after, status, _ = rt.reroute_events(events, deleted, added, none)
     assert [tuple(r) for r in status.collect()] == [(1, "OK")]
     assert {(r.station_id, r.ev_type, r.sched) for r in after.collect()} == {(9, "DEP", 100), (2, "ARR", 110), (2, "DEP", 112), (4, "ARR", 112), (4, "DEP", 115), (5, "ARR", 115), (5, "DEP", 115), (6, "ARR", 130)}
     broken = added.filter("station_id <> 4 OR ev_type <> 'DEP'")
-    assert realtime.reroute_events(events, deleted, broken, none)[1].first().status != "OK"
+    assert rt.reroute_events(events, deleted, broken, none)[1].first().status != "OK"
