@@ -10,12 +10,12 @@ that a train may be late; the mass of a part is the probability that a traveller
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import pareto, query, search
+from . import query, search
 from .relational import cut
 from .reliability import DIST, EPS, arrival, as_array, departures, graph_arrival, one_point, simple_rating
 
@@ -258,11 +258,7 @@ def rating(t: query.Timetable, journeys: DataFrame, delays: Delays) -> DataFrame
 def route(kind: str, t: query.Timetable, q: query.Query, delays: Delays | None = None, alternatives: int = IN_TREE, later: int = LATER, fares: DataFrame | None = None, extra_edges: DataFrame | None = None):
     """Answer a reliability request: ``rating``, ``reliable_search``, ``connection_tree`` (``Graphs``) or ``late_connection`` (labels at the goal)."""
     if kind == "late_connection":
-        if fares is None:
-            raise ValueError("late connections need connections with fares")
-        starts = t.conn.sparkSession.createDataFrame([(q.start, q.time)], "start long, t0 long")
-        found = pareto.pareto_search(fares, t.footpaths, starts, pareto.SEARCHES["late_connections"], q.rounds, extra_edges)
-        return pareto.relaxed(found.filter(F.col("station") == q.goal))
+        return query.labels(replace(t, conn=fares) if fares is not None else t, replace(q, kind_of_search="late_connections"), extra_edges)
     if kind not in ("rating", "reliable_search", "connection_tree"):
         raise ValueError(f"unknown request: {kind}")
     base = graphs_of(query.answer(t, q))

@@ -36,7 +36,7 @@ class Criterion:
     """A column of a label that is to be small.
 
     ``start``: its first value.  ``ride(value, row)``: the value after a ride, where ``row(name)`` is a
-    column of the ride (ready, dep, arr, legs, the sums of ``sums``) or a criterion before it;
+    column of the ride (was: arrival before it, ready, dep, arr, legs, the sums of ``sums``) or a criterion before it;
     ``walk(value, row)``: after a walk (row: arr, ready, dur, criteria before it, end: when one is there).  ``sums``: columns of
     connections that are summed over a ride.  ``keep``: a filter of labels.  ``kind``: ``less``; ``equal``:
     labels of different values don't dominate each other; ``carried``: not compared; ``search``: compared in the
@@ -70,7 +70,8 @@ REGIONAL_PRICE = Criterion(
     "regional_price", 0, lambda v, r: r("fares") + r("fare") + F.least(r("regional_used") + r("regional"), F.lit(REGIONAL_CAP)) + CENTS_PER_MINUTE * (r("arr") - r("t0")),
     lambda v, r: r("fares") + r("regional_used") + CENTS_PER_MINUTE * (r("end") - r("t0")), sums=("fare", "regional"), order=lambda r: r("fares") + r("regional_used"),
 )
-NIGHT_PENALTY = Criterion("night", 0, lambda v, r: v + overlap_per_day(r("ready"), r("arr"), *NIGHT), lambda v, r: v + overlap_per_day(r("arr"), r("ready"), *NIGHT))
+#: Minutes by night since the start, a hotel's left out; what a change adds counts where a label goes on.
+NIGHT_PENALTY = Criterion("night", 0, lambda v, r: v + overlap_per_day(r("was"), r("arr"), *NIGHT), lambda v, r: v + overlap_per_day(r("arr"), r("end"), *NIGHT), order=lambda r: r("night") + overlap_per_day(r("arr"), r("ready"), *NIGHT))
 #: Walks in a row, and those of them that are absurd; they break ties and exclude nothing.
 WALKS = Criterion("walks", 0, lambda v, r: F.lit(0), lambda v, r: v + F.when(r("dur") > 0, 1).otherwise(0), kind="carried")
 ABSURDITY = Criterion("absurdity", 0, lambda v, r: v, lambda v, r: v + F.when((r("dur") > 0) & (r("walks") >= SUCCESSIVE_WALKS), 1).otherwise(0), kind="tie")
@@ -158,9 +159,9 @@ def pareto_search(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, crit
     orders = [c.order(F.col) if c.order else F.col(c.name) for c in compared]
     for k in range(1, rounds + 1):
         met = conn.filter("in_allowed").select("trip_id", "day", F.col("seq").alias("enter"), "from_station", F.col("dep").alias("_dep"), *[F.col(f"{s}_before").alias(f"_b_{s}") for s in sums])
-        board = met.join(small(delta, delta.count()), F.col("from_station") == F.col("station")).filter((F.col("_dep") >= F.col("ready")) & (F.col("_dep") <= F.col("t0") + HORIZON)).drop("from_station", "arr", "legs")
+        board = met.join(small(delta, delta.count()), F.col("from_station") == F.col("station")).filter((F.col("_dep") >= F.col("ready")) & (F.col("_dep") <= F.col("t0") + HORIZON)).drop("from_station", "legs")
         # wherever a trip can be boarded: one that comes twice to a station may be cheaper the second time
-        board = board.select(*KEYS, "trip_id", "day", "ready", *names, F.struct("enter", F.col("_dep").alias("dep"), *[f"_b_{s}" for s in sums]).alias("on"))
+        board = board.select(*KEYS, "trip_id", "day", "ready", F.col("arr").alias("was"), *names, F.struct("enter", F.col("_dep").alias("dep"), *[f"_b_{s}" for s in sums]).alias("on"))
         rides = board.join(conn.filter("out_allowed").select("trip_id", "day", "seq", "to_station", F.col("arr").alias("_arr"), *[F.col(s).alias(f"_e_{s}") for s in sums]), ["trip_id", "day"])
         rides = rides.filter((F.col("seq") >= F.col("on.enter")) & (F.col("_arr") <= F.col("t0") + HORIZON))
 
@@ -172,7 +173,7 @@ def pareto_search(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, crit
         come = rides.select(*KEYS, F.col("to_station").alias("station"), F.col("_arr").alias("arr"), F.lit(k).alias("legs"), *[c.ride(F.col(c.name), row).cast("long").alias(c.name) for c in criteria])
         for c in criteria:
             come = come.filter(c.keep(F.col(c.name))) if c.keep else come
-        come = cut(skyline(come.distinct(), [*KEYS, "station", *same], ["arr", *orders]))
+        come = cut(skyline(come.distinct().withColumn("ready", F.col("arr")), [*KEYS, "station", *same], ["arr", *orders]).drop("ready"))
         end = F.when(F.col("a") == F.col("b"), F.col("arr")).otherwise(F.col("_ready"))
         step = lambda c: {"ready": F.col("_ready"), "end": end}.get(c, F.col(c))  # noqa: E731, B023
         walk = come.join(footpaths.select("a", "b", "dur"), F.col("station") == F.col("a")).withColumn("_ready", F.col("arr") + F.col("dur")).withColumn("dur", F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("dur")))

@@ -118,7 +118,7 @@ def answer(t: Timetable, q: Query) -> DataFrame:
     if q.kind == "pretrip" and q.until is None:
         raise ValueError("a pretrip query needs an interval")
     if q.kind_of_search not in ("default", "no_intercity"):
-        raise ValueError(f"unknown search type: {q.kind_of_search}; see pareto.SEARCHES for others")
+        raise ValueError(f"unknown search type: {q.kind_of_search}; see labels() for others")
     t = _search_type(t, q.kind_of_search)
     if q.backward:
         if q.kind == "ontrip_train":
@@ -142,6 +142,30 @@ def answer(t: Timetable, q: Query) -> DataFrame:
         begin, end = wider
 
 
+def labels(t: Timetable, q: Query, extra_edges: DataFrame | None = None) -> DataFrame:
+    """(start, t0, station, arr, legs, criteria): what is best at the goal by a search type of ``pareto.SEARCHES``.
+
+    ``no_intercity_`` before a type leaves out long-distance trains.  The connections must have the fares that the
+    type sums.  Forward queries from a station, or from an interval's start times; equivalents of the goal count.
+    """
+    kind = q.kind_of_search.removeprefix("no_intercity_")
+    if kind not in pareto.SEARCHES:
+        raise ValueError(f"unknown search type: {q.kind_of_search}")
+    if q.backward or q.kind == "ontrip_train":
+        raise ValueError("search types with criteria run forward from a station")
+    if kind != q.kind_of_search:
+        t = _search_type(t, "no_intercity")
+    missing = sorted({c for x in pareto.SEARCHES[kind] for c in x.sums} - set(t.conn.columns))
+    if missing:
+        raise ValueError(f"the timetable lacks {', '.join(missing)}")
+    stations = _stations(t, q.start, q.start_metas)
+    times = stations.withColumn("t0", F.lit(q.time)) if q.kind == "ontrip_station" else start_times(t, stations, q.time, q.until, False).filter(F.col("t0") <= q.until)
+    starts = times.select(F.col("station").alias("start"), F.col("t0").cast("long").alias("t0")).distinct()
+    goals = _stations(t, q.goal, q.goal_metas).select(F.col("station").alias("goal"))
+    found = pareto.pareto_search(t.conn, t.footpaths, starts, pareto.SEARCHES[kind], q.rounds, extra_edges, goals)
+    return pareto.relaxed(found) if kind == "late_connections" else found
+
+
 def turn_back(journeys: DataFrame) -> DataFrame:
     """Journeys found on the mirrored timetable as forward ones."""
     ride = lambda r: F.struct(
@@ -283,6 +307,7 @@ def call(name: str, *args, **options):
 
 operation("/search")(answer)
 operation("/search/via")(answer_via)
+operation("/search/types")(labels)
 operation("/search/pareto")(pareto.pareto_search)
 operation("/search/intermodal")(intermodal)
 operation("/batch")(batch)
