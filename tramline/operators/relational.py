@@ -78,8 +78,8 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column, radius:
     return F.lit(2 * radius) * F.asin(F.sqrt(a))
 
 
-def radius_join(points: DataFrame, places: DataFrame, km: float, min_km: float = 0.0) -> DataFrame:
-    """Pairs of a point (lat, lng) and a place (plat, plng) from ``min_km`` to ``km`` apart, by grid cells.
+def radius_join(points: DataFrame, places: DataFrame, km: float, min_km: float = 0.0, by: list[str] = ()) -> DataFrame:
+    """Pairs of a point (lat, lng) and a place (plat, plng) from ``min_km`` to ``km`` apart with equal ``by``, by grid cells.
 
     A cell is as high as the radius; a place is entered in its own cell, a point looks in the
     neighbouring rows and in as many columns as the radius spans at its latitude.
@@ -88,7 +88,7 @@ def radius_join(points: DataFrame, places: DataFrame, km: float, min_km: float =
     row, col = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long"), lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long")
     span = F.least(F.ceil(F.lit(1.05) / F.greatest(F.cos(F.radians("lat")), F.lit(0.02))).cast("long"), F.lit(60))
     seen = points.withColumn("_r", F.explode(F.sequence(row("lat") - 1, row("lat") + 1))).withColumn("_c", F.explode(F.sequence(col("lng") - span, col("lng") + span)))
-    near = seen.join(places.withColumn("_r", row("plat")).withColumn("_c", col("plng")), ["_r", "_c"]).drop("_r", "_c")
+    near = seen.join(places.withColumn("_r", row("plat")).withColumn("_c", col("plng")), [*by, "_r", "_c"]).drop("_r", "_c")
     near = near.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("plat"), F.col("plng")))
     return near.filter((F.col("km") <= km) & (F.col("km") >= min_km))
 
