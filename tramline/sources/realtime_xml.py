@@ -23,18 +23,22 @@ def _time(text: Column) -> Column:
     return F.to_utc_timestamp(F.try_to_timestamp(F.substring(text, 1, 14), F.lit("yyyyMMddHHmmss")), ZONE)
 
 
-def _messages(packets: DataFrame) -> DataFrame:
-    """One row per message with its trip and an array of events; unknown event types are left out."""
-    one = packets.select(_time(F.col("_TOut")).alias("msg_ts"), F.explode("ListNachricht.Nachricht").alias("m"))
+def _messages(packets: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """One row per message with its trip and an array of events; unknown event types are left out.
+
+    Columns ``keep`` stay, with ``nth``, the message's place in its packet, behind them.
+    """
+    kept = [*keep, "nth"] if keep else []
+    one = packets.select(*keep, _time(F.col("_TOut")).alias("msg_ts"), F.posexplode("ListNachricht.Nachricht").alias("nth", "m"))
     tagged = F.filter(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"m.{tag}.Service").alias("s")) for tag, kind in KINDS.items()]), lambda x: x["s"].isNotNull())
-    one = one.select("msg_ts", F.explode(tagged).alias("k")).select("msg_ts", "k.kind", "k.s")
+    one = one.select(*kept, "msg_ts", F.explode(tagged).alias("k")).select(*kept, "msg_ts", "k.kind", "k.s")
     ev_type = lambda e: F.when(e["_Typ"].isin("Start", "Ab"), "DEP").when(e["_Typ"].isin("An", "Ziel"), "ARR")
 
     def event(t: Column):
         return lambda e: F.struct(e["Bf"]["_EvaNr"].alias("station"), t["_Nr"].cast("long").alias("train_nr"), t["_Linie"].alias("line"), ev_type(e).alias("ev_type"), _time(e["Zeit"]["_Soll"]).alias("sched"), _time(F.when(F.col("kind") == "is", e["Zeit"]["_Ist"]).when(F.col("kind") == "forecast", e["Zeit"]["_Prog"])).alias("updated"), t["_Gattung"].alias("category"), e["Gleis"]["_Soll"].alias("track"))
 
     events = F.filter(F.flatten(F.transform("s.ListZug.Zug", lambda t: F.transform(t["ListZE"]["ZE"], event(t)))), lambda e: e["ev_type"].isNotNull())
-    out = one.select("msg_ts", "kind", F.struct(F.col("s._IdBfEvaNr").alias("station"), F.col("s._IdZNr").cast("long").alias("train_nr"), _time(F.col("s._IdZeit")).alias("time"), (F.coalesce(F.col("s._RegSta"), F.lit("Plan")).isin("", "Plan") == F.lit(False)).alias("additional")).alias("trip"), _time(F.col("s._Zielzeit")).alias("target_time"), events.alias("events"))
+    out = one.select(*kept, "msg_ts", "kind", F.struct(F.col("s._IdBfEvaNr").alias("station"), F.col("s._IdZNr").cast("long").alias("train_nr"), _time(F.col("s._IdZeit")).alias("time"), (F.coalesce(F.col("s._RegSta"), F.lit("Plan")).isin("", "Plan") == F.lit(False)).alias("additional")).alias("trip"), _time(F.col("s._Zielzeit")).alias("target_time"), events.alias("events"))
     scheds = F.filter(F.concat(F.transform("events", lambda e: e["sched"]), F.array("trip.time", "target_time")), lambda t: t.isNotNull())
     return out.withColumn("earliest", F.array_min(scheds)).withColumn("latest", F.array_max(scheds)).drop("target_time")
 
@@ -61,18 +65,22 @@ def _members(name: str, content: bytes) -> Iterator[bytes]:
         yield content
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of packets in .zip, .tar.zst and .xml files below ``path``."""
+def read_archives(spark: SparkSession, path: str | list[str], origin: bool = False) -> DataFrame:
+    """Messages of packets in .zip, .tar.zst and .xml files below ``path``.
+
+    With ``origin`` they have the file, its time and their places in it: (file, file_ts, part, nth).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for xml in _members(name, content):
-                    yield pa.RecordBatch.from_arrays([pa.array([xml.decode("ISO-8859-1" if b"8859-1" in xml[:100] else "utf-8").split("?>", 1)[-1]])], ["xml"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    packets = files.mapInArrow(run, "xml string").select(F.from_xml("xml", PACKET).alias("p")).select("p.*")
-    return _messages(packets)
+            for k, (name, content) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                for part, xml in enumerate(_members(name, content)):
+                    text = xml.decode("ISO-8859-1" if b"8859-1" in xml[:100] else "utf-8").split("?>", 1)[-1]
+                    yield pa.RecordBatch.from_arrays([b.column(0)[k : k + 1], b.column(1)[k : k + 1], pa.array([part], pa.int64()), pa.array([text])], ["file", "file_ts", "part", "xml"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "content")
+    packets = files.mapInArrow(run, "file string, file_ts timestamp, part long, xml string").select("file", "file_ts", "part", F.from_xml("xml", PACKET).alias("p")).select("file", "file_ts", "part", "p.*")
+    return _messages(packets, ["file", "file_ts", "part"] if origin else [])
 
 
 def message_events(messages: DataFrame) -> DataFrame:
