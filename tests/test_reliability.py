@@ -139,3 +139,124 @@ def test_ratings(spark):
     ways = spark.createDataFrame([(1, 12, 60), (1, 25, 50), (1, 30, 90)], "stop long, leaves long, arrives long")
     assert [r.minute for r in rel.uncovered(came, ways).collect()] == [31]
     assert {r.leaves: r.weight for r in rel.choose_alternatives(came, ways).collect()} == pytest.approx({25: 0.8})
+
+
+def random_sections(seed):
+    """Trips of sections on a line of minutes; departures wait for arrivals of other trips shortly before."""
+    rnd = random.Random(seed)
+    conn, feeding, key = [], [], 0
+    for trip in range(6):
+        at = rnd.randint(0, 30)
+        for seq in range(rnd.randint(1, 4)):
+            came = at + rnd.randint(5, 20)
+            conn.append((key, trip, 0, seq, at, came))
+            key, at = key + 1, came + rnd.randint(1, 5)
+    for d in conn:
+        for a in conn:
+            if a[1] != d[1] and d[4] - 15 <= a[5] <= d[4] - 2 and rnd.random() < 0.5:
+                feeding.append((d[0], a[0], rnd.randint(1, 4), 2))
+    start = [(d[0], m, p) for d in conn if d[3] == 0 for m, p in ((0, 0.7), (rnd.randint(1, 9), 0.3))]
+    travel = [(d[0], 0, m, p) for d in conn for m, p in ((0, 0.6), (rnd.randint(1, 3), 0.4))]
+    return conn, start, travel, feeding
+
+
+def as_tables(spark, conn, start, travel, feeding):
+    return (
+        spark.createDataFrame(conn, "key long, trip_id long, day long, seq long, dep long, arr long"),
+        spark.createDataFrame(start, "key long, minute long, p double"),
+        spark.createDataFrame(travel, "key long, delay long, minute long, p double"),
+        spark.createDataFrame(feeding, "key long, feeder long, wait long, transfer long"),
+    )
+
+
+def by_hand(conn, start, travel, feeding, measured):
+    """Departures and arrivals of all sections, one by one in order of departure."""
+    deps, arrs, at = {}, {}, {c[0]: c for c in conn}
+    before = {(c[1], c[3]): c[0] for c in conn}
+    for key, trip, _, seq, dep, _arr in sorted(conn, key=lambda c: c[4]):
+        if seq == 0:
+            own = {m: p for k, m, p in start if k == key}
+        else:
+            prev = at[before[trip, seq - 1]]
+            shift = prev[5] + min(2, dep - prev[5]) - dep
+            own = {}
+            for m, p in arrs[prev[0]].items():
+                own[m + shift] = own.get(m + shift, 0.0) + p
+        fed = [(w, {m + at[f][5] + t - dep: p for m, p in arrs[f].items()}) for k, f, w, t in feeding if k == key]
+        got = departure_by_hand(own, fed, max([w for w, _ in fed], default=0))
+        deps[key] = {max(measured[key], 0): sum(own.values())} if key in measured else got
+        out = {}
+        for m, p in deps[key].items():
+            for k, _, d, q in travel:
+                if k == key:
+                    out[m + d] = out.get(m + d, 0.0) + p * q
+        arrs[key] = out
+    return deps, arrs
+
+
+def mass(df):
+    out = {}
+    for r in df.collect():
+        if r.p:
+            assert r.minute not in out.setdefault(r.key, {})
+            out[r.key][r.minute] = r.p
+    return out
+
+
+def same(got, want):
+    assert set(got) == {k for k, v in want.items() if any(v.values())}
+    for k, d in got.items():
+        assert d == pytest.approx({m: p for m, p in want[k].items() if p}, abs=1e-9)
+
+
+def test_update_is_a_recomputation(spark):
+    data = random_sections(5)
+    conn, start, travel, feeding = as_tables(spark, *data)
+    deps, arrs = rel.timetable_distributions(conn, start, travel, feeding)
+    hand = by_hand(*data, {})
+    same(mass(deps), hand[0])
+    same(mass(arrs), hand[1])
+    fed = {f for _, f, _, _ in data[3]}
+    key = next(c[0] for c in data[0] if c[3] == 0 and c[0] in fed)
+    measured = spark.createDataFrame([(key, 7)], "key long, is_delay long")
+    new = rel.update_distributions(conn, start, travel, feeding, deps, arrs, measured, measured, least=0.0)
+    hand = by_hand(*data, {key: 7})
+    same(mass(new[0]), hand[0])
+    same(mass(new[1]), hand[1])
+    needs = conn.sparkSession.createDataFrame([(k, f) for k, f, _, _ in data[3]] + [(b[0], a[0]) for a in data[0] for b in data[0] if a[1] == b[1] and b[3] == a[3] + 1], "key long, on long")
+    reached = {r.key for r in rel.affected(measured, needs).collect()}
+    assert {key} < {r.key for r in new[2].collect()} <= reached < {c[0] for c in data[0]} or reached == {c[0] for c in data[0]}
+    # with a coarse limit the change goes no further than the first section; nothing changed computes nothing
+    far = rel.update_distributions(conn, start, travel, feeding, deps, arrs, measured, measured, least=2.1)
+    assert [(r.key, r.moved) for r in far[2].collect()] == [(key, False)]
+    none = rel.update_distributions(conn, start, travel, feeding, deps, arrs, measured.limit(0), None)
+    assert none[2].count() == 0 and mass(none[1]) == mass(arrs)
+
+
+def test_circles_and_empty_timetables(spark):
+    conn, start, travel, feeding = as_tables(spark, [(1, 1, 0, 0, 0, 10), (2, 2, 0, 0, 0, 10)], [], [], [(1, 2, 1, 1), (2, 1, 1, 1)])
+    with pytest.raises(ValueError):
+        rel.timetable_distributions(conn, start, travel, feeding)
+    deps, arrs = rel.timetable_distributions(conn.limit(0), start, travel, feeding)
+    assert deps.count() == arrs.count() == 0
+
+
+def test_updates_as_a_stream(spark, tmp_path):
+    from tramline.streaming import distributions as follow
+
+    data = random_sections(6)
+    conn, start, travel, feeding = as_tables(spark, *data)
+    root, src = str(tmp_path / "state"), str(tmp_path / "in")
+    first = [c[0] for c in data[0] if c[3] == 0]
+    follow.begin(spark, root, conn, start, travel, feeding)
+    said = lambda rows: spark.createDataFrame(rows, "key long, is_delay long").coalesce(1).write.mode("append").parquet(src)
+    run = lambda: follow.follow(spark.readStream.schema("key long, is_delay long").parquet(src), root, str(tmp_path / "cp"), conn, start, travel, feeding, least=0.0)
+    said([(first[0], 3), (first[0], 4)])
+    run()
+    said([(first[1], 5)])
+    run()
+    deps, arrs, measured = follow.state(spark, root)
+    hand = by_hand(*data, {first[0]: 4, first[1]: 5})
+    same(mass(deps), hand[0])
+    same(mass(arrs), hand[1])
+    assert {(r.key, r.is_delay) for r in measured.collect()} == {(first[0], 4), (first[1], 5)}

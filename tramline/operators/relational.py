@@ -39,6 +39,34 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """A table that grows by parts, each written once; with ``by`` the parts are dealt into folders by a column's value."""
+
+    def __init__(self, spark: SparkSession, by: str | None = None) -> None:
+        self.spark, self.by, self.root, self.parts = spark, by, f"{_folder(spark)}/{uuid.uuid4().hex}", 0
+
+    def add(self, df: DataFrame) -> bool:
+        """Write a part; whether it has rows."""
+        path = f"{self.root}/part={self.parts}"
+        self.parts += 1
+        if self.by:
+            df.write.partitionBy(self.by).parquet(path)
+            return True
+        df.write.parquet(path)
+        return not self.spark.read.schema(df.schema).parquet(path).isEmpty()
+
+    def read(self, schema, value: int | None = None) -> DataFrame:
+        """All parts, or the rows of one value of ``by`` (without it); other folders are not opened."""
+        names = [f"{self.root}/part={k}" + (f"/{self.by}={value}" if value is not None else "") for k in range(self.parts)]
+        if value is not None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path
+            fs = path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            names = [n for n in names if fs.exists(path(n))]
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*names)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this session has cut, once no result that reads them is needed."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import cut
+from .relational import Tables, cut
 
 #: Share of trains that run; feeders arrive at most so long before; shortest stop.
 TRAIN_RATING, FEEDER_MINUTES, STANDING = 0.995, 30, 2
@@ -214,50 +214,113 @@ def shifted(arrivals: DataFrame, by: Column) -> DataFrame:
 # --- whole timetable --------------------------------------------------------------------------
 
 
-def timetable_distributions(conn: DataFrame, start: DataFrame, travel: DataFrame, feeding: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((key, minute, p) of departures, of arrivals) of every section of ``conn``.
+LATE = "key {0}, on {0}, minute long, p double, moved boolean"
 
-    ``conn`` has (key, trip_id, day, seq, dep, arr); ``start`` (key, minute, p) for first sections;
-    ``travel`` (key, delay, minute, p); ``feeding`` (key, feeder, wait, transfer): sections whose
-    arrival a departure waits for.  A section's level is one more than those of its predecessors
-    (the section before, its feeders), so all sections of a level are done in one step.
+
+def _sections(conn: DataFrame, feeding: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(sections with their level, (key, on, level of key) of what they need, feeders with shifts, number of levels).
+
+    A section's level is one more than those of its predecessors (the section before, its feeders), so all sections of
+    a level are done in one step.
     """
     w = Window.partitionBy("trip_id", "day").orderBy("seq")
     rows = conn.withColumn("before", F.lag("key").over(w)).withColumn("came", F.lag("arr").over(w)).select("key", "before", "came", "dep", "arr")
     rows = cut(rows)
     needs = rows.filter("before IS NOT NULL").select("key", F.col("before").alias("on")).unionByName(feeding.select("key", F.col("feeder").alias("on"))).distinct()
-    needs = cut(needs.join(rows.select(F.col("key").alias("on")), "on", "left_semi"))
-    levels, left, level = None, rows.select("key"), 0
+    needs = cut(needs.join(rows.select(F.col("key").alias("on")), "on", "left_semi").join(rows.select("key"), "key", "left_semi"))
+    levels, left, level = Tables(conn.sparkSession), rows.select("key"), 0
     while True:  # a level: all whose needs have levels
         open_ = needs.join(left.withColumnRenamed("key", "on"), "on", "left_semi").select("key").distinct()
-        ready = cut(left.join(open_, "key", "left_anti").withColumn("level", F.lit(level)))
-        left = cut(left.join(ready, "key", "left_anti"))
-        levels = ready if levels is None else levels.unionByName(ready)
-        level += 1
-        if left.isEmpty():
+        ready = left.join(open_, "key", "left_anti").withColumn("level", F.lit(level))
+        if not levels.add(ready):
+            if level and left.isEmpty():
+                break
+            if not left.isEmpty():
+                raise ValueError("sections wait for each other in a circle")
             break
-        if ready.isEmpty():
-            raise ValueError("sections wait for each other in a circle")
-    sched = rows.select("key", F.col("arr").alias("f_arr")).withColumnRenamed("key", "feeder")
-    fed = feeding.join(sched, "feeder").join(rows.select("key", F.col("dep").alias("_dep")), "key")
-    fed = fed.withColumn("shift", F.col("f_arr") + F.col("transfer") - F.col("_dep"))
-    deps = arrs = None
-    for k in range(level):
-        now = rows.join(levels.filter(F.col("level") == k).select("key"), "key", "left_semi")
-        first = now.filter("before IS NULL").join(as_array(start, "key", name="own"), "key").select("key", "own")
-        if arrs is None:
-            out = cut(departures(first))
-        else:
-            came = arrs.select(F.col("key").alias("before"), "minute", "p")
-            own = now.join(came, "before").withColumn("minute", F.col("minute") + F.col("came") + F.least(F.lit(STANDING), F.col("dep") - F.col("came")) - F.col("dep"))
-            later = as_array(own.select("key", "minute", "p"), "key", name="own")
-            f = fed.join(now.select("key"), "key", "left_semi").join(arrs.withColumnRenamed("key", "feeder"), "feeder").withColumn("minute", F.col("minute") + F.col("shift"))
-            f = as_array(f.select("key", "feeder", "wait", "minute", "p"), "key", "feeder", "wait").withColumn("latest", F.col("wait"))
-            out = cut(departures(first.unionByName(later), f))
-        came = cut(arrival(out, travel.join(now.select("key"), "key", "left_semi")))
-        deps = out if deps is None else deps.unionByName(out)
-        arrs = came if arrs is None else arrs.unionByName(came)
-    return deps, arrs
+        level += 1
+        needs_left = needs.join(open_, "key", "left_semi")
+        left, needs = cut(left.join(open_, "key", "left_semi")), cut(needs_left)
+    at = levels.read(left.withColumn("level", F.lit(0)).schema)
+    rows = cut(rows.join(at, "key"))
+    sched = rows.select(F.col("key").alias("feeder"), F.col("arr").alias("f_arr"))
+    fed = feeding.join(sched, "feeder").join(rows.select("key", "level", F.col("dep").alias("_dep")), "key")
+    fed = fed.select("key", "feeder", "wait", "level", (F.col("f_arr") + F.col("transfer") - F.col("_dep")).alias("shift"))
+    on = rows.filter("before IS NOT NULL").select("key", F.col("before").alias("on"), "level").unionByName(fed.select("key", F.col("feeder").alias("on"), "level")).distinct()
+    return rows, cut(on), cut(fed), level
+
+
+def _level(now: DataFrame, inputs: DataFrame, start: DataFrame, travel: DataFrame, fed: DataFrame, measured: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(departures, arrivals) of the sections ``now`` of one level from ``inputs`` (key, on, minute, p), the arrivals they need."""
+    first = now.filter("before IS NULL").join(as_array(start, "key", name="own"), "key").select("key", "own")
+    own = now.join(inputs.withColumnRenamed("on", "before"), ["key", "before"]).withColumn("minute", F.col("minute") + F.col("came") + F.least(F.lit(STANDING), F.col("dep") - F.col("came")) - F.col("dep"))
+    trains = first.unionByName(as_array(own.select("key", "minute", "p"), "key", name="own"))
+    if measured is not None:
+        trains = trains.join(measured.select("key", "is_delay"), "key", "left")
+    f = fed.join(inputs.withColumnRenamed("on", "feeder"), ["key", "feeder"]).withColumn("minute", F.col("minute") + F.col("shift"))
+    f = as_array(f.select("key", "feeder", "wait", "minute", "p"), "key", "feeder", "wait").withColumn("latest", F.col("wait"))
+    out = cut(departures(trains, f))
+    return out, cut(arrival(out, travel.join(now.select("key"), "key", "left_semi")))
+
+
+def timetable_distributions(conn: DataFrame, start: DataFrame, travel: DataFrame, feeding: DataFrame, measured: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((key, minute, p) of departures, of arrivals) of every section of ``conn``.
+
+    ``conn`` has (key, trip_id, day, seq, dep, arr); ``start`` (key, minute, p) for first sections;
+    ``travel`` (key, delay, minute, p); ``feeding`` (key, feeder, wait, transfer): sections whose
+    arrival a departure waits for; ``measured`` (key, is_delay): departures that took place.
+
+    Each arrival is written once for every section that needs it, under that section's level, so a level
+    reads its own inputs and nothing else: work is linear in sections and needs.
+    """
+    spark = conn.sparkSession
+    rows, on, fed, levels = _sections(conn, feeding)
+    late, deps, arrs = Tables(spark, "level"), Tables(spark), Tables(spark)
+    kind = LATE.format(conn.schema["key"].dataType.simpleString())
+    for k in range(levels):
+        this = F.col("level") == k
+        out, came = _level(rows.filter(this), late.read(kind, k), start, travel, fed.filter(this).drop("level"), measured)
+        deps.add(out)
+        arrs.add(came)
+        if k + 1 < levels:
+            late.add(on.join(came.withColumnRenamed("key", "on"), "on").select("key", "on", "minute", "p", F.lit(True).alias("moved"), "level"))
+    plain = f"key {conn.schema['key'].dataType.simpleString()}, minute long, p double"
+    return deps.read(plain), arrs.read(plain)
+
+
+def update_distributions(conn: DataFrame, start: DataFrame, travel: DataFrame, feeding: DataFrame, deps: DataFrame, arrs: DataFrame, changed: DataFrame, measured: DataFrame | None = None, least: float = 0.001) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(departures, arrivals, (key, level, moved) of what was computed anew) once the inputs of the sections ``changed`` (key) are others.
+
+    ``deps`` and ``arrs`` are results of before.  Level by level the changed sections and those that need an arrival
+    which moved by more than ``least`` (``significant``) are computed anew; smaller moves are kept but wake nobody.
+    With ``least`` 0 the result is that of ``timetable_distributions``; a level that nothing reaches costs no distribution.
+    """
+    spark = conn.sparkSession
+    rows, on, fed, levels = _sections(conn, feeding)
+    name = conn.schema["key"].dataType.simpleString()
+    late, new_deps, new_arrs, log = Tables(spark, "level"), Tables(spark), Tables(spark), Tables(spark)
+    changed = cut(rows.select("key", "level").join(changed.select("key").distinct(), "key", "left_semi"))
+    for k in range(levels):
+        this = F.col("level") == k
+        come = late.read(LATE.format(name), k)
+        keys = cut(changed.filter(this).select("key").unionByName(come.filter("moved").select("key")).distinct())
+        if keys.isEmpty():
+            continue
+        now = cut(rows.filter(this).join(keys, "key", "left_semi"))
+        need = on.filter(this).join(keys, "key", "left_semi").select("key", "on")
+        fresh = come.join(keys, "key", "left_semi").select("key", "on", "minute", "p")
+        stale = need.join(fresh.select("key", "on").distinct(), ["key", "on"], "left_anti").join(arrs.select(F.col("key").alias("on"), "minute", "p"), "on")
+        out, came = _level(now, cut(fresh.unionByName(stale.select("key", "on", "minute", "p"))), start, travel, fed.filter(this).drop("level"), measured)
+        new_deps.add(out)
+        new_arrs.add(came)
+        moved = cut(significant(arrs.join(keys, "key", "left_semi"), came, least).withColumn("moved", F.lit(True)))
+        said = keys.join(moved, "key", "left").select("key", F.lit(k).alias("level"), F.coalesce("moved", F.lit(False)).alias("moved"))
+        log.add(said)
+        late.add(on.join(came.withColumnRenamed("key", "on"), "on").join(moved.withColumnRenamed("key", "on"), "on", "left").select("key", "on", "minute", "p", F.coalesce("moved", F.lit(False)).alias("moved"), "level"))
+    plain = f"key {name}, minute long, p double"
+    done = log.read(f"key {name}, level int, moved boolean")
+    whole = lambda old, new: old.select("key", "minute", "p").join(done.select("key"), "key", "left_anti").unionByName(new.read(plain))
+    return whole(deps, new_deps), whole(arrs, new_arrs), done
 
 
 def affected(changed: DataFrame, needs: DataFrame) -> DataFrame:
@@ -271,10 +334,10 @@ def affected(changed: DataFrame, needs: DataFrame) -> DataFrame:
 
 
 def significant(before_: DataFrame, after: DataFrame, least: float = 0.001) -> DataFrame:
-    """Keys whose distribution changed by at least ``least`` at some minute."""
+    """Keys whose distribution changed by more than ``least``, its minutes' changes added up."""
     b, a = before_.withColumnRenamed("p", "_b"), after.withColumnRenamed("p", "_a")
-    both = b.join(a, ["key", "minute"], "full").filter(F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0))) >= least)
-    return both.select("key").distinct()
+    both = b.join(a, ["key", "minute"], "full").withColumn("_by", F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0))))
+    return both.groupBy("key").agg(F.sum("_by").alias("_by")).filter(F.col("_by") > least).select("key")
 
 
 # --- ratings ------------------------------------------------------------------------------------
