@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pareto, search
+from . import pareto, realtime, search
 from .relational import cut, haversine_km, skyline
 
 #: Fixed value: minutes by which an interval grows at either end.
@@ -26,6 +26,12 @@ class Timetable:
     equivalents: DataFrame | None = None
     links: DataFrame | None = None
 
+    def running(self, canceled: DataFrame, updates: DataFrame | None = None) -> Timetable:
+        """The timetable in real time: updated times, no cancelled sections; trips are pieces (``realtime.trip_of``)."""
+        conn = self.conn if updates is None else realtime.retimed(self.conn, updates)
+        conn, links = realtime.running(conn, canceled, self.links)
+        return replace(self, conn=conn, links=links)
+
 
 @dataclass(frozen=True)
 class Query:

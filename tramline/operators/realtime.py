@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -116,6 +116,48 @@ def cancel(segments: DataFrame, cancels: DataFrame) -> DataFrame:
     return segments.join(gone, ["trip_id", "seq"], "left").withColumn("canceled", F.coalesce("canceled", F.lit(False)))
 
 
+#: A trip is cut into fewer pieces than this; the number of a running piece is trip_id * PIECES + piece.
+PIECES = 1024
+
+
+def running(conn: DataFrame, canceled: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(connections as they run, links between them): without cancelled sections, and nobody stays seated across one.
+
+    ``canceled`` has (trip_id, seq[, day]) of sections; without a day, of all days.  What lies between two cancellations is
+    a trip of its own, numbered ``trip_id * PIECES + piece`` (``trip_of`` gives the trip), so every search takes the
+    result as it takes ``conn``.  ``links`` (trip_id, day, next_trip) lead from a trip's last piece to the next one's
+    first, unless the sections that meet are cancelled.  A null in a key of ``canceled`` matches nothing.
+    """
+    key = [c for c in ("trip_id", "day", "seq") if c in canceled.columns]
+    rows = conn.join(canceled.select(*key).distinct().withColumn("_gone", F.lit(True)), key, "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+    w = Window.partitionBy("trip_id", "day").orderBy("seq")
+    rows = rows.withColumn("_piece", F.sum(F.col("_gone").cast("long")).over(w))
+    piece = lambda trip, n: F.col(trip) * PIECES + n
+    out = rows.filter("NOT _gone").withColumn("trip_id", piece("trip_id", F.col("_piece"))).select(*conn.columns)
+    if links is None:
+        return out, None
+    ends = rows.groupBy("trip_id", "day").agg(F.max("_piece").alias("_last"), F.max_by("_gone", "seq").alias("_ends"), F.min_by("_gone", "seq").alias("_begins"))
+    joint = links.select("trip_id", "day", "next_trip").join(ends.filter("NOT _ends").select("trip_id", "day", "_last"), ["trip_id", "day"])
+    joint = joint.join(ends.filter("NOT _begins").select(F.col("trip_id").alias("next_trip"), "day"), ["next_trip", "day"])
+    return out, joint.select(piece("trip_id", F.col("_last")).alias("trip_id"), "day", piece("next_trip", F.lit(0)).alias("next_trip"))
+
+
+def trip_of(trip_id: Column) -> Column:
+    """The trip of a running piece."""
+    return F.shiftright(trip_id, PIECES.bit_length() - 1)
+
+
+def retimed(conn: DataFrame, updates: DataFrame) -> DataFrame:
+    """Connections at their real times: ``updates`` has (trip_id, day, seq, ev_type, real) of a section's two events.
+
+    Events without an update, or with a null time, stay as planned; no section arrives before it departs.
+    """
+    one = lambda kind, c: updates.filter(F.col("ev_type") == kind).groupBy("trip_id", "day", "seq").agg(F.max("real").alias(c))
+    rows = conn.join(one("DEP", "_d"), ["trip_id", "day", "seq"], "left").join(one("ARR", "_a"), ["trip_id", "day", "seq"], "left")
+    rows = rows.withColumn("dep", F.coalesce("_d", "dep")).withColumn("arr", F.greatest(F.coalesce("_a", "arr"), F.col("dep")))
+    return rows.select(*conn.columns)
+
+
 def reroute(stops: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
     """Re-threaded segments after stops were taken out (trip_id, seq) and put in (a stop row each)."""
     kept = stops.join(removed.select("trip_id", "seq").distinct(), ["trip_id", "seq"], "left_anti").unionByName(added)

@@ -31,6 +31,22 @@ def journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.journeys(search.journey_legs(found, goals)).select("goal", "arrival", "transfers")
 
 
+@register(
+    "earliest_arrival_running",
+    f"""WITH {_FOOT}, c AS (SELECT DISTINCT trip_id, seq FROM message WHERE kind = 'cancel'),
+    flagged AS (SELECT n.*, EXISTS (SELECT 1 FROM c WHERE c.trip_id = n.trip_id AND c.seq IN (n.seq, n.seq + 1)) AS gone FROM conn n),
+    running AS (SELECT * REPLACE (trip_id || '/' || piece AS trip_id) FROM (SELECT *, count_if(gone) OVER (PARTITION BY trip_id, day ORDER BY seq) AS piece FROM flagged) WHERE NOT gone),
+    {search.search_sql(7, _START).replace(" conn", " running")} SELECT station, arr FROM best""",
+    "station", "conn", "message",
+)
+def earliest_arrival_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earliest arrivals from station 1 at 8:00 without the sections that messages cancel."""
+    stops = view(spark, sf_dir, "message").filter("kind = 'cancel'")
+    gone = realtime.cancel(view(spark, sf_dir, "segment"), stops).filter("canceled")
+    t = query.Timetable(_conn(spark, sf_dir), footpaths(spark, sf_dir)).running(gone.select("trip_id", "seq"))
+    return search.earliest_arrival(t.conn, t.footpaths, spark.createDataFrame([(1, _MORNING)], "start long, t0 long"), 7).select("station", "arr")
+
+
 @register(
     "journey_interchanges",
     f"""WITH {_FOOT}, {search.search_sql(3, _START, by_legs=True)}, g AS (SELECT station AS goal, arr, legs FROM found WHERE legs <= 3)
