@@ -350,6 +350,21 @@ def test_license_one_word_forms(text, label):
     assert [d[0] for d in licenses.Scanner().scan(text)[2]] == [label]
 
 
+def test_privacy_counts_witnesses_exactly(spark):
+    """Every value of three texts has its term; values of two texts, however often repeated, have none; nor kinds of four values."""
+    word = lambda k: "x" + "".join(chr(97 + int(c)) for c in str(k))
+    few = {k: 3 if k % 3 else 2 for k in range(90)}
+    rows = [(0, f"{word(k)} wrote u{k}@mail.example part {word(n)}y") for k, times in few.items() for n in range(times) for _ in range(1 if times == 3 else 4)]
+    rows += [(0, f"{w} calls +49 30 12345{v:02d} now") for w, most in (("fourfold", 4), ("fivefold", 5)) for v in range(most) for _ in range(3)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)] + [(9000 + i, f"plain text {i} wrote part calls now") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = privacy.find_entities(docs, "doc_id", "text")
+    got = {r.term for r in privacy.disclosing_terms(found, docs, "text").collect()}
+    assert {t for t in got if t.startswith("x") and not t.endswith("y")} == {word(k) for k, n in few.items() if n == 3}
+    assert got == privacy_by_hand(rows)
+    assert "fivefold" in got and "fourfold" not in got
+
+
 def test_privacy_whole_documents(spark):
     filler = " ".join("1" * 9 for _ in range(60))
     rows = [(i, f"Falconer has the key. {filler} write to jo@x.org today. {'so it is ' * 20} falconer {i}, and bo too") for i in range(4)]

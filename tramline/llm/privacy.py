@@ -16,6 +16,7 @@ their kind.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -38,8 +39,8 @@ MARKS = {"email": "EMAIL", "ip": "IP", "card": "CARD", "phone": "PHONE", "secret
 ALPHA = 0.9
 #: Witnesses that a pair needs: different texts for a value, documents of different values for a kind.
 SUPPORT, KIND_SUPPORT = 3, 5
-#: Witnesses fall into so many classes by hash; those of different classes count.
-WITNESSES = 64
+#: Witnesses that a task keeps of a pair between two flushes: no rule asks for more, so counts up to it are exact.
+WITNESSES = max(SUPPORT, KIND_SUPPORT)
 #: Counts or known terms that a task holds at once.
 HELD = 100_000
 #: Bits of the candidate filter: a fixed size, so what is sent to the workers never grows.
@@ -235,7 +236,7 @@ class Passing:
 
 
 def _witness(name: str) -> int:
-    return 1 << zlib.crc32(name.encode("utf-8", "replace")) % WITNESSES
+    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def words_of(text: str) -> set[str]:
@@ -258,8 +259,9 @@ ANY = "any"
 def cooccurrences(docs: DataFrame, text_col: str, wanted: bytes) -> DataFrame:
     """(entity, term, n_ct, seen): documents that hold both, for the values that pass the filter, for kinds and for ``ANY``.
 
-    ``seen`` is the number of classes of witnesses: texts for a value; for a kind one value per
-    document, so that copies of a document are one witness.
+    ``seen`` is the number of different witnesses, exact up to ``WITNESSES`` and no lower beyond: texts for a value; for a kind
+    one value per document (that of the smallest hash), so that copies of a document are one witness.  A task hands on
+    at most ``WITNESSES`` of a pair at once, a row each, which are counted once however many tasks saw them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,8 +269,13 @@ def cooccurrences(docs: DataFrame, text_col: str, wanted: bytes) -> DataFrame:
         passes = Passing(wanted)
 
         def out() -> pa.RecordBatch:
-            seen = pa.array([n[1] for n in counts.values()], pa.uint64()).view(pa.int64())
-            batch = pa.RecordBatch.from_arrays([pa.array([e for e, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.string()), pa.array([n[0] for n in counts.values()], pa.int64()), seen], ["entity", "term", "n", "seen"])
+            of = np.fromiter((len(n) - 1 for n in counts.values()), np.int64, len(counts))
+            row = pa.array(np.repeat(np.arange(len(counts)), of))
+            n = np.zeros(len(row), np.int64)
+            n[np.cumsum(of) - of] = np.fromiter((n[0] for n in counts.values()), np.int64, len(counts))  # once per pair
+            seen = np.fromiter((w for n in counts.values() for w in n[1:]), np.int64, len(row))
+            entity, term = (pa.array([key[k] for key in counts], pa.string()).take(row) for k in (0, 1))
+            batch = pa.RecordBatch.from_arrays([entity, term, pa.array(n), pa.array(seen)], ["entity", "term", "n", "seen"])
             counts.clear()
             return batch
 
@@ -284,7 +291,8 @@ def cooccurrences(docs: DataFrame, text_col: str, wanted: bytes) -> DataFrame:
                     if passes(name):
                         about[name] = _witness(text)
                     kind = f"kind:{KINDS[k]}"
-                    about[kind] = min(about.get(kind, 1 << WITNESSES), _witness(name))
+                    witness = _witness(name)
+                    about[kind] = min(about.get(kind, witness), witness)
                 words = words_of(text)
                 for n, witness in about.items():
                     for w in words:
@@ -292,14 +300,16 @@ def cooccurrences(docs: DataFrame, text_col: str, wanted: bytes) -> DataFrame:
                             counts[n, w] = [1, witness]
                         else:
                             c[0] += 1
-                            c[1] |= witness
+                            if len(c) <= WITNESSES and witness not in c[1:]:
+                                c.append(witness)
                     if len(counts) > HELD:
                         yield out()
         if counts:
             yield out()
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "entity string, term string, n long, seen long")
-    return rows.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.bit_count(F.bit_or("seen")).alias("seen"))
+    rows = rows.groupBy("entity", "term", "seen").agg(F.sum("n").alias("n"))
+    return rows.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("seen"))
 
 
 def document_frequencies(docs: DataFrame, text_col: str, wanted: bytes) -> DataFrame:
