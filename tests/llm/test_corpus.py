@@ -518,6 +518,18 @@ def test_webtext_without_names():
         assert webtext.extract(page) == want, page
 
 
+@pytest.mark.parametrize("box", ["<div>Buy our shoes today</div>", "<div><p>Buy now cheap shoes</p></div>", "<section><div><p>Shoes</p><p>Boots</p></div></section>"])
+def test_webtext_ratios_decide(box, monkeypatch):
+    said = "A long sentence, with words. " * 9
+    page = f"<article><h1>Head</h1><p>{said}</p>{box}<p>{said}</p><section><p>So short.</p></section><ul><li>One</li></ul></article>"
+    want = f"Head {said}{said}So short. One"
+    assert webtext.extract(page) == want
+    monkeypatch.setattr(webtext, "passing_paths", lambda rows, spread=0.5: {b.path for b, _ in rows})
+    assert webtext.extract(page) != want and "hoes" in webtext.extract(page)
+    monkeypatch.setattr(webtext, "passing_paths", lambda rows, spread=0.5: set())
+    assert webtext.extract(page) == ""
+
+
 def paths_by_hand(page):
     """(path of block-level tags, text) per block of a well-formed page."""
     from html.parser import HTMLParser

@@ -4,7 +4,8 @@ A page becomes text blocks, each with the root-to-leaf path of its block-level t
 the text length and punctuation of its blocks are totalled; both ratios are smoothed over
 neighbouring blocks, fused by their product and compared with the spread over the page.  Blocks
 of passing paths are content; headings, list items and other text elements beside them follow.
-The same holds inside article elements: a link list or a short unnamed box in one is no content.
+The same holds inside article elements: a link list, a short unnamed box or a short paragraph of a
+path without punctuation in one is no content.  Where no path passes there is no text.
 Elements that say they are something else (navigation, adverts, forms, reader comments) count
 only where nothing else is left; a name alone does not condemn what holds the page's article.
 
@@ -53,7 +54,8 @@ OTHER_NAMES = frozenset(
 ABOUT = frozenset("has have with without no not".split())
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements of running text: kept beside content even where their own path is too short to pass.
+#: Elements of running text: kept beside content even where their own path is too short to pass, a paragraph only
+#: where its path has punctuation.
 BESIDE = frozenset("li dd dt blockquote pre td th figcaption p".split())
 #: Elements that end where the next of their kind begins.
 ITEMS = frozenset("li td th tr dt dd".split())
@@ -246,6 +248,11 @@ def path_ratios(rows: list[tuple[Block, str]]) -> list[float]:
     return fused
 
 
+def plain_paths(rows: list[tuple[Block, str]]) -> set[int]:
+    """Paths of running text; those of paragraphs without any punctuation must have length of their own."""
+    return {b.path for b, t in rows if b.leaf in BESIDE and (b.leaf != "p" or _PUNCT.search(t))}
+
+
 def passing_paths(rows: list[tuple[Block, str]], spread: float = 0.5) -> set[int]:
     """Paths whose best block stands out against the page's spread and is within sight of its best."""
     fused = path_ratios(rows)
@@ -253,11 +260,9 @@ def passing_paths(rows: list[tuple[Block, str]], spread: float = 0.5) -> set[int
     deviation = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     best: dict[int, float] = {}
     length: dict[int, list[int]] = {}
-    plain: set[int] = set()
+    plain = plain_paths(rows)
     for (b, t), x in zip(rows, fused, strict=True):
         best[b.path] = max(best.get(b.path, 0.0), x)
-        if b.leaf in BESIDE:
-            plain.add(b.path)
         n = length.setdefault(b.path, [0, 0])
         n[0] += len(t)
         n[1] += 1
@@ -276,8 +281,13 @@ def select_blocks(found: list[Block], paths: Paths, spread: float = 0.5) -> list
     passing = passing_paths(rows, spread)
     wordy = [b.linked < 0.6 * max(1, sum(map(len, b.parts))) for b, _ in rows]
     chosen = [i for i, (b, t) in enumerate(rows) if b.path in passing and wordy[i]]
+    if not chosen:  # only link lists pass: the ratios of what is left decide
+        rest = [i for i in range(len(rows)) if wordy[i]] or list(range(len(rows)))
+        passing = passing_paths([rows[i] for i in rest], spread)
+        chosen = [i for i in rest if rows[i][0].path in passing]
     if not chosen:
-        chosen = [i for i in range(len(rows)) if wordy[i]] or list(range(len(rows)))
+        return []
+    plain = plain_paths(rows)
     keep, first, last = set(chosen), chosen[0], chosen[-1]
     homes = {rows[i][0].inside for i in chosen if rows[i][0].inside}
     if homes:  # content outside the article elements that hold some is not the article's
@@ -292,7 +302,7 @@ def select_blocks(found: list[Block], paths: Paths, spread: float = 0.5) -> list
             near = b.inside in homes
         else:
             near = (first - 2 <= i <= last + 1 if heading else first <= i <= last) and under[b.path]
-        if near and (heading or b.leaf in BESIDE and wordy[i]):
+        if near and (heading or b.path in plain and wordy[i]):
             keep.add(i)
     return [rows[i][1] for i in sorted(keep)]
 
