@@ -466,6 +466,23 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mix(empty).count() == 0
 
 
+def test_archives_roll_by_bytes(spark, tmp_path):
+    rnd = random.Random(6)
+    sizes = [rnd.choice([0, 10, 3000, 40_000]) for _ in range(60)] + [900_000]
+    rows = [(k, f"u{k}", rnd.randbytes(n)) for k, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "record long, uri string, payload binary").coalesce(2)
+    path, limit = tmp_path / "w", 100_000
+    warc.write_archives(warc.mark_revisits(pages).coalesce(2), str(path), bytes_per_file=limit)
+    files = [p.read_bytes() for p in path.glob("part-*")]
+    counts = [sum(1 for _ in warc.members(f)) for f in files]
+    assert sum(counts) == len(rows) and max(counts) > 1
+    end = len(warc.EMPTY_MEMBER)
+    assert all(len(f) <= limit + end or n == 1 for f, n in zip(files, counts, strict=True)) and sum(map(len, files)) > len(files) * limit / 4
+    back = warc.read_archives(spark, str(path)).collect()
+    assert all(r.verified for r in back) and {(r.record_id, bytes(r.payload)) for r in back if r.record_type == "response"} <= {(f"<urn:page:{k}>", p) for k, _, p in rows}
+    assert len(back) == len(rows)
+
+
 def test_webtext(spark):
     page = "<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><div class='ad'>Buy, now.</div><article><h1>Head</h1><p><b>One, two &amp; three.<br><p>Four,\n five.</article><footer>F</footer><script>var t='</p>';</script>"
     assert webtext.extract(page) == "Head One, two & three. Four, five."

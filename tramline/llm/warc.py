@@ -1,9 +1,9 @@
 """WARC archives: writer with revisit records, sequential reader.
 
 One gzip member per record.  Members are written through Spark's own text writer, so any
-Hadoop file system, its commit protocol and task retries apply: each row is one member, and
-the "line separator" is an empty gzip member, which readers skip.  The reader takes whole
-archive files (rolled by ``records_per_file``), inflates one member at a time, frames the
+Hadoop file system, its commit protocol and task retries apply: each row is one file's members,
+and the "line separator" is an empty gzip member, which readers skip.  The reader takes whole
+archive files (rolled by ``bytes_per_file``), inflates one member at a time, frames the
 block by Content-Length and verifies the digests.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 
-MEMBER = "member binary"
+MEMBERS = "members binary"
 RECORD = (
     "record_type string, record_id string, target_uri string, refers_to string, payload binary, "
     "payload_bytes long, payload_digest string, verified boolean"
@@ -96,26 +96,35 @@ def build_record(record, uri, payload: bytes, digest: str, refers, date: str) ->
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(marked: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 5000, level: int = 6) -> None:
-    """Write ``mark_revisits`` rows as gzip archives under ``path``."""
+def write_archives(marked: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", bytes_per_file: int = 64 << 20, level: int = 6) -> None:
+    """Write ``mark_revisits`` rows as gzip archives under ``path``.
+
+    A file has at most ``bytes_per_file`` bytes beside its end, or one larger member.
+    """
+
+    def part(held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["members"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            for start in range(0, b.num_rows, 500):
-                rows = b.slice(start, 500)
-                out = [
-                    gzip_member(build_record(r, u, p.as_py() or b"", d, f, date), level)
-                    for r, u, p, d, f in zip(rows[0].to_pylist(), rows[1].to_pylist(), rows[2], rows[3].to_pylist(), rows[4].to_pylist(), strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+            for r, u, p, d, f in zip(b[0].to_pylist(), b[1].to_pylist(), b[2], b[3].to_pylist(), b[4].to_pylist(), strict=True):
+                member = gzip_member(build_record(r, u, p.as_py() or b"", d, f, date), level)
+                if held and size + len(member) > bytes_per_file:
+                    yield part(held)
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield part(held)
 
     (
         marked.select("record", "uri", "payload", "digest", "refers")
-        .mapInArrow(pack, MEMBER)
-        .select(F.col("member").cast("string").alias("value"))
+        .mapInArrow(pack, MEMBERS)
+        .select(F.col("members").cast("string").alias("value"))
         .write.option("encoding", "ISO-8859-1")
         .option("lineSep", EMPTY_MEMBER.decode("latin-1"))
-        .option("maxRecordsPerFile", records_per_file)
+        .option("maxRecordsPerFile", 1)
         .text(path)
     )
 
