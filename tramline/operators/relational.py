@@ -31,10 +31,15 @@ def _folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tramline-{_SESSION}"
 
 
+def fresh(spark: SparkSession) -> str:
+    """A new folder's name below the session's."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back: lineage ends, sizes are known, later steps read the columns they need."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = fresh(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,7 +48,7 @@ class Tables:
     """A table that grows by parts, each written once; with ``by`` the parts are dealt into folders by a column's value."""
 
     def __init__(self, spark: SparkSession, by: str | None = None) -> None:
-        self.spark, self.by, self.root, self.parts = spark, by, f"{_folder(spark)}/{uuid.uuid4().hex}", 0
+        self.spark, self.by, self.root, self.parts = spark, by, fresh(spark), 0
 
     def add(self, df: DataFrame) -> bool:
         """Write a part; whether it has rows."""

@@ -11,6 +11,7 @@ from .operators import bikes, connection_graph, pareto, paths, query, realtime,
 from .plans.timetable import conn_between, view
 from .registry import QUERIES
 from .registry import query as register
+from .sources import path_store
 
 _MORNING = 480
 
@@ -348,3 +349,50 @@ def repeated_trip_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First departure of every repetition of a trip, half an hour apart."""
     rows = services.repeat(view(spark, sf_dir, "trip_stop"), F.col("trip_id") % 4, F.lit(30))
     return rows.groupBy("trip_id", "run").agg(F.min("dep_min").alias("dep_min"), F.count(F.lit(1)).alias("n"))
+
+
+# --- path store -------------------------------------------------------------------------------
+
+
+def _trip_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stops = view(spark, sf_dir, "trip_stop")
+    return stops.groupBy("trip_id", "clasz").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "station_id"))), lambda x: x["station_id"]).alias("stations")).filter(F.size("stations") > 1)
+
+
+def _path_store(spark: SparkSession, sf_dir: str) -> str:
+    """A store of the lines of all trips, straight between stops."""
+    trips, stations = _trip_sequences(spark, sf_dir), view(spark, sf_dir, "station")
+    sequences = trips.groupBy("stations").agg(F.collect_set("clasz").alias("classes"))
+    segments = sequences.select("stations", "classes", F.posexplode(F.slice("stations", F.lit(1), F.size("stations") - 1)).alias("segment", "from_station"))
+    at = lambda x: stations.select(F.col("station_id").alias(x), F.struct("lat", "lng").alias(f"{x}_at"))
+    lines = segments.withColumn("to_station", F.col("stations")[F.col("segment") + 1]).join(at("from_station"), "from_station").join(at("to_station"), "to_station")
+    folder = relational.fresh(spark)
+    path_store.write(lines.withColumn("points", F.array("from_station_at", "to_station_at")), folder)
+    return folder
+
+
+@register(
+    "path_store_boxes",
+    """WITH hop AS (SELECT t.trip_id, t.station_id AS x, lead(t.station_id) OVER w AS y, s.lat, s.lng, lead(s.lat) OVER w AS lat2, lead(s.lng) OVER w AS lng2
+        FROM trip_stop t JOIN station s USING (station_id) WINDOW w AS (PARTITION BY t.trip_id ORDER BY t.seq))
+    SELECT least(x, y) AS a, greatest(x, y) AS b, min(least(lat, lat2)) AS min_lat, max(greatest(lat, lat2)) AS max_lat, min(least(lng, lng2)) AS min_lng, max(greatest(lng, lng2)) AS max_lng
+    FROM hop WHERE y IS NOT NULL GROUP BY 1, 2 HAVING max(greatest(lat, lat2)) >= 49 AND min(least(lat, lat2)) <= 50 AND max(greatest(lng, lng2)) >= 9 AND min(least(lng, lng2)) <= 10""",
+    "station", "trip_stop",
+)
+def path_store_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station pairs whose stored lines meet a map view."""
+    return path_store.boxes_in(spark, _path_store(spark, sf_dir), 49.0, 50.0, 9.0, 10.0)
+
+
+@register(
+    "path_store_lookup",
+    """SELECT t.trip_id, count(*) - 1 AS n_segments, 2 * (count(*) - 1) AS n_points, min(s.lat) AS south, max(s.lat) AS north, min(s.lng) AS west, max(s.lng) AS east
+    FROM trip_stop t JOIN station s USING (station_id) GROUP BY t.trip_id HAVING count(*) > 1""",
+    "station", "trip_stop",
+)
+def path_store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trip's stored lines: segments, points and extent."""
+    found = path_store.lookup_all(_trip_sequences(spark, sf_dir), _path_store(spark, sf_dir))
+    end = lambda f, e, c: f(F.transform("points", lambda p: p[c])).alias(e)
+    ends = found.select("trip_id", "segment", F.size("points").alias("n"), end(F.array_min, "south", "lat"), end(F.array_max, "north", "lat"), end(F.array_min, "west", "lng"), end(F.array_max, "east", "lng"))
+    return ends.groupBy("trip_id").agg(F.count("segment").alias("n_segments"), F.sum("n").alias("n_points"), F.min("south").alias("south"), F.max("north").alias("north"), F.min("west").alias("west"), F.max("east").alias("east"))
