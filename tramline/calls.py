@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import bikes, boards, query, relational, reliability, timetable
+from .operators import bikes, boards, query, realtime, relational, reliability, services, timetable
 from .operators.pareto import alpha_dominance, cents
 from .plans.timetable import view
 from .registry import QUERIES
+from .sources import fixed_width
+from .streaming import replay
 
 
 def call(name: str):
@@ -254,3 +256,73 @@ def segment_fares(segments: DataFrame, stations: DataFrame) -> DataFrame:
     rows = segments.join(at("from_station", "a"), "from_station").join(at("to_station", "b"), "to_station")
     km = relational.haversine_km(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"), scalars.FARE_EARTH_KM)
     return rows.select("trip_id", "seq", cents(F.col("clasz"), F.round(km, 3)).alias("cents"))
+
+
+# --- calendars ----------------------------------------------------------------------------------
+
+
+def _calendars(stops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = lambda part: stops.filter(part).select(F.col("trip_id").alias("service_id"), ((F.col("trip_id") * 3 + F.col("seq") * F.col("seq") * 5) % 7).alias("day"))
+    return rows("seq < 2"), rows("seq >= 2")
+
+
+over("calendar_intersection", "trip_stop")(lambda s: services.days_in_both(*_calendars(s)))
+over("calendar_difference", "trip_stop")(lambda s: services.days_only_in(*_calendars(s)))
+over("calendar_symmetric_difference", "trip_stop")(lambda s: services.days_in_one(*_calendars(s)))
+
+
+@over("utc_day_groups", "conn")
+def utc_day_groups(conn: DataFrame) -> DataFrame:
+    """Days on which a trip runs at equal times in UTC; summer time begins on day 3 at two o'clock."""
+    utc = lambda t: F.col(t) - F.col("day") * 1440 - F.when(F.col(t) >= 3 * 1440 + 120, 120).otherwise(60)
+    runs = conn.groupBy("trip_id", "day").agg(F.min(utc("dep")).alias("first_utc"), F.max(utc("arr")).alias("last_utc"))
+    return services.day_groups(runs, ["trip_id", "first_utc", "last_utc"])
+
+
+@call("timezone_nearest_lower")
+def timezone_nearest_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = spark.createDataFrame([(0, 60), (20, 120), (55, 0)], "eva int, utc_offset int").withColumn("zone_key", F.col("eva"))
+    return fixed_width.with_timezone(view(spark, sf_dir, "station"), zones, "station_id").select("station_id", "zone_key", "utc_offset")
+
+
+@over("through_service_pairs", "trip_stop")
+def through_service_pairs(stops: DataFrame) -> DataFrame:
+    """Trips that another goes on from: the first runs on four of five days, the next on one."""
+    ends = timetable.trip_ends(stops)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("trip_id") % 5).cast("int"))
+    came = ends.select("trip_id", F.col("last_station").alias("station_id"), F.col("arr_min").alias("at"), (31 - bit).alias("days"))
+    return services.continuations(came, ends.select("trip_id", F.col("first_station").alias("station_id"), F.col("dep_min").alias("at"), bit.alias("days")))
+
+
+# --- messages and changes -----------------------------------------------------------------------
+
+
+@call("forward_replay_windows")
+def forward_replay_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.hourly_batches(_table(spark, sf_dir, "events"))
+
+
+@over("msg_day_minmax", "message")
+def msg_day_minmax(messages: DataFrame) -> DataFrame:
+    """Messages of more than 20 minutes reach six hours on."""
+    last = F.when(F.col("delay") > 20, F.to_date(F.col("ts") + F.expr("INTERVAL 6 HOURS"))).otherwise(F.to_date("ts"))
+    return realtime.day_spans(messages.select("ts", F.to_date("ts").alias("first_day"), last.alias("last_day")))
+
+
+@over("event_resolution", "message", "trip_stop")
+def event_resolution(messages: DataFrame, stops: DataFrame) -> DataFrame:
+    """Departures by station and schedule time; every other message is a minute off."""
+    events = stops.select("trip_id", "seq", "station_id", F.lit("DEP").alias("ev_type"), F.col("dep_min").alias("sched"))
+    asked = messages.select("msg_id", "trip_id", "seq", (F.col("delay") % 2).alias("off")).join(events, ["trip_id", "seq"])
+    return realtime.resolve(asked.withColumn("sched", F.col("sched") + F.col("off")), events)
+
+
+over("message_outcomes", "message", "trip_stop")(realtime.outcomes)
+over("connection_check", "station", "trip_stop")(lambda stations, stops: timetable.changes(stops, stations, [1, 3, 5]))
+
+
+@over("intermodal_antijoin", "station", "segment")
+def intermodal_antijoin(stations: DataFrame, segments: DataFrame) -> DataFrame:
+    """Stations to start at that no long-distance section from every fortieth station ends at."""
+    goals = segments.filter("clasz = 0 AND from_station % 40 = 0").select(F.col("to_station").alias("a"))
+    return query.without_overlap(stations.select(F.col("station_id").alias("b")), goals).select(F.col("b").alias("station_id"))

@@ -243,6 +243,34 @@ def reroute_events(events: DataFrame, deleted: DataFrame, added: DataFrame, stor
     return after, status, stored.select(*key, "delay").unionByName(put_by).dropDuplicates(key)
 
 
+def resolve(asked: DataFrame, events: DataFrame) -> DataFrame:
+    """(msg_id, trip_id, seq): the events of a trip that messages, or a journey's stops, name by station, kind and schedule time.
+
+    ``asked`` (msg_id, trip_id, station_id, ev_type, sched), ``events`` (trip_id, seq, station_id, ev_type, sched).  Where
+    the trip has one such event at the station, its time is not asked for; what is not found has no row.
+    """
+    key = ["trip_id", "station_id", "ev_type"]
+    known = events.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))).withColumnRenamed("sched", "_sched")
+    rows = asked.select("msg_id", *key, "sched").join(known, key)
+    return rows.filter((F.col("_n") == 1) | (F.col("_sched") == F.col("sched"))).select("msg_id", "trip_id", "seq")
+
+
+def outcomes(messages: DataFrame, stops: DataFrame, late: int = 15) -> DataFrame:
+    """(kind, outcome, n): messages that name no stop of a trip, those of more than ``late`` minutes, and the others."""
+    known = stops.select("trip_id", "seq").distinct().withColumn("_known", F.lit(True))
+    outcome = F.when(F.col("_known").isNull(), "unresolved").when(F.col("delay") > late, "late").otherwise("small")
+    return messages.join(known, ["trip_id", "seq"], "left").groupBy("kind", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def day_spans(messages: DataFrame) -> DataFrame:
+    """(day, first_ts, last_ts): the earliest and latest message of each day that a message's events touch.
+
+    ``messages`` (ts, first_day, last_day); days between are touched too.
+    """
+    days = messages.select("ts", F.explode(F.sequence("first_day", "last_day")).alias("day"))
+    return days.groupBy("day").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
 def counters(messages: DataFrame, resolved: DataFrame, updates: DataFrame) -> DataFrame:
     """(counter, n): messages by kind, unresolved events, events beyond 24 hours, updates by reason."""
     kinds = messages.groupBy(F.concat(F.lit("messages_"), "kind").alias("counter")).agg(F.count(F.lit(1)).alias("n"))

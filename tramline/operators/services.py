@@ -60,6 +60,41 @@ def routes(stops: DataFrame) -> DataFrame:
     return seqs.groupBy("sequence").applyInPandas(color, "trip_id long, sequence long, route long")
 
 
+# --- day sets -----------------------------------------------------------------------------------
+
+
+def days_in_both(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(service_id, day) of both calendars, each once."""
+    return one.select("service_id", "day").intersect(other.select("service_id", "day"))
+
+
+def days_only_in(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(service_id, day) of the first calendar that the second lacks, each once."""
+    return one.select("service_id", "day").subtract(other.select("service_id", "day"))
+
+
+def days_in_one(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(service_id, day, side): days of one calendar only; side tells which."""
+    return days_only_in(one, other).withColumn("side", F.lit(1)).unionByName(days_only_in(other, one).withColumn("side", F.lit(2)))
+
+
+def day_groups(runs: DataFrame, same: list[str]) -> DataFrame:
+    """``same`` and ``days``: the days (0 to 62) on which rows (``same``, day) are alike, as bits."""
+    days = runs.select(*same, "day").distinct()
+    return days.groupBy(*same).agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("day").cast("int"))).alias("days"))
+
+
+def continuations(ends: DataFrame, begins: DataFrame, slot: int = 10) -> DataFrame:
+    """(trip_id, next_trip, days): trips that end where another begins, no later and in the same slot of minutes, on common days.
+
+    Both sides have (trip_id, station_id, at, days as bits).
+    """
+    a = ends.select("trip_id", "station_id", F.floor(F.col("at") / slot).alias("_slot"), F.col("at").alias("_came"), F.col("days").alias("_days"))
+    b = begins.select(F.col("trip_id").alias("next_trip"), "station_id", F.floor(F.col("at") / slot).alias("_slot"), "at", "days")
+    common = F.col("_days").bitwiseAND(F.col("days"))
+    return a.join(b, ["station_id", "_slot"]).filter((F.col("_came") <= F.col("at")) & (common != 0) & (F.col("trip_id") != F.col("next_trip"))).select("trip_id", "next_trip", common.alias("days"))
+
+
 # --- rule services ------------------------------------------------------------------------------
 
 

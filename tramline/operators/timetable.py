@@ -218,3 +218,13 @@ def violations(conn: DataFrame) -> DataFrame:
     rows = conn.withColumn("_before", F.lag("arr").over(w))
     problem = F.when(F.col("arr") < F.col("dep"), "arrives before it departs").when(F.col("dep") < F.col("_before"), "departs before it arrives")
     return rows.withColumn("problem", problem).filter("problem IS NOT NULL").select("trip_id", "day", "seq", "problem")
+
+
+def changes(stops: DataFrame, stations: DataFrame, waits: list[int]) -> DataFrame:
+    """(trip_id, seq, next_trip, next_seq, valid): changes that wait exactly as many minutes as one of ``waits``, and
+    whether the station's change time allows them."""
+    left = stops.filter("out_allowed").select("trip_id", "seq", "station_id", "arr_min", F.explode(F.array(*map(F.lit, waits))).alias("wait"))
+    left = left.join(stations.select("station_id", "transfer_min"), "station_id").withColumn("dep_min", F.col("arr_min") + F.col("wait"))
+    taken = stops.filter("in_allowed").select("station_id", "dep_min", F.col("trip_id").alias("next_trip"), F.col("seq").alias("next_seq"))
+    rows = left.join(taken, ["station_id", "dep_min"]).filter("trip_id <> next_trip")
+    return rows.select("trip_id", "seq", "next_trip", "next_seq", (F.col("wait") >= F.col("transfer_min")).alias("valid"))
