@@ -55,7 +55,7 @@ def graphs_of(journeys: DataFrame) -> DataFrame:
     return journeys.withColumn("graph", F.concat_ws("/", "start", "t0", "goal", "transfers"))
 
 
-def split(journeys: DataFrame, footpaths: DataFrame) -> DataFrame:
+def split(journeys: DataFrame, footpaths: DataFrame | search.Walks) -> DataFrame:
     """Parts with their place ``leg`` from journeys (graph, stop, alternative, goal, station, rides).
 
     A journey is cut where it changes; the walk to the next train belongs to the part behind the stop and
@@ -69,8 +69,7 @@ def split(journeys: DataFrame, footpaths: DataFrame) -> DataFrame:
     rows = rows.withColumn("_next", F.when(k >= F.col("_n"), F.lit(ARRIVAL)).otherwise(inner(k))).withColumn("from_station", came_at)
     rows = rows.withColumn("stop", F.when(k == 1, F.col("stop")).otherwise(inner(k - 1))).withColumn("alternative", F.when(k == 1, F.col("alternative")).otherwise(1))
     target = F.coalesce("ride.enter_station", "goal")
-    feet = footpaths.filter("a <> b").groupBy("a", "b").agg(F.min("dur").cast("long").alias("_walk"))
-    rows = rows.withColumn("_to", target).join(feet, (F.col("from_station") == F.col("a")) & (F.col("_to") == F.col("b")), "left")
+    rows = search.walk_between(rows.withColumn("_to", target), footpaths, "from_station", "_to", "_walk", loops=False)
     walk = F.coalesce("_walk", F.lit(0))
     on_foot = F.col("ride").isNull()
     last = k >= F.col("_n")
@@ -88,7 +87,7 @@ def _filtered(dist: Column, upto: Column, late: bool = False) -> Column:
     return F.filter(dist, lambda x: (x["minute"] > upto) if late else (x["minute"] <= upto))
 
 
-def rate(parts: DataFrame, at: DataFrame | None, footpaths: DataFrame, delays: Delays) -> DataFrame:
+def rate(parts: DataFrame, at: DataFrame | None, footpaths: DataFrame | search.Walks, delays: Delays) -> DataFrame:
     """``parts`` with ``departing``, ``arriving`` and ``uncovered``: what the stop's arrivals leave to later alternatives.
 
     ``at`` (graph, stop, came, came_trip, uncovered) are the stops that the parts leave, None for first parts.
@@ -98,9 +97,8 @@ def rate(parts: DataFrame, at: DataFrame | None, footpaths: DataFrame, delays: D
     if at is None:
         rows = rows.withColumn("uncovered", F.array().cast(DIST)).withColumn("came", F.lit(None).cast("long"))
     else:
-        feet = footpaths.groupBy("a", "b").agg(F.min("dur").cast("long").alias("transfer"))
         rows = rows.join(at.select("graph", "stop", "came", F.col("came_trip").alias("feeder_trip"), "uncovered"), ["graph", "stop"])
-        rows = rows.join(feet, (F.col("from_station") == F.col("a")) & (F.coalesce("enter_station", "goal") == F.col("b")), "left").drop("a", "b")
+        rows = search.walk_between(rows.withColumn("_to", F.coalesce("enter_station", "goal")), footpaths, "from_station", "_to", "transfer").drop("_to")
         rows = rows.withColumn("transfer", F.coalesce("transfer", F.lit(0)))
     if at is not None and delays.waiting is not None:
         rows = cut(rows)
@@ -134,7 +132,7 @@ def rate(parts: DataFrame, at: DataFrame | None, footpaths: DataFrame, delays: D
 _STOP = ["graph", "stop", "goal", "station", "came", "came_trip", "alternatives", "last", "uncovered", "closed"]
 
 
-def _insert(parts: DataFrame, at: DataFrame | None, footpaths: DataFrame, delays: Delays) -> tuple[DataFrame, DataFrame]:
+def _insert(parts: DataFrame, at: DataFrame | None, footpaths: DataFrame | search.Walks, delays: Delays) -> tuple[DataFrame, DataFrame]:
     """Rated parts, and the stops that they leave as they stand then; legs follow one another."""
     parts = cut(parts)
     last = parts.agg(F.max("leg")).first()[0] or 0
@@ -171,8 +169,7 @@ def _answers(t: query.Timetable, asked: DataFrame, rounds: int) -> DataFrame:
     found = search.run_rounds(t.conn, t.footpaths, starts, rounds, links=t.links, start_walks=True)
     goals = asked.select(F.col("station").alias("start"), "t0", "goal")
     made = search.sane(search.journeys(search.journey_legs(found, goals))).select("start", "t0", "goal", "arrival", "transfers", F.col("rides").cast(NO_RIDES).alias("rides"))
-    feet = t.footpaths.filter("a <> b")
-    walks = asked.join(feet, (F.col("station") == F.col("a")) & (F.col("goal") == F.col("b"))).select(F.col("station").alias("start"), "t0", "goal", (F.col("t0") + F.col("dur")).alias("arrival"), F.lit(-1).cast("long").alias("transfers"), F.array().cast(NO_RIDES).alias("rides"))
+    walks = search.walk_between(asked, t.footpaths, "station", "goal", "dur", loops=False).filter("dur IS NOT NULL").select(F.col("station").alias("start"), "t0", "goal", (F.col("t0") + F.col("dur")).alias("arrival"), F.lit(-1).cast("long").alias("transfers"), F.array().cast(NO_RIDES).alias("rides"))
     best = made.unionByName(walks).groupBy("start", "t0", "goal").agg(F.min_by("rides", F.struct("arrival", "transfers", -F.coalesce(F.get("rides", F.lit(0))["dep"], F.lit(0)))).alias("rides"))
     return asked.join(best.withColumnRenamed("start", "station"), ["goal", "station", "t0"], "left").select("goal", "station", "t0", "rides")
 

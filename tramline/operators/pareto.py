@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import overlap_per_day
-from .relational import cut, skyline
-from .search import CONN, HORIZON, KEYS, MAX_LEGS, small
+from .relational import bucketed, cut, skyline
+from .search import CONN, HORIZON, KEYS, MAX_LEGS, Walks, small
 
 #: Cents per kilometre by class (0 ICE, 1-3 long distance, 4-8 local), minutes a transfer weighs,
 #: largest weight of a journey, cents a minute is worth, most cents of regional fares, relaxation of prices, night,
@@ -132,7 +132,7 @@ def alpha_dominance(rows: DataFrame, by: list[str], dep: str = "dep", arr: str =
     return undominated(rows, by, rule)
 
 
-def pareto_search(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, criteria: tuple[Criterion, ...], rounds: int = MAX_LEGS, extra_edges: DataFrame | None = None, goals: DataFrame | None = None, log: list | None = None) -> DataFrame:
+def pareto_search(conn: DataFrame, footpaths: DataFrame | Walks, starts: DataFrame, criteria: tuple[Criterion, ...], rounds: int = MAX_LEGS, extra_edges: DataFrame | None = None, goals: DataFrame | None = None, log: list | None = None) -> DataFrame:
     """(start, t0, station, arr, legs, criteria): all Pareto-optimal labels, of the goals' stations if there are goals.
 
     ``conn`` has the columns that the criteria sum.  ``extra_edges`` (a, b, dur, open_from, open_to, price,
@@ -148,10 +148,11 @@ def pareto_search(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, crit
     total = Window.partitionBy("trip_id", "day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     links = conn.select("from_station", "to_station", (F.col("arr") - F.col("dep")).alias("minutes")) if goals is not None else None
     conn = conn.select(*CONN, *[F.sum(s).over(total).alias(s) for s in sums], *[(F.sum(s).over(total) - F.col(s)).alias(f"{s}_before") for s in sums])
-    conn = cut(conn.repartition("trip_id", "day"))
+    conn = bucketed(conn, ["trip_id", "day"])
     at = starts.select(*KEYS, F.col("start").alias("station"), F.col("t0").cast("long").alias("ready"), F.col("t0").cast("long").alias("arr"), F.lit(0).alias("legs"), *[value(c).cast("long").alias(c.name) for c in criteria])
     bounds = None if goals is None else _bounds(links, footpaths, extra_edges, goals)
     delta, best, found = cut(at), None, None
+    pairs = footpaths.pairs if isinstance(footpaths, Walks) else footpaths
     same = [c.name for c in criteria if c.kind == "equal"]
     compared = [c for c in criteria if c.kind in ("less", "search", "tie")]
     plain = [c.name for c in criteria if c.kind == "less"]
@@ -176,8 +177,10 @@ def pareto_search(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, crit
         come = cut(skyline(come.distinct().withColumn("ready", F.col("arr")), [*KEYS, "station", *same], ["arr", *orders]).drop("ready"))
         end = F.when(F.col("a") == F.col("b"), F.col("arr")).otherwise(F.col("_ready"))
         step = lambda c: {"ready": F.col("_ready"), "end": end}.get(c, F.col(c))  # noqa: E731, B023
-        walk = come.join(footpaths.select("a", "b", "dur"), F.col("station") == F.col("a")).withColumn("_ready", F.col("arr") + F.col("dur")).withColumn("dur", F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("dur")))
+        walk = come.join(pairs.select("a", "b", "dur"), F.col("station") == F.col("a")).withColumn("_ready", F.col("arr") + F.col("dur")).withColumn("dur", F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("dur")))
         new = walk.select(*KEYS, F.col("b").alias("station"), F.col("_ready").alias("ready"), end.alias("arr"), "legs", *[c.walk(F.col(c.name), step).cast("long").alias(c.name) for c in criteria])
+        if isinstance(footpaths, Walks):
+            new = new.unionByName(_through_hubs(come, footpaths, criteria, same, orders).select(*new.columns))
         if extra_edges is not None:
             new = new.unionByName(_extra(come, extra_edges, criteria, label))
         for c in criteria:
@@ -201,9 +204,22 @@ def pareto_search(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, crit
     return skyline(found, [*KEYS, "station", *same, "arr", "legs", *plain], ties) if ties else found
 
 
-def _bounds(links: DataFrame, footpaths: DataFrame, extra_edges: DataFrame | None, goals: DataFrame) -> DataFrame:
+def _through_hubs(come: DataFrame, walks: Walks, criteria: tuple[Criterion, ...], same: list[str], orders: list[Column]) -> DataFrame:
+    """Labels after walks through hubs: a hub and a door hold labels that no other there dominates, as a station does, and all
+    of them take equally long from there; those back at their own station are dominated by its transfer."""
+    rest = ["legs", *[c.name for c in criteria]]
+    hubs = come.join(walks.enter, F.col("station") == F.col("a")).select(*KEYS, "hub", F.col("arr").alias("ready"), "arr", *rest).distinct()
+    hubs = skyline(hubs, [*KEYS, "hub", *same], ["ready", *orders])
+    at = hubs.join(walks.across, "hub").withColumn("_ready", F.col("ready") + F.col("dur"))
+    step = lambda c: F.col("_ready") if c in ("ready", "end") else F.col(c)
+    doors = at.select(*KEYS, "door", F.col("_ready").alias("ready"), F.col("_ready").alias("arr"), "legs", *[c.walk(F.col(c.name), step).cast("long").alias(c.name) for c in criteria])
+    doors = skyline(doors.distinct(), [*KEYS, "door", *same], ["ready", *orders])
+    return doors.join(walks.leave, "door").withColumn("station", F.col("b"))
+
+
+def _bounds(links: DataFrame, footpaths: DataFrame | Walks, extra_edges: DataFrame | None, goals: DataFrame) -> DataFrame:
     """(goal, station, minutes): no journey from the station reaches the goal sooner; stations without any are missing."""
-    feet = footpaths.filter("a <> b").select(F.col("a").alias("from_station"), F.col("b").alias("to_station"), F.col("dur").cast("long").alias("minutes"))
+    feet = (footpaths.edges() if isinstance(footpaths, Walks) else footpaths).filter("a <> b").select(F.col("a").alias("from_station"), F.col("b").alias("to_station"), F.col("dur").cast("long").alias("minutes"))
     edges = links.unionByName(feet)
     if extra_edges is not None:
         edges = edges.unionByName(extra_edges.filter("a <> b").select(F.col("a").alias("from_station"), F.col("b").alias("to_station"), F.col("dur").cast("long").alias("minutes")))

@@ -18,11 +18,11 @@ START, END = -1, -2
 
 @dataclass(frozen=True)
 class Timetable:
-    """conn (times in minutes from day 0), footpaths (a, b, dur; self loops are transfer times), equivalents
+    """conn (times in minutes from day 0), footpaths (a, b, dur; self loops are transfer times; or ``Walks``), equivalents
     (station_id, equivalent), through links (trip_id, day, next_trip)."""
 
     conn: DataFrame
-    footpaths: DataFrame
+    footpaths: DataFrame | search.Walks
     equivalents: DataFrame | None = None
     links: DataFrame | None = None
 
@@ -69,8 +69,7 @@ def start_times(t: Timetable, stations: DataFrame, begin: int, end: int, walks:
     a neighbour; and the minute after the interval, whose journeys show which others a later start makes needless."""
     near = stations.select("station", F.col("station").alias("at"), F.lit(0).cast("long").alias("off"))
     if walks:
-        f = t.footpaths.filter("a <> b")
-        near = near.unionByName(stations.join(f, F.col("station") == F.col("a")).select("station", F.col("b").alias("at"), F.col("dur").cast("long").alias("off")))
+        near = near.unionByName(search.walks_from(stations.select("station"), t.footpaths).select("station", F.col("b").alias("at"), F.col("dur").alias("off")))
     dep = t.conn.filter("in_allowed").filter(F.col("dep") >= begin).select(F.col("from_station").alias("at"), "dep")
     times = near.join(dep, "at").select("station", (F.col("dep") - F.col("off")).alias("t0")).filter(F.col("t0").between(begin, end)).distinct()
     return times.unionByName(stations.select("station", F.lit(end + 1).cast("long").alias("t0")))
@@ -246,7 +245,8 @@ def intermodal(t: Timetable, starts: DataFrame, goals: DataFrame, time: int, rou
     stations that the start edges reach.
     """
     starts = without_overlap(starts, goals)
-    feet = t.footpaths.select("a", "b", "dur").unionByName(goals.select("a", "b", "dur"))
+    more = goals.select("a", "b", "dur")
+    feet = replace(t.footpaths, pairs=t.footpaths.pairs.select("a", "b", "dur").unionByName(more)) if isinstance(t.footpaths, search.Walks) else t.footpaths.select("a", "b", "dur").unionByName(more)
     begin = starts.select(F.lit(START).cast("long").alias("start"), F.lit(time).cast("long").alias("t0"), F.col("b").alias("station"), (F.lit(time) + F.col("dur")).cast("long").alias("ready"))
     found = search.run_rounds(t.conn, feet, begin, rounds, links=t.links)
     out = search.journeys(search.journey_legs(found, t.conn.sparkSession.createDataFrame([(END,)], "goal long")))

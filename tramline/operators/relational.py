@@ -44,6 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` cut into files by a hash of ``by``: later joins and groups on those columns leave its rows where they lie."""
+    spark = df.sparkSession
+    name, n = f"tramline_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *by).write.option("path", fresh(spark)).bucketBy(n, *by).saveAsTable(name)
+    return spark.table(name).select(*df.columns)
+
+
 class Tables:
     """A table that grows by parts, each written once; with ``by`` the parts are dealt into folders by a column's value."""
 

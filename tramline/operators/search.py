@@ -13,12 +13,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import closure, cut
+from .relational import bucketed, closure, cut
 
 #: A journey's longest duration in minutes and most trips.
 HORIZON, MAX_LEGS = 1440, 7
 #: Rows up to which a side of known size is broadcast.
-SMALL = 200_000
+SMALL = 1_000_000
 #: No ready time: later than any.
 NEVER = 1 << 40
 
@@ -32,6 +32,57 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
+@dataclass(frozen=True)
+class Walks:
+    """Footpaths in two parts: ``pairs`` (a, b, dur), self loops of the transfer times among them, and walks between all
+    stations of a group by way of its hubs: ``enter`` (a, hub), ``across`` (hub, door, dur), ``leave`` (door, b).
+
+    A group of n stations has n rows where its pairs would be n * n.  Hubs and doors have ids that no station has.  A way
+    back to the station itself is no walk; every station needs a self loop shorter than that.
+    """
+
+    pairs: DataFrame
+    enter: DataFrame
+    across: DataFrame
+    leave: DataFrame
+
+    def turned(self) -> Walks:
+        enter = self.leave.select(F.col("b").alias("a"), F.col("door").alias("hub"))
+        across = self.across.select(F.col("door").alias("hub"), F.col("hub").alias("door"), "dur")
+        return Walks(turned(self.pairs), enter, across, self.enter.select(F.col("hub").alias("door"), F.col("a").alias("b")))
+
+    def edges(self) -> DataFrame:
+        """(a, b, dur): everything as edges, hubs and doors being nodes."""
+        none = F.lit(0).cast("long").alias("dur")
+        enter = self.enter.select("a", F.col("hub").alias("b"), none)
+        return self.pairs.select("a", "b", F.col("dur").cast("long").alias("dur")).unionByName(enter).unionByName(self.across.select(F.col("hub").alias("a"), F.col("door").alias("b"), F.col("dur").cast("long").alias("dur"))).unionByName(self.leave.select(F.col("door").alias("a"), "b", none))
+
+
+def walks_from(rows: DataFrame, footpaths: DataFrame | Walks, station: str = "station") -> DataFrame:
+    """``rows`` with every walk (a, b, dur) to another station than ``station``, one row each."""
+    pairs = footpaths.pairs if isinstance(footpaths, Walks) else footpaths
+    out = rows.join(pairs.filter("a <> b").select("a", "b", F.col("dur").cast("long").alias("dur")), F.col(station) == F.col("a"))
+    if not isinstance(footpaths, Walks):
+        return out
+    far = rows.join(footpaths.enter, F.col(station) == F.col("a")).join(footpaths.across, "hub").join(footpaths.leave, "door").filter("a <> b")
+    return out.unionByName(far.select(*rows.columns, "a", "b", F.col("dur").cast("long").alias("dur")))
+
+
+def walk_between(rows: DataFrame, footpaths: DataFrame | Walks, a: str, b: str, name: str, loops: bool = True) -> DataFrame:
+    """``rows`` with the least walk between two of their stations, null without one; only walks that are asked for are made."""
+    asked = rows.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
+    pairs = footpaths.pairs if isinstance(footpaths, Walks) else footpaths
+    known = asked.join(pairs, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b"))).select("_a", "_b", F.col("dur").cast("long").alias("dur"))
+    if isinstance(footpaths, Walks):
+        far = asked.filter("_a <> _b").join(footpaths.enter, F.col("_a") == F.col("a")).join(footpaths.across, "hub")
+        far = far.join(footpaths.leave.select("door", F.col("b").alias("_b")), ["door", "_b"])
+        known = known.unionByName(far.select("_a", "_b", F.col("dur").cast("long").alias("dur")))
+    if not loops:
+        known = known.filter("_a <> _b")
+    known = known.groupBy("_a", "_b").agg(F.min("dur").alias(name))
+    return rows.join(known, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b")), "left").drop("_a", "_b")
+
+
 @dataclass
 class Rounds:
     """Per round the labels that improved: (start, t0, station, ready, by_ready, arr, by_arr, sooner, earlier).
@@ -57,18 +108,26 @@ def through(links: DataFrame) -> DataFrame:
     return closure(named).select(part("a", 0).alias("trip_id"), part("a", 1).alias("day"), part("b", 0).alias("next_trip"))
 
 
-def _walked(arrived: DataFrame, footpaths: DataFrame) -> DataFrame:
+def _walked(arrived: DataFrame, footpaths: DataFrame | Walks) -> DataFrame:
     """Best ready time and arrival per reached station, with what led there."""
     via = lambda source: F.struct(source.alias("source"), *[F.col(f"ride.{c}").alias(c) for c in _RIDE], F.col("ride.arr").alias("ride_arr"))
     here = arrived.select(*KEYS, "station", F.lit(NEVER).alias("ready"), F.col("ride.arr").alias("arr"), via(F.col("station")).alias("via"))
-    walk = arrived.join(footpaths.select("a", "b", "dur"), F.col("station") == F.col("a"))
+    pairs = footpaths.pairs if isinstance(footpaths, Walks) else footpaths
+    walk = arrived.join(pairs.select("a", "b", "dur"), F.col("station") == F.col("a"))
     ready = F.col("ride.arr") + F.col("dur")
     walk = walk.select(*KEYS, F.col("b").alias("station"), ready.alias("ready"), F.when(F.col("a") == F.col("b"), F.col("ride.arr")).otherwise(ready).alias("arr"), via(F.col("a")).alias("via"))
-    rows = here.unionByName(walk).groupBy(*KEYS, "station").agg(F.min(F.struct("ready", "via")).alias("r"), F.min(F.struct("arr", "via")).alias("c"))
+    rows = here.unionByName(walk)
+    if isinstance(footpaths, Walks):  # all that walk through a hub take equally long from there, so its first one stands for them
+        least = lambda rows, at: rows.groupBy(*KEYS, at).agg(F.min(F.struct("ready", "via")).alias("_w")).select(*KEYS, at, "_w.*")
+        hubs = least(arrived.join(footpaths.enter, F.col("station") == F.col("a")).select(*KEYS, "hub", F.col("ride.arr").alias("ready"), via(F.col("a")).alias("via")), "hub")
+        doors = least(hubs.join(footpaths.across, "hub").select(*KEYS, "door", (F.col("ready") + F.col("dur")).alias("ready"), "via"), "door")
+        far = doors.join(footpaths.leave, "door").filter(F.col("via.source") != F.col("b"))
+        rows = rows.unionByName(far.select(*KEYS, F.col("b").alias("station"), "ready", F.col("ready").alias("arr"), "via"))
+    rows = rows.groupBy(*KEYS, "station").agg(F.min(F.struct("ready", "via")).alias("r"), F.min(F.struct("arr", "via")).alias("c"))
     return rows.select(*KEYS, "station", "r.ready", F.col("r.via").alias("by_ready"), "c.arr", F.col("c.via").alias("by_arr"))
 
 
-def run_rounds(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, rounds: int = MAX_LEGS, boarded: DataFrame | None = None, links: DataFrame | None = None, start_walks: bool = False, horizon: int = HORIZON, profile: bool = False) -> Rounds:
+def run_rounds(conn: DataFrame, footpaths: DataFrame | Walks, starts: DataFrame, rounds: int = MAX_LEGS, boarded: DataFrame | None = None, links: DataFrame | None = None, start_walks: bool = False, horizon: int = HORIZON, profile: bool = False) -> Rounds:
     """Search from ``starts`` (start, t0[, station, ready]) with at most ``rounds`` trips within ``horizon`` minutes.
 
     A trip is boarded where ready <= departure, at its first such stop; every later stop that
@@ -78,11 +137,11 @@ def run_rounds(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, rounds:
     journeys begin with a walk.  With ``profile`` a label goes on only if no later start of the same
     station is there as soon: what a later start reaches anyway can't be in a profile's result.
     """
-    conn = cut(conn.select(*CONN).repartition("trip_id", "day"))
+    conn = bucketed(conn.select(*CONN), ["trip_id", "day"])
     if "station" not in starts.columns:
         starts = starts.select(*KEYS, F.col("start").alias("station"), F.col("t0").alias("ready"))
     if start_walks:
-        walk = starts.join(footpaths.filter("a <> b"), F.col("station") == F.col("a")).select(*KEYS, F.col("b").alias("station"), (F.col("ready") + F.col("dur")).alias("ready"))
+        walk = walks_from(starts.select(*KEYS, "station", "ready"), footpaths).select(*KEYS, F.col("b").alias("station"), (F.col("ready") + F.col("dur")).alias("ready"))
         starts = starts.unionByName(walk).groupBy(*KEYS, "station").agg(F.min("ready").alias("ready"))
     links = None if links is None else cut(through(links))
     delta, best, found, n = cut(starts), None, Rounds(), 0
@@ -134,12 +193,12 @@ def _not_later(labels: DataFrame, best: DataFrame) -> DataFrame:
     return rows.filter("sooner OR earlier").drop("_r", "_a")
 
 
-def earliest_arrival(conn: DataFrame, footpaths: DataFrame, starts: DataFrame, rounds: int, by_legs: bool = False, **options) -> DataFrame:
+def earliest_arrival(conn: DataFrame, footpaths: DataFrame | Walks, starts: DataFrame, rounds: int, by_legs: bool = False, **options) -> DataFrame:
     """(start, t0, [legs,] station, arr): earliest arrival, by ride or on foot after one, with at most ``rounds`` trips."""
     return run_rounds(conn, footpaths, starts, rounds, **options).arrivals(by_legs)
 
 
-def latest_departure(conn: DataFrame, footpaths: DataFrame, goals: DataFrame, rounds: int) -> DataFrame:
+def latest_departure(conn: DataFrame, footpaths: DataFrame | Walks, goals: DataFrame, rounds: int) -> DataFrame:
     """(goal, t1, station, dep): latest departure that still arrives by t1; the mirror of ``earliest_arrival``."""
     out = earliest_arrival(mirrored(conn), turned(footpaths), goals.select(F.col("goal").alias("start"), (-F.col("t1")).alias("t0")), rounds)
     return out.select(F.col("start").alias("goal"), (-F.col("t0")).alias("t1"), "station", (-F.col("arr")).alias("dep"))
@@ -150,7 +209,9 @@ def mirrored(conn: DataFrame) -> DataFrame:
     return conn.select("day", "trip_id", (-F.col("seq")).alias("seq"), F.col("to_station").alias("from_station"), F.col("from_station").alias("to_station"), (-F.col("arr")).alias("dep"), (-F.col("dep")).alias("arr"), F.col("out_allowed").alias("in_allowed"), F.col("in_allowed").alias("out_allowed"))
 
 
-def turned(footpaths: DataFrame) -> DataFrame:
+def turned(footpaths: DataFrame | Walks) -> DataFrame | Walks:
+    if isinstance(footpaths, Walks):
+        return footpaths.turned()
     return footpaths.select(F.col("b").alias("a"), F.col("a").alias("b"), "dur")
 
 
@@ -212,10 +273,10 @@ def sane(journeys: DataFrame) -> DataFrame:
     return journeys.filter((F.size("rides") > 0) & ok & ordered)
 
 
-def check_interchanges(legs: DataFrame, footpaths: DataFrame) -> DataFrame:
+def check_interchanges(legs: DataFrame, footpaths: DataFrame | Walks) -> DataFrame:
     """(start, t0, goal, legs, valid): every change leaves the transfer time or the walk between its stations."""
     nxt = legs.select(*KEYS, "goal", "legs", (F.col("leg") - 1).alias("leg"), F.col("enter_station").alias("b"), F.col("dep").alias("leaves"))
-    pairs = legs.join(nxt, [*KEYS, "goal", "legs", "leg"], "left").withColumn("a", F.col("exit_station")).join(footpaths.select("a", "b", "dur"), ["a", "b"], "left")
+    pairs = walk_between(legs.join(nxt, [*KEYS, "goal", "legs", "leg"], "left").withColumn("a", F.col("exit_station")), footpaths, "a", "b", "dur")
     good = F.col("leaves").isNull() | F.coalesce(F.col("leaves") - F.col("arr") >= F.col("dur"), F.lit(False))
     return pairs.groupBy(*KEYS, "goal", "legs").agg(F.min(good).alias("valid"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _FOOT, _START, footpaths, measured_events
+from .catalog import _FOOT, _START, measured_events, walks
 from .functions import scalars
 from .operators import bikes, connection_graph, pareto, paths, query, realtime, relational, search, services, timetable
 from .plans.timetable import conn_between, view
@@ -27,7 +27,7 @@ def _conn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journeys from station 1 at 8:00 to every station: arrival per number of transfers, read back from the search's labels."""
     conn = _conn(spark, sf_dir)
-    found = search.run_rounds(conn, footpaths(spark, sf_dir), spark.createDataFrame([(1, _MORNING)], "start long, t0 long"))
+    found = search.run_rounds(conn, walks(spark, sf_dir), spark.createDataFrame([(1, _MORNING)], "start long, t0 long"))
     goals = view(spark, sf_dir, "station").select(F.col("station_id").alias("goal"))
     return search.journeys(search.journey_legs(found, goals)).select("goal", "arrival", "transfers")
 
@@ -44,7 +44,7 @@ def earliest_arrival_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earliest arrivals from station 1 at 8:00 without the sections that messages cancel."""
     stops = view(spark, sf_dir, "message").filter("kind = 'cancel'")
     gone = realtime.cancel(view(spark, sf_dir, "segment"), stops).filter("canceled")
-    t = query.Timetable(_conn(spark, sf_dir), footpaths(spark, sf_dir)).running(gone.select("trip_id", "seq"))
+    t = query.Timetable(_conn(spark, sf_dir), walks(spark, sf_dir)).running(gone.select("trip_id", "seq"))
     return search.earliest_arrival(t.conn, t.footpaths, spark.createDataFrame([(1, _MORNING)], "start long, t0 long"), 7).select("station", "arr")
 
 
@@ -56,7 +56,7 @@ def earliest_arrival_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def journey_interchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The connection check of found journeys: every change leaves the time for it."""
-    foot = footpaths(spark, sf_dir)
+    foot = walks(spark, sf_dir)
     found = search.run_rounds(_conn(spark, sf_dir), foot, spark.createDataFrame([(1, _MORNING)], "start long, t0 long"), 3)
     goals = view(spark, sf_dir, "station").select(F.col("station_id").alias("goal"))
     legs = search.journey_legs(found, goals)
@@ -72,7 +72,7 @@ def _pretrip_sql(begin: int, end: int) -> str:
 @register("pretrip_journeys", _pretrip_sql(_MORNING, _MORNING + 60), "station", "conn")
 def pretrip_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journeys from station 1 to station 5 that leave between 8:00 and 9:00, of at most four trips."""
-    t = query.Timetable(_conn(spark, sf_dir), footpaths(spark, sf_dir))
+    t = query.Timetable(_conn(spark, sf_dir), walks(spark, sf_dir))
     q = query.Query(1, 5, _MORNING, "pretrip", _MORNING + 60, start_walks=False, rounds=4)
     return query.answer(t, q).select("departure", "arrival", "transfers")
 
@@ -90,7 +90,7 @@ def pareto_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trip from station 1 within two hours of 8:00: all arrivals that no cheaper or earlier one beats."""
     conn = _conn(spark, sf_dir).filter((F.col("from_station") != 1) | (F.col("dep") <= _MORNING + 120)).withColumn("fare", F.col("trip_id") % 97 + F.col("seq") * 10)
     starts = spark.createDataFrame([(1, _MORNING)], "start long, t0 long")
-    return pareto.pareto_search(conn, footpaths(spark, sf_dir), starts, (pareto.PRICE,), 1).select("station", "arr", "price")
+    return pareto.pareto_search(conn, walks(spark, sf_dir), starts, (pareto.PRICE,), 1).select("station", "arr", "price")
 
 
 def _fares_sql(answer: str) -> str:
@@ -124,7 +124,7 @@ def _fares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pareto_price_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journeys of up to seven trips from station 1 at 8:00 to every station that no sooner, cheaper and simpler one beats."""
     starts = spark.createDataFrame([(1, _MORNING)], "start long, t0 long")
-    found = pareto.pareto_search(_fares(spark, sf_dir), footpaths(spark, sf_dir), starts, pareto.SEARCHES["price"])
+    found = pareto.pareto_search(_fares(spark, sf_dir), walks(spark, sf_dir), starts, pareto.SEARCHES["price"])
     return found.select("station", "arr", F.col("legs").cast("long").alias("legs"), "price")
 
 
@@ -132,7 +132,7 @@ def pareto_price_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pareto_wage_price_goal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journeys from station 1 at 8:00 to station 5 by arrival, trips and price with what the time is worth; labels that can't help the goal go."""
     starts, goal = spark.createDataFrame([(1, _MORNING)], "start long, t0 long"), spark.createDataFrame([(5,)], "goal long")
-    found = pareto.pareto_search(_fares(spark, sf_dir), footpaths(spark, sf_dir), starts, pareto.SEARCHES["wage_price"], goals=goal)
+    found = pareto.pareto_search(_fares(spark, sf_dir), walks(spark, sf_dir), starts, pareto.SEARCHES["wage_price"], goals=goal)
     return found.select("arr", F.col("legs").cast("long").alias("legs"), F.col("wage_price").alias("price"))
 
 
@@ -150,7 +150,7 @@ def _delays(spark: SparkSession) -> connection_graph.Delays:
 
 def reliable_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connection graphs from station 1 at 8:00 to station 7, grown until every arrival at a change is covered: the clock minutes of arrival."""
-    t = query.Timetable(relational.cut(_conn(spark, sf_dir)), footpaths(spark, sf_dir))
+    t = query.Timetable(relational.cut(_conn(spark, sf_dir)), walks(spark, sf_dir))
     graphs = connection_graph.route("reliable_search", t, query.Query(1, 7, _MORNING), _delays(spark))
     return graphs.arrivals().select("graph", "minute", F.round("p", 9).alias("p"))
 
