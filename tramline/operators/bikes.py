@@ -101,8 +101,9 @@ def search(terminals: DataFrame, stations: DataFrame, availability: DataFrame, p
 
 
 def runs(intervals: DataFrame, by: list[str], seconds: int = 60) -> DataFrame:
-    """(by, value, begin, end): intervals of one value, merged where at most ``seconds`` lie between neighbours."""
-    w = Window.partitionBy(*by).orderBy("begin", "end")
+    """(by, value, begin, end): intervals of one value, merged where at most ``seconds`` lie between neighbours; of equal
+    intervals that with the smaller value comes first."""
+    w = Window.partitionBy(*by).orderBy("begin", "end", "value")
     new = F.when((F.col("value") == F.lag("value").over(w)) & (F.col("begin") - F.lag("end").over(w) <= seconds), 0).otherwise(1)
     rows = intervals.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # a run ends where its last interval does
