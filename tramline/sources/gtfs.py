@@ -66,10 +66,15 @@ def service_days(calendar: DataFrame, exceptions: DataFrame, first_day=None) ->
     """
     flags = F.array(*[F.col(d) for d in WEEKDAYS])
     day = lambda c: F.to_date(F.col(c), "yyyyMMdd")
-    base = calendar.withColumn("day", F.explode(F.sequence(day("start_date"), day("end_date")))).filter(F.element_at(flags, F.weekday("day") + 1) == 1).select("service_id", "day")
-    change = exceptions.select("service_id", day("date").alias("day"), "exception_type")
-    added = change.filter("exception_type = 1").select("service_id", "day")
-    out = base.union(added).distinct().join(change.filter("exception_type <> 1"), ["service_id", "day"], "left_anti")
+    none = F.array().cast("array<date>")
+    # a service's days travel as one array
+    runs = F.filter(F.sequence(day("start_date"), day("end_date")), lambda d: F.element_at(flags, F.weekday(d) + 1) == 1)
+    base = calendar.select("service_id", runs.alias("on"), none.alias("off"))
+    change = exceptions.select("service_id", day("date").alias("day"), "exception_type").distinct()
+    gone = (F.col("exception_type") != 1) & F.col("day").isNotNull() & F.col("service_id").isNotNull()
+    change = change.select("service_id", F.when(F.col("exception_type") == 1, F.array("day")).otherwise(none).alias("on"), F.when(gone, F.array("day")).otherwise(none).alias("off"))
+    days = base.union(change).groupBy("service_id").agg(F.flatten(F.collect_list("on")).alias("on"), F.flatten(F.collect_list("off")).alias("off"))
+    out = days.select("service_id", F.explode(F.array_except("on", "off")).alias("day"))
     if first_day is None:
         return out
     return out.filter(F.datediff("day", F.lit(first_day).cast("date")).between(0, MOST_DAYS - 1))
