@@ -97,9 +97,18 @@ def station_pair_boxes(segments: DataFrame, stations: DataFrame) -> DataFrame:
     return rows.select("a", "b", F.least("a_lat", "b_lat").alias("min_lat"), F.greatest("a_lat", "b_lat").alias("max_lat"), F.least("a_lng", "b_lng").alias("min_lng"), F.greatest("a_lng", "b_lng").alias("max_lng"))
 
 
-def equivalents(stations: DataFrame) -> DataFrame:
-    """(station_id, equivalent) of stations with one meta id, itself included."""
-    return stations.select("station_id", "meta_id").join(stations.select(F.col("station_id").alias("equivalent"), "meta_id"), "meta_id").select("station_id", "equivalent")
+#: Blocks that a meta station's members are dealt into, so that a large one is many tasks' work.
+BLOCKS = 64
+
+
+def equivalents(stations: DataFrame, *keep: str) -> DataFrame:
+    """(station_id, equivalent) of stations with one meta id, itself included; and the station's columns ``keep``."""
+    n = int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = stations.select("station_id", "meta_id", *keep).withColumn("_block", F.pmod(F.xxhash64("station_id"), F.lit(BLOCKS)))
+    others = stations.select(F.col("station_id").alias("equivalent"), "meta_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))).alias("_block"))
+    key = ["meta_id", "_block"]
+    rows = mine.repartition(n, *key).hint("merge").join(others.repartition(n, *key), key)
+    return rows.select("station_id", "equivalent", *keep)
 
 
 def get(rows: DataFrame, key: str, dim: DataFrame, what: str = "row") -> DataFrame:
@@ -189,8 +198,11 @@ def representatives(segments: DataFrame, same: list[Column]) -> DataFrame:
 def attribute_ranges(sections: DataFrame, key: str) -> DataFrame:
     """(trip_id, key, first, last): runs of consecutive sections that have an attribute, category or provider."""
     w = Window.partitionBy("trip_id", key).orderBy("seq")
-    rows = sections.select("trip_id", key, "seq").distinct().withColumn("_run", F.col("seq") - F.row_number().over(w))
-    return rows.groupBy("trip_id", key, "_run").agg(F.min("seq").alias("first"), F.max("seq").alias("last")).drop("_run")
+    # a run's first and last rows, next to each other once those between are gone: one sort, no groups held in memory
+    before, after = F.lag("seq").over(w), F.lead("seq").over(w)
+    rows = sections.select("trip_id", key, "seq", (before.isNull() | (before < F.col("seq") - 1)).alias("_first"), (after.isNull() | (after > F.col("seq") + 1)).alias("_last"))
+    ends = rows.filter("_first OR _last").withColumn("_next", F.lead("seq").over(w)).filter("_first")
+    return ends.select("trip_id", key, F.col("seq").alias("first"), F.when(F.col("_last"), F.col("seq")).otherwise(F.col("_next")).alias("last"))
 
 
 def with_dimensions(segments: DataFrame, info: DataFrame, category: DataFrame, provider: DataFrame) -> DataFrame:
