@@ -120,7 +120,9 @@ def names_within(stations: DataFrame, queries: DataFrame, edits: int = 1) -> Dat
     if edits != 1:
         raise ValueError("variants are made for one edit")
     cut_one = lambda t: F.array_distinct(F.array_append(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.char_length(t)))), t))
-    s = stations.select("station_id", "name", F.explode(cut_one(F.col("name"))).alias("_v"))
-    q = queries.select("query_id", "guess", F.explode(cut_one(F.col("guess"))).alias("_v"))
-    pairs = q.join(s, "_v").select("query_id", "guess", "station_id", "name").distinct()
-    return pairs.select("query_id", "station_id", F.levenshtein("name", "guess").alias("distance")).filter(F.col("distance") <= edits)
+    # compared once per pair of different texts, however many stations and queries have them
+    s = stations.select("name").distinct().withColumn("_v", F.explode(cut_one(F.col("name"))))
+    q = queries.select("guess").distinct().withColumn("_v", F.explode(cut_one(F.col("guess"))))
+    pairs = q.join(s, "_v").select("guess", "name").distinct().withColumn("distance", F.levenshtein("name", "guess")).filter(F.col("distance") <= edits)
+    asked = queries.select("query_id", "guess").distinct().join(pairs, "guess")
+    return asked.join(stations.select("station_id", "name").distinct(), "name").select("query_id", "station_id", "distance")
