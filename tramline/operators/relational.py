@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 EARTH_KM = 6371.0
 #: Kilometres per degree of latitude.
 KM_PER_DEGREE = 111.0
+#: Blocks that the points of a grid cell are dealt into.
+BLOCKS = 16
 
 
 #: Tables that this session wrote lie in a folder of its own.
@@ -128,8 +130,13 @@ def radius_join(points: DataFrame, places: DataFrame, km: float, min_km: float =
     cell = km / KM_PER_DEGREE
     row, col = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long"), lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long")
     span = F.least(F.ceil(F.lit(1.05) / F.greatest(F.cos(F.radians("lat")), F.lit(0.02))).cast("long"), F.lit(60))
+    # a cell's points are dealt into blocks, so that a full cell is many tasks' work; places go to each block
+    n, key = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*by, "_r", "_c", "_b"]
+    points = points.withColumn("_b", F.pmod(F.xxhash64("lat", "lng"), F.lit(BLOCKS)))
+    places = places.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
     seen = points.withColumn("_r", F.explode(F.sequence(row("lat") - 1, row("lat") + 1))).withColumn("_c", F.explode(F.sequence(col("lng") - span, col("lng") + span)))
-    near = seen.join(places.withColumn("_r", row("plat")).withColumn("_c", col("plng")), [*by, "_r", "_c"]).drop("_r", "_c")
+    near = seen.repartition(n, *key).hint("merge").join(places.withColumn("_r", row("plat")).withColumn("_c", col("plng")).repartition(n, *key), key).drop("_r", "_c", "_b")
+    near = near.filter(F.abs(F.col("lat") - F.col("plat")) <= cell)  # no degree of latitude is shorter
     near = near.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("plat"), F.col("plng")))
     return near.filter((F.col("km") <= km) & (F.col("km") >= min_km))
 
