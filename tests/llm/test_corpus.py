@@ -466,6 +466,18 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mix(empty).count() == 0
 
 
+def test_mix_in_order(spark, docs):
+    plan = {(r.row, r.size): sorted(r.positions) for r in mixing.mix(docs).collect()}
+    got = mixing.in_order(mixing.mix(docs)).collect()
+    taken = [r for r in got if r.position is not None]
+    assert len(taken) == sum(map(len, plan.values())) and len(got) == len(taken) + sum(not p for p in plan.values())
+    assert got[: len(taken)] == taken and [r.position for r in taken] == sorted(r.position for r in taken)
+    assert all(plan[r.row, r.size][r.copy] == r.position for r in taken)
+    rows = mixing.op8_mixing(spark, "/root/testdata/sf0.01").collect()
+    places = [math.inf if r.position is None else r.position for r in rows]
+    assert len({r.doc_id for r in rows}) == len(rows) > 1 and places == sorted(places)
+
+
 def test_archives_roll_by_bytes(spark, tmp_path):
     rnd = random.Random(6)
     sizes = [rnd.choice([0, 10, 3000, 40_000]) for _ in range(60)] + [900_000]

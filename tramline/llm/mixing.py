@@ -5,7 +5,8 @@ excess shared again by weight (water filling, solved by one ordered prefix sum).
 source documents stand in the order of a hash; a document's copy covers an interval of the
 source's words and is taken if its middle lies below the target.  A source's weight schedule,
 a multiplier per phase of training, is integrated to its cumulative demand; inverting that at
-the copy's first word gives the training position, by which the mix is range-sorted.
+the copy's first word gives the training position, by which the mix is range-sorted: ``in_order``
+for the plan's copies, which the query reads, ``mixed_documents`` for the documents themselves.
 """
 
 from __future__ import annotations
@@ -86,6 +87,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", row_col: str | None = None, sou
     return placed.select("row", "id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.filter(F.array(*copies), lambda p: p.isNotNull()).alias("positions"))
 
 
+def in_order(plan: DataFrame) -> DataFrame:
+    """``mix``'s rows, one per taken copy, range-sorted by its training position, ties by id; ``copy`` counts from 0.
+
+    Documents that are not taken stand behind, one row each without a position.
+    """
+    copies = plan.select("*", F.posexplode_outer("positions").alias("copy", "position")).drop("positions")
+    last = F.col("position").asc_nulls_last()
+    return copies.repartitionByRange(last, "id").sortWithinPartitions(last, "id", "copy")
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: a row of ``docs`` per taken copy, range-sorted by training position.
 
@@ -105,9 +116,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words taken of every document and the training position of its first copy."""
-    m = mix(table(spark, sf_dir, "documents"))
-    return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
+    """Words taken of every document and the training position of its first copy, in the order of the mix."""
+    m = in_order(mix(table(spark, sf_dir, "documents"))).filter("coalesce(copy, 0) = 0")
+    return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position")
 
 
 OP8_SQL = r"""
