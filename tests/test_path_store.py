@@ -136,3 +136,17 @@ def test_straight_lines_where_nothing_is_stored(spark, store):
     stored = path_store.lookup_all(trips.drop("trip_id"), folder).filter("segment IS NOT NULL")
     got = {(r.trip_id, r.segment): len(r.points) for r in paths.trip_paths(trips, stored, stations).collect()}
     assert got == {(1, i): 3 for i in range(len(first) - 1)} | {(2, 0): 2}
+
+
+def test_lookup_reads_a_sequence_once(spark, tmp_path):
+    p = lambda *xs: [{"lat": a, "lng": b} for a, b in xs]
+    given = [([1, 2, 3], [3, 4], k, p((1.0 * k, 1.0), (2.0, 2.0))) for k in (0, 1)] + [([4, 5, 6], [1], 1, p((7.0, 7.0)))]
+    folder = str(tmp_path / "s")
+    path_store.write(spark.createDataFrame(given, SCHEMA), folder)
+    heads = path_store.read(spark, folder, "sequences").filter("head").collect()
+    assert sorted((list(r.stations), r.segment) for r in heads) == [([1, 2, 3], 0), ([4, 5, 6], 1)]
+    assert path_store.read(spark, folder, "index").count() == 3
+    asked = spark.createDataFrame([(1, [1, 2, 3], 4), (2, [1, 2, 3], 4), (3, [4, 5, 6], 1), (4, [4, 5, 6], 2), (5, None, 1), (6, [1, 2], None)], "id int, stations array<int>, clasz int")
+    found = path_store.lookup_all(asked, folder)
+    assert sorted((r.id, -1 if r.segment is None else r.segment) for r in found.collect()) == [(1, 0), (1, 1), (2, 0), (2, 1), (3, 1), (4, -1), (5, -1), (6, -1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2

@@ -359,9 +359,10 @@ def _trip_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stops.groupBy("trip_id", "clasz").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "station_id"))), lambda x: x["station_id"]).alias("stations")).filter(F.size("stations") > 1)
 
 
-def _path_store(spark: SparkSession, sf_dir: str) -> str:
-    """A store of the lines of all trips, straight between stops."""
-    trips, stations = _trip_sequences(spark, sf_dir), view(spark, sf_dir, "station")
+def _path_store(spark: SparkSession, sf_dir: str, trips: DataFrame) -> str:
+    """A store of the lines of all trips (stations, clasz), straight between stops."""
+    stations = view(spark, sf_dir, "station")
+    stations = search.small(stations, stations.count())
     sequences = trips.groupBy("stations").agg(F.collect_set("clasz").alias("classes"))
     segments = sequences.select("stations", "classes", F.posexplode(F.slice("stations", F.lit(1), F.size("stations") - 1)).alias("segment", "from_station"))
     at = lambda x: stations.select(F.col("station_id").alias(x), F.struct("lat", "lng").alias(f"{x}_at"))
@@ -381,7 +382,7 @@ def _path_store(spark: SparkSession, sf_dir: str) -> str:
 )
 def path_store_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station pairs whose stored lines meet a map view."""
-    return path_store.boxes_in(spark, _path_store(spark, sf_dir), 49.0, 50.0, 9.0, 10.0)
+    return path_store.boxes_in(spark, _path_store(spark, sf_dir, _trip_sequences(spark, sf_dir)), 49.0, 50.0, 9.0, 10.0)
 
 
 @register(
@@ -392,7 +393,8 @@ def path_store_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def path_store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every trip's stored lines: segments, points and extent."""
-    found = path_store.lookup_all(_trip_sequences(spark, sf_dir), _path_store(spark, sf_dir))
+    trips = relational.cut(_trip_sequences(spark, sf_dir))
+    found = path_store.lookup_all(trips, _path_store(spark, sf_dir, trips))
     end = lambda f, e, c: f(F.transform("points", lambda p: p[c])).alias(e)
     ends = found.select("trip_id", "segment", F.size("points").alias("n"), end(F.array_min, "south", "lat"), end(F.array_max, "north", "lat"), end(F.array_min, "west", "lng"), end(F.array_max, "east", "lng"))
     return ends.groupBy("trip_id").agg(F.count("segment").alias("n_segments"), F.sum("n").alias("n_points"), F.min("south").alias("south"), F.max("north").alias("north"), F.min("west").alias("west"), F.max("east").alias("east"))

@@ -7,7 +7,7 @@ group rule out nearly all of them for a sequence or a map view; the filters them
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.paths import boxes as pair_boxes
@@ -30,8 +30,12 @@ def curve(lat: Column, lng: Column) -> Column:
     return F.shiftleft(_spread(cell(lat, -90.0, 180.0)), 1).bitwiseOR(_spread(cell(lng, -180.0, 360.0)))
 
 
-def _write(rows: DataFrame, path: str, order: list[str], files: int | None, block: int) -> None:
-    dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+def _dealt(rows: DataFrame, by: list[str], files: int | None) -> DataFrame:
+    """``rows`` in ranges of ``by``: groups whose keys begin with it are made where the rows lie then."""
+    return rows.repartitionByRange(files, *by) if files else rows.repartitionByRange(*by)
+
+
+def _write(dealt: DataFrame, path: str, order: list[str], block: int) -> None:
     dealt.sortWithinPartitions(*order).write.option("parquet.block.size", block).parquet(path)
 
 
@@ -45,18 +49,21 @@ def write(paths: DataFrame, folder: str, files: int | None = None, block: int =
     """
     rows = paths.filter(F.col("stations").isNotNull() & F.col("classes").isNotNull() & F.col("segment").isNotNull())
     rows = rows.withColumn("classes", F.array_sort(F.array_distinct("classes"))).withColumn("sequence", F.xxhash64("stations", "classes"))
-    kept = rows.groupBy("sequence", "stations", "classes", "segment").agg(F.min("points").alias("points"))
-    _write(kept, f"{folder}/sequences", ["sequence", "segment"], files, block)
+    kept = _dealt(rows.select("sequence", "stations", "classes", "segment", "points"), ["sequence"], files)
+    kept = kept.groupBy("sequence", "stations", "classes", "segment").agg(F.min("points").alias("points"))
+    nth = F.row_number().over(Window.partitionBy("sequence", "stations", "classes").orderBy("segment"))
+    _write(kept.withColumn("head", nth == 1), f"{folder}/sequences", ["sequence", "stations", "classes", "segment"], block)
     stored = read(paths.sparkSession, folder, "sequences")
-    entries = stored.select("sequence", "stations", F.explode("classes").alias("clasz")).withColumn("key", F.xxhash64("stations", "clasz"))
-    _write(entries.groupBy("key", "stations", "clasz").agg(F.min("sequence").alias("sequence")), f"{folder}/index", ["key"], files, block)
+    entries = stored.filter("head").select("sequence", "stations", F.explode("classes").alias("clasz")).withColumn("key", F.xxhash64("stations", "clasz"))
+    entries = _dealt(entries, ["key"], files).groupBy("key", "stations", "clasz").agg(F.min("sequence").alias("sequence"))
+    _write(entries, f"{folder}/index", ["key"], block)
     places = pair_boxes(stored.select("stations", "segment", "points")).filter(F.col("min_lat").isNotNull() & F.col("min_lng").isNotNull())
     middle = curve((F.col("min_lat") + F.col("max_lat")) / 2, (F.col("min_lng") + F.col("max_lng")) / 2)
-    _write(places.withColumn("place", middle), f"{folder}/boxes", ["place", "a", "b"], files, block)
+    _write(_dealt(places.withColumn("place", middle), ["place", "a", "b"], files), f"{folder}/boxes", ["place", "a", "b"], block)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One of the store's tables: sequences, index or boxes."""
+    """One of the store's tables: sequences (``head`` marks a sequence's first segment), index or boxes."""
     return spark.read.parquet(f"{folder}/{table}")
 
 
@@ -80,15 +87,18 @@ def lookup(spark: SparkSession, folder: str, stations: list, clasz: int) -> Data
 def lookup_all(asked: DataFrame, folder: str) -> DataFrame:
     """``asked`` (stations, clasz, other columns) with a row per stored ``segment`` and its ``points``.
 
-    A sequence that is not stored keeps one row with both null.
+    A sequence that is not stored keeps one row with both null.  Rows travel once by the hash of their sequence and class and
+    once by their stored sequence; equal stations and classes decide, not hashes.
     """
     spark = asked.sparkSession
-    index = read(spark, folder, "index")
-    same = {"stations": index.schema["stations"].dataType, "clasz": index.schema["clasz"].dataType}
-    wanted = asked.select(*[F.col(k).cast(t).alias(k) for k, t in same.items()]).distinct()
-    found = wanted.withColumn("key", F.xxhash64("stations", "clasz")).join(index, ["key", "stations", "clasz"]).drop("key")
-    lines = found.join(read(spark, folder, "sequences").drop("classes"), ["sequence", "stations"]).drop("sequence")
-    return asked.join(lines, ["stations", "clasz"], "left")
+    index, others = read(spark, folder, "index"), [c for c in asked.columns if c not in ("stations", "clasz")]
+    key = F.xxhash64(*[F.col(c).cast(index.schema[c].dataType) for c in ("stations", "clasz")])
+    index = index.select(F.col("key").alias("_key"), F.col("stations").alias("_s"), F.col("clasz").alias("_c"), F.col("sequence").alias("_q"))
+    lines = read(spark, folder, "sequences").select(F.col("sequence").alias("_q"), F.col("stations").alias("_s"), "segment", "points")
+    mine = asked.withColumn("_k", key)
+    found = mine.join(index, (F.col("_k") == F.col("_key")) & (F.col("stations") == F.col("_s")) & (F.col("clasz") == F.col("_c")), "left")
+    found = found.select("stations", "clasz", *others, F.col("_q").alias("_found"))
+    return found.join(lines, (F.col("_found") == F.col("_q")) & (F.col("stations") == F.col("_s")), "left").select("stations", "clasz", *others, "segment", "points")
 
 
 def boxes_in(spark: SparkSession, folder: str, south: float, north: float, west: float, east: float) -> DataFrame:
