@@ -52,3 +52,27 @@ def test_outcomes_and_days(spark):
     at = lambda d, h: datetime.datetime(2024, 1, d, h)
     spans = spark.createDataFrame([(at(1, 9), day(1), day(1)), (at(1, 22), day(1), day(3)), (at(3, 5), day(3), day(3)), (at(4, 1), None, None)], "ts timestamp_ntz, first_day date, last_day date")
     assert rows(realtime.day_spans(spans)) == [(day(1), at(1, 9), at(1, 22)), (day(2), at(1, 22), at(1, 22)), (day(3), at(1, 22), at(3, 5))]
+
+
+def test_connected_shrinks_chains_and_stars(spark):
+    import random
+
+    from tramline.operators import relational
+
+    rnd, n = random.Random(3), 3000
+    names = list(range(n))
+    rnd.shuffle(names)
+    edges = [(1, k, k + 1) for k in range(n)] + [(2, names[k], names[k + 1]) for k in range(n - 1)] + [(3, 7, k) for k in range(8, 900)] + [(4, 5, 5)]
+    edges += [(5, *rnd.sample(range(400), 2)) for _ in range(180)]
+    top = {(d, x): x for d, a, b in edges for x in (a, b)}
+    moved = True
+    while moved:
+        moved = False
+        for d, a, b in [*edges, *reversed(edges)]:
+            low = min(top[d, a], top[d, b])
+            moved |= top[d, a] != low or top[d, b] != low
+            top[d, a] = top[d, b] = low
+    got = relational.connected(spark.createDataFrame(edges, "day int, a long, b long"), ["day"])
+    assert {(r.day, r.node): r.component for r in got.collect()} == top and got.count() == len(top)
+    text = relational.connected(spark.createDataFrame([("x", "y"), ("z", "y"), ("q", "q")], "a string, b string"))
+    assert {r.node: r.component for r in text.collect()} == {"x": "x", "y": "x", "z": "x", "q": "q"}

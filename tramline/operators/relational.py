@@ -267,20 +267,30 @@ def profile_skyline(rows: DataFrame, by: list[str], low: str, few: str, high: st
 
 
 def connected(edges: DataFrame, by: list[str] = ()) -> DataFrame:
-    """(by, node, component): the smallest node reachable over (by, a, b) edges, both ways; labels spread until none falls.
+    """(by, node, component): the smallest node reachable over (by, a, b) edges, both ways.
 
-    Every round also follows the labels of labels, so chains are halved.
+    Each round merges every node into that of the smallest hash among its neighbours and itself, so the links shrink by
+    a factor and components that are done leave; hashes differ by round, so long chains shrink alike.  The
+    least node goes with the merged ones, and a table per round leads every node to it at the end.
     """
-    both = edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    now, state = cut(both.select(*by, F.col("a").alias("node"), F.col("a").alias("component")).distinct()), None
-    while True:
-        near = both.join(now.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("component").alias("_n"))
-        one = now.join(near, [*by, "node"]).withColumn("component", F.least("component", "_n")).drop("_n")
-        jump = one.select(*by, F.col("node").alias("component"), F.col("component").alias("_j"))
-        new = cut(one.join(jump, [*by, "component"], "left").select(*by, "node", F.least("component", F.coalesce("_j", "component")).alias("component")))
-        # labels only fall, so equal totals of their hashes mean that none did
-        total = new.agg(F.sum(F.xxhash64("component").cast("decimal(38,0)"))).first()[0]
-        if total == state:
-            return new
-        now, state = new, total
+    by = list(by)
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("_e")
+    # dealt by one end, so that the round's groups are made where links lie
+    deal = lambda rows: rows.repartition(*by, "a").distinct()
+    links = cut(deal(edges.select(*by, ways).select(*by, "_e.*")))
+    least, merges = None, []
+    while not merges or not links.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(merges)), c).alias("hash"), F.col(c).alias("node"))
+        to = links.groupBy(*by, "a").agg(F.min(rank("b")).alias("_m")).select(*by, "a", F.least("_m", rank("a"))["node"].alias("to"))
+        to = cut(to.withColumn("least", F.col("a")) if least is None else to.join(least.withColumnRenamed("to", "a"), [*by, "a"]))
+        merges.append(to)
+        least = to.groupBy(*by, "to").agg(F.min("least").alias("least"))
+        ends = to.select(*by, "a", "to")
+        half = links.filter("a <> b").join(ends, [*by, "a"]).select(*by, F.col("b").alias("a"), F.col("to").alias("b"))
+        links = cut(deal(half.join(ends, [*by, "a"]).filter("to <> b").select(*by, F.col("to").alias("a"), "b")))
+    out = merges[-1].select(*by, F.col("a").alias("node"), "to").join(least, [*by, "to"]).select(*by, "node", F.col("least").alias("component"))
+    for to in reversed(merges[:-1]):  # nodes without links in the next round are done: theirs is the least of those merged
+        done = to.groupBy(*by, "to").agg(F.min("least").alias("least"))
+        onto = done.join(out.withColumnRenamed("node", "to"), [*by, "to"], "left").select(*by, "to", F.coalesce("component", "least").alias("component"))
+        out = to.select(*by, F.col("a").alias("node"), "to").join(onto, [*by, "to"]).select(*by, "node", "component")
+    return cut(out)

@@ -245,7 +245,7 @@ _PAIRS = """p AS (SELECT a.trip_id AS service_1, b.trip_id AS service_2, (a.trip
 )
 def rule_service_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Services that rules connect on a day, named by the smallest."""
-    ends = timetable.trip_ends(view(spark, sf_dir, "trip_stop"))
+    ends = relational.cut(timetable.trip_ends(view(spark, sf_dir, "trip_stop")).drop("n_stops"))
     a = ends.select(F.col("trip_id").alias("a"), F.col("last_station").alias("s"), F.col("arr_min").alias("at"))
     # departures within two minutes: joined by minute
     a = a.withColumn("dep", F.explode(F.sequence(F.col("at"), F.col("at") + 2)))
