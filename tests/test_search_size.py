@@ -6,7 +6,7 @@ import pytest
 from tramline import catalog, searches  # noqa: F401
 
 STATIONS, TRIPS = 600, 400
-NAMES = ["latest_departure_bwd", "earliest_arrival_k2", "earliest_arrival_k7", "single_criterion_weighted", "journey_interchanges"]
+NAMES = ["latest_departure_bwd", "earliest_arrival_k2", "earliest_arrival_k7", "single_criterion_weighted", "journey_interchanges", "journeys"]
 
 
 @pytest.fixture(scope="module")
