@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tramline import catalog, searches  # noqa: F401
+from tramline.plans import timetable
 
 STATIONS, TRIPS = 600, 400
 NAMES = ["latest_departure_bwd", "earliest_arrival_k2", "earliest_arrival_k7", "single_criterion_weighted", "journey_interchanges", "journeys"]
@@ -46,3 +47,8 @@ def test_no_step_makes_pairs_of_stations(spark, one_group, name):
     got, most = _most_rows(spark, lambda: [tuple(r) for r in catalog.QUERIES[name](spark, one_group).collect()])
     assert len(want) > STATIONS / 2 and sorted(got) == sorted(want)
     assert STATIONS <= most < 10 * (STATIONS + TRIPS * 4)  # all pairs are 360,000
+
+
+def test_stops_are_dealt_once(spark, one_group):
+    plan = timetable.conn_between(spark, one_group, 480, 1920)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("Exchange hashpartitioning") == 1

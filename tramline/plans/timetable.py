@@ -26,13 +26,17 @@ VIEWS = {
     "snapshot": "SELECT CAST(user_id AS BIGINT) AS terminal, ts, CAST(floor(value) AS BIGINT) % 12 AS bikes FROM events",
 }
 NEEDS = {"station": [], "trip_stop": [], "segment": ["trip_stop"], "conn": ["trip_stop", "segment"], "message": [], "snapshot": []}
+#: Windows over windows of a trip need its rows together once: the input is dealt by the trip, under both of its names.
+DEALT = {"trip_stop": "l_orderkey"}
 TABLES = {"station": ["supplier"], "trip_stop": ["lineitem"], "segment": [], "conn": [], "message": ["events"], "snapshot": ["events"]}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
     """One view as a DataFrame; its inputs are passed by value, no catalog entry is made."""
     inputs = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES[name]}
-    inputs |= {v: view(spark, sf_dir, v) for v in NEEDS[name][-1:]}
+    if dealt:
+        inputs = {t: df.repartition(DEALT[name]) for t, df in inputs.items()}
+    inputs |= {v: view(spark, sf_dir, v, v in DEALT) for v in NEEDS[name][-1:]}
     text = VIEWS[name]
     for k in inputs:
         text = text.replace(f"FROM {k}", f"FROM {{{k}}}")
