@@ -8,6 +8,7 @@ from tramline.plans import timetable
 
 STATIONS, TRIPS = 600, 400
 NAMES = ["latest_departure_bwd", "earliest_arrival_k2", "earliest_arrival_k7", "single_criterion_weighted", "journey_interchanges", "journeys"]
+ROUNDS = ["earliest_arrival_k2"]
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,25 @@ def test_no_step_makes_pairs_of_stations(spark, one_group, name):
     assert STATIONS <= most < 10 * (STATIONS + TRIPS * 4)  # all pairs are 360,000
 
 
+def _plans(spark, run) -> list[list[str]]:
+    """The names of the plan nodes of each job that ``run`` makes, as they were run."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    done = store.executionsCount()
+    run()
+    bus.waitUntilEmpty()
+    jobs = store.executionsList(done, 1000)
+    graphs = [store.planGraph(jobs.apply(k).executionId()).allNodes() for k in range(jobs.size())]
+    return [[g.apply(k).name().strip() for k in range(g.size())] for g in graphs]
+
+
 def test_stops_are_dealt_once(spark, one_group):
     plan = timetable.conn_between(spark, one_group, 480, 1920)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ROUNDS)
+def test_a_round_reads_connections_twice(spark, one_group, name):
+    plans = _plans(spark, lambda: catalog.QUERIES[name](spark, one_group).collect())
+    reads = [n for n in (sum("tramline_" in node for node in p) for p in plans) if n]
+    assert len(reads) >= 2 and set(reads) == {2}  # trips are boarded and ridden

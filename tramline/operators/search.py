@@ -152,14 +152,14 @@ def run_rounds(conn: DataFrame, footpaths: DataFrame | Walks, starts: DataFrame,
         if k == 1 and boarded is not None:
             none = F.lit(None).cast("long")
             board = board.unionByName(boarded.select(*KEYS, "trip_id", "day", F.struct(F.col("enter").cast("long").alias("enter"), none.alias("enter_station"), none.alias("dep")).alias("at")))
-        board = board.groupBy(*KEYS, "trip_id", "day").agg(F.min("at").alias("at"))
+        board = board.groupBy("trip_id", "day", *KEYS).agg(F.min("at").alias("at"))  # in the order that the ride joins by
         board = board.withColumn("on", F.col("trip_id")).withColumn("from_seq", F.col("at.enter"))
         if links is not None:  # stay seated: the next trip is ridden from its first stop
             board = board.unionByName(board.join(links, ["trip_id", "day"]).withColumn("on", F.col("next_trip")).withColumn("from_seq", F.lit(0).cast("long")).drop("next_trip"))
         ride = board.select(*KEYS, F.col("on"), F.col("day").alias("on_day"), "from_seq", "at", F.col("trip_id").alias("first_trip"))
         ride = ride.join(conn.filter("out_allowed"), (F.col("on") == F.col("trip_id")) & (F.col("on_day") == F.col("day"))).filter((F.col("seq") >= F.col("from_seq")) & (F.col("arr") <= F.col("t0") + horizon))
         leg = F.struct("arr", F.col("first_trip").alias("trip_id"), "day", F.col("at.enter").alias("enter"), F.col("seq").alias("exit"), F.col("at.enter_station").alias("enter_station"), F.col("at.dep").alias("dep"))
-        arrived = ride.groupBy(*KEYS, F.col("to_station").alias("station")).agg(F.min(leg).alias("ride"))
+        arrived = cut(ride.groupBy(*KEYS, F.col("to_station").alias("station")).agg(F.min(leg).alias("ride")))  # walks read it several times
         labels = _walked(arrived, footpaths)
         if best is None:
             labels = labels.withColumn("sooner", F.col("ready") < NEVER).withColumn("earlier", F.lit(True))
