@@ -51,14 +51,6 @@ def hotel_stay(arrive: Column, checkout: int = 420, least: int = 360) -> Column:
     return F.when(gap < least, F.lit(least)).otherwise(gap)
 
 
-def walk_minutes(km: Column) -> Column:
-    return F.floor(km * 1000 * DETOUR / WALK_SPEED / 60).cast("long")
-
-
-def bike_minutes(km: Column) -> Column:
-    return F.floor(km * 1000 * DETOUR / BIKE_SPEED / 60).cast("long")
-
-
 def capped_fare(regional: Column, other: Column, cap: int = 4200) -> Column:
     return F.least(regional, F.lit(cap)) + other
 
