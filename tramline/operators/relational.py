@@ -208,16 +208,18 @@ def islands(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     return rows.select(*by, order, (F.col(order) - F.row_number().over(w)).alias("_run")).groupBy(*by, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("_run")
 
 
-#: Nodes of a component whose closure is made in one task; larger ones are closed by joins.
-IN_ONE_TASK = 2_000
+#: Nodes of a component whose closure is made in one task; in larger ones starts are dealt into blocks of about so many,
+#: at most so many blocks a shuffle partition, and a task holds at most about so many values at once.
+IN_ONE_TASK, STARTS, BLOCKS_A_TASK, VALUES = 2_000, 1_024, 2, 4_000_000
 
 
 def closure(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """Min-plus closure of (a, b, dur): least durations over any number of edges, between different nodes.
 
     Durations must not be negative.  Components are found first.  Those of at most ``in_one_task`` nodes, a matrix of
-    known size, are closed by relaxation over each node in a task of their own; in larger ones paths grow by an
-    edge per round, and only pairs that improved go on, until none does.
+    known size, are closed by relaxation over each node in a task of their own.  In larger ones the pairs, which may be the
+    square of the nodes, are made where they stay: a block of starts gets a copy of the component's edges and follows them, some
+    starts at once, until nothing improves.
     """
     best = cut(edges.filter("a <> b").groupBy("a", "b").agg(F.min("dur").alias("dur")))
     label = cut(connected(best).select(F.col("node").alias("a"), "component"))
@@ -240,14 +242,47 @@ def closure(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     out = few.groupBy("component").applyInPandas(relax, kinds)
     if big.isEmpty():
         return out
-    rows = cut(rows.join(big, "component", "left_semi").select("a", "b", "dur"))
-    known = delta = rows
-    while not delta.isEmpty():
-        step = delta.join(rows.select(F.col("a").alias("b"), F.col("b").alias("_b"), F.col("dur").alias("_d")), "b").select("a", F.col("_b").alias("b"), (F.col("dur") + F.col("_d")).alias("dur"))
-        step = step.filter("a <> b").groupBy("a", "b").agg(F.min("dur").alias("dur"))
-        delta = cut(step.join(known.withColumnRenamed("dur", "_old"), ["a", "b"], "left").filter("_old IS NULL OR dur < _old").drop("_old"))
-        known = cut(known.unionByName(delta).groupBy("a", "b").agg(F.min("dur").alias("dur")))
-    return out.unionByName(known)
+    most = BLOCKS_A_TASK * int(best.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.least(F.ceil(F.col("n") / STARTS), F.lit(most)).alias("blocks")
+    wide = cut(rows.join(label.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(big, "component").select("component", blocks), "component"))
+    copies = wide.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("component", "block", "a", "b", "dur", F.lit(False).alias("start"))
+    starts = wide.select("component", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), "a", F.col("a").alias("b"), F.lit(0).cast(kinds["dur"].dataType).alias("dur"), F.lit(True).alias("start")).distinct()
+    return out.unionByName(copies.unionByName(starts).repartition(most, "component", "block").groupBy("component", "block").applyInArrow(_follow, kinds))
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, dur): least durations from the starts of a block; rows of its edges, and of its starts, come in."""
+    a, b, dur, start = (np.concatenate(x) for x in zip(*([r.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "dur", "start")] for r in batches), strict=True))
+    at, names = pd.factorize(np.concatenate((a, b)))
+    a, b, nodes = at[: len(a)], at[len(a) :], len(names)
+    own, kept = a[start], np.flatnonzero(~start)
+    kept = kept[np.argsort(b[kept], kind="stable")]
+    a, b, dur = a[kept], b[kept], dur[kept]
+    names, kind = pa.array(names), dur.dtype
+    if kind.kind == "i" and nodes * int(dur.max(initial=0)) < 1 << 29:
+        dur = dur.astype(np.int32)
+    never = np.inf if dur.dtype.kind == "f" else np.iinfo(dur.dtype).max // 2
+    n = max(1, VALUES // (nodes + len(a)))
+    for k in range(0, len(own), n):
+        some = own[k : k + n]
+        least = np.full((nodes, len(some)), never, dur.dtype)
+        least[some, np.arange(len(some))] = 0
+        fresh = np.zeros(nodes, bool)
+        fresh[some] = True
+        while len(rows := np.flatnonzero(fresh[a])):
+            first = np.flatnonzero(np.diff(b[rows], prepend=-1))  # edges lie by their end
+            come = least.take(a[rows], 0)
+            come += dur[rows, None]
+            come = np.minimum.reduceat(come, first, 0)
+            to = b[rows[first]]
+            before = least.take(to, 0)
+            better = (come < before).any(1)
+            least[to[better]] = np.minimum(come[better], before[better])
+            fresh[:] = False
+            fresh[to[better]] = True
+        least[some, np.arange(len(some))] = never  # a node and itself are no pair
+        rows, end = np.nonzero(least.T < never)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(some[rows])), names.take(pa.array(end)), pa.array(least[end, rows].astype(kind))], names=["a", "b", "dur"])
 
 
 def profile_skyline(rows: DataFrame, by: list[str], low: str, few: str, high: str, most: int) -> DataFrame:
