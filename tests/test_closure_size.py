@@ -2,6 +2,8 @@
 
 import random
 
+import executions
+
 from tramline.operators import relational
 
 
@@ -18,16 +20,5 @@ def test_blocks_of_starts_equal_one_task(spark, monkeypatch):
 def test_pairs_do_not_travel(spark):
     n = 150
     ring = spark.range(n).selectExpr("id AS a", f"(id + 1) % {n} AS b", "id % 3 AS dur").unionByName(spark.range(n).selectExpr("id AS a", f"id * 7 % {n} AS b", "5L AS dur"))
-    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
-    bus.waitUntilEmpty()
-    done = store.executionsCount()
-    assert relational.closure(ring, 3).count() == n * (n - 1)
-    bus.waitUntilEmpty()
-    jobs, sent = store.executionsList(done, 1000), []
-    for k in range(jobs.size()):
-        steps, values = jobs.apply(k).metrics(), store.executionMetrics(jobs.apply(k).executionId())
-        for m in map(steps.apply, range(steps.size())):
-            value = values.get(m.accumulatorId())
-            if m.name() == "shuffle records written" and value.isDefined():
-                sent.append(int(value.get().replace(",", "")))
-    assert n < max(sent) < 10 * n  # the pairs are 22,350
+    found, sent = executions.values(spark, "shuffle records written", lambda: relational.closure(ring, 3).count())
+    assert found == n * (n - 1) and n < max(sent) < 10 * n

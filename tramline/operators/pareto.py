@@ -142,6 +142,8 @@ def pareto_search(conn: DataFrame, footpaths: DataFrame | Walks, starts: DataFra
     could still reach beats whatever follows: it is there before the least possible time, with no more trips and
     no worse criteria.  ``log`` gets (round, labels that go on).
     """
+    if len(criteria) == 1 and criteria[0] is PRICE and extra_edges is None and goals is None:
+        return _cheapest(conn, footpaths, starts, rounds, log)
     names, sums = [c.name for c in criteria], sorted({s for c in criteria for s in c.sums})
     label = [*KEYS, "station", "ready", "arr", "legs", *names]
     value = lambda c: c.start if isinstance(c.start, Column) else F.lit(c.start)
@@ -204,6 +206,66 @@ def pareto_search(conn: DataFrame, footpaths: DataFrame | Walks, starts: DataFra
     return skyline(found, [*KEYS, "station", *same, "arr", "legs", *plain], ties) if ties else found
 
 
+#: Minutes of a slot of time by which labels and departures meet.
+SLOT = 60
+
+
+def _first(rows: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Rows (by, at, price, _old) that no other of their group reaches as soon and as cheaply; of equal ones an old one stays."""
+    w = Window.partitionBy(*by).orderBy(at, "price", F.desc("_old")).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_least", F.min("price").over(w)).filter("_least IS NULL OR price < _least").drop("_least")
+
+
+def _cheapest(conn: DataFrame, footpaths: DataFrame | Walks, starts: DataFrame, rounds: int, log: list | None) -> DataFrame:
+    """``pareto_search`` by price alone, where running minima do what comparing labels does with more criteria.
+
+    A departure is boarded once, by the cheapest label that is ready: labels hold until the next cheaper one is ready, and meet
+    departures by station and slot of time.  An arrival is the cheapest ride to it.  Later rounds have more trips, so what is
+    known of a station is its frontier: new labels are compared with that and each other, and none is looked at again.
+    """
+    total = Window.partitionBy("trip_id", "day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    conn = bucketed(conn.select(*CONN, F.sum("fare").over(total).alias("upto"), (F.sum("fare").over(total) - F.col("fare")).alias("before")), ["trip_id", "day"])
+    slot = lambda c: F.floor(c / F.lit(SLOT)).cast("long")
+    departures = bucketed(conn.filter("in_allowed").select("from_station", slot(F.col("dep")).alias("slot"), "dep", "trip_id", "day", F.col("seq").alias("enter"), "before"), ["from_station"])
+    arrivals = conn.filter("out_allowed").select("trip_id", "day", "seq", F.col("to_station").alias("station"), "arr", "upto")
+    pairs = footpaths.pairs if isinstance(footpaths, Walks) else footpaths
+    last = F.col("t0") + HORIZON
+    new, old = F.lit(False).alias("_old"), F.lit(True).alias("_old")
+    price = F.min("price").alias("price")
+    at = starts.select(*KEYS, F.col("start").alias("station"), F.col("t0").cast("long").alias("ready"), F.lit(PRICE.start).cast("long").alias("price"), new).distinct()
+    ready, parts, doors, came = cut(at), [], None, None
+    until = F.coalesce(F.lead("ready").over(Window.partitionBy(*KEYS, "station").orderBy("ready")), last + 1)
+    for k in range(1, rounds + 1):
+        labels = ready.withColumn("until", F.least(until, last + 1)).filter("NOT _old").filter(F.col("ready") <= last)
+        labels = cut(labels.select(*KEYS, "station", F.explode(F.sequence(slot(F.col("ready")), slot(F.col("until") - 1))).alias("slot"), "ready", "until", "price"))
+        met = departures.join(small(labels.withColumnRenamed("station", "from_station"), labels.count()), ["from_station", "slot"]).filter("dep >= ready AND dep < until")
+        board = met.select(*KEYS, "trip_id", "day", "enter", (F.col("price") - F.col("before")).alias("base"))
+        rides = board.join(arrivals, ["trip_id", "day"]).filter((F.col("seq") >= F.col("enter")) & (F.col("arr") <= last))
+        come = rides.groupBy(*KEYS, "station", "arr").agg(F.min(F.col("base") + F.col("upto")).cast("long").alias("price"))
+        come = cut(_first(come.withColumn("_old", new), [*KEYS, "station"], "arr").drop("_old"))
+        then = F.col("arr") + F.col("dur")
+        walk = come.join(pairs.select("a", "b", "dur"), F.col("station") == F.col("a"))
+        walk = walk.select(*KEYS, F.col("b").alias("station"), then.cast("long").alias("ready"), F.when(F.col("a") == F.col("b"), F.col("arr")).otherwise(then).cast("long").alias("arr"), "price")
+        if isinstance(footpaths, Walks):  # what a door knows from fewer trips, its stations know as well
+            hubs = come.join(footpaths.enter, F.col("station") == F.col("a")).groupBy(*KEYS, "hub", "arr").agg(price)
+            far = hubs.join(footpaths.across, "hub").groupBy(*KEYS, "door", then.cast("long").alias("ready")).agg(price).withColumn("_old", new)
+            doors = cut(_first(far if doors is None else far.unionByName(doors.withColumn("_old", old)), [*KEYS, "door"], "ready"))
+            walk = walk.unionByName(doors.filter("NOT _old").join(footpaths.leave, "door").select(*KEYS, F.col("b").alias("station"), "ready", F.col("ready").alias("arr"), "price"))
+        by_ready = walk.groupBy(*KEYS, "station", "ready").agg(price).withColumn("_old", new)
+        ready = cut(_first(by_ready.unionByName(ready.withColumn("_old", old)), [*KEYS, "station"], "ready"))
+        by_arrival = walk.groupBy(*KEYS, "station", "arr").agg(price).withColumn("_old", new)
+        came = cut(_first(by_arrival if came is None else by_arrival.unionByName(came.withColumn("_old", old)), [*KEYS, "station"], "arr"))
+        parts.append(came.filter("NOT _old").select(*KEYS, "station", "arr", F.lit(k).alias("legs"), "price"))
+        if log is not None:
+            log.append((k, ready.filter("NOT _old").count()))
+        if ready.filter("NOT _old").isEmpty():
+            break
+    found = parts[0]
+    for rows in parts[1:]:
+        found = found.unionByName(rows)
+    return found
+
+
 def _through_hubs(come: DataFrame, walks: Walks, criteria: tuple[Criterion, ...], same: list[str], orders: list[Column]) -> DataFrame:
     """Labels after walks through hubs: a hub and a door hold labels that no other there dominates, as a station does, and all
     of them take equally long from there; those back at their own station are dominated by its transfer."""

@@ -124,7 +124,8 @@ def _fares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pareto_price_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journeys of up to seven trips from station 1 at 8:00 to every station that no sooner, cheaper and simpler one beats."""
     starts = spark.createDataFrame([(1, _MORNING)], "start long, t0 long")
-    found = pareto.pareto_search(_fares(spark, sf_dir), walks(spark, sf_dir), starts, pareto.SEARCHES["price"])
+    rides = _fares(spark, sf_dir).filter(F.col("dep") <= _MORNING + search.HORIZON)  # none later is boarded or alighted from
+    found = pareto.pareto_search(rides, walks(spark, sf_dir), starts, pareto.SEARCHES["price"])
     return found.select("station", "arr", F.col("legs").cast("long").alias("legs"), "price")
 
 
